@@ -1,7 +1,7 @@
 """Declarative batch pipelines on PySpark: datasets, flows, publishing and lineage."""
 
 from millrace.model import Dataset, Flow, Pipeline, PipelineError
-from millrace.run import FlowContext, FlowResult, load_project, report, run
+from millrace.run import FlowContext, FlowResult, from_scripts, load_project, report, run
 
 __all__ = [
     "Dataset",
@@ -10,6 +10,7 @@ __all__ = [
     "FlowResult",
     "Pipeline",
     "PipelineError",
+    "from_scripts",
     "load_project",
     "report",
     "run",

@@ -12,7 +12,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.model import INSERT, ONCE, TABLE, Dataset, Flow, Pipeline, PipelineError
+from millrace.model import INSERT, MATERIALIZED_VIEW, ONCE, TABLE, Dataset, Flow, Pipeline, PipelineError
 from millrace.plans.scripts import dangling_settings, project_flows, unsupported_statements
 from millrace.settings import default_namespace, spark_conf
 from millrace.sinks.publish import bootstrap, publish
@@ -121,15 +121,26 @@ def load_project(
     database: str | None = None,
     conf: Mapping[str, str] | None = None,
 ) -> Pipeline:
-    """Build a pipeline from folders of ``.sql`` files.
+    """Build a pipeline from folders of ``.sql`` files that all executors can read."""
+    scripts = read_scripts(spark, directories)
+    if scripts.isEmpty():
+        raise PipelineError(f"no SQL files were found in {', '.join(directories)}")
+    return from_scripts(name, scripts, catalog, database, conf)
+
+
+def from_scripts(
+    name: str,
+    scripts: DataFrame,
+    catalog: str | None = None,
+    database: str | None = None,
+    conf: Mapping[str, str] | None = None,
+) -> Pipeline:
+    """Build a pipeline from rows ``(path, text)``.
 
     The scripts are taken apart by the same Spark jobs that serve whole script
     collections (``millrace.plans.scripts``); what comes back to the driver is
     the flow list of this one project, which the driver has to submit anyway.
     """
-    scripts = read_scripts(spark, directories)
-    if scripts.isEmpty():
-        raise PipelineError(f"no SQL files were found in {', '.join(directories)}")
     bad = unsupported_statements(scripts).first()
     if bad:
         raise PipelineError(f"unsupported SQL statement in {bad.path}: {bad.statement}")
@@ -145,7 +156,7 @@ def load_project(
                 row.target,
                 row.kind,
                 write=row.write,
-                format="parquet" if row.kind == "materialized_view" else None,
+                format="parquet" if row.kind == MATERIALIZED_VIEW else None,
                 properties={"script": row.path, "statement": str(row.flow_no)},
             ),
         )

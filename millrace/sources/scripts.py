@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 from functools import reduce
-from pathlib import Path
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: script files are recognised by this suffix, in any case.
@@ -19,7 +21,7 @@ def read_scripts(spark: SparkSession, directories: list[str]) -> DataFrame:
     below several of them belongs to the first one, found by comparing path
     prefixes, so no row has to be shuffled to drop repeats.
     """
-    roots = list(dict.fromkeys(_uri(d) for d in directories))
+    roots = list(dict.fromkeys(_absolute(d) for d in directories))
     parts = []
     for position, root in enumerate(roots):
         found = (
@@ -31,24 +33,30 @@ def read_scripts(spark: SparkSession, directories: list[str]) -> DataFrame:
             .withColumn("library", F.lit(position))
         )
         for earlier in roots[:position]:
-            found = found.filter(~F.col("path").startswith(_decoded_text(earlier) + "/"))
+            if _below(root, earlier) or _below(earlier, root):
+                found = found.filter(~F.regexp_replace("path", AUTHORITY, "/").startswith(_inside(earlier)))
         parts.append(found)
     return reduce(DataFrame.unionByName, parts)
 
 
-def _uri(directory: str) -> str:
-    if ":/" in directory:
-        return directory.rstrip("/")
-    return Path(directory).absolute().as_uri()
+# Scheme and host in front of a path, as in hdfs://name:8020/.
+AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/+"
 
 
-def _decoded_text(uri: str) -> str:
-    from urllib.parse import unquote
+def _absolute(directory: str) -> str:
+    """A path without a scheme belongs to the default file system and stays so."""
+    return directory.rstrip("/") if ":/" in directory else os.path.abspath(directory)
 
-    return "/" + unquote(uri[5:]).lstrip("/") if uri.startswith("file:") else unquote(uri)
 
+def _below(path: str, root: str) -> bool:
+    return path.startswith(root + "/")
 
-def _decoded(uri):
+
+def _inside(root: str) -> str:
+    return re.sub(AUTHORITY, "/", unquote(root) if ":/" in root else root) + "/"
+
+
+def _decoded(uri: Column) -> Column:
     """Readable paths: percent escapes resolved, local files without their scheme."""
     plain = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
     return F.regexp_replace(plain, "^file:/+", "/")
