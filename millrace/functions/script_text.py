@@ -9,19 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accepted declaration syntax.
+# The accepted declaration syntax and the form of flow names.
 NAME_PART = r"(?:`[^`]+`|[A-Za-z_][A-Za-z0-9_$]*)"
 NAME = NAME_PART + r"(?:\s*\.\s*" + NAME_PART + r")*"
-CREATE_VIEW = (
-    r"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?(MATERIALIZED\s+VIEW|TEMP(?:ORARY)?\s+VIEW)\s+(" + NAME + r")\s+AS\s+(.*)$"
-)
-INSERT_INTO = r"(?is)^INSERT\s+INTO\s+(?:TABLE\s+)?(" + NAME + r")\s+(SELECT\b.*)$"
+VIEW_HEAD = r"CREATE\s+(?:OR\s+REPLACE\s+)?(MATERIALIZED\s+VIEW|TEMP(?:ORARY)?\s+VIEW)\s+(" + NAME + r")\s+AS\s+"
+INSERT_HEAD = r"INSERT\s+INTO\s+(?:TABLE\s+)?(" + NAME + r")\s+"
+INSERT_QUERY = r"(?=SELECT\b)"
 SET_CONF = r"(?is)^SET\s+([A-Za-z0-9._-]+)\s*=\s*(.*?)\s*$"
-INPUT = r"(?is)\b(?:FROM|JOIN)\s+(" + NAME + r")"
+READ_WORDS = r"\b(?:FROM|JOIN)\s+"
 FLOW_NAME_FORMAT = "sql_flow_%03d_%s"
 FLOW_NAME_REPLACED = r"[^A-Za-z0-9_.-]"
 # End of fixed values.
 
+HEAD = f"(?is)^(?:{VIEW_HEAD}|{INSERT_HEAD}{INSERT_QUERY})"
+# The lookahead rejects most positions before the costlier word boundary is tested.
+INPUT = f"(?is)(?=[FJ]){READ_WORDS}({NAME})"
+
 # Quoted text runs to its closing quote, or to the end of the script if there
 # is none. A doubled quote reads as two literals side by side, which is the
 # same text. The possessive repeat keeps the matcher from recursing, so a
@@ -73,15 +76,19 @@ def resolved_name(name: Column, database: str | None = None) -> Column:
     return F.when(lower.contains("."), lower).otherwise(F.concat(F.lit(database.lower() + "."), lower))
 
 
-def kind(statement: Column) -> Column:
+def head(statement: Column) -> Column:
+    """The part of a declaration before its query; empty for everything else."""
+    return F.regexp_extract(statement, HEAD, 0)
+
+
+def kind(statement: Column, head_of: Column) -> Column:
     """``set``, the kind of dataset the statement fills, or ``unsupported``."""
-    view = F.upper(F.regexp_extract(statement, CREATE_VIEW, 1))
+    view = F.upper(F.regexp_extract(head_of, f"(?is)^{VIEW_HEAD}$", 1))
     return (
-        F.when(statement.rlike(SET_CONF), SET)
+        F.when(head_of == "", F.when(statement.rlike(SET_CONF), SET).otherwise(UNSUPPORTED))
         .when(view.startswith("MATERIALIZED"), "materialized_view")
         .when(view.startswith("TEMP"), "temporary_view")
-        .when(statement.rlike(INSERT_INTO), "table")
-        .otherwise(UNSUPPORTED)
+        .otherwise("table")
     )
 
 
@@ -89,16 +96,16 @@ def write_mode(kind_of: Column) -> Column:
     return F.when(kind_of == "table", "insert").when(kind_of.endswith("view"), "save")
 
 
-def target(statement: Column, kind_of: Column) -> Column:
-    created = normalised_name(F.regexp_extract(statement, CREATE_VIEW, 2))
-    inserted = normalised_name(F.regexp_extract(statement, INSERT_INTO, 1))
-    return F.when(kind_of == "table", inserted).when(kind_of.endswith("view"), created)
+def target(head_of: Column) -> Column:
+    """The dataset a declaration fills, null for everything else."""
+    view = F.regexp_extract(head_of, f"(?is)^{VIEW_HEAD}$", 2)
+    table = F.regexp_extract(head_of, f"(?is)^{INSERT_HEAD}$", 1)
+    return F.when(head_of != "", normalised_name(F.concat(view, table)))
 
 
-def body(statement: Column, kind_of: Column) -> Column:
-    created = stripped(F.regexp_extract(statement, CREATE_VIEW, 3))
-    inserted = stripped(F.regexp_extract(statement, INSERT_INTO, 2))
-    return F.when(kind_of == "table", inserted).when(kind_of.endswith("view"), created)
+def body(statement: Column, head_of: Column) -> Column:
+    """The query of a declaration, null for everything else."""
+    return F.when(head_of != "", stripped(F.substr(statement, F.length(head_of) + 1)))
 
 
 def input_names(query: Column) -> Column:
@@ -115,12 +122,12 @@ def cte_names(query: Column) -> Column:
     """Names that the query defines itself in a ``WITH`` list."""
     masked = F.regexp_replace(query, "'[^']*'?", " ")
     found = F.transform(F.regexp_extract_all(masked, F.lit(CTE_NAME), F.lit(1)), normalised_name)
-    return F.when(masked.rlike(r"(?i)\bWITH\s"), found).otherwise(F.array().cast("array<string>"))
+    return F.when(masked.rlike(r"(?i)(?=W)\bWITH\s"), found).otherwise(F.array().cast("array<string>"))
 
 
-def outside_inputs(query: Column) -> Column:
-    """``input_names`` without the names the query defines itself."""
-    return F.array_except(input_names(query), cte_names(query))
+def outside_inputs(inputs: Column, query: Column) -> Column:
+    """The inputs that the query does not define itself."""
+    return F.array_except(inputs, cte_names(query))
 
 
 def setting(statement: Column) -> Column:

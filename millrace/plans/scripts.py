@@ -25,44 +25,50 @@ def statements(scripts: DataFrame) -> DataFrame:
 
 def classified(scripts: DataFrame) -> DataFrame:
     """``(path, statement_no, kind, target, body, write)``; settings and unsupported text have no target."""
-    found = statements(scripts).withColumn("kind", st.kind(F.col("statement")))
-    return found.select(
-        *_place(scripts),
-        "statement_no",
-        "kind",
-        st.target(F.col("statement"), F.col("kind")).alias("target"),
-        st.body(F.col("statement"), F.col("kind")).alias("body"),
-        st.write_mode(F.col("kind")).alias("write"),
-    )
-
-
-def unsupported_statements(scripts: DataFrame) -> DataFrame:
-    """``(path, statement_no, statement)`` of everything that declares nothing."""
-    return statements(scripts).filter(st.kind(F.col("statement")) == st.UNSUPPORTED)
+    found = statements(scripts).withColumn("head", st.head(F.col("statement")))
+    return _described(found).select(*_place(scripts), "statement_no", "kind", "target", "body", "write")
 
 
-def declared_flows(scripts: DataFrame) -> DataFrame:
-    """``(path, statement_no, kind, target, body, write, inputs, conf)``, one row per flow.
+def declarations(scripts: DataFrame) -> DataFrame:
+    """``(path, statement_no, statement, kind, target, body, write, inputs, conf)``.
 
-    ``conf`` holds the settings made since the statement before it.
+    One row per statement other than a setting; ``conf`` holds the settings
+    made since the statement before it. Settings that no statement follows
+    appear as rows of kind ``set``. ``inputs`` keeps the order in which they
+    are first mentioned.
     """
-    parsed = _parsed(scripts)
+    cut = scripts.select(
+        *_place(scripts),
+        F.transform(
+            st.statements(F.col("text")),
+            lambda s, i: F.struct((i + 1).alias("statement_no"), st.head(s).alias("head"), s.alias("statement")),
+        ).alias("parts"),
+    )
+    marked = cut.withColumn(
+        "others",
+        F.filter("parts", lambda s: (s["head"] != "") | ~s["statement"].rlike(st.SET_CONF)),
+    )
+    ends = marked.withColumn("ends", F.concat(F.array(F.lit(0)), F.col("others.statement_no")))
+    groups = ends.select(*_place(scripts), F.explode(F.concat(_with_settings(), _trailing())).alias("s"))
     return (
-        parsed.select(*_place(scripts), F.explode(_with_settings("parsed")).alias("s"))
-        .filter(F.col("s.kind") != st.UNSUPPORTED)
-        .select(
-            *_place(scripts),
-            F.col("s.statement_no").alias("statement_no"),
-            F.col("s.kind").alias("kind"),
-            st.target(F.col("s.statement"), F.col("s.kind")).alias("target"),
-            st.body(F.col("s.statement"), F.col("s.kind")).alias("body"),
-            st.write_mode(F.col("s.kind")).alias("write"),
-            st.last_settings(F.transform(F.col("s.sets"), lambda one: st.setting(one["statement"]))).alias("conf"),
-        )
+        _described(groups.select(*_place(scripts), "s.*"))
+        .withColumn("conf", st.last_settings(F.transform("sets", st.setting)))
         .withColumn("inputs", st.input_names(F.col("body")))
+        .drop("sets", "head")
     )
 
 
+def declared_flows(scripts: DataFrame) -> DataFrame:
+    """The declarations that fill a dataset: ``(path, statement_no, kind, target, body, write, inputs, conf)``."""
+    return declarations(scripts).filter(F.col("target").isNotNull()).drop("statement")
+
+
+def unsupported_statements(scripts: DataFrame) -> DataFrame:
+    """``(path, statement_no, statement)`` of everything that declares nothing."""
+    found = statements(scripts).withColumn("head", st.head(F.col("statement")))
+    return found.filter(st.kind(F.col("statement"), F.col("head")) == st.UNSUPPORTED).drop("head")
+
+
 def flow_inputs(scripts: DataFrame) -> DataFrame:
     """``(path, statement_no, target, input_no, input)`` in first-seen order."""
     return _exploded_inputs(scripts, F.col("inputs"))
@@ -70,7 +76,7 @@ def flow_inputs(scripts: DataFrame) -> DataFrame:
 
 def outside_flow_inputs(scripts: DataFrame) -> DataFrame:
     """As ``flow_inputs``, without the names a query defines in its own ``WITH`` list."""
-    return _exploded_inputs(scripts, st.outside_inputs(F.col("body")))
+    return _exploded_inputs(scripts, st.outside_inputs(F.col("inputs"), F.col("body")))
 
 
 def flow_settings(scripts: DataFrame) -> DataFrame:
@@ -84,12 +90,10 @@ def flow_settings(scripts: DataFrame) -> DataFrame:
 
 def dangling_settings(scripts: DataFrame) -> DataFrame:
     """``(path, statement_no, key, value)`` of settings that no statement follows."""
-    parsed = _parsed(scripts)
-    others = F.filter(F.col("parsed"), lambda s: s["kind"] != st.SET)
-    last = F.coalesce(F.try_element_at(others, F.lit(-1))["statement_no"], F.lit(0))
     return (
-        parsed.select(*_place(scripts), F.explode(F.filter(F.col("parsed"), lambda s: s["statement_no"] > last)).alias("s"))
-        .select(*_place(scripts), F.col("s.statement_no"), st.setting(F.col("s.statement")).alias("c"))
+        declarations(scripts)
+        .filter(F.col("kind") == st.SET)
+        .select(*_place(scripts), "statement_no", st.setting(F.col("statement")).alias("c"))
         .select(*_place(scripts), "statement_no", "c.key", "c.value")
     )
 
@@ -102,19 +106,19 @@ def numbered_flows(scripts: DataFrame) -> DataFrame:
     """
     flows = stored(declared_flows(scripts), "flows")
     place = [*_place(scripts), "statement_no"]
-    numbers = numbered(flows.select(*place), [*_place(scripts)[::-1], "statement_no"], "flow_no")
+    numbers = numbered(flows.select(*place), _order(scripts), "flow_no")
     return flows.join(numbers, place).withColumn("flow", st.flow_name(F.col("flow_no"), F.col("target")))
 
 
-def project_flows(scripts: DataFrame) -> DataFrame:
-    """Numbered flows whose inputs leave out names that the query defines itself."""
-    return numbered_flows(scripts).withColumn("inputs", st.outside_inputs(F.col("body")))
+def project_rows(scripts: DataFrame) -> DataFrame:
+    """``declarations`` of one project, their inputs without names defined in the query."""
+    found = declarations(scripts).withColumn("inputs", st.outside_inputs(F.col("inputs"), F.col("body")))
+    return found.withColumn("place", F.struct(*_order(scripts)))
 
 
 def first_declarations(scripts: DataFrame) -> DataFrame:
     """``(target, kind, write, path, statement_no)``: the first statement that names each dataset."""
-    place = F.struct(*_place(scripts)[::-1], "statement_no")
-    first = F.min_by(F.struct("kind", "write", "path", "statement_no"), place)
+    first = F.min_by(F.struct("kind", "write", "path", "statement_no"), F.struct(*_order(scripts)))
     return declared_flows(scripts).groupBy("target").agg(first.alias("first")).select("target", "first.*")
 
 
@@ -130,29 +134,39 @@ def _place(scripts: DataFrame) -> list[str]:
     return ["path", "library"] if "library" in scripts.columns else ["path"]
 
 
-def _parsed(scripts: DataFrame) -> DataFrame:
-    """``(path, parsed)``: the statements of a script as an array of ``(statement_no, kind, statement)``."""
-    return scripts.select(
-        *_place(scripts),
-        F.transform(
-            st.statements(F.col("text")),
-            lambda s, i: F.struct((i + 1).alias("statement_no"), st.kind(s).alias("kind"), s.alias("statement")),
-        ).alias("parsed"),
+def _order(scripts: DataFrame) -> list[str]:
+    return [*_place(scripts)[::-1], "statement_no"]
+
+
+def _described(found: DataFrame) -> DataFrame:
+    """Add kind, target, body and way of writing to rows with ``statement`` and ``head``."""
+    statement, head = F.col("statement"), F.col("head")
+    with_kind = found.withColumn("kind", st.kind(statement, head))
+    return with_kind.withColumns(
+        {"target": st.target(head), "body": st.body(statement, head), "write": st.write_mode(F.col("kind"))}
     )
 
 
-def _with_settings(parsed: str) -> Column:
-    """Each statement that is no setting, with the settings between it and the one before."""
-    others = F.filter(F.col(parsed), lambda s: s["kind"] != st.SET)
+def _with_settings() -> Column:
+    """Each statement that is no setting, with the settings since the one before.
+
+    ``parts`` are all statements, ``others`` those that are no settings, and
+    ``ends`` the numbers of the latter after a leading 0.
+    """
 
     def attach(statement: Column, position: Column) -> Column:
-        before = F.when(position > 0, F.get(others, position - 1)["statement_no"]).otherwise(0)
-        sets = F.slice(F.col(parsed), before + 1, statement["statement_no"] - before - 1)
-        return F.struct(
-            statement["statement_no"].alias("statement_no"),
-            statement["kind"].alias("kind"),
-            statement["statement"].alias("statement"),
-            sets.alias("sets"),
-        )
-
-    return F.transform(others, attach)
+        end = F.get("ends", position)
+        return _group(statement, F.slice("parts", end + 1, statement["statement_no"] - end - 1))
+
+    return F.transform("others", attach)
+
+
+def _trailing() -> Column:
+    """The settings after the last other statement, as statements of their own."""
+    rest = F.slice("parts", F.element_at("ends", -1) + 1, F.size("parts"))
+    return F.transform(rest, lambda statement: _group(statement, F.slice("parts", 1, 0)))
+
+
+def _group(statement: Column, sets: Column) -> Column:
+    names = ("statement_no", "head", "statement")
+    return F.struct(*[statement[n].alias(n) for n in names], F.transform(sets, lambda s: s["statement"]).alias("sets"))

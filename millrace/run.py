@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.model import INSERT, MATERIALIZED_VIEW, ONCE, TABLE, Dataset, Flow, Pipeline, PipelineError
-from millrace.plans.scripts import dangling_settings, project_flows, unsupported_statements
+from millrace.functions.script_text import FLOW_NAME_FORMAT, FLOW_NAME_REPLACED, SET, UNSUPPORTED
+from millrace.plans.scripts import project_rows
 from millrace.settings import default_namespace, spark_conf
 from millrace.sinks.publish import bootstrap, publish
 from millrace.sources.scripts import read_scripts
@@ -122,10 +124,10 @@ def load_project(
     conf: Mapping[str, str] | None = None,
 ) -> Pipeline:
     """Build a pipeline from folders of ``.sql`` files that all executors can read."""
-    scripts = read_scripts(spark, directories)
-    if scripts.isEmpty():
-        raise PipelineError(f"no SQL files were found in {', '.join(directories)}")
-    return from_scripts(name, scripts, catalog, database, conf)
+    pipeline = from_scripts(name, read_scripts(spark, directories), catalog, database, conf)
+    if not pipeline.flows:
+        raise PipelineError(f"no SQL flows were found in {', '.join(directories)}")
+    return pipeline
 
 
 def from_scripts(
@@ -141,29 +143,20 @@ def from_scripts(
     collections (``millrace.plans.scripts``); what comes back to the driver is
     the flow list of this one project, which the driver has to submit anyway.
     """
-    bad = unsupported_statements(scripts).first()
-    if bad:
-        raise PipelineError(f"unsupported SQL statement in {bad.path}: {bad.statement}")
-    loose = dangling_settings(scripts).first()
-    if loose:
-        raise PipelineError(f"SET statements in {loose.path} must be followed by a flow statement")
-    rows = project_flows(scripts).orderBy("flow_no").collect()
     datasets: dict[str, Dataset] = {}
-    for row in rows:
-        datasets.setdefault(
-            row.target,
-            Dataset(
-                row.target,
-                row.kind,
-                write=row.write,
-                format="parquet" if row.kind == MATERIALIZED_VIEW else None,
-                properties={"script": row.path, "statement": str(row.flow_no)},
-            ),
-        )
-    flows = [
-        Flow(row.flow, row.target, _sql_query(row.body), tuple(row.inputs), conf={c.key: c.value for c in row.conf})
-        for row in rows
-    ]
+    flows: list[Flow] = []
+    for row in sorted(project_rows(scripts).collect(), key=lambda r: tuple(r.place)):
+        if row.kind == SET:
+            raise PipelineError(f"SET statements in {row.path} must be followed by a flow statement")
+        if row.kind == UNSUPPORTED:
+            raise PipelineError(f"unsupported SQL statement in {row.path}: {row.statement}")
+        number = len(flows) + 1
+        stored_as = "parquet" if row.kind == MATERIALIZED_VIEW else None
+        place = {"script": row.path, "statement": str(number)}
+        datasets.setdefault(row.target, Dataset(row.target, row.kind, row.write, stored_as, properties=place))
+        flow = FLOW_NAME_FORMAT % (number, re.sub(FLOW_NAME_REPLACED, "_", row.target))
+        conf_of = {c.key: c.value for c in row.conf}
+        flows.append(Flow(flow, row.target, _sql_query(row.body), tuple(row.inputs), conf=conf_of))
     return Pipeline(name, tuple(datasets.values()), tuple(flows), catalog, database, conf or {})
 
 
