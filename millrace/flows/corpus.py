@@ -134,18 +134,17 @@ FROM {part} WHERE p_size = 50 AND p_partkey > 0
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
 
 
-def derive(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    """Run one of the queries above over the Parquet tables in ``sf_dir``."""
-    used = {t: _spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES if "{" + t + "}" in query}
-    return spark.sql(query, **used)
+def derive(spark: SparkSession, sf_dir: str, query: str, spread: bool = False) -> DataFrame:
+    """Run one of the queries above over the Parquet tables in ``sf_dir``.
 
+    ``spread`` is for queries whose rows are worked on long after they are read.
+    """
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in query}
+    return spark.sql(query, **{t: _spread(rows) if spread else rows for t, rows in used.items()})
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Use all cores when a table comes in fewer splits than there are cores.
 
-    What follows works much longer on a row than it takes to move it. Large
-    tables have splits enough and are not shuffled.
-    """
+def _spread(rows: DataFrame) -> DataFrame:
+    """Use all cores when a table comes in fewer splits; large tables are not shuffled."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.flows import corpus
 from millrace.flows.corpus import as_sql, derive
-from millrace.flows.registry import query
+from millrace.flows.registry import query, table
 from millrace.functions import script_text as st
 from millrace.plans import checks, lineage, scripts
-from millrace.storage import stored
 
 # The same steps in the other engine's SQL, with its own regular expressions.
 _NAME = r"(?:`[^`]+`|[A-Za-z_][A-Za-z0-9_$]*)(?:\s*\.\s*(?:`[^`]+`|[A-Za-z_][A-Za-z0-9_$]*))*"
@@ -86,7 +85,7 @@ owners AS (SELECT path, statement_no, kind, before FROM groups WHERE kind <> 'se
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, corpus.SCRIPTS)
+    return derive(spark, sf_dir, corpus.SCRIPTS, spread=True)
 
 
 @query(f"WITH {_STATEMENTS} SELECT path, statement_no, statement FROM statements")
@@ -122,8 +121,6 @@ SELECT p_partkey, 'stock room.' || p_brand || '.part_' || p_partkey AS plain,
 FROM part""".replace("'own.stock room.'", "'stock room.'"))
 def lin_normalise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Back-quotes and blanks go; resolving lowers the case and adds the default database to plain names."""
-    from millrace.flows.registry import table
-
     key = F.col("p_partkey").cast("string")
     written = F.concat(F.lit(" `stock room` . `"), "p_brand", F.lit("`\n.part_"), key, F.lit(" "))
     name = st.normalised_name(written)
@@ -340,6 +337,4 @@ def chk_view_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_STOCK} {_ALL}")
 def chk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All checks over one reading of the declarations."""
-    datasets, flows = _stock(spark, sf_dir)
-    return checks.all_checks(stored(datasets, "datasets"), stored(flows, "flows"))
+    return checks.all_checks(*_stock(spark, sf_dir))

@@ -133,20 +133,17 @@ def outside_inputs(inputs: Column, query: Column) -> Column:
 def setting(statement: Column) -> Column:
     """``(key, value)`` of a ``SET`` statement, one pair of quotes around the value removed."""
     value = stripped(F.regexp_extract(statement, SET_CONF, 2))
-    same_quotes = (value.startswith("'") & value.endswith("'")) | (value.startswith('"') & value.endswith('"'))
-    bare = F.when(same_quotes & (F.length(value) >= 2), F.substr(value, F.lit(2), F.length(value) - 2))
     return F.struct(
         F.regexp_extract(statement, SET_CONF, 1).alias("key"),
-        F.coalesce(bare, value).alias("value"),
+        F.regexp_replace(value, r"""(?s)^(['"])(.*)\1$""", "$2").alias("value"),
     )
 
 
-def last_settings(settings: Column) -> Column:
-    """One entry per key; the last value of a key wins."""
-    size = F.size(settings)
+def last_settings(settings: str) -> Column:
+    """One entry per key of an array column; the last value of a key wins."""
 
     def is_last(entry: Column, position: Column) -> Column:
-        later = F.slice(settings, position + 2, size)
+        later = F.slice(settings, position + 2, F.size(settings))
         return ~F.exists(later, lambda other: other["key"] == entry["key"])
 
     return F.filter(settings, is_last)

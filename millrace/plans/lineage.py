@@ -125,7 +125,8 @@ def _waits(flows: DataFrame, flow_inputs: DataFrame) -> tuple[DataFrame, DataFra
     with the rows, so the rounds never look anything up.
     """
     writers = flows.groupBy(F.col("target").alias("dataset")).agg(F.count(F.lit(1)).alias("writers"))
-    produced = stored(flow_inputs.select("flow", "dataset").distinct().join(writers, "dataset"), "produced")
+    # Inputs without writers, often most of them, go before anything is made distinct.
+    produced = stored(flow_inputs.select("flow", "dataset").join(writers, "dataset").distinct(), "produced")
     needs = produced.groupBy("flow").agg(F.sum("writers").alias("need"))
     waiting = flows.join(needs, "flow")
     waits = stored(produced.select("flow", "dataset").join(waiting, "flow"), "waits")

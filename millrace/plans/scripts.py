@@ -37,30 +37,12 @@ def declarations(scripts: DataFrame) -> DataFrame:
     appear as rows of kind ``set``. ``inputs`` keeps the order in which they
     are first mentioned.
     """
-    cut = scripts.select(
-        *_place(scripts),
-        F.transform(
-            st.statements(F.col("text")),
-            lambda s, i: F.struct((i + 1).alias("statement_no"), st.head(s).alias("head"), s.alias("statement")),
-        ).alias("parts"),
-    )
-    marked = cut.withColumn(
-        "others",
-        F.filter("parts", lambda s: (s["head"] != "") | ~s["statement"].rlike(st.SET_CONF)),
-    )
-    ends = marked.withColumn("ends", F.concat(F.array(F.lit(0)), F.col("others.statement_no")))
-    groups = ends.select(*_place(scripts), F.explode(F.concat(_with_settings(), _trailing())).alias("s"))
-    return (
-        _described(groups.select(*_place(scripts), "s.*"))
-        .withColumn("conf", st.last_settings(F.transform("sets", st.setting)))
-        .withColumn("inputs", st.input_names(F.col("body")))
-        .drop("sets", "head")
-    )
+    return _declared(_groups(scripts)).drop("sets", "head")
 
 
 def declared_flows(scripts: DataFrame) -> DataFrame:
     """The declarations that fill a dataset: ``(path, statement_no, kind, target, body, write, inputs, conf)``."""
-    return declarations(scripts).filter(F.col("target").isNotNull()).drop("statement")
+    return _declared(_groups(scripts).filter(F.col("head") != "")).drop("sets", "head", "statement")
 
 
 def unsupported_statements(scripts: DataFrame) -> DataFrame:
@@ -83,7 +65,8 @@ def flow_settings(scripts: DataFrame) -> DataFrame:
     """``(path, statement_no, key, value)``: the settings of each flow."""
     return (
         declared_flows(scripts)
-        .select(*_place(scripts), "statement_no", F.explode("conf").alias("c"))
+        .select(*_place(scripts), "statement_no", F.explode_outer("conf").alias("c"))
+        .filter(F.col("c").isNotNull())
         .select(*_place(scripts), "statement_no", "c.key", "c.value")
     )
 
@@ -123,9 +106,11 @@ def first_declarations(scripts: DataFrame) -> DataFrame:
 
 
 def _exploded_inputs(scripts: DataFrame, names: Column) -> DataFrame:
+    # The outer form, since Spark tests the array of the plain one in a filter and so computes it twice.
     return (
         declared_flows(scripts)
-        .select(*_place(scripts), "statement_no", "target", F.posexplode(names).alias("position", "input"))
+        .select(*_place(scripts), "statement_no", "target", F.posexplode_outer(names).alias("position", "input"))
+        .filter(F.col("input").isNotNull())
         .select(*_place(scripts), "statement_no", "target", (F.col("position") + 1).alias("input_no"), "input")
     )
 
@@ -138,6 +123,32 @@ def _order(scripts: DataFrame) -> list[str]:
     return [*_place(scripts)[::-1], "statement_no"]
 
 
+def _groups(scripts: DataFrame) -> DataFrame:
+    cut = scripts.select(
+        *_place(scripts),
+        F.transform(
+            st.statements(F.col("text")),
+            lambda s, i: F.struct((i + 1).alias("statement_no"), st.head(s).alias("head"), s.alias("statement")),
+        ).alias("parts"),
+    )
+    marked = cut.withColumn(
+        "others",
+        F.filter("parts", lambda s: (s["head"] != "") | ~s["statement"].rlike(st.SET_CONF)),
+    )
+    ends = marked.withColumn("ends", F.concat(F.array(F.lit(0)), F.col("others.statement_no")))
+    groups = ends.select(*_place(scripts), F.explode(F.concat(_with_settings(), _trailing())).alias("s"))
+    return groups.select(*_place(scripts), "s.*")
+
+
+def _declared(groups: DataFrame) -> DataFrame:
+    return (
+        _described(groups)
+        .withColumn("sets", F.transform("sets", st.setting))
+        .withColumn("conf", st.last_settings("sets"))
+        .withColumn("inputs", st.input_names(F.col("body")))
+    )
+
+
 def _described(found: DataFrame) -> DataFrame:
     """Add kind, target, body and way of writing to rows with ``statement`` and ``head``."""
     statement, head = F.col("statement"), F.col("head")
