@@ -65,7 +65,8 @@ def degrees(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
 def external_inputs(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     """``(flow, dataset)`` for inputs that no flow writes; they order nothing."""
     targets = flows.select(F.col("target").alias("dataset"))
-    return anti(flow_inputs.select("flow", "dataset").distinct(), targets, ["dataset"])
+    outside = anti(flow_inputs.select("flow", "dataset"), targets, ["dataset"])
+    return outside.select("flow", "dataset").distinct()
 
 
 def stage_levels(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from graphlib import CycleError, TopologicalSorter
@@ -105,7 +105,7 @@ def run(
             def one(flow: Flow, number: int = number, modes: dict = modes) -> FlowResult:
                 return _run_flow(context, flow, number, modes[flow.name], once_log)
 
-            done += _run_wave(pipeline, flows, one, max_concurrent_flows)
+            done += _run_wave(spark, pipeline, flows, one, max_concurrent_flows)
     return done
 
 
@@ -175,7 +175,9 @@ def _first_mode(spark: SparkSession, dataset: Dataset, save_mode: str) -> str |
     return save_mode
 
 
-def _run_wave(pipeline: Pipeline, flows: list[Flow], one, max_concurrent_flows: int) -> list[FlowResult]:
+def _run_wave(
+    spark: SparkSession, pipeline: Pipeline, flows: list[Flow], one: Callable[[Flow], FlowResult], max_concurrent_flows: int
+) -> list[FlowResult]:
     outcomes: dict[str, FlowResult | Exception] = {}
 
     def attempt(group: list[Flow]) -> None:
@@ -191,7 +193,7 @@ def _run_wave(pipeline: Pipeline, flows: list[Flow], one, max_concurrent_flows:
             if not flow.conf:
                 by_target.setdefault(pipeline.key(flow.target), []).append(flow)
         with ThreadPoolExecutor(max_concurrent_flows) as pool:
-            list(pool.map(inheritable_thread_target(attempt), by_target.values()))
+            list(pool.map(inheritable_thread_target(spark)(attempt), by_target.values()))
         attempt([f for f in flows if f.conf])
     else:
         attempt(flows)

@@ -25,10 +25,7 @@ def read_scripts(spark: SparkSession, directories: list[str]) -> DataFrame:
     parts = []
     for position, root in enumerate(roots):
         found = (
-            spark.read.option("wholetext", True)
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", SCRIPT_FILES)
-            .text(root)
+            spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=SCRIPT_FILES)
             .select(_decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
             .withColumn("library", F.lit(position))
         )
