@@ -230,7 +230,7 @@ def pub_insert_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts go by position: columns given in another order change places."""
     database, _ = scratch_database(spark)
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus")
-    lines.limit(0).write.saveAsTable(f"{database}.flags")
+    spark.createDataFrame([], lines.schema).write.saveAsTable(f"{database}.flags")
     publish(Dataset(f"{database}.flags", TABLE, write=INSERT), lines.select("l_linestatus", "l_returnflag"))
     return spark.table(f"{database}.flags").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_PATHS: list[str] = []
+_DATABASES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    """A folder name of its own in the shared folder, remembered for ``drop_scratch``."""
+    path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -48,4 +53,19 @@ def scratch_database(spark: SparkSession) -> tuple[str, str]:
     path = new_path(spark, "db")
     name = "millrace_" + path.rsplit("-", 1)[1]
     spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
+    _DATABASES.append(name)
     return name, path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the databases and folders that this process has made here.
+
+    To be called when the results that read them are done with; DataFrames are
+    lazy, so nothing is removed earlier on its own.
+    """
+    while _DATABASES:
+        spark.sql(f"DROP DATABASE IF EXISTS {_DATABASES.pop()} CASCADE")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _PATHS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(hadoop).delete(path, True)

@@ -33,7 +33,7 @@ def database(spark):
 
     name, _ = scratch_database(spark)
     yield name
-    spark.sql(f"DROP DATABASE {name} CASCADE")
+    spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
 
 
 @pytest.fixture

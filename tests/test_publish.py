@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from conftest import rows
 from pyspark.errors import AnalysisException
@@ -9,7 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from millrace import Dataset, PipelineError
 from millrace.settings import default_namespace, spark_conf
 from millrace.sinks.publish import bootstrap, publish
-from millrace.storage import shared_dir, stored
+from millrace.storage import drop_scratch, scratch_database, shared_dir, stored
 from millrace.streaming.guard import require_batch
 
 
@@ -152,3 +154,28 @@ def test_stored_results_lie_in_the_shared_folder(spark):
     df = stored(spark.range(5).withColumn("half", F.col("id") / 2), "check")
     assert df.count() == 5 and df.columns == ["id", "half"]
     assert all(shared_dir(spark) in f for f in df.inputFiles())
+
+
+def test_scratch_can_be_dropped(spark):
+    name, path = scratch_database(spark)
+    spark.range(1).write.saveAsTable(f"{name}.t")
+    df = stored(spark.range(5), "check")
+    (file, *_) = df.inputFiles()
+    drop_scratch(spark)
+    assert not spark.catalog.databaseExists(name)
+    assert not Path(path).exists() and not Path(file.removeprefix("file:")).exists()
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
