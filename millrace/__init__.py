@@ -1,7 +1,7 @@
 """Declarative batch pipelines on PySpark: datasets, flows, publishing and lineage."""
 
 from millrace.model import Dataset, Flow, Pipeline, PipelineError
-from millrace.run import FlowContext, FlowResult, from_scripts, load_project, report, run
+from millrace.run import FlowContext, FlowResult, from_scripts, load_project, plan, report, run
 
 __all__ = [
     "Dataset",
@@ -12,6 +12,7 @@ __all__ = [
     "PipelineError",
     "from_scripts",
     "load_project",
+    "plan",
     "report",
     "run",
 ]

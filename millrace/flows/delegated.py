@@ -53,7 +53,7 @@ def d_join_outer_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT c_custkey AS custkey, c_name FROM customer
 WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)""")
-def d_join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d_join_semi_anti_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_name")
     return semi(customers, _orders(spark, sf_dir).filter(F.col("o_totalprice") > 450000), ["custkey"])
 
@@ -61,7 +61,7 @@ def d_join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT c_custkey AS custkey, c_name FROM customer
 WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)""")
-def d_join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d_join_semi_anti_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_name")
     return anti(customers, _orders(spark, sf_dir).filter(F.col("o_totalprice") > 450000), ["custkey"])
 
@@ -111,7 +111,7 @@ def d_join_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(NATION_SQL)
-def d_join_no_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d_join_broadcast_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same join with broadcasting switched off for this flow; published while the setting holds."""
     database, _ = scratch_database(spark)
     off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
@@ -299,7 +299,7 @@ SELECT p_partkey, substring(p_name, 1, 4) AS start, upper(p_name) AS loud, lengt
   round(p_retailprice * 0.9, 2) AS reduced,
   CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS size_class
 FROM part""")
-def d_scalar_text_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d_scalar_text_math_date_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     return table(spark, sf_dir, "part").select(
         "p_partkey",
@@ -315,7 +315,7 @@ def d_scalar_text_math(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, quarter(o_orderdate) AS quarter,
   count(*) AS n, round(sum(o_totalprice), 2) AS total
 FROM orders GROUP BY 1, 2""")
-def d_scalar_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d_scalar_text_math_date_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "orders")
         .groupBy(
@@ -327,7 +327,7 @@ def d_scalar_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def d_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d_json_array_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")
     )
@@ -337,7 +337,7 @@ def d_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, CAST(embedding[1] AS DOUBLE) AS first,
   CAST(embedding[-1] AS DOUBLE) AS last
 FROM embeddings""")
-def d_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d_json_array_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         "vec_id",
         F.size("embedding").cast("bigint").alias("n"),

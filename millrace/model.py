@@ -114,11 +114,13 @@ class Pipeline:
                 raise PipelineError(f"duplicate {what}: {', '.join(twice)}")
 
     def key(self, name: str) -> str:
-        """The form in which names are compared: lower case, with the default database."""
+        """The form in which names are compared: lower case, with default database and catalog."""
         key = name.lower()
-        views = {d.name.lower() for d in self.datasets if d.kind == TEMPORARY_VIEW}
-        if self.database and "." not in key and key not in views:
-            key = f"{self.database.lower()}.{key}"
+        if "." not in key and any(d.name.lower() == key for d in self.datasets if d.kind == TEMPORARY_VIEW):
+            return key
+        for count, default in ((0, self.database), (1, self.catalog)):
+            if default and key.count(".") == count:
+                key = f"{default.lower()}.{key}"
         return key
 
     def dataset(self, name: str) -> Dataset | None:

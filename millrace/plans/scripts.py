@@ -81,16 +81,21 @@ def dangling_settings(scripts: DataFrame) -> DataFrame:
     )
 
 
-def numbered_flows(scripts: DataFrame) -> DataFrame:
-    """``declared_flows`` with ``flow_no`` across all files in path order, and the flow's name.
+def flow_numbers(flows: DataFrame) -> DataFrame:
+    """``(path, statement_no, target, flow_no, flow)``: numbers across all files in path order, and names.
 
-    The scripts are taken apart once; only file paths and positions are sorted,
-    and the numbers are joined back to the flows.
+    ``flows`` is read twice (once for the bounds of the sort), so it should be
+    stored; only these narrow rows are sorted.
     """
+    place = [*_place(flows), "statement_no"]
+    numbers = numbered(flows.select(*place, "target"), _order(flows), "flow_no")
+    return numbers.withColumn("flow", st.flow_name(F.col("flow_no"), F.col("target")))
+
+
+def numbered_flows(scripts: DataFrame) -> DataFrame:
+    """``declared_flows`` with ``flow_no`` and ``flow``; the scripts are taken apart once."""
     flows = stored(declared_flows(scripts), "flows")
-    place = [*_place(scripts), "statement_no"]
-    numbers = numbered(flows.select(*place), _order(scripts), "flow_no")
-    return flows.join(numbers, place).withColumn("flow", st.flow_name(F.col("flow_no"), F.col("target")))
+    return flows.join(flow_numbers(flows).drop("target"), [*_place(scripts), "statement_no"])
 
 
 def project_rows(scripts: DataFrame) -> DataFrame:

@@ -76,16 +76,14 @@ def run(
     up instead of erasing each other. With ``once_log``, a table name, ``once``
     flows recorded there by an earlier run are skipped.
 
-    Flows of one wave may run side by side. Those that carry settings of their
-    own still run one at a time, because settings belong to the whole session,
-    and so do flows that write the same table.
+    Flows of one wave may run side by side. Those into a target that has a flow
+    with settings of its own still run one at a time, because settings belong
+    to the whole session, and so do flows that write the same table.
 
     If a flow fails, the rest of its wave still finishes, later waves do not
     start, and the first failure is raised.
     """
-    problems = pipeline.problems()
-    if problems:
-        raise PipelineError(f"pipeline {pipeline.name!r} is not valid: " + "; ".join(problems))
+    _require_valid(pipeline)
     waves = list(stages(pipeline))
     context = FlowContext(spark, pipeline)
     done: list[FlowResult] = []
@@ -109,8 +107,22 @@ def run(
     return done
 
 
+def plan(spark: SparkSession, pipeline: Pipeline) -> DataFrame:
+    """What ``run`` would do, as rows ``(pipeline, stage, flow, target)``; nothing is executed.
+
+    Missing tables and mistakes inside query texts show only in a run.
+    """
+    _require_valid(pipeline)
+    rows = [(pipeline.name, n, f.name, f.target) for n, wave in enumerate(stages(pipeline)) for f in wave]
+    return spark.createDataFrame(rows, "pipeline string, stage int, flow string, target string")
+
+
 def report(spark: SparkSession, results: Iterable[FlowResult]) -> DataFrame:
-    """The results as rows ``(seq, stage, flow, target, rows)``."""
+    """The results as rows ``(seq, stage, flow, target, rows)``.
+
+    ``rows`` is counted by Spark while writing; if an executor is lost and part
+    of a write is repeated, its rows may be counted again.
+    """
     rows = [(seq, *result) for seq, result in enumerate(results, start=1)]
     return spark.createDataFrame(rows, "seq int, stage int, flow string, target string, rows bigint")
 
@@ -160,6 +172,12 @@ def from_scripts(
     return Pipeline(name, tuple(datasets.values()), tuple(flows), catalog, database, conf or {})
 
 
+def _require_valid(pipeline: Pipeline) -> None:
+    problems = pipeline.problems()
+    if problems:
+        raise PipelineError(f"pipeline {pipeline.name!r} is not valid: " + "; ".join(problems))
+
+
 def _sql_query(body: str):
     return lambda context: context.sql(body)
 
@@ -187,16 +205,14 @@ def _run_wave(
             except Exception as error:
                 outcomes[flow.name] = error
 
-    if max_concurrent_flows > 1:
-        by_target: dict[str, list[Flow]] = {}
-        for flow in flows:
-            if not flow.conf:
-                by_target.setdefault(pipeline.key(flow.target), []).append(flow)
+    by_target: dict[str, list[Flow]] = {}
+    for flow in flows:
+        by_target.setdefault(pipeline.key(flow.target), []).append(flow)
+    together = [group for group in by_target.values() if not any(f.conf for f in group)]
+    if max_concurrent_flows > 1 and len(together) > 1:
         with ThreadPoolExecutor(max_concurrent_flows) as pool:
-            list(pool.map(inheritable_thread_target(spark)(attempt), by_target.values()))
-        attempt([f for f in flows if f.conf])
-    else:
-        attempt(flows)
+            list(pool.map(inheritable_thread_target(spark)(attempt), together))
+    attempt([f for f in flows if f.name not in outcomes])
     for flow in flows:
         if isinstance(outcomes[flow.name], Exception):
             raise PipelineError(f"flow {flow.name!r} failed: {outcomes[flow.name]}") from outcomes[flow.name]

@@ -118,6 +118,18 @@ def test_names_are_compared_as_spark_compares_them():
     assert names(pipeline) == [["o"], ["d"]]
 
 
+def test_default_catalog_completes_names():
+    pipeline = Pipeline(
+        "p",
+        [Dataset("orders", "table"), Dataset("cat.shop.daily", "table"), Dataset("seed", "temporary_view")],
+        [Flow("d", "shop.daily", q, ("Cat.Shop.Orders",)), Flow("o", "orders", q, ("SEED",)), Flow("s", "seed", q)],
+        catalog="cat",
+        database="shop",
+    )
+    assert pipeline.problems() == []
+    assert names(pipeline) == [["s"], ["o"], ["d"]]
+
+
 def test_every_rule_is_reported():
     pipeline = Pipeline(
         "p",

@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace import Dataset, Flow, Pipeline, PipelineError, load_project, report, run
+from millrace import Dataset, Flow, Pipeline, PipelineError, load_project, plan, report, run
 
 
 def clean(df):
@@ -212,3 +212,29 @@ def test_flows_side_by_side_keep_their_settings_apart(spark, database):
     results = run(spark, pipeline, max_concurrent_flows=2)
     assert [r.flow for r in results] == ["special", "one", "two"]
     assert seen == {"special": "9", "one": "3", "two": "3"}
+
+
+def test_writers_with_and_without_settings_add_up(spark, database):
+    flows = [
+        Flow("special", "sink", lambda c: c.spark.range(0, 1), conf={"spark.sql.shuffle.partitions": "2"}),
+        Flow("plain", "sink", lambda c: c.spark.range(1, 2)),
+        Flow("a", "a", lambda c: c.spark.range(1)),
+        Flow("b", "b", lambda c: c.spark.range(1)),
+    ]
+    pipeline = Pipeline("p", [Dataset(n, "table") for n in ("sink", "a", "b")], flows, database=database)
+    for _ in range(2):
+        run(spark, pipeline, max_concurrent_flows=3)
+        assert rows(spark.table(f"{database}.sink")) == [(0,), (1,)]
+
+
+def test_plans_are_listed_without_running(spark):
+    ran = []
+    flows = [
+        Flow("daily", "daily_orders", lambda c: ran.append(1), ("orders_clean",)),
+        Flow("clean", "orders_clean", lambda c: ran.append(1), ("orders_source",)),
+    ]
+    pipeline = Pipeline("p", [Dataset("daily_orders", "table"), Dataset("orders_clean", "table")], flows)
+    assert rows(plan(spark, pipeline)) == [("p", 0, "clean", "orders_clean"), ("p", 1, "daily", "daily_orders")]
+    assert ran == []
+    with pytest.raises(PipelineError, match="not valid"):
+        plan(spark, Pipeline("p", [Dataset("a", "table")]))
