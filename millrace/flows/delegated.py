@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.flows.registry import money, query, table
 from millrace.operators.joins import anti, band_join, checked_broadcast, full_outer, semi
-from millrace.operators.windows import framed, ranked
+from millrace.operators.windows import HOT_ROWS, framed, ranked
 from millrace.settings import spark_conf
 from millrace.storage import scratch_database
 
@@ -170,37 +170,61 @@ def d_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""
+RANK_SQL = """
 SELECT o_custkey, o_orderkey,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS row_number,
   rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rank,
   dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dense_rank
-FROM orders""")
-def d_window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
-    return ranked(orders, ["o_custkey"], "o_orderpriority", "o_orderkey").drop("o_orderpriority")
+FROM orders"""
 
-
-@query("""
+FRAME_SQL = """
 SELECT event_id, user_id, cents,
   CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far,
   lag(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous,
   lead(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following
-FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events)""")
-def d_window_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("cents")
-    )
+FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events)"""
+
+
+def _ranked_orders(spark: SparkSession, sf_dir: str, hot_rows: int) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    return ranked(orders, ["o_custkey"], "o_orderpriority", "o_orderkey", hot_rows=hot_rows).drop("o_orderpriority")
+
+
+def _framed_events(spark: SparkSession, sf_dir: str, hot_rows: int) -> DataFrame:
+    cents = F.round(F.col("value") * 100).cast("bigint").alias("cents")
     return framed(
-        events,
+        table(spark, sf_dir, "events").select("event_id", "user_id", "ts", cents),
         ["user_id"],
         ["ts", "event_id"],
         running={"so_far": "cents"},
         lag={"previous": "cents"},
         lead={"following": "cents"},
+        hot_rows=hot_rows,
     ).drop("ts")
 
 
+@query(RANK_SQL)
+def d_window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked_orders(spark, sf_dir, HOT_ROWS)
+
+
+@query(FRAME_SQL)
+def d_window_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _framed_events(spark, sf_dir, HOT_ROWS)
+
+
+@query(RANK_SQL)
+def d_window_rank_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with more than a thousandth of all orders, so a thousand at most, count as hot."""
+    return _ranked_orders(spark, sf_dir, table(spark, sf_dir, "orders").count() // 1000)
+
+
+@query(FRAME_SQL)
+def d_window_frame_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with more than a thousandth of all events, so a thousand at most, count as hot."""
+    return _framed_events(spark, sf_dir, table(spark, sf_dir, "events").count() // 1000)
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def d_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")

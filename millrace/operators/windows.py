@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from millrace.storage import stored
 
 HOT_ROWS = 5_000_000
-# Keys beyond this number are matched by a shuffle join instead of a broadcast.
+# More hot keys than this are matched by shuffle joins instead of broadcasts.
 BROADCAST_KEYS = 100_000
 
 _SLICE = "__slice"
@@ -51,20 +51,20 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFra
     )
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of keys with more than ``hot_rows`` rows (None if there are none).
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows of ordinary keys, rows of keys with more than ``hot_rows`` rows, and the number of such keys.
 
-    There can be at most (all rows / ``hot_rows``) hot keys. Null counts as a key.
+    Without any, the second is None. There can be at most (all rows /
+    ``hot_rows``) of them. Null counts as a key.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > hot_rows)
     hot = stored(counts.select(*[F.col(k).alias(f"__hot_{k}") for k in keys]), "hot")
     n_hot = hot.count()
     if n_hot == 0:
-        return df, None
-    if n_hot <= BROADCAST_KEYS:
-        hot = F.broadcast(hot)
+        return df, None, 0
+    hot = _if_few(hot, n_hot)
     same = [df[k].eqNullSafe(F.col(f"__hot_{k}")) for k in keys]
-    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi"), n_hot
 
 
 def framed(
@@ -82,11 +82,11 @@ def framed(
     The mappings go from new column to source column.
     """
     running, lag, lead = running or {}, lag or {}, lead or {}
-    plain, hot = split_hot(df, keys, hot_rows)
+    plain, hot, n_hot = split_hot(df, keys, hot_rows)
     result = _window(plain, keys, order, number, running, lag, lead)
     if hot is None:
         return result
-    return result.unionByName(_sliced(hot, keys, order, number, running, lag, lead))
+    return result.unionByName(_sliced(hot, n_hot, keys, order, number, running, lag, lead))
 
 
 def ranked(
@@ -103,7 +103,7 @@ def ranked(
     shared by many rows is counted before anything is moved.
     """
     direction = F.desc(value) if descending else F.asc(value)
-    plain, hot = split_hot(df, keys, hot_rows)
+    plain, hot, n_hot = split_hot(df, keys, hot_rows)
     by_value = Window.partitionBy(*keys).orderBy(direction)
     by_row = Window.partitionBy(*keys).orderBy(direction, F.asc(tie))
     result = (
@@ -113,9 +113,9 @@ def ranked(
     )
     if hot is None:
         return result
-    rows = _sliced(hot, keys, [direction, F.asc(tie)], "row_number", {}, {}, {})
+    rows = _sliced(hot, n_hot, keys, [direction, F.asc(tie)], "row_number", {}, {}, {})
     counts = hot.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    ranks = _sliced(counts, keys, [direction], "dense_rank", {"__upto": "__n"}, {}, {}).select(
+    ranks = _sliced(counts, n_hot, keys, [direction], "dense_rank", {"__upto": "__n"}, {}, {}).select(
         *[F.col(k).alias(f"__rank_{k}") for k in keys],
         F.col(value).alias("__rank_value"),
         (F.col("__upto") - F.col("__n") + 1).alias("rank"),
@@ -137,11 +137,15 @@ def _window(df, keys, order, number, running, lag, lead) -> DataFrame:
     return df.withColumns(columns) if columns else df
 
 
-def _sliced(df, keys, order, number, running, lag, lead) -> DataFrame:
+def _if_few(df: DataFrame, keys: int) -> DataFrame:
+    return F.broadcast(df) if keys <= BROADCAST_KEYS else df
+
+
+def _sliced(df, n_keys, keys, order, number, running, lag, lead) -> DataFrame:
     """The same columns as ``_window`` from slices of the order.
 
     The offsets hold one row per slice and key in it: no more rows than slices
-    and hot keys together, so broadcasting them is bounded.
+    and hot keys together. They are broadcast if the keys are few.
     """
     slices = stored(df.repartitionByRange(*keys, *order).withColumn(_SLICE, F.spark_partition_id()), "slices")
     local = _window(slices, [_SLICE, *keys], order, _LOCAL, running, lag, lead)
@@ -163,7 +167,7 @@ def _sliced(df, keys, order, number, running, lag, lead) -> DataFrame:
         *[F.lead(f"__first_{new}").over(along).alias(f"__next_{new}") for new in lead],
     )
     same = [F.col(_SLICE) == F.col("__at")] + [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
-    joined = local.join(F.broadcast(offsets), same)
+    joined = local.join(_if_few(offsets, n_keys), same)
     first, last = F.col(_LOCAL) == 1, F.col(_LOCAL) == F.col("__size")
     columns = {
         new: F.when(F.col(f"__before_{new}").isNull(), F.col(new)).otherwise(

@@ -23,7 +23,8 @@ def skewed(spark):
 
 
 def test_split_is_complete(skewed):
-    plain, hot = split_hot(skewed, ["key"], hot_rows=30)
+    plain, hot, n_hot = split_hot(skewed, ["key"], hot_rows=30)
+    assert n_hot == 2
     assert {r.key for r in hot.select("key").distinct().collect()} == {"hot", None}
     assert plain.count() + hot.count() == skewed.count()
     assert split_hot(skewed, ["key"], hot_rows=5000)[1] is None
@@ -46,6 +47,14 @@ def test_frames_agree_with_plain_windows(skewed, hot_rows):
     assert rows(got.select(expected.columns)) == rows(expected)
 
 
+def test_many_hot_keys_are_joined_without_broadcast(skewed, monkeypatch):
+    from millrace.operators import windows
+
+    expected = rows(framed(skewed, ["key"], ["at", "id"], running={"total": "v"}, hot_rows=0))
+    monkeypatch.setattr(windows, "BROADCAST_KEYS", 3)
+    assert rows(framed(skewed, ["key"], ["at", "id"], running={"total": "v"}, hot_rows=0)) == expected
+
+
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("hot_rows", [0, 30, 10**6])
 def test_ranks_agree_with_plain_windows(skewed, hot_rows, descending):
