@@ -146,12 +146,12 @@ SELECT count(*) AS n_statements, CAST(sum(length('INSERT INTO sink SELECT ''orde
   AS n_chars
 FROM orders""")
 def src_sql_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scripts written by Spark (at most 2,000 lines a file) and found again in nested folders."""
+    """Scripts written by Spark (at most 50,000 lines a file) and found again in nested folders."""
     folder = new_path(spark, "scripts")
     text = F.concat(F.lit("INSERT INTO sink SELECT 'order ; "), F.col("o_orderkey").cast("string"), F.lit("';"))
     writer = table(spark, sf_dir, "orders").select("o_orderstatus", text.alias("line")).write.partitionBy("o_orderstatus")
     # The plain writer names its files .txt; this one takes the suffix that scripts have.
-    plain = {"quote": "", "sep": "\u0001", "extension": "sql", "maxRecordsPerFile": 2000}
+    plain = {"quote": "", "sep": "\u0001", "extension": "sql", "maxRecordsPerFile": 50_000}
     writer.options(**plain).csv(folder)
     found = statements(read_scripts(spark, [folder, folder + "/o_orderstatus=F"]))
     return found.agg(F.count("*").alias("n_statements"), F.sum(F.length("statement")).alias("n_chars"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from types import MappingProxyType
 from typing import Any
 
@@ -24,6 +25,10 @@ SAVE = "save"
 INSERT = "insert"
 WRITES = (SAVE, INSERT)
 
+# Properties of datasets that come from scripts.
+SOURCE_FILE = "sql.source.file"
+STATEMENT_INDEX = "sql.statement.index"
+
 
 class PipelineError(Exception):
     """A pipeline that cannot be built, ordered or run."""
@@ -116,15 +121,24 @@ class Pipeline:
     def key(self, name: str) -> str:
         """The form in which names are compared: lower case, with default database and catalog."""
         key = name.lower()
-        if "." not in key and any(d.name.lower() == key for d in self.datasets if d.kind == TEMPORARY_VIEW):
+        if key in self._views:
             return key
         for count, default in ((0, self.database), (1, self.catalog)):
             if default and key.count(".") == count:
                 key = f"{default.lower()}.{key}"
         return key
 
+    @cached_property
+    def _views(self) -> frozenset[str]:
+        """Temporary views, which belong to no database."""
+        return frozenset(d.name.lower() for d in self.datasets if d.kind == TEMPORARY_VIEW and "." not in d.name)
+
+    @cached_property
+    def _by_key(self) -> dict[str, Dataset]:
+        return {self.key(d.name): d for d in reversed(self.datasets)}
+
     def dataset(self, name: str) -> Dataset | None:
-        return next((d for d in self.datasets if self.key(d.name) == self.key(name)), None)
+        return self._by_key.get(self.key(name))
 
     def writers(self) -> dict[str, list[Flow]]:
         found: dict[str, list[Flow]] = {self.key(d.name): [] for d in self.datasets}

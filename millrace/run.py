@@ -13,7 +13,18 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.model import INSERT, MATERIALIZED_VIEW, ONCE, TABLE, Dataset, Flow, Pipeline, PipelineError
+from millrace.model import (
+    INSERT,
+    MATERIALIZED_VIEW,
+    ONCE,
+    SOURCE_FILE,
+    STATEMENT_INDEX,
+    TABLE,
+    Dataset,
+    Flow,
+    Pipeline,
+    PipelineError,
+)
 from millrace.functions.script_text import FLOW_NAME_FORMAT, FLOW_NAME_REPLACED, SET, UNSUPPORTED
 from millrace.plans.scripts import project_rows
 from millrace.settings import default_namespace, spark_conf
@@ -164,7 +175,7 @@ def from_scripts(
             raise PipelineError(f"unsupported SQL statement in {row.path}: {row.statement}")
         number = len(flows) + 1
         stored_as = "parquet" if row.kind == MATERIALIZED_VIEW else None
-        place = {"script": row.path, "statement": str(number)}
+        place = {SOURCE_FILE: row.path, STATEMENT_INDEX: str(number)}
         datasets.setdefault(row.target, Dataset(row.target, row.kind, row.write, stored_as, properties=place))
         flow = FLOW_NAME_FORMAT % (number, re.sub(FLOW_NAME_REPLACED, "_", row.target))
         conf_of = {c.key: c.value for c in row.conf}

@@ -224,7 +224,7 @@ def test_folders_are_searched_in_order_without_repeats(spark, tmp_path):
     assert got == [(0, "/b/x/1.SQL"), (1, "/b/2.sql"), (2, "/a/3.sql"), (2, "/a/with space+plus%.sql")]
     pipeline = load_project(spark, "p", [str(tmp_path / "b"), str(tmp_path / "a")])
     assert [f.name for f in pipeline.flows] == [f"sql_flow_00{i}_t" for i in (1, 2, 3, 4)]
-    assert len(pipeline.datasets) == 1 and pipeline.datasets[0].properties["script"].endswith("/b/2.sql")
+    assert len(pipeline.datasets) == 1 and pipeline.datasets[0].properties["sql.source.file"].endswith("/b/2.sql")
 
 
 def test_projects_need_scripts(spark, tmp_path):
