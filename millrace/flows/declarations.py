@@ -171,6 +171,42 @@ def lin_first_declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("statement_no", F.col("statement_no").cast("bigint"))
 
 
+_SCRIPT_TABLES = f"""
+{_STATEMENTS},
+numbered AS (
+  SELECT *, 'sql_flow_' || printf('%03d', flow_no) || '_' || regexp_replace(target, '[^A-Za-z0-9_.-]', '_', 'g') AS flow
+  FROM flows)
+"""
+
+
+@query(f"""
+WITH RECURSIVE {_SCRIPT_TABLES},
+edges AS (
+  SELECT DISTINCT w.flow AS upstream, r.flow AS downstream
+  FROM numbered w JOIN inputs i ON w.target = i.input
+  JOIN numbered r ON r.path = i.path AND r.statement_no = i.statement_no),
+steps AS (
+  SELECT flow, CAST(0 AS INTEGER) AS stage FROM numbered WHERE flow NOT IN (SELECT downstream FROM edges)
+  UNION SELECT e.downstream, s.stage + 1 FROM steps s JOIN edges e ON e.upstream = s.flow)
+SELECT flow, max(stage) AS stage FROM steps GROUP BY flow""")
+def lin_script_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From script texts to the stage of every flow."""
+    _, flows, flow_inputs = scripts.declaration_tables(_scripts(spark, sf_dir))
+    return lineage.stage_levels(flows, flow_inputs)
+
+
+@query(f"""
+WITH {_SCRIPT_TABLES}
+SELECT 'single_writer' AS "check", target AS object, CAST(count(*) AS VARCHAR) AS detail
+FROM numbered GROUP BY target HAVING count(*) > 1 AND min_by(kind, flow_no) <> 'table'
+UNION ALL
+SELECT DISTINCT 'view_name', target, kind FROM numbered WHERE kind = 'temporary_view' AND contains(target, '.')""")
+def chk_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From script texts to views with several writers and views that Spark would refuse."""
+    datasets, flows, _ = scripts.declaration_tables(_scripts(spark, sf_dir))
+    return checks.single_writer(datasets, flows).unionByName(checks.view_name(datasets))
+
+
 _SALES = f"""
 datasets AS ({as_sql(corpus.SALES_DATASETS)}),
 flows AS ({as_sql(corpus.SALES_FLOWS)}),

@@ -82,20 +82,33 @@ def dangling_settings(scripts: DataFrame) -> DataFrame:
 
 
 def flow_numbers(flows: DataFrame) -> DataFrame:
-    """``(path, statement_no, target, flow_no, flow)``: numbers across all files in path order, and names.
+    """Add ``flow_no``, counting across all files in path order, and the name ``flow``.
 
-    ``flows`` is read twice (once for the bounds of the sort), so it should be
-    stored; only these narrow rows are sorted.
+    ``flows`` is read twice (once for the bounds of the sort) and sorted as it
+    is, so it should be stored and narrow.
     """
-    place = [*_place(flows), "statement_no"]
-    numbers = numbered(flows.select(*place, "target"), _order(flows), "flow_no")
-    return numbers.withColumn("flow", st.flow_name(F.col("flow_no"), F.col("target")))
+    return numbered(flows, _order(flows), "flow_no").withColumn("flow", st.flow_name(F.col("flow_no"), F.col("target")))
 
 
 def numbered_flows(scripts: DataFrame) -> DataFrame:
-    """``declared_flows`` with ``flow_no`` and ``flow``; the scripts are taken apart once."""
+    """``declared_flows`` with ``flow_no`` and ``flow``; the scripts are taken apart once, bodies are not sorted."""
     flows = stored(declared_flows(scripts), "flows")
-    return flows.join(flow_numbers(flows).drop("target"), [*_place(scripts), "statement_no"])
+    place = [*_place(scripts), "statement_no"]
+    return flows.join(flow_numbers(flows.select(*place, "target")).drop("target"), place)
+
+
+def declaration_tables(scripts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables ``(datasets, flows, flow_inputs)`` that ``lineage`` and ``checks`` work on.
+
+    ``datasets`` has a row for every declaration of a name, not only the first.
+    Names stay as written.
+    """
+    outside = st.outside_inputs(F.col("inputs"), F.col("body")).alias("inputs")
+    narrow = declared_flows(scripts).select(*_place(scripts), "statement_no", "target", "kind", outside)
+    found = flow_numbers(stored(narrow, "declarations"))
+    datasets = found.select(F.col("target").alias("name"), "kind", F.col("flow_no").alias("decl_no"))
+    flows = found.select("flow", "target", F.lit("batch").alias("mode"), F.col("flow_no").alias("decl_no"))
+    return datasets, flows, found.select("flow", F.explode("inputs").alias("dataset"))
 
 
 def project_rows(scripts: DataFrame) -> DataFrame:

@@ -234,6 +234,32 @@ def test_projects_need_scripts(spark, tmp_path):
         load_project(spark, "p", [str(tmp_path / "missing")])
 
 
+def test_scripts_feed_lineage_and_checks(spark):
+    from millrace.plans import checks, lineage
+
+    scripts = spark.createDataFrame(
+        [
+            ("1.sql", "INSERT INTO c SELECT * FROM b JOIN raw"),
+            ("2.sql", "CREATE TEMP VIEW a AS SELECT 1"),
+            ("3.sql", "CREATE MATERIALIZED VIEW b AS WITH c AS (SELECT * FROM a) SELECT * FROM c; INSERT INTO a SELECT 2"),
+        ],
+        "path string, text string",
+    )
+    datasets, flows, inputs = ps.declaration_tables(scripts)
+    assert rows(lineage.stage_levels(flows, inputs)) == [
+        ("sql_flow_001_c", 2),
+        ("sql_flow_002_a", 0),
+        ("sql_flow_003_b", 1),
+        ("sql_flow_004_a", 0),
+    ]
+    assert rows(lineage.external_inputs(flows, inputs)) == [("sql_flow_001_c", "raw")]
+    assert rows(checks.all_checks(datasets, flows)) == [
+        ("duplicate_dataset", "a", "2"),
+        ("mixed_kinds", "a", "table,temporary_view"),
+        ("single_writer", "a", "2"),
+    ]
+
+
 def test_resolved_names(spark):
     df = spark.createDataFrame([("Orders",), ("Shop.Orders",)], "n string")
     assert rows(df.select(st.resolved_name(F.col("n"), "Main"))) == [("main.orders",), ("shop.orders",)]
