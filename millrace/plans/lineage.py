@@ -80,7 +80,7 @@ def stage_levels(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     Flows on or behind a cycle are never placed and are missing from the result.
     """
     spark = flows.sparkSession
-    waits, state = _waits(flows.select("flow", "target"), flow_inputs)
+    waits, state, shared = _waits(flows.select("flow", "target"), flow_inputs)
     schema = state.schema
     base = new_path(spark, "levels")
     placed, half_done = F.col("got") == F.col("need"), F.col("got") < F.col("need")
@@ -92,7 +92,9 @@ def stage_levels(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
         if new.get["placed"] == 0:
             break
         last = spark.read.schema(schema).parquet(folder)
-        finished = last.filter(placed).groupBy(F.col("target").alias("dataset")).agg(F.count(F.lit(1)).alias("got"))
+        finished = last.filter(placed).select(F.col("target").alias("dataset"), F.lit(1).cast("bigint").alias("got"))
+        if shared:
+            finished = finished.groupBy("dataset").agg(F.sum("got").alias("got"))
         state = (
             waits.join(finished, "dataset")
             .select(*schema.names)
@@ -119,21 +121,24 @@ def plan_listing(name: str, flows: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
-def _waits(flows: DataFrame, flow_inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _waits(flows: DataFrame, flow_inputs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     """``(dataset, flow, target, need)`` for inputs with writers, and the flows that wait for nothing.
 
+    Third, whether any of these inputs has several writers; if none has, the
+    rounds need not count them per dataset.
     ``need`` is the number of writers of all inputs of the flow. It travels
     with the rows, so the rounds never look anything up.
     """
     writers = flows.groupBy(F.col("target").alias("dataset")).agg(F.count(F.lit(1)).alias("writers"))
     # Inputs without writers, often most of them, go before anything is made distinct.
     produced = stored(flow_inputs.select("flow", "dataset").join(writers, "dataset").distinct(), "produced")
+    shared = not produced.filter(F.col("writers") > 1).isEmpty()
     needs = produced.groupBy("flow").agg(F.sum("writers").alias("need"))
     waiting = flows.join(needs, "flow")
     waits = stored(produced.select("flow", "dataset").join(waiting, "flow"), "waits")
     nothing = F.lit(0).cast("bigint")
     roots = flows.join(needs, "flow", "left_anti").select("flow", "target", nothing.alias("need"), nothing.alias("got"))
-    return waits, roots
+    return waits, roots, shared
 
 
 def _ddl(schema) -> str:
