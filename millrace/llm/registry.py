@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.flows.registry import Query, table
-from millrace.llm import packing, token_files
+from millrace.llm import kd_search, mixing, packing, simhash_grid, token_files, warc
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -28,7 +28,59 @@ def op2_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query()
+def op3_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_grid.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+PAYLOAD_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages
+), firsts AS (
+  SELECT page_id, strlen(payload) AS payload_bytes, sha, min(page_id) OVER (PARTITION BY payload) AS first_id,
+    row_number() OVER (PARTITION BY payload ORDER BY page_id) AS place
+  FROM payloads
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(sha, 1 + 5 * (i // 4), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '')
+    AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN first_id END AS refers_to
+FROM firsts"""
+
+
+@query(PAYLOAD_SQL)
+def op5_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+TOP_K_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM vectors AS q JOIN vectors AS c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10"""
+
+
+@query(TOP_K_SQL)
+def op10_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"))
