@@ -4,9 +4,11 @@ A source whose target is m times its size asks for m copies of each of its
 documents: the whole part for all, the fraction as a probability. Pivotal
 rounding meets two documents at a time and moves words of probability from one
 to the other, in a random direction that keeps both expectations, until one of
-them is settled. A document much longer than the others meets all of its bucket
-together, as one. A source's expected words never change by that, so only the
-one document that is left last is rounded by itself. Documents meet in buckets
+them is settled. Documents that are not very short, from the longest on, meet all
+shorter ones of their bucket together, as one, so that the last one is short. A source's expected words never change by that, so only the
+one document that is left last is rounded by itself, to the nearer side,
+and where a bucket holds all that is open of a source, one more document is
+taken or left if that brings the words nearer to the target. Documents meet in buckets
 of a few thousand, and what each bucket leaves over meets in the buckets of the
 next level, down to one per source.
 
@@ -34,7 +36,7 @@ MOST = 3
 BUCKET = 4_096
 FAN_IN = 256
 #: Times the average size from which a document meets all shorter ones of its bucket at once.
-LONG = 2
+LONG = 0.25
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -83,11 +85,11 @@ def meet(p: float, a: float, q: float, b: float, draw: float) -> tuple[float, fl
 
 
 def settle_long(sizes: list[int], odds: float, draws: list[float]) -> tuple[list[float], int]:
-    """Let each document much longer than the average meet all shorter ones at once.
+    """Let each document, from the longest down to a part of the average, meet all shorter ones at once.
 
     ``sizes`` descend and all odds are equal, so the others stay equal. Returns
-    the odds and the number of long documents; without this the longest one
-    would stay open to the end and a source could miss its target by it.
+    the odds and the number of long documents; without this a long one would
+    stay open to the end and a source could miss its target by it.
     """
     rest, bound = float(sum(sizes)), LONG * sum(sizes) / max(1, len(sizes))
     settled: list[float] = []
@@ -114,17 +116,29 @@ def pivot(sizes: list[int], odds: list[float], draws: list[float]) -> int:
     return left
 
 
+def repair(sizes: list[int], odds: list[float], wanted: float) -> None:
+    """Take or leave one more document if that brings the words of settled ``odds`` nearer to ``wanted``."""
+    missing = wanted - sum(n for p, n in zip(odds, sizes, strict=True) if p >= 1)
+    free = [i for i, p in enumerate(odds) if (p < 1) == (missing > 0)]
+    best = min(free, key=lambda i: abs(abs(missing) - sizes[i]), default=None)
+    if best is not None and abs(abs(missing) - sizes[best]) < abs(missing):
+        odds[best] = float(missing > 0)
+
+
 def _settle(seed: int, level: int):
     def settle(group: pa.Table) -> pa.Table:
         group = group.sort_by([("size", "descending"), ("tie", "ascending"), ("number", "ascending")])
         bucket, buckets, source = (group[c][0].as_py() for c in ("bucket", "buckets", "source_tie"))
         sizes, odds = group["size"].to_pylist(), group["odds"].to_pylist()
-        draws = np.random.default_rng([seed, level, bucket, source & (2**63 - 1)]).random(2 * len(sizes) + 1).tolist()
+        draws = np.random.default_rng([seed, level, bucket, source & (2**63 - 1)]).random(2 * len(sizes)).tolist()
+        wanted = sum(p * n for p, n in zip(odds, sizes, strict=True))
         if level == 0:
             odds, _ = settle_long(sizes, odds[0], draws)
         left = pivot(sizes, odds, draws[len(sizes) :])
-        if left >= 0 and buckets == 1:
-            odds[left], left = float(draws[-1] < odds[left]), -1
+        if buckets == 1:
+            if left >= 0:
+                odds[left], left = float(odds[left] >= 0.5), -1
+            repair(sizes, odds, wanted)
         at = group.schema.get_field_index("odds")
         return group.set_column(at, "odds", pa.array(odds, pa.float64())).append_column(
             "open", pa.array(np.arange(len(sizes)) == left)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.flows.registry import Query, table
-from millrace.llm import kd_search, mixing, packing, simhash_grid, token_files, warc
+from millrace.llm import kd_search, language, mixing, packing, simhash_grid, simhash_tables, token_files, warc
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -66,6 +66,11 @@ def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_simhash_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_tables.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 TOP_K_SQL = """
 WITH vectors AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
@@ -84,3 +89,8 @@ FROM scored QUALIFY rank <= 10"""
 @query(TOP_K_SQL)
 def op10_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op8_span_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
