@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.flows.registry import Query, table
-from millrace.llm import kd_search, language, mixing, packing, simhash_grid, simhash_tables, token_files, warc
+from millrace.llm import kd_search, language, line_runs, mixing, packing, simhash_grid, simhash_tables, token_files, warc
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +33,43 @@ def op3_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_grid.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+LINES_SQL = r"""
+WITH whole AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM documents
+), counted AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM whole
+), lines AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, place) AS nr,
+    sum(words) OVER (PARTITION BY doc_id ORDER BY place) AS upto
+  FROM counted WHERE words > 0
+), lengths AS (
+  SELECT a.nr, a.doc_id, min(b.nr) AS last
+  FROM lines AS a JOIN lines AS b ON a.doc_id = b.doc_id AND b.nr BETWEEN a.nr AND a.nr + 9
+  WHERE b.upto - a.upto + a.words >= 10 GROUP BY ALL
+), runs AS (
+  SELECT a.nr, a.doc_id, a.last, string_agg(b.line, chr(10) ORDER BY b.nr) AS run
+  FROM lengths AS a JOIN lines AS b ON a.doc_id = b.doc_id AND b.nr BETWEEN a.nr AND a.last GROUP BY ALL
+), later AS (
+  SELECT *, min(nr) OVER (PARTITION BY run) AS earliest FROM runs
+), deleted AS (
+  SELECT DISTINCT b.doc_id, b.place
+  FROM later AS a JOIN lines AS b ON a.doc_id = b.doc_id AND b.nr BETWEEN a.nr AND a.last WHERE a.nr > a.earliest
+), kept AS (
+  SELECT c.doc_id, count(*) FILTER (words > 0) AS n_lines, count(d.place) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY c.place) FILTER (d.place IS NULL), '') AS text
+  FROM counted AS c LEFT JOIN deleted AS d ON c.doc_id = d.doc_id AND c.place = d.place GROUP BY c.doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept.text
+FROM documents LEFT JOIN kept USING (doc_id)"""
+
+
+@query(LINES_SQL)
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_runs.without_copies(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 PAYLOAD_SQL = """
 WITH payloads AS (
   SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages
