@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.flows.registry import Query, table
-from millrace.llm import kd_search, language, line_runs, mixing, packing, simhash_grid, simhash_tables, token_files, warc
+from millrace.llm import kd_search, language, line_runs, mixing, packing, passages, simhash_grid, simhash_tables, token_files, warc
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +22,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
