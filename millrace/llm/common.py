@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
@@ -14,11 +13,6 @@ from millrace.storage import new_path, stored
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def spread(df: DataFrame, *columns: str | Column) -> DataFrame:
-    """Deal rows out evenly, for work that costs far more than the move."""
-    return df.repartition(*columns) if columns else df.repartition(partitions(df))
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -102,11 +96,18 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    return df.drop(*names)
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever others there are that differ in case only."""
+    place = {n: i for i, n in reversed(list(enumerate(df.columns)))}
+    return plain(df).select(*[F.col(f"c{place[n]}").alias(n) for n in names])
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ..., so that no name can clash with one that is added."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 __all__ = [
     "WORD", "as_uri", "components", "in_order", "new_file", "new_path", "offsets", "open_input", "open_output",
-    "partitions", "spread", "stored", "without",
+    "partitions", "pick", "plain", "stored",
 ]

@@ -7,7 +7,7 @@ penalty for every change (Viterbi), labels spans. A text's language is the one
 whose spans hold most letters.
 
 Learned from are at most ``SAMPLE`` documents per language, those with the
-smallest hash of their id; the model has a row of ``BUCKETS`` numbers per
+smallest hash of their id, each id once; the model has a row of ``BUCKETS`` numbers per
 language. Everything else covers all texts and whole texts. Null texts and
 texts without a letter are ``und`` with score 0, and so is everything if
 nothing is labelled. Ties go to the language first by name. Repeated rows are
@@ -17,7 +17,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import pick, plain
+
 SAMPLE = 2_000
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -35,6 +37,8 @@ SWITCH = 12.0
 #: A script is possible for a language if at least this share of its sample's words use it.
 SCRIPT_SHARE = 0.001
 IMPOSSIBLE = -8.0
+#: Texts below this score have no known language; half of a text in one language is far above it.
+LEAST = 0.2
 UNKNOWN = "und"
 SLICE_BYTES = 16 << 20
 
@@ -231,34 +235,33 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model.from_counts(languages, counts[:, :BUCKETS], counts[:, BUCKETS:])
 
 
-def predict(model: Model, docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep``, ``lang_pred`` and ``score``."""
+def predict(model: Model, docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the columns ``lang_pred`` and ``score`` for the column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at)
             step = max(1, len(texts) * SLICE_BYTES // max(SLICE_BYTES, texts.nbytes))
             for first in range(0, len(texts), step):
                 names, scores = labelled(model, texts.slice(first, step))
-                others = [c.slice(first, step) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*others, pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
-
-    return _mapped(run, docs, keep, text, "lang_pred string, score double")
-
+                columns = [c.slice(first, step) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores)], names=columns_out)
 
-def _mapped(run: Callable, docs: DataFrame, keep: list[str], text: str, new: str) -> DataFrame:
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}, {new}")
+    at, columns_out = docs.columns.index(text), [*docs.columns, "lang_pred", "score"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` for every document."""
-    model = learn(docs)
-    return predict(model, docs.withColumn("held_out", held_out()), ["doc_id", "held_out"])
+    rows = pick(docs, "doc_id", "text", "lang")
+    shown = predict(learn(rows), rows.select("doc_id", held_out().alias("held_out"), "text"), "text")
+    return shown.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.2) -> DataFrame:
+def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of at least ``least``, with all their columns."""
-    model = learn(docs)
-    kept = docs.withColumn("__text", F.col("text"))
-    return predict(model, kept, docs.columns, "__text").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    model = learn(pick(docs, "doc_id", "text", "lang"))
+    shown = predict(model, plain(docs), f"c{docs.columns.index('text')}")
+    kept = shown.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.drop("lang_pred", "score").toDF(*docs.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, stored
+from millrace.llm.common import WORD, pick, plain, stored
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -39,10 +39,10 @@ FAN_IN = 256
 LONG = 0.25
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size)``: words per document."""
+def sized(docs: DataFrame, *keep: str) -> DataFrame:
+    """``(doc_id, source, size)``: words per document, after the columns ``keep``."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select(*keep, "doc_id", "source", size.alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -147,9 +147,8 @@ def _settle(seed: int, level: int):
     return settle
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 1) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies, taken)`` for every document."""
-    sizes = stored(sized(docs), "sizes")
+def decided(sizes: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
+    """``(doc_id, source, size, number, source_size, target, copies)`` for stored ``sizes``; ``number`` tells equal rows apart."""
     wanted = stored(targets(sizes, weights, most), "targets")
     # Equal rows are counted and told apart by number, a million of them per row at first.
     same = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -189,6 +188,24 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = M
     for more in done[1:]:
         rows = rows.unionByName(more)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.round("odds")).otherwise(F.lit(0)).cast("bigint")
-    return rows.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    return rows.select("doc_id", "source", "size", "number", "source_size", "target", copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 1) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, copies, taken)`` for every document."""
+    rows = decided(stored(sized(pick(docs, "doc_id", "source", "text")), "sizes"), weights, most, seed)
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", taken)
+
+
+def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 1) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
+    whole = stored(plain(docs).withColumn("row", F.monotonically_increasing_id()), "documents")
+    named = [F.col(f"c{docs.columns.index(n)}").alias(n) for n in ("doc_id", "source", "text")]
+    sizes = stored(sized(whole.select("row", *named), "row"), "sizes")
+    same = Window.partitionBy("doc_id", "source", "size").orderBy("row")
+    numbered = sizes.withColumn("number", (F.row_number().over(same) - 1).cast("bigint"))
+    rows = decided(sizes.drop("row"), weights, most, seed).select("doc_id", "source", "size", "number", "copies")
+    keys = [numbered[c].eqNullSafe(rows[c]) for c in ("doc_id", "source", "size", "number")]
+    copies = numbered.join(rows, keys).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return whole.join(stored(copies.select("row"), "copies"), "row").drop("row").toDF(*docs.columns)

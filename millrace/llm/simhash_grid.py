@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, stored
+from millrace.llm.common import components, pick, plain, stored
 
 SHINGLE = 3
 SEED = 42
@@ -58,7 +58,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """The columns ``keep`` and ``fp``, the fingerprint as a signed long."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,8 @@ def groups(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs(doc_id, text)``."""
-    rooted = stored(groups(stored(fingerprints(docs, ["doc_id"]), "documents")), "rooted")
+    rows = pick(docs, "doc_id", "text")
+    rooted = stored(groups(stored(fingerprints(rows, ["doc_id"], "text"), "documents")), "rooted")
     named = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return rooted.join(named, "root").select("doc_id", shown, "component_id")
@@ -128,13 +129,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those whose component has another row that is kept.
 
-    The row with the smallest ``doc_id`` stays; of rows equal in id the one
-    whose text has the smallest hash, and of rows equal in both any one.
+    The row with the smallest ``doc_id`` stays, a null id last; of rows equal
+    in id the one whose text has the smallest hash, and of rows equal in both
+    any one.
     """
-    keyed = docs.withColumns({"__id": F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id")), "__text": F.xxhash64("text")})
-    key = F.struct("__id", "__text")
-    rooted = groups(stored(fingerprints(keyed.withColumn("__key", key), ["__key"]), "documents"))
-    kept = rooted.groupBy("root").agg(F.min("__key").alias("k")).select("k")
-    kept = stored(kept.select(F.col("k.__id").alias("__id"), F.col("k.__text").alias("__text")), "kept")
-    first = keyed.join(kept, (keyed["__id"] == kept["__id"]) & (keyed["__text"] == kept["__text"]), "left_semi")
-    return first.dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    doc_id, text = (f"c{docs.columns.index(n)}" for n in ("doc_id", "text"))
+    keyed = plain(docs).withColumns({"last": F.col(doc_id).isNull(), "hash": F.xxhash64(text)})
+    key = ["last", doc_id, "hash"]
+    rooted = groups(stored(fingerprints(keyed, key, text), "documents"))
+    kept = stored(rooted.groupBy("root").agg(F.min(F.struct(*key)).alias("k")).select("k.*"), "kept")
+    same = [keyed[c].eqNullSafe(kept[c]) for c in key]
+    return keyed.join(kept, same, "left_semi").dropDuplicates(key).drop("last", "hash").toDF(*docs.columns)

@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import partitions, stored
+from millrace.llm.common import partitions, pick, stored
 
 RADIUS = 3
 #: Documents whose id it divides look for near ones.
@@ -85,7 +85,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     the row that follows it, marked ``ahead``, and the last slice the first row
     of all. So each text moves once, whatever the size of the table.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     bounds = first_ids(rows, SLICES * partitions(rows))
     lowest = rows.agg(F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"), F.min("doc_id").alias("first")).first()
     is_first = F.col("doc_id").isNull() if lowest["nulls"] else F.col("doc_id").eqNullSafe(F.lit(lowest["first"]))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import as_uri, new_file, new_path, open_input, open_output, stored
+from millrace.llm.common import as_uri, new_file, new_path, open_input, open_output, pick, stored
 
 #: An archive ends with the record that reaches so many bytes before compression.
 ARCHIVE_BYTES = 256 << 20
@@ -124,7 +124,7 @@ def marked(pages: DataFrame, least: int) -> DataFrame:
     than once take part in the join; adaptive execution splits a payload that
     holds a large share of the pages.
     """
-    rows = stored(pages.select("page_id", "url", "html").withColumn("row", F.monotonically_increasing_id()), "pages")
+    rows = stored(pick(pages, "page_id", "url", "html").withColumn("row", F.monotonically_increasing_id()), "pages")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     keyed = rows.withColumns({"sha": F.sha1(payload), "bytes": F.length(payload)})
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row")
