@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import pick, stored
 
 SHARD = 4_096
 LEAF = 64
@@ -145,7 +145,7 @@ def usable(table: DataFrame) -> DataFrame:
     sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(
         "embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     )
-    numbered = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("embedding")).filter(sound)
+    numbered = pick(table, "vec_id", "embedding").select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("embedding")).filter(sound)
     vector = F.transform("embedding", lambda v: F.floor(v * SCALE).cast("bigint"))
     return stored(numbered.select("vec_id", F.monotonically_increasing_id().alias("row"), vector.alias("vector")), "vectors")
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import offsets, stored
+from millrace.llm.common import offsets, pick, stored
 from millrace.llm.token_files import encoded
 
 #: Patterns of three lengths that are tried; more of them leave less to the rounding of each.
@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, size: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, local bigint, part int"
-    return stored(docs.select("doc_id", "text").mapInArrow(cut, schema), "pieces")
+    return stored(pick(docs, "doc_id", "text").mapInArrow(cut, schema), "pieces")
 
 
 def cuts(sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,18 +107,22 @@ def _patterns(lengths: np.ndarray, size: int) -> np.ndarray:
 
 
 def _fit(patterns: np.ndarray, histogram: np.ndarray) -> np.ndarray:
-    """Non-negative repeat counts whose lengths come near the histogram, by projected scaled gradient steps."""
+    """Non-negative repeat counts whose lengths come near the histogram, by projected scaled gradient steps.
+
+    What is missing counts by length, as short pieces find a place later more easily.
+    """
     n = len(histogram)
     goal = histogram.astype(np.float64)
     goal[0] = 0
     flat = patterns.ravel()
     real = (patterns > 0).astype(np.float64)
     rows = np.maximum(np.bincount(flat, weights=real.ravel(), minlength=n), 1)
-    columns = real.sum(axis=1)
+    price = np.arange(n) / (n - 1)
+    columns = (real * price[patterns]).sum(axis=1)
     x = np.zeros(len(patterns))
     for _ in range(ROUNDS):
         now = np.bincount(flat, weights=(real * x[:, None]).ravel(), minlength=n)
-        step = ((goal - now) / rows)[patterns] * real
+        step = ((goal - now) / rows * price)[patterns] * real
         x = np.maximum(0, x + step.sum(axis=1) / columns)
     return x
 

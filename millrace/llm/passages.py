@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, stored
+from millrace.llm.common import components, pick, stored
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -165,7 +165,7 @@ def units(docs: DataFrame) -> DataFrame:
         f"row bigint, doc_id {kind}, seq int, start int, end int, words int, high bigint, low bigint, "
         "bands array<bigint>, paragraph string"
     )
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return stored(rows.mapInArrow(cut, schema), "paragraphs")
 
 

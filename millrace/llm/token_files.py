@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import as_uri, in_order, new_file, new_path, offsets, open_input, open_output, partitions, stored
+from millrace.llm.common import as_uri, in_order, new_file, new_path, offsets, open_input, open_output, partitions, pick, stored
 from millrace.llm.words import encoder
 
 MAGIC = b"MRWM0001"
-#: A shard ends with the document that reaches so many tokens; its arrays then take some hundred MB at most.
+#: A shard ends with the slice of documents that reaches so many tokens; its arrays then take some hundred MB at most.
 SHARD_TOKENS = 1 << 23
 #: Bits per entry of a plane's directory of ones.
 BLOCK = 512
@@ -214,7 +214,7 @@ def write(docs: DataFrame, tokenizer: str, end: int, width: int, folder: str, sh
         if held:
             yield flush()
 
-    sorted_docs = in_order(docs.select("doc_id", "text"), "doc_id").drop("part")
+    sorted_docs = in_order(pick(docs, "doc_id", "text"), "doc_id").drop("part")
     return stored(sorted_docs.mapInArrow(shards, MANIFEST), "token-files")
 
 
