@@ -8,40 +8,162 @@ and line item.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 
-SCRIPTS = """
-SELECT 'corpus/' || o_orderpriority || '/' || lpad(CAST(o_orderkey AS STRING), 19, '0') || '.sql' AS path,
-  '-- order ' || o_orderkey || '; priority ' || o_orderpriority || ' ; ; it' || chr(39) || 's a comment' || chr(10)
-  || CASE WHEN o_orderstatus <> 'O' THEN 'SET spark.sql.shuffle.partitions=' || o_custkey || ';' || chr(10) ELSE '' END
-  || CASE WHEN o_orderstatus = 'P' THEN 'set  spark.sql.shuffle.partitions = ' || chr(39) || '8' || chr(39) || ' ;'
-       || chr(10) || 'SET spark.sql.autoBroadcastJoinThreshold = -1;' || chr(10) ELSE '' END
-  || 'CREATE OR REPLACE TEMP VIEW `stage`.`order_' || o_orderkey || '` AS' || chr(10)
-  || 'SELECT src.id, ' || chr(39) || 'from fake_' || o_custkey || '; it' || chr(39) || chr(39) || 's' || chr(39)
-  || ' AS note, "also;quoted" AS q' || chr(10)
-  || 'FROM `raw`.`orders ' || o_orderstatus || '` src' || chr(10)
-  || 'JOIN dim . customer_' || o_custkey || ' c ON src.id = c.id;' || chr(10)
-  || '/* block ; ' || o_orderpriority || ' should not split */' || chr(10)
-  || CASE WHEN o_orderpriority = '1-URGENT' THEN 'DELETE FROM stage.order_' || o_orderkey || ';' || chr(10) ELSE '' END
-  || 'CREATE MATERIALIZED VIEW mart.daily$' || o_custkey || ' AS' || chr(10)
-  || 'WITH recent AS (SELECT * FROM stage.order_' || o_orderkey
-  || ' WHERE note <> ' || chr(39) || 'semi;colon' || chr(39) || ' AND region <> ' || chr(39) || 'it' || chr(39)
-  || chr(39) || 's fake' || chr(39) || ')' || chr(10)
-  || 'SELECT count(1) AS n FROM recent -- tail ; comment' || chr(10) || ';;' || chr(10)
-  || 'insert into table `sink` . `daily ' || o_orderstatus || '` select n from mart.daily$' || o_custkey
-  || ' a join mart.daily$' || o_custkey || ' b on true;' || chr(10)
-  || CASE WHEN o_orderpriority = '5-LOW' THEN 'SET late.key=' || o_custkey || chr(10) ELSE '' END AS text
-FROM {orders}
-UNION ALL
-SELECT 'corpus/documents/' || lpad(CAST(doc_id AS STRING), 19, '0') || '.sql',
-  '/* ' || replace(text, '*/', '* /') || ' */' || chr(10)
-  || 'CREATE TEMPORARY VIEW doc_' || doc_id || ' AS SELECT ' || chr(39)
-  || replace(text, chr(39), chr(39) || chr(39)) || chr(39) || ' AS body FROM raw.docs_' || lang || ';' || chr(10)
-  || 'INSERT INTO docs.`all` SELECT body FROM doc_' || doc_id || ';' || chr(10)
-  || CASE WHEN lang = 'de' THEN 'INSERT INTO docs.tail SELECT ' || chr(39) || 'open ' || text ELSE '' END
-FROM {documents}
+class Piece(NamedTuple):
+    """One statement of a script, every field an SQL expression over its table; what a reader should find is known here.
+
+    ``before`` and ``after`` are text around the statement that does not belong
+    to it, ``when`` says which rows have it.
+    """
+
+    kind: str
+    body: str
+    head: str = "''"
+    target: str = "NULL"
+    inputs: tuple[str, ...] = ()
+    defined: tuple[str, ...] = ()
+    key: str = "NULL"
+    value: str = "NULL"
+    before: str = "''"
+    after: str = "';' || chr(10)"
+    when: str = "true"
+
+    @property
+    def statement(self) -> str:
+        return f"{self.head} || {self.body}"
+
+
+Q = "chr(39)"
+N = "chr(10)"
+
+ORDER_PIECES = (
+    Piece(
+        "set",
+        "'SET spark.sql.shuffle.partitions=' || o_custkey",
+        key="'spark.sql.shuffle.partitions'",
+        value="CAST(o_custkey AS STRING)",
+        before=f"'-- depot ' || o_orderpriority || ': don' || {Q} || 't stop; \"here' || {N}",
+        when="o_orderstatus <> 'F'",
+    ),
+    Piece(
+        "set",
+        "'set  spark.sql.files.maxPartitionBytes = \"64m\"'",
+        key="'spark.sql.files.maxPartitionBytes'",
+        value="'64m'",
+        when="o_orderstatus = 'P'",
+    ),
+    Piece(
+        "set",
+        f"'Set spark.sql.shuffle.partitions = ' || {Q} || '17' || {Q}",
+        key="'spark.sql.shuffle.partitions'",
+        value="'17'",
+        after=f"' ; ;' || {N}",
+        when="o_orderstatus = 'P'",
+    ),
+    Piece(
+        "temporary_view",
+        f"'select b.id, ' || {Q} || 'join ghost_' || o_custkey || '; don' || {Q} || {Q} || 't' || {Q} || ' as remark'"
+        f" || {N} || 'from `raw`.`boxes ' || o_orderstatus || '` b left join ref . carrier_' || o_custkey"
+        " || ' r on r.id = b.id'",
+        head=f"'create or replace temporary view `load` . `box_' || o_orderkey || '` as' || {N}",
+        target="'load.box_' || o_orderkey",
+        inputs=("'raw.boxes ' || o_orderstatus", "'ref.carrier_' || o_custkey"),
+        before="'/* load; from nothing_' || o_custkey || ' */ '",
+    ),
+    Piece("unsupported", "'UPDATE load.box_' || o_orderkey || ' SET id = 0'", when="o_orderpriority = '1-URGENT'"),
+    Piece(
+        "materialized_view",
+        f"'WITH box AS (SELECT * FROM load.box_' || o_orderkey || ' WHERE remark <> ' || {Q} || 'a;b)' || {Q}"
+        f" || '), weights (id) AS (SELECT (id) FROM weights JOIN box ON true)' || {N}"
+        " || 'SELECT count(*) AS n FROM box JOIN weights ON (box.id = weights.id)'",
+        head="'CREATE MATERIALIZED VIEW out.sum$' || o_custkey || ' AS '",
+        target="'out.sum$' || o_custkey",
+        inputs=("'load.box_' || o_orderkey", "'weights'"),
+        defined=("'box'",),
+        before=f"'-- totals; by carrier' || {N}",
+        after=f"' -- end; of it' || {N} || ';' || {N}",
+    ),
+    Piece(
+        "table",
+        "'Select n From out.sum$' || o_custkey || ' x Join OUT.sum$' || o_custkey || ' y On true'",
+        head="'Insert Into Table `sink`.`sums ' || o_orderstatus || '` '",
+        target="'sink.sums ' || o_orderstatus",
+        inputs=("'out.sum$' || o_custkey", "'OUT.sum$' || o_custkey"),
+    ),
+    Piece(
+        "set",
+        "'SET late.key=' || o_custkey",
+        key="'late.key'",
+        value="CAST(o_custkey AS STRING)",
+        after=N,
+        when="o_orderpriority = '5-LOW'",
+    ),
+)
+
+DOCUMENT_PIECES = (
+    Piece(
+        "temporary_view",
+        f"'SELECT ' || {Q} || replace(text, {Q}, {Q} || {Q}) || {Q} || ' AS words FROM raw.pages_' || lang",
+        head="'CREATE TEMPORARY VIEW page_' || doc_id || ' AS '",
+        target="'page_' || doc_id",
+        inputs=("'raw.pages_' || lang",),
+        before=f"'/* ' || replace(text, '*/', '* /') || ' */' || {N}",
+    ),
+    Piece(
+        "table",
+        "'SELECT words FROM page_' || doc_id",
+        head="'INSERT INTO pages.`all` '",
+        target="'pages.all'",
+        inputs=("'page_' || doc_id",),
+    ),
+    Piece(
+        "table",
+        f"'SELECT ' || {Q} || 'never closed; ' || replace(text, {Q}, ' ') || '.'",
+        head="'INSERT INTO pages.open '",
+        target="'pages.open'",
+        after="''",
+        when="lang = 'de'",
+    ),
+)
+
+ORDER_PATH = "'depot/' || o_orderpriority || '/' || lpad(CAST(o_orderkey AS STRING), 19, '0') || '.sql'"
+DOCUMENT_PATH = "'depot/pages/' || lpad(CAST(doc_id AS STRING), 19, '0') || '.sql'"
+
+
+def _text(pieces: tuple[Piece, ...]) -> str:
+    return " || ".join(
+        f"CASE WHEN {p.when} THEN {p.before} || {p.statement} || {p.after} ELSE '' END" for p in pieces
+    )
+
+
+SCRIPTS = f"""
+SELECT {ORDER_PATH} AS path, {_text(ORDER_PIECES)} AS text FROM {{orders}}
+UNION ALL
+SELECT {DOCUMENT_PATH}, {_text(DOCUMENT_PIECES)} FROM {{documents}}
 """
 
+
+def _found(number: int, piece: Piece, path: str, source: str) -> str:
+    write = {"table": "'insert'", "set": "NULL", "unsupported": "NULL"}.get(piece.kind, "'save'")
+    body = piece.body if piece.target != "NULL" else "NULL"
+    lists = [", ".join(names) for names in (piece.inputs, piece.inputs + piece.defined)]
+    return f"""
+SELECT {path} AS path, {number} AS place, {piece.statement} AS statement, '{piece.kind}' AS kind,
+  CAST({piece.target} AS VARCHAR) AS target, CAST({write} AS VARCHAR) AS "write", CAST({body} AS VARCHAR) AS body,
+  CAST([{lists[0]}] AS VARCHAR[]) AS outside, CAST([{lists[1]}] AS VARCHAR[]) AS named,
+  CAST({piece.key} AS VARCHAR) AS key, CAST({piece.value} AS VARCHAR) AS value
+FROM {source} WHERE {piece.when}"""
+
+
+# What has to be found in the scripts, built from the same pieces without looking at the scripts' text.
+FOUND = " UNION ALL ".join(
+    [_found(i, p, ORDER_PATH, "orders") for i, p in enumerate(ORDER_PIECES)]
+    + [_found(i, p, DOCUMENT_PATH, "documents") for i, p in enumerate(DOCUMENT_PIECES)]
+)
+
 # A valid estate: orders feed a table per customer, customers feed nations,
 # nations regions, and everything one summary.
 SALES_DATASETS = """
@@ -134,19 +256,10 @@ FROM {part} WHERE p_size = 50 AND p_partkey > 0
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
 
 
-def derive(spark: SparkSession, sf_dir: str, query: str, spread: bool = False) -> DataFrame:
-    """Run one of the queries above over the Parquet tables in ``sf_dir``.
-
-    ``spread`` is for queries whose rows are worked on long after they are read.
-    """
+def derive(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """Run one of the queries above over the Parquet tables in ``sf_dir``."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in query}
-    return spark.sql(query, **{t: _spread(rows) if spread else rows for t, rows in used.items()})
-
-
-def _spread(rows: DataFrame) -> DataFrame:
-    """Use all cores when a table comes in fewer splits; large tables are not shuffled."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return spark.sql(query, **used)
 
 
 def as_sql(query: str) -> str:

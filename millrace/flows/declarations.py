@@ -12,89 +12,34 @@ from millrace.functions import script_text as st
 from millrace.plans import checks, lineage, scripts
 from millrace.storage import stored
 
-# The same steps in the other engine's SQL, with its own regular expressions.
-_NAME = r"(?:`[^`]+`|[A-Za-z_][A-Za-z0-9_$]*)(?:\s*\.\s*(?:`[^`]+`|[A-Za-z_][A-Za-z0-9_$]*))*"
-_CREATE = rf"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?(MATERIALIZED\s+VIEW|TEMP(?:ORARY)?\s+VIEW)\s+({_NAME})\s+AS\s+(.*)$"
-_INSERT = rf"(?is)^INSERT\s+INTO\s+(?:TABLE\s+)?({_NAME})\s+(SELECT\b.*)$"
-_SET = r"(?is)^SET\s+([A-Za-z0-9._-]+)\s*=\s*(.*?)\s*$"
-_BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
-
-
-def _q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _bare(name: str) -> str:
-    return (
-        f"array_to_string([CASE WHEN trim(p) LIKE '`%`' THEN trim(trim(p), '`') ELSE trim(p) END "
-        f"FOR p IN string_split({name}, '.')], '.')"
-    )
-
-
 _STATEMENTS = f"""
-scripts AS ({as_sql(corpus.SCRIPTS)}),
-plain AS (
-  SELECT path, regexp_replace(text, {_q(r'''('[^']*'?|"[^"]*"?|`[^`]*`?)|--[^\n]*|/\*(?s:.*?)(?:\*/|\z)''')}, '\\1', 'g') AS t
-  FROM scripts),
-lists AS (SELECT path, regexp_extract_all(t, {_q(r'''(?:[^;'"`]+|'[^']*'?|"[^"]*"?|`[^`]*`?)+''')}) AS l FROM plain),
-pieces AS (SELECT path, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM lists),
-statements AS (
-  SELECT path, row_number() OVER (PARTITION BY path ORDER BY i) AS statement_no, trim(piece, {_BLANKS}) AS statement
-  FROM pieces WHERE trim(piece, {_BLANKS}) <> ''),
-kinds AS (
-  SELECT *, CASE
-    WHEN regexp_matches(statement, {_q(_SET)}) THEN 'set'
-    WHEN regexp_matches(statement, {_q(_CREATE)}) THEN
-      CASE WHEN upper(regexp_extract(statement, {_q(_CREATE)}, 1)) LIKE 'MAT%' THEN 'materialized_view'
-        ELSE 'temporary_view' END
-    WHEN regexp_matches(statement, {_q(_INSERT)}) THEN 'table'
-    ELSE 'unsupported' END AS kind
-  FROM statements),
-classified AS (
-  SELECT path, statement_no, statement, kind,
-    CASE WHEN kind LIKE '%view' THEN regexp_extract(statement, {_q(_CREATE)}, 2)
-      WHEN kind = 'table' THEN regexp_extract(statement, {_q(_INSERT)}, 1) END AS raw_target,
-    CASE WHEN kind LIKE '%view' THEN regexp_extract(statement, {_q(_CREATE)}, 3)
-      WHEN kind = 'table' THEN regexp_extract(statement, {_q(_INSERT)}, 2) END AS body,
-    CASE WHEN kind LIKE '%view' THEN 'save' WHEN kind = 'table' THEN 'insert' END AS "write"
-  FROM kinds),
-named AS (SELECT *, CASE WHEN raw_target IS NULL THEN NULL ELSE {_bare('raw_target')} END AS target FROM classified),
+found AS ({corpus.FOUND}),
+pieces AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY place) AS statement_no FROM found),
 flows AS (
   SELECT *, row_number() OVER (ORDER BY path, statement_no) AS flow_no
-  FROM named WHERE kind NOT IN ('set', 'unsupported')),
-input_lists AS (
-  SELECT path, statement_no, target,
-    regexp_extract_all(regexp_replace(body, '''[^'']*''?', ' ', 'g'), {_q(rf"(?is)\b(?:FROM|JOIN)\s+({_NAME})")}, 1) AS l
-  FROM flows),
-raw_inputs AS (SELECT path, statement_no, target, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM input_lists),
-first_inputs AS (
-  SELECT path, statement_no, target, {_bare('raw')} AS input, min(i) AS i FROM raw_inputs GROUP BY ALL),
+  FROM pieces WHERE kind NOT IN ('set', 'unsupported')),
 inputs AS (
-  SELECT path, statement_no, target, input,
-    row_number() OVER (PARTITION BY path, statement_no ORDER BY i) AS input_no FROM first_inputs),
+  SELECT path, statement_no, target, unnest(named) AS input, generate_subscripts(named, 1) AS input_no FROM flows),
+outside AS (SELECT path, statement_no, target, unnest(outside) AS input FROM flows),
 groups AS (
   SELECT *, count(CASE WHEN kind <> 'set' THEN 1 END)
     OVER (PARTITION BY path ORDER BY statement_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before
-  FROM named),
-settings AS (
-  SELECT path, statement_no, before, regexp_extract(statement, {_q(_SET)}, 1) AS key,
-    CASE WHEN regexp_matches(regexp_extract(statement, {_q(_SET)}, 2), '^''.*''$')
-      THEN trim(regexp_extract(statement, {_q(_SET)}, 2), '''') ELSE regexp_extract(statement, {_q(_SET)}, 2) END AS value
-  FROM groups WHERE kind = 'set'),
+  FROM pieces),
+settings AS (SELECT path, statement_no, before, key, value FROM groups WHERE kind = 'set'),
 owners AS (SELECT path, statement_no, kind, before FROM groups WHERE kind <> 'set')
 """
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, corpus.SCRIPTS, spread=True)
+    return derive(spark, sf_dir, corpus.SCRIPTS)
 
 
-@query(f"WITH {_STATEMENTS} SELECT path, statement_no, statement FROM statements")
+@query(f"WITH {_STATEMENTS} SELECT path, statement_no, statement FROM pieces")
 def lin_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.statements(_scripts(spark, sf_dir)).withColumn("statement_no", F.col("statement_no").cast("bigint"))
 
 
-@query(f'WITH {_STATEMENTS} SELECT path, statement_no, kind, target, body, "write" FROM named')
+@query(f'WITH {_STATEMENTS} SELECT path, statement_no, kind, target, body, "write" FROM pieces')
 def lin_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.classified(_scripts(spark, sf_dir)).withColumn("statement_no", F.col("statement_no").cast("bigint"))
 
@@ -105,10 +50,7 @@ def lin_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({n: F.col(n).cast("bigint") for n in ("statement_no", "input_no")})
 
 
-@query(f"""
-WITH {_STATEMENTS}
-SELECT path, statement_no, target, input FROM inputs
-WHERE NOT (target LIKE 'mart.%' AND input = 'recent')""")
+@query(f"WITH {_STATEMENTS} SELECT path, statement_no, target, input FROM outside")
 def lin_inputs_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs without the names that a query defines in its own WITH list."""
     found = scripts.outside_flow_inputs(_scripts(spark, sf_dir)).drop("input_no")
@@ -117,9 +59,9 @@ def lin_inputs_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT p_partkey, 'stock room.' || p_brand || '.part_' || p_partkey AS plain,
-  'own.stock room.' || lower(p_brand) || '.part_' || p_partkey AS with_own,
+  'stock room.' || lower(p_brand) || '.part_' || p_partkey AS with_own,
   'own.pack_' || p_partkey AS resolved
-FROM part""".replace("'own.stock room.'", "'stock room.'"))
+FROM part""")
 def lin_normalise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Back-quotes and blanks go; resolving lowers the case and adds the default database to plain names."""
     key = F.col("p_partkey").cast("string")
@@ -183,7 +125,7 @@ numbered AS (
 WITH RECURSIVE {_SCRIPT_TABLES},
 edges AS (
   SELECT DISTINCT w.flow AS upstream, r.flow AS downstream
-  FROM numbered w JOIN inputs i ON w.target = i.input
+  FROM numbered w JOIN outside i ON w.target = i.input
   JOIN numbered r ON r.path = i.path AND r.statement_no = i.statement_no),
 steps AS (
   SELECT flow, CAST(0 AS INTEGER) AS stage FROM numbered WHERE flow NOT IN (SELECT downstream FROM edges)

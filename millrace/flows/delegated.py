@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.flows.registry import money, query, table
-from millrace.operators.joins import anti, band_join, checked_broadcast, full_outer, semi
-from millrace.operators.windows import HOT_ROWS, framed, ranked
+from millrace.operators.joins import anti, band_join, full_outer, semi
+from millrace.operators.windows import framed, ranked
 from millrace.settings import spark_conf
 from millrace.storage import scratch_database
 
@@ -43,11 +43,11 @@ def d_join_outer_right(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT coalesce(o_custkey, c_custkey) AS custkey, o_orderkey, c_name
-FROM (SELECT * FROM orders WHERE o_totalprice > 300000) o
+FROM orders o
 FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey""")
 def d_join_outer_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    large = _orders(spark, sf_dir).filter(F.col("o_totalprice") > 300000).select("custkey", "o_orderkey")
-    return full_outer(large, _rich(spark, sf_dir).select("custkey", "c_name"), ["custkey"])
+    orders = _orders(spark, sf_dir).select("custkey", "o_orderkey")
+    return full_outer(orders, _rich(spark, sf_dir).select("custkey", "c_name"), ["custkey"])
 
 
 @query("""
@@ -106,7 +106,8 @@ def _by_nation(customers: DataFrame, nations: DataFrame) -> DataFrame:
 
 @query(NATION_SQL)
 def d_join_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = checked_broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    """Left to Spark, which broadcasts by bytes and decides again when it has seen them."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return _by_nation(table(spark, sf_dir, "customer"), nations)
 
 
@@ -185,12 +186,12 @@ SELECT event_id, user_id, cents,
 FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events)"""
 
 
-def _ranked_orders(spark: SparkSession, sf_dir: str, hot_rows: int) -> DataFrame:
+def _ranked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
-    return ranked(orders, ["o_custkey"], "o_orderpriority", "o_orderkey", hot_rows=hot_rows).drop("o_orderpriority")
+    return ranked(orders, ["o_custkey"], "o_orderpriority", "o_orderkey").drop("o_orderpriority")
 
 
-def _framed_events(spark: SparkSession, sf_dir: str, hot_rows: int) -> DataFrame:
+def _framed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("value") * 100).cast("bigint").alias("cents")
     return framed(
         table(spark, sf_dir, "events").select("event_id", "user_id", "ts", cents),
@@ -199,30 +200,31 @@ def _framed_events(spark: SparkSession, sf_dir: str, hot_rows: int) -> DataFrame
         running={"so_far": "cents"},
         lag={"previous": "cents"},
         lead={"following": "cents"},
-        hot_rows=hot_rows,
     ).drop("ts")
 
 
 @query(RANK_SQL)
 def d_window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked_orders(spark, sf_dir, HOT_ROWS)
+    return _ranked_orders(spark, sf_dir)
 
 
 @query(FRAME_SQL)
 def d_window_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _framed_events(spark, sf_dir, HOT_ROWS)
+    return _framed_events(spark, sf_dir)
 
 
 @query(RANK_SQL)
 def d_window_rank_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with more than a thousandth of all orders, so a thousand at most, count as hot."""
-    return _ranked_orders(spark, sf_dir, table(spark, sf_dir, "orders").count() // 1000)
+    """The same with other slices, so that other customers' orders cross a border."""
+    with spark_conf(spark, {"spark.sql.shuffle.partitions": "97"}):
+        return _ranked_orders(spark, sf_dir)
 
 
 @query(FRAME_SQL)
 def d_window_frame_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users with more than a thousandth of all events, so a thousand at most, count as hot."""
-    return _framed_events(spark, sf_dir, table(spark, sf_dir, "events").count() // 1000)
+    """The same with other slices, so that other users' events cross a border."""
+    with spark_conf(spark, {"spark.sql.shuffle.partitions": "97"}):
+        return _framed_events(spark, sf_dir)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

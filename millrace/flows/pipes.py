@@ -7,51 +7,60 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.flows.publishing import DAILY_SCHEMA
 from millrace.flows.registry import CLEAN_SQL, DAILY_SQL, cleaned, daily, money, orders_source, query, shown, table
 from millrace.model import MATERIALIZED_VIEW, TABLE, TEMPORARY_VIEW, Dataset, Flow, Pipeline
-from millrace.run import FlowContext, from_scripts, report, run
-from millrace.storage import scratch_database
-
-SEED_SCRIPT = """
--- orders as the examples name them; no job runs for a view
-CREATE OR REPLACE TEMPORARY VIEW {view} AS
-SELECT o_orderkey AS orderId, o_orderpriority AS region,
-  date_format(o_orderdate, 'yyyy-MM-dd') AS orderDate, o_totalprice AS amount
-FROM {raw};
+from millrace.run import FlowContext, from_scripts, load_project, report, run
+from millrace.storage import new_path, scratch_database
+
+# What the script pipelines have to give: the larger sales by priority and month.
+MONTHS_SQL = """
+SELECT o_orderpriority AS priority, strftime(o_orderdate, '%Y-%m') AS month, count(DISTINCT o_custkey) AS buyers,
+  round(sum(o_totalprice), 2) AS price
+FROM orders WHERE o_totalprice >= 150000 AND o_orderstatus <> 'P' GROUP BY 1, 2"""
+
+SALES_SCRIPT = """
+-- the larger sales; a view, so nothing is stored for it
+create or replace temp view {sales} as
+select o_orderpriority priority, date_format(o_orderdate, 'yyyy-MM') month, o_custkey buyer, o_totalprice price
+from {raw} where o_totalprice >= 150000 and o_orderstatus <> 'P';
 """
 
-CLEAN_SCRIPT = """
-CREATE MATERIALIZED VIEW orders_clean AS
-SELECT orderId, region, orderDate, amount, to_date(orderDate) AS order_date
-FROM {view}
-WHERE amount > 100000;
+BUYERS_SCRIPT = """
+CREATE MATERIALIZED VIEW buyers AS
+SELECT priority, month, buyer, sum(price) AS price FROM {sales} GROUP BY ALL;
 """
 
-DAILY_SCRIPT = """
+MONTHS_SCRIPT = """
 SET spark.sql.adaptive.coalescePartitions.enabled=true;
-CREATE MATERIALIZED VIEW daily_orders AS
-SELECT region, order_date, count(*) AS order_count, sum(amount) AS total_amount
-FROM orders_clean
-GROUP BY region, order_date;
+CREATE MATERIALIZED VIEW months AS
+WITH buyers AS (SELECT * FROM buyers WHERE price > 0)
+SELECT priority, month, count(*) AS buyers, sum(price) AS price FROM buyers GROUP BY priority, month;
 """
 
-INSERT_SCRIPT = """
-INSERT INTO TABLE daily_orders_sink
-SELECT region, to_date(orderDate) AS order_date, count(*) AS order_count, sum(amount) AS total_amount
-FROM {view}
-WHERE amount > 100000
-GROUP BY region, to_date(orderDate);
+SINK_SCRIPT = """
+Insert Into month_sink
+Select priority, month, count(distinct buyer) buyers, sum(price) price From {sales} Group By priority, month
 """
 
+SINK_SCHEMA = "priority STRING, month STRING, buyers BIGINT, price DOUBLE"
 
-def _scripts(spark: SparkSession, **texts: str) -> DataFrame:
-    return spark.createDataFrame([(f"{name}.sql", text) for name, text in texts.items()], "path string, text string")
+
+def _script_folder(spark: SparkSession, texts: dict[str, str]) -> str:
+    """A folder in the shared place with a file ``<name>/part-….sql`` for each text."""
+    folder = new_path(spark, "project")
+    for name, text in texts.items():
+        rows = spark.createDataFrame([(text,)], "text string").coalesce(1)
+        rows.write.options(quote="", sep="\u0001", lineSep="\u0002", extension="sql").csv(f"{folder}/{name}")
+    return folder
 
 
 def _names() -> dict[str, str]:
     tag = uuid.uuid4().hex
-    return {"view": f"orders_source_{tag}", "raw": f"orders_{tag}"}
+    return {"sales": f"large_sales_{tag}", "raw": f"all_orders_{tag}"}
+
+
+def _months(df: DataFrame) -> DataFrame:
+    return df.select("priority", "month", "buyers", F.round("price", 2).alias("price"))
 
 
 def orders_pipeline(sf_dir: str, database: str) -> Pipeline:
@@ -74,31 +83,41 @@ def pipe_orders_dataframe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(spark.table(f"{database}.daily_orders"))
 
 
-@query(DAILY_SQL)
+@query(MONTHS_SQL)
 def pipe_orders_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three scripts: a view as seed, then two materialized views."""
+    """A project of three script files: a view, a materialized view, and one whose WITH name hides it after reading it."""
     database, _ = scratch_database(spark)
     names = _names()
     table(spark, sf_dir, "orders").createOrReplaceTempView(names["raw"])
-    texts = {"000_seed": SEED_SCRIPT, "010_clean": CLEAN_SCRIPT, "020_daily": DAILY_SCRIPT}
-    scripts = _scripts(spark, **{name: text.format(**names) for name, text in texts.items()})
-    run(spark, from_scripts("orders_sql", scripts, database=database))
+    texts = {"1_months": MONTHS_SCRIPT, "2_buyers": BUYERS_SCRIPT, "3_sales": SALES_SCRIPT}
+    folder = _script_folder(spark, {name: text.format(**names) for name, text in texts.items()})
+    run(spark, load_project(spark, "orders_sql", [folder], database=database))
     for view in names.values():
         spark.catalog.dropTempView(view)
-    return shown(spark.table(f"{database}.daily_orders"))
+    return _months(spark.table(f"{database}.months"))
 
 
-@query(DAILY_SQL)
+@query(MONTHS_SQL)
 def pipe_insert_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily totals appended to a table of the default database that was there before."""
+    """Totals appended to a table of the default database that was there before."""
     database, _ = scratch_database(spark)
     names = _names()
-    spark.createDataFrame([], DAILY_SCHEMA).write.saveAsTable(f"{database}.daily_orders_sink")
-    orders_source(spark, sf_dir).createOrReplaceTempView(names["view"])
-    scripts = _scripts(spark, insert=INSERT_SCRIPT.format(**names))
+    spark.sql(f"CREATE TABLE {database}.month_sink ({SINK_SCHEMA}) USING parquet")
+    large_sales(spark, sf_dir).createOrReplaceTempView(names["sales"])
+    scripts = spark.createDataFrame([("sink.sql", SINK_SCRIPT.format(**names))], "path string, text string")
     run(spark, from_scripts("insert_sink", scripts, database=database))
-    spark.catalog.dropTempView(names["view"])
-    return shown(spark.table(f"{database}.daily_orders_sink"))
+    spark.catalog.dropTempView(names["sales"])
+    return _months(spark.table(f"{database}.month_sink"))
+
+
+def large_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    large = (F.col("o_totalprice") >= 150000) & (F.col("o_orderstatus") != "P")
+    return table(spark, sf_dir, "orders").filter(large).select(
+        F.col("o_orderpriority").alias("priority"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+        F.col("o_custkey").alias("buyer"),
+        F.col("o_totalprice").alias("price"),
+    )
 
 
 @query(DAILY_SQL)

@@ -53,8 +53,8 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
-def _with_status(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
-    return _orders(spark, sf_dir).filter(F.col("o_orderstatus") == status)
+def _with_status(spark: SparkSession, sf_dir: str, *status: str) -> DataFrame:
+    return _orders(spark, sf_dir).filter(F.col("o_orderstatus").isin(*status))
 
 
 @query(ORDERS_SQL)
@@ -142,19 +142,31 @@ def src_typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT count(*) AS n_statements, CAST(sum(length('INSERT INTO sink SELECT ''order ; ' || o_orderkey || '''')) AS BIGINT)
-  AS n_chars
+SELECT o_orderstatus AS status, o_orderkey // 10000 AS bundle,
+  row_number() OVER (PARTITION BY o_orderstatus, o_orderkey // 10000 ORDER BY o_orderkey) AS statement_no,
+  'INSERT INTO sink SELECT ''order ; ' || o_orderkey || '''' AS statement
 FROM orders""")
 def src_sql_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scripts written by Spark (at most 50,000 lines a file) and found again in nested folders."""
+    """A script per status and ten thousand order keys, written by Spark and found again in nested folders.
+
+    A folder is named twice, once without its scheme, and its files still count once.
+    """
     folder = new_path(spark, "scripts")
     text = F.concat(F.lit("INSERT INTO sink SELECT 'order ; "), F.col("o_orderkey").cast("string"), F.lit("';"))
-    writer = table(spark, sf_dir, "orders").select("o_orderstatus", text.alias("line")).write.partitionBy("o_orderstatus")
+    places = ["o_orderstatus", "bundle"]
+    lines = table(spark, sf_dir, "orders").select(
+        "o_orderstatus", F.floor(F.col("o_orderkey") / 10000).alias("bundle"), "o_orderkey", text.alias("line")
+    )
+    whole = lines.repartition(*places).sortWithinPartitions(*places, "o_orderkey").drop("o_orderkey")
     # The plain writer names its files .txt; this one takes the suffix that scripts have.
-    plain = {"quote": "", "sep": "\u0001", "extension": "sql", "maxRecordsPerFile": 50_000}
-    writer.options(**plain).csv(folder)
-    found = statements(read_scripts(spark, [folder, folder + "/o_orderstatus=F"]))
-    return found.agg(F.count("*").alias("n_statements"), F.sum(F.length("statement")).alias("n_chars"))
+    whole.write.partitionBy(*places).options(quote="", sep="\u0001", extension="sql").csv(folder)
+    found = statements(read_scripts(spark, [folder, folder.removeprefix("file://") + "/o_orderstatus=F"]))
+    return found.select(
+        F.regexp_extract("path", "o_orderstatus=([^/]*)", 1).alias("status"),
+        F.regexp_extract("path", "bundle=([^/]*)", 1).cast("bigint").alias("bundle"),
+        F.col("statement_no").cast("bigint").alias("statement_no"),
+        "statement",
+    )
 
 
 @query(f"SELECT orderId, region, amount FROM ({CLEAN_SQL})")
@@ -190,17 +202,17 @@ def pub_table_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT save_mode, count(*) AS n, round(sum(o_totalprice), 2) AS total
-FROM orders JOIN (VALUES ('overwrite', 'O'), ('append', 'F'), ('append', 'O'), ('ignore', 'F'), ('errorifexists', 'F'))
-  AS kept(save_mode, status) ON o_orderstatus = status
+FROM orders JOIN (VALUES ('overwrite', false), ('append', true), ('append', false), ('ignore', true), ('errorifexists', true))
+  AS kept(save_mode, finished) ON (o_orderstatus = 'F') = finished
 GROUP BY save_mode""")
 def pub_save_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table holding finished orders, saved again with the open ones in every mode."""
+    """A table holding finished orders, saved again with all others in every mode."""
     database, _ = scratch_database(spark)
     parts = []
     for mode in ("overwrite", "append", "ignore", "errorifexists"):
         target = Dataset(f"{database}.orders_{mode}", TABLE)
         publish(target, _with_status(spark, sf_dir, "F"))
-        again = _with_status(spark, sf_dir, "O").select("o_totalprice", "o_orderstatus", "o_custkey", "o_orderkey")
+        again = _with_status(spark, sf_dir, "O", "P").select("o_totalprice", "o_orderstatus", "o_custkey", "o_orderkey")
         try:
             publish(target, again, mode)
         except AnalysisException:
@@ -287,7 +299,7 @@ def pub_bootstrap_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(spark.table(f"{database}.daily_orders"))
 
 
-@query(f"{ORDERS_SQL} WHERE o_orderstatus IN ('F', 'O') UNION ALL {ORDERS_SQL} WHERE o_orderstatus = 'O'")
+@query(f"{ORDERS_SQL} UNION ALL {ORDERS_SQL} WHERE o_orderstatus <> 'F'")
 def pub_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appending runs: the backfill happens once, the recurring flow twice."""
     database, _ = scratch_database(spark)
@@ -296,7 +308,7 @@ def pub_once(spark: SparkSession, sf_dir: str) -> DataFrame:
         [Dataset("history", TABLE)],
         [
             Flow("backfill", "history", lambda c: _with_status(c.spark, sf_dir, "F"), mode=ONCE),
-            Flow("recent", "history", lambda c: _with_status(c.spark, sf_dir, "O")),
+            Flow("recent", "history", lambda c: _with_status(c.spark, sf_dir, "O", "P")),
         ],
         database=database,
     )
@@ -387,14 +399,14 @@ def opt_flow_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT 'default' AS place, o_orderkey FROM orders WHERE o_orderstatus = 'F'
 UNION ALL
-SELECT 'qualified', o_orderkey FROM orders WHERE o_orderstatus = 'O'""")
+SELECT 'qualified', o_orderkey FROM orders WHERE o_orderstatus <> 'F'""")
 def opt_default_database(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain names mean the database of the block; a written database wins."""
     (first, _), (second, _) = scratch_database(spark), scratch_database(spark)
     before = spark.catalog.currentDatabase()
     with default_namespace(spark, database=first):
         publish(Dataset("kept_orders", TABLE), _with_status(spark, sf_dir, "F"))
-        publish(Dataset(f"{second}.kept_orders", TABLE), _with_status(spark, sf_dir, "O"))
+        publish(Dataset(f"{second}.kept_orders", TABLE), _with_status(spark, sf_dir, "O", "P"))
         plain = spark.table("kept_orders").select(F.lit("default").alias("place"), "o_orderkey")
     if spark.catalog.currentDatabase() != before:
         raise PipelineError("the default database was not put back")
@@ -403,7 +415,7 @@ def opt_default_database(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderstatus, count(*) AS n, 'spark_catalog' AS inside, 'yes' AS restored FROM orders GROUP BY o_orderstatus")
 def opt_default_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog of the block, put back like the database."""
+    """The catalog of the block, put back like the database; a local session has one catalog, so no switch shows here."""
     database, _ = scratch_database(spark)
     before = spark.catalog.currentCatalog()
     with default_namespace(spark, catalog="spark_catalog", database=database):

@@ -35,7 +35,12 @@ QUOTED = r"""'[^']*'?|"[^"]*"?|`[^`]*`?"""
 PLAIN = r"""[^-/'"`]+"""
 COMMENT = r"--[^\n]*|/\*(?s:.*?)(?:\*/|\z)"
 STATEMENT = r"""(?:[^;'"`]+|""" + QUOTED + r")++"
-CTE_NAME = r"(?is)(?:\bWITH\s+(?:RECURSIVE\s+)?|,\s*)(" + NAME_PART + r")\s*(?:\([^()]*\)\s*)?AS\s*\("
+# A WITH list in front of a query, with parentheses up to four deep; deeper or open ones are not taken for a list.
+_INSIDE = r"[^()]*+"
+for _ in range(4):
+    _INSIDE = r"(?:[^()]++|\(" + _INSIDE + r"\))*+"
+DEFINITION = r"(" + NAME_PART + r")\s*+(?:\([^()]*\)\s*+)?AS\s*+\(\s*+((?:SELECT|WITH|VALUES|FROM|TABLE|\()" + _INSIDE + r")\)"
+WITH_LIST = r"(?is)^WITH\s++(RECURSIVE\s++)?" + DEFINITION + r"(?:\s*+,\s*+" + DEFINITION + r")*+"
 
 BLANKS = "".join(chr(code) for code in range(33))
 
@@ -118,16 +123,28 @@ def input_names(query: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(masked, F.lit(INPUT), F.lit(1)), normalised_name))
 
 
-def cte_names(query: Column) -> Column:
-    """Names that the query defines itself in a ``WITH`` list."""
-    masked = F.regexp_replace(query, "'[^']*'?", " ")
-    found = F.transform(F.regexp_extract_all(masked, F.lit(CTE_NAME), F.lit(1)), normalised_name)
-    return F.when(masked.rlike(r"(?i)(?=W)\bWITH\s"), found).otherwise(F.array().cast("array<string>"))
-
-
 def outside_inputs(inputs: Column, query: Column) -> Column:
-    """The inputs that the query does not define itself."""
-    return F.array_except(inputs, cte_names(query))
+    """The inputs that the query does not define itself.
+
+    A name of the ``WITH`` list in front of a query hides a dataset only after
+    its own definition; within it, only in a recursive list. Where the text
+    does not tell, the input stays: an input too many is at worst refused as a
+    cycle, and one too few would read old data.
+    """
+    masked = F.regexp_replace(query, "'[^']*'?", " ")
+    listed = F.regexp_extract(masked, WITH_LIST, 0)
+    recursive = F.regexp_extract(masked, WITH_LIST, 1) != ""
+    texts = F.regexp_extract_all(listed, F.lit(f"(?is){DEFINITION}"), F.lit(0))
+    names = F.transform(texts, lambda t: F.lower(normalised_name(F.regexp_extract(t, f"(?is)^{DEFINITION}", 1))))
+
+    def read_in(text: Column, position: Column) -> Column:
+        hidden = F.slice(names, F.lit(1), position + recursive.cast("int"))
+        return F.filter(input_names(text), lambda name: ~F.array_contains(hidden, F.lower(name)))
+
+    within = F.flatten(F.transform(texts, read_in))
+    rest = F.filter(input_names(F.substr(masked, F.length(listed) + 1)), lambda name: ~F.array_contains(names, F.lower(name)))
+    real = F.concat(within, rest)
+    return F.when(listed == "", inputs).otherwise(F.array_intersect(inputs, real))
 
 
 def setting(statement: Column) -> Column:

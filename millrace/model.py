@@ -155,6 +155,13 @@ class Pipeline:
             for f in self.flows
             if self.key(f.target) not in declared
         ]
+        kinds: dict[str, str] = {}
+        for d in self.datasets:
+            first = kinds.setdefault(self.key(d.name), d.kind)
+            if first != d.kind:
+                found.append(f"dataset {d.name!r} is declared as {first} and as {d.kind}")
+            if d.kind == TEMPORARY_VIEW and "." in d.name:
+                found.append(f"temporary view {d.name!r} has a qualified name")
         for d in self.datasets:
             flows = writers[self.key(d.name)]
             if not flows:

@@ -5,38 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after counting that it has at most ``max_rows`` rows.
-
-    A larger one is returned unmarked, so the join shuffles. Counting stops at
-    the bound.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
+from millrace.storage import stored
 
 def full_outer(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Full outer join whose left side may hold a hot key.
+    """Full outer join either side of which may hold a hot key.
 
-    Adaptive execution can split a skewed left side of a left join, but neither
-    side of a full outer join. So: the left join, plus the right rows whose key
-    is not among the left's distinct keys.
+    Adaptive execution can split a skewed key on both sides of an inner join
+    and on the left of an anti join, but not in a full outer join. So: the
+    inner join, and the rows of each side without a partner. That reads both
+    sides twice, which is the price of a hot key that no task has to hold.
     """
-    matched = left.join(right, on, "left")
-    right_only = right.join(left.select(*on).distinct(), on, "left_anti")
-    return matched.unionByName(right_only, allowMissingColumns=True)
+    matched = left.join(right, on)
+    left_only, right_only = anti(left, right, on), anti(right, left, on)
+    both = matched.unionByName(left_only, allowMissingColumns=True)
+    return both.unionByName(right_only, allowMissingColumns=True)
 
 
 def semi(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``left`` with a partner; the right side is reduced to distinct keys first."""
-    return left.join(right.select(*on).distinct(), on, "left_semi")
+    """Rows of ``left`` with a partner."""
+    return left.join(keys_of(right, on), on, "left_semi")
 
 
 def anti(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``left`` without a partner; the right side is reduced to distinct keys first."""
-    return left.join(right.select(*on).distinct(), on, "left_anti")
+    """Rows of ``left`` without a partner."""
+    return left.join(keys_of(right, on), on, "left_anti")
+
+
+def keys_of(df: DataFrame, on: list[str]) -> DataFrame:
+    """The distinct keys, stored: a join that sits right on an aggregate of its key could not be split."""
+    return stored(df.select(*on).distinct(), "keys")
 
 
 def band_join(points: DataFrame, point: Column, bands: DataFrame, low: str, high: str, width: float) -> DataFrame:

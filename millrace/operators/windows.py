@@ -1,12 +1,15 @@
 """Numbering, running totals, neighbours and ranks that no single key can overload.
 
-A plain window puts all rows of a key into one task. Keys with more than
-``hot_rows`` rows are therefore cut into slices that follow the window's order
-(a range partitioning by key and order); each slice is processed on its own and
-shifted by what lies before it. All other keys use Spark's window as it is.
+A plain window puts all rows of a key into one task. Here all rows are cut into
+slices that follow the window's keys and order (one range shuffle), and each
+slice is processed on its own. A slice holds many whole keys; only its first
+and its last one may go on in a neighbour, so at most two keys per slice are
+shifted by what lies in the slices before. A key of any size takes this path.
 
 The order has to be total (it ends in a unique column); ranks, which are about
-equal values, take the value and the tie breaker separately.
+equal values, take the value and the tie breaker separately. Running sums of
+doubles are added slice by slice, so the last digits of a key that crosses a
+border may depend on where the border lies.
 """
 
 from __future__ import annotations
@@ -18,10 +21,6 @@ from pyspark.sql import functions as F
 
 from millrace.storage import stored
 
-HOT_ROWS = 5_000_000
-# More hot keys than this are matched by shuffle joins instead of broadcasts.
-BROADCAST_KEYS = 100_000
-
 _SLICE = "__slice"
 _LOCAL = "__local"
 
@@ -51,22 +50,6 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFra
     )
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None, int]:
-    """Rows of ordinary keys, rows of keys with more than ``hot_rows`` rows, and the number of such keys.
-
-    Without any, the second is None. There can be at most (all rows /
-    ``hot_rows``) of them. Null counts as a key.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > hot_rows)
-    hot = stored(counts.select(*[F.col(k).alias(f"__hot_{k}") for k in keys]), "hot")
-    n_hot = hot.count()
-    if n_hot == 0:
-        return df, None, 0
-    hot = _if_few(hot, n_hot)
-    same = [df[k].eqNullSafe(F.col(f"__hot_{k}")) for k in keys]
-    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi"), n_hot
-
-
 def framed(
     df: DataFrame,
     keys: Sequence[str],
@@ -75,55 +58,55 @@ def framed(
     running: Mapping[str, str] | None = None,
     lag: Mapping[str, str] | None = None,
     lead: Mapping[str, str] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add window columns per key: row number, running sums, previous and next values.
 
-    The mappings go from new column to source column.
+    The mappings go from new column to source column. Null counts as a key.
+    ``df`` is computed once, apart from the sampling of the sort.
     """
     running, lag, lead = running or {}, lag or {}, lead or {}
-    plain, hot, n_hot = split_hot(df, keys, hot_rows)
-    result = _window(plain, keys, order, number, running, lag, lead)
-    if hot is None:
-        return result
-    return result.unionByName(_sliced(hot, n_hot, keys, order, number, running, lag, lead))
+    slices = stored(df.repartitionByRange(*keys, *order).withColumn(_SLICE, F.spark_partition_id()), "slices")
+    local = _window(slices, [_SLICE, *keys], order, _LOCAL, running, lag, lead)
+    offsets = _offsets(local, _border_keys(slices, keys), keys, running, lag, lead)
+    same = [F.col(_SLICE) == F.col("__at")] + [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    joined = local.join(F.broadcast(offsets), same, "left")
+    first, last = F.col(_LOCAL) == 1, F.col(_LOCAL) == F.col("__size")
+    columns = {
+        new: F.when(F.col(f"__before_{new}").isNull(), F.col(new)).otherwise(
+            F.col(f"__before_{new}") + F.coalesce(F.col(new), F.lit(0))
+        )
+        for new in running
+    }
+    columns |= {new: F.when(first, F.col(f"__prev_{new}")).otherwise(F.col(new)) for new in lag}
+    columns |= {new: F.when(last, F.col(f"__next_{new}")).otherwise(F.col(new)) for new in lead}
+    if number:
+        columns[number] = F.coalesce("__rows_before", F.lit(0)) + F.col(_LOCAL)
+    added = [*running, *lag, *lead, *([number] if number else [])]
+    return joined.withColumns(columns).select(*df.columns, *added)
 
 
-def ranked(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    tie: str,
-    descending: bool = False,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], value: str, tie: str, descending: bool = False) -> DataFrame:
     """Add ``row_number``, ``rank`` and ``dense_rank`` per key by ``value``; ``tie`` orders equal values.
 
-    For hot keys the ranks come from the counts per distinct value, so a value
-    shared by many rows is counted before anything is moved.
+    The ranks come from the counts per distinct value, so a value shared by
+    many rows is counted before anything is moved.
     """
     direction = F.desc(value) if descending else F.asc(value)
-    plain, hot, n_hot = split_hot(df, keys, hot_rows)
-    by_value = Window.partitionBy(*keys).orderBy(direction)
-    by_row = Window.partitionBy(*keys).orderBy(direction, F.asc(tie))
-    result = (
-        plain.withColumn("row_number", F.row_number().over(by_row).cast("bigint"))
-        .withColumn("rank", F.rank().over(by_value).cast("bigint"))
-        .withColumn("dense_rank", F.dense_rank().over(by_value).cast("bigint"))
-    )
-    if hot is None:
-        return result
-    rows = _sliced(hot, n_hot, keys, [direction, F.asc(tie)], "row_number", {}, {}, {})
-    counts = hot.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    ranks = _sliced(counts, n_hot, keys, [direction], "dense_rank", {"__upto": "__n"}, {}, {}).select(
-        *[F.col(k).alias(f"__rank_{k}") for k in keys],
-        F.col(value).alias("__rank_value"),
-        (F.col("__upto") - F.col("__n") + 1).alias("rank"),
-        "dense_rank",
+    rows = framed(df, keys, [direction, F.asc(tie)], number="row_number")
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    upto = framed(counts, keys, [direction], number="dense_rank", running={"__upto": "__n"})
+    # Stored, so that the join has a shuffle on either side, which adaptive execution can split.
+    ranks = stored(
+        upto.select(
+            *[F.col(k).alias(f"__rank_{k}") for k in keys],
+            F.col(value).alias("__rank_value"),
+            (F.col("__upto") - F.col("__n") + 1).alias("rank"),
+            "dense_rank",
+        ),
+        "ranks",
     )
     same = [F.col(k).eqNullSafe(F.col(f"__rank_{k}")) for k in keys] + [F.col(value).eqNullSafe(F.col("__rank_value"))]
-    whole = rows.join(ranks, same).drop(*[f"__rank_{k}" for k in keys], "__rank_value")
-    return result.unionByName(whole)
+    return rows.join(ranks, same).drop(*[f"__rank_{k}" for k in keys], "__rank_value")
 
 
 def _window(df, keys, order, number, running, lag, lead) -> DataFrame:
@@ -137,47 +120,31 @@ def _window(df, keys, order, number, running, lag, lead) -> DataFrame:
     return df.withColumns(columns) if columns else df
 
 
-def _if_few(df: DataFrame, keys: int) -> DataFrame:
-    return F.broadcast(df) if keys <= BROADCAST_KEYS else df
+def _border_keys(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first and the last key of each slice: at most two rows per slice."""
+    ends = slices.groupBy(_SLICE).agg(F.min(F.struct(*keys)).alias("low"), F.max(F.struct(*keys)).alias("high"))
+    listed = ends.select(F.col(_SLICE).alias("__at"), F.explode(F.array_distinct(F.array("low", "high"))).alias("k"))
+    return listed.select("__at", *[F.col(f"k.{k}").alias(f"__key_{k}") for k in keys])
 
 
-def _sliced(df, n_keys, keys, order, number, running, lag, lead) -> DataFrame:
-    """The same columns as ``_window`` from slices of the order.
-
-    The offsets hold one row per slice and key in it: no more rows than slices
-    and hot keys together. They are broadcast if the keys are few.
-    """
-    slices = stored(df.repartitionByRange(*keys, *order).withColumn(_SLICE, F.spark_partition_id()), "slices")
-    local = _window(slices, [_SLICE, *keys], order, _LOCAL, running, lag, lead)
-    heads = local.groupBy(_SLICE, *keys).agg(
-        F.max(_LOCAL).alias("__n"),
+def _offsets(local, borders, keys, running, lag, lead) -> DataFrame:
+    """What lies before and after each slice of the keys at its borders; two rows per slice at most."""
+    same = [F.col(_SLICE) == F.col("__at")] + [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    named = [f"__key_{k}" for k in keys]
+    heads = local.join(F.broadcast(borders), same).groupBy("__at", *named).agg(
+        F.max(_LOCAL).alias("__size"),
         *[F.max_by(new, _LOCAL).alias(f"__sum_{new}") for new in running],
         *[F.max_by(source, _LOCAL).alias(f"__last_{new}") for new, source in lag.items()],
         *[F.min_by(source, _LOCAL).alias(f"__first_{new}") for new, source in lead.items()],
     )
-    along = Window.partitionBy(*keys).orderBy(_SLICE)
+    along = Window.partitionBy(*named).orderBy("__at")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = heads.select(
-        F.col(_SLICE).alias("__at"),
-        *[F.col(k).alias(f"__key_{k}") for k in keys],
-        F.col("__n").alias("__size"),
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rows_before"),
+    return heads.select(
+        "__at",
+        *named,
+        "__size",
+        F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__rows_before"),
         *[F.sum(f"__sum_{new}").over(before).alias(f"__before_{new}") for new in running],
         *[F.lag(f"__last_{new}").over(along).alias(f"__prev_{new}") for new in lag],
         *[F.lead(f"__first_{new}").over(along).alias(f"__next_{new}") for new in lead],
     )
-    same = [F.col(_SLICE) == F.col("__at")] + [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
-    joined = local.join(_if_few(offsets, n_keys), same)
-    first, last = F.col(_LOCAL) == 1, F.col(_LOCAL) == F.col("__size")
-    columns = {
-        new: F.when(F.col(f"__before_{new}").isNull(), F.col(new)).otherwise(
-            F.col(f"__before_{new}") + F.coalesce(F.col(new), F.lit(0))
-        )
-        for new in running
-    }
-    columns |= {new: F.when(first, F.col(f"__prev_{new}")).otherwise(F.col(new)) for new in lag}
-    columns |= {new: F.when(last, F.col(f"__next_{new}")).otherwise(F.col(new)) for new in lead}
-    if number:
-        columns[number] = F.col("__rows_before") + F.col(_LOCAL)
-    added = [*running, *lag, *lead, *([number] if number else [])]
-    return joined.withColumns(columns).select(*df.columns, *added)

@@ -12,13 +12,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.joins import anti
+from millrace.storage import stored
+
 VIEWS = ("materialized_view", "temporary_view")
 
 
 def undefined_target(datasets: DataFrame, flows: DataFrame) -> DataFrame:
     """Flows that write a dataset nobody declared."""
-    declared = datasets.select(F.col("name").alias("target")).distinct()
-    missing = flows.join(declared, "target", "left_anti")
+    missing = anti(flows, datasets.select(F.col("name").alias("target")), ["target"])
     return _violations(missing, "undefined_target", F.col("flow"), F.col("target"))
 
 
@@ -38,7 +40,8 @@ def single_writer(datasets: DataFrame, flows: DataFrame) -> DataFrame:
 
 def once_mode(datasets: DataFrame, flows: DataFrame) -> DataFrame:
     """One-time flows into views, which only accept recurring ones."""
-    views = _views(datasets).withColumnRenamed("name", "target")
+    # Stored, so that a view with many writers can be split in the join.
+    views = stored(_views(datasets).withColumnRenamed("name", "target"), "views")
     wrong = flows.filter(F.col("mode") == "once").join(views, "target")
     return _violations(wrong, "once_mode", F.col("flow"), F.col("target"))
 

@@ -47,8 +47,11 @@ def degrees(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     the writers of its inputs, the downstream ones the readers of its target.
     """
     readers = flow_inputs.select("flow", "dataset").distinct()
-    n_writers = flows.groupBy(F.col("target").alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
-    n_readers = readers.groupBy(F.col("dataset").alias("target")).agg(F.count(F.lit(1)).alias("n_downstream"))
+    # Both counts are stored, so that popular datasets can be split in the joins.
+    n_writers = stored(flows.groupBy(F.col("target").alias("dataset")).agg(F.count(F.lit(1)).alias("n")), "writers")
+    n_readers = stored(
+        readers.groupBy(F.col("dataset").alias("target")).agg(F.count(F.lit(1)).alias("n_downstream")), "readers"
+    )
     upstream = readers.join(n_writers, "dataset").groupBy("flow").agg(F.sum("n").alias("n_upstream"))
     return (
         flows.select("flow", "target")
@@ -65,8 +68,7 @@ def degrees(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
 def external_inputs(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     """``(flow, dataset)`` for inputs that no flow writes; they order nothing."""
     targets = flows.select(F.col("target").alias("dataset"))
-    outside = anti(flow_inputs.select("flow", "dataset"), targets, ["dataset"])
-    return outside.select("flow", "dataset").distinct()
+    return anti(flow_inputs.select("flow", "dataset").distinct(), targets, ["dataset"]).select("flow", "dataset")
 
 
 def stage_levels(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def stage_levels(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     Flows on or behind a cycle are never placed and are missing from the result.
     """
     spark = flows.sparkSession
-    waits, state, shared = _waits(flows.select("flow", "target"), flow_inputs)
+    waits, state = _waits(flows.select("flow", "target"), flow_inputs)
     schema = state.schema
     base = new_path(spark, "levels")
     placed, half_done = F.col("got") == F.col("need"), F.col("got") < F.col("need")
@@ -92,9 +94,7 @@ def stage_levels(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
         if new.get["placed"] == 0:
             break
         last = spark.read.schema(schema).parquet(folder)
-        finished = last.filter(placed).select(F.col("target").alias("dataset"), F.lit(1).cast("bigint").alias("got"))
-        if shared:
-            finished = finished.groupBy("dataset").agg(F.sum("got").alias("got"))
+        finished = last.filter(placed).groupBy(F.col("target").alias("dataset")).agg(F.count(F.lit(1)).alias("got"))
         state = (
             waits.join(finished, "dataset")
             .select(*schema.names)
@@ -121,24 +121,21 @@ def plan_listing(name: str, flows: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
-def _waits(flows: DataFrame, flow_inputs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+def _waits(flows: DataFrame, flow_inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(dataset, flow, target, need)`` for inputs with writers, and the flows that wait for nothing.
 
-    Third, whether any of these inputs has several writers; if none has, the
-    rounds need not count them per dataset.
     ``need`` is the number of writers of all inputs of the flow. It travels
     with the rows, so the rounds never look anything up.
     """
-    writers = flows.groupBy(F.col("target").alias("dataset")).agg(F.count(F.lit(1)).alias("writers"))
-    # Inputs without writers, often most of them, go before anything is made distinct.
-    produced = stored(flow_inputs.select("flow", "dataset").join(writers, "dataset").distinct(), "produced")
-    shared = not produced.filter(F.col("writers") > 1).isEmpty()
+    counted = flows.groupBy(F.col("target").alias("dataset")).agg(F.count(F.lit(1)).alias("writers"))
+    # Distinct before the join and the counts stored, so that a dataset with many readers can be split.
+    produced = stored(flow_inputs.select("flow", "dataset").distinct().join(stored(counted, "writers"), "dataset"), "produced")
     needs = produced.groupBy("flow").agg(F.sum("writers").alias("need"))
     waiting = flows.join(needs, "flow")
     waits = stored(produced.select("flow", "dataset").join(waiting, "flow"), "waits")
     nothing = F.lit(0).cast("bigint")
     roots = flows.join(needs, "flow", "left_anti").select("flow", "target", nothing.alias("need"), nothing.alias("got"))
-    return waits, roots, shared
+    return waits, roots
 
 
 def _ddl(schema) -> str:

@@ -56,6 +56,10 @@ class FlowResult(NamedTuple):
     rows: int | None
 
 
+class _HeldBack(PipelineError):
+    """A flow that was not run because another writer of its table failed."""
+
+
 def stages(pipeline: Pipeline) -> Iterator[list[Flow]]:
     """Flows in waves: a flow comes one wave after the last writer of any of its inputs."""
     writers = pipeline.writers()
@@ -91,17 +95,23 @@ def run(
     with settings of its own still run one at a time, because settings belong
     to the whole session, and so do flows that write the same table.
 
-    If a flow fails, the rest of its wave still finishes, later waves do not
-    start, and the first failure is raised.
+    If a flow fails, the rest of its wave still finishes except for further
+    writers of the same table, which might add to rows of an earlier run; later
+    waves do not start, and the first failure is raised.
+
+    A ``once`` flow that is recorded runs again with the others if this run
+    overwrites its table, since its rows would be lost otherwise.
     """
     _require_valid(pipeline)
     waves = list(stages(pipeline))
     context = FlowContext(spark, pipeline)
     done: list[FlowResult] = []
     started: dict[str, str | None] = {}
+    failed: set[str] = set()
     with spark_conf(spark, pipeline.conf), default_namespace(spark, pipeline.catalog, pipeline.database):
+        skipped = _skipped(pipeline, _recorded(spark, pipeline, once_log), save_mode)
         for number, wave in enumerate(waves):
-            flows = [f for f in wave if not _already_done(spark, pipeline, f, once_log)]
+            flows = [f for f in wave if f.name not in skipped]
             modes = {}
             for flow in flows:
                 key = pipeline.key(flow.target)
@@ -112,9 +122,18 @@ def run(
                     modes[flow.name] = "append" if started[key] else None
 
             def one(flow: Flow, number: int = number, modes: dict = modes) -> FlowResult:
-                return _run_flow(context, flow, number, modes[flow.name], once_log)
-
-            done += _run_wave(spark, pipeline, flows, one, max_concurrent_flows)
+                return _run_flow(context, flow, number, modes[flow.name])
+
+            outcomes = _run_wave(spark, pipeline, flows, one, max_concurrent_flows, failed)
+            if once_log:
+                _record(spark, pipeline, [f for f in flows if isinstance(outcomes[f.name], FlowResult)], once_log)
+            # The cause comes before the flows that were held back for it.
+            for cause in (True, False):
+                for flow in flows:
+                    outcome = outcomes[flow.name]
+                    if isinstance(outcome, Exception) and cause != isinstance(outcome, _HeldBack):
+                        raise PipelineError(f"flow {flow.name!r} failed: {outcome}") from outcome
+            done += [outcomes[flow.name] for flow in flows]
     return done
 
 
@@ -176,7 +195,9 @@ def from_scripts(
         number = len(flows) + 1
         stored_as = "parquet" if row.kind == MATERIALIZED_VIEW else None
         place = {SOURCE_FILE: row.path, STATEMENT_INDEX: str(number)}
-        datasets.setdefault(row.target, Dataset(row.target, row.kind, row.write, stored_as, properties=place))
+        dataset = datasets.setdefault(row.target, Dataset(row.target, row.kind, row.write, stored_as, properties=place))
+        if dataset.kind != row.kind:
+            raise PipelineError(f"{row.target!r} is a {dataset.kind} and, in {row.path}, also a {row.kind}")
         flow = FLOW_NAME_FORMAT % (number, re.sub(FLOW_NAME_REPLACED, "_", row.target))
         conf_of = {c.key: c.value for c in row.conf}
         flows.append(Flow(flow, row.target, _sql_query(row.body), tuple(row.inputs), conf=conf_of))
@@ -205,16 +226,27 @@ def _first_mode(spark: SparkSession, dataset: Dataset, save_mode: str) -> str |
 
 
 def _run_wave(
-    spark: SparkSession, pipeline: Pipeline, flows: list[Flow], one: Callable[[Flow], FlowResult], max_concurrent_flows: int
-) -> list[FlowResult]:
+    spark: SparkSession,
+    pipeline: Pipeline,
+    flows: list[Flow],
+    one: Callable[[Flow], FlowResult],
+    max_concurrent_flows: int,
+    failed: set[str],
+) -> dict[str, FlowResult | Exception]:
+    """What became of each flow. ``failed`` collects the tables of failed writers, which take no more rows."""
     outcomes: dict[str, FlowResult | Exception] = {}
 
     def attempt(group: list[Flow]) -> None:
         for flow in group:
+            key = pipeline.key(flow.target)
+            if key in failed:
+                outcomes[flow.name] = _HeldBack(f"another writer of {flow.target!r} failed")
+                continue
             try:
                 outcomes[flow.name] = one(flow)
             except Exception as error:
                 outcomes[flow.name] = error
+                failed.add(key)
 
     by_target: dict[str, list[Flow]] = {}
     for flow in flows:
@@ -224,13 +256,10 @@ def _run_wave(
         with ThreadPoolExecutor(max_concurrent_flows) as pool:
             list(pool.map(inheritable_thread_target(spark)(attempt), together))
     attempt([f for f in flows if f.name not in outcomes])
-    for flow in flows:
-        if isinstance(outcomes[flow.name], Exception):
-            raise PipelineError(f"flow {flow.name!r} failed: {outcomes[flow.name]}") from outcomes[flow.name]
-    return [outcomes[flow.name] for flow in flows]
+    return outcomes
 
 
-def _run_flow(context: FlowContext, flow: Flow, stage: int, mode: str | None, once_log: str | None) -> FlowResult:
+def _run_flow(context: FlowContext, flow: Flow, stage: int, mode: str | None) -> FlowResult:
     spark, dataset = context.spark, context.pipeline.dataset(flow.target)
     with spark_conf(spark, flow.conf):
         df = require_batch(flow.query(context), flow.name)
@@ -241,14 +270,33 @@ def _run_flow(context: FlowContext, flow: Flow, stage: int, mode: str | None, on
             counted = Observation()
             publish(dataset, df.observe(counted, F.count(F.lit(1)).alias("rows")), mode)
             rows = counted.get["rows"]
-    if once_log and flow.mode == ONCE:
-        mark = spark.createDataFrame([(context.pipeline.name, flow.name)], "pipeline string, flow string")
-        publish(Dataset(once_log, TABLE), mark, "append")
     return FlowResult(stage, flow.name, dataset.name, rows)
 
 
-def _already_done(spark: SparkSession, pipeline: Pipeline, flow: Flow, once_log: str | None) -> bool:
-    if not once_log or flow.mode != ONCE or not spark.catalog.tableExists(once_log):
-        return False
-    mark = (F.col("pipeline") == pipeline.name) & (F.col("flow") == flow.name)
-    return not spark.table(once_log).filter(mark).isEmpty()
+def _recorded(spark: SparkSession, pipeline: Pipeline, once_log: str | None) -> set[str]:
+    """The ``once`` flows of this pipeline that an earlier run has finished; read once per run."""
+    if not once_log or not spark.catalog.tableExists(once_log):
+        return set()
+    known = {f.name for f in pipeline.flows if f.mode == ONCE}
+    marks = spark.table(once_log).filter((F.col("pipeline") == pipeline.name) & F.col("flow").isin(*known))
+    return {row["flow"] for row in marks.select("flow").distinct().collect()}
+
+
+def _skipped(pipeline: Pipeline, recorded: set[str], save_mode: str) -> set[str]:
+    """The recorded flows, but for those whose table other flows of this run overwrite."""
+    skipped: set[str] = set()
+    for key, writers in pipeline.writers().items():
+        own = {f.name for f in writers} & recorded
+        dataset = pipeline.dataset(key)
+        overwritten = save_mode == "overwrite" and dataset is not None and dataset.write != INSERT
+        if own and not (overwritten and len(own) < len(writers)):
+            skipped |= own
+    return skipped
+
+
+def _record(spark: SparkSession, pipeline: Pipeline, flows: list[Flow], once_log: str) -> None:
+    """Add the finished ``once`` flows of a wave to the log, in one write of the driver's thread."""
+    marks = [(pipeline.name, f.name) for f in flows if f.mode == ONCE]
+    if marks:
+        rows = spark.createDataFrame(marks, "pipeline string, flow string")
+        publish(Dataset(once_log, TABLE), rows, "append")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 from functools import reduce
 from urllib.parse import unquote
@@ -21,7 +20,7 @@ def read_scripts(spark: SparkSession, directories: list[str]) -> DataFrame:
     below several of them belongs to the first one, found by comparing path
     prefixes, so no row has to be shuffled to drop repeats.
     """
-    roots = list(dict.fromkeys(_absolute(d) for d in directories))
+    roots = list(dict.fromkeys(_qualified(spark, d) for d in directories))
     parts = []
     for position, root in enumerate(roots):
         found = (
@@ -40,9 +39,11 @@ def read_scripts(spark: SparkSession, directories: list[str]) -> DataFrame:
 AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/+"
 
 
-def _absolute(directory: str) -> str:
-    """A path without a scheme belongs to the default file system and stays so."""
-    return directory.rstrip("/") if ":/" in directory else os.path.abspath(directory)
+def _qualified(spark: SparkSession, directory: str) -> str:
+    """The one full form of a path: with its file system, so that two spellings of a folder are one root."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(directory.rstrip("/") or "/")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def _below(path: str, root: str) -> bool:

@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
 _PATHS: list[str] = []
 _DATABASES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as named by ``spark.checkpoint.dir``.
-
-    Only a local master may run without it (tests); there a temporary folder
-    stands in. On a cluster a missing setting is an error, since a folder of
-    one machine would be lost or unreadable elsewhere.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="millrace-")
-    return _LOCAL_DIRS[context.applicationId]
+    """The folder all executors share: ``spark.checkpoint.dir``, or else the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

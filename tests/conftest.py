@@ -39,10 +39,11 @@ def database(spark):
 @pytest.fixture
 def orders(spark):
     rows = [
-        (1, "east", "2026-04-15", 120.0),
-        (2, "east", "2026-04-15", 80.0),
-        (3, "west", "2026-04-16", 55.0),
-        (4, "north", "2026-04-16", -12.0),
+        (11, "Bergen", "2031-01-07", 4.5),
+        (12, "Aalborg", "2031-01-07", 0.0),
+        (13, "Bergen", "2031-01-07", 2.25),
+        (14, "Bergen", "2031-02-28", 10.0),
+        (15, "Tampere", "2031-02-28", -3.0),
     ]
     return spark.createDataFrame(rows, "orderId bigint, region string, orderDate string, amount double")
 

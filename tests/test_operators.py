@@ -7,8 +7,10 @@ from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators.joins import anti, band_join, checked_broadcast, full_outer, semi
-from millrace.operators.windows import framed, numbered, ranked, split_hot
+from millrace.operators.joins import anti, band_join, full_outer, semi
+from millrace.operators.windows import framed, numbered, ranked
+from millrace.plans import checks, lineage
+from millrace.settings import spark_conf
 
 
 @pytest.fixture(scope="module")
@@ -22,20 +24,11 @@ def skewed(spark):
     return spark.createDataFrame(data, "id bigint, key string, at int, v bigint").repartition(7).cache()
 
 
-def test_split_is_complete(skewed):
-    plain, hot, n_hot = split_hot(skewed, ["key"], hot_rows=30)
-    assert n_hot == 2
-    assert {r.key for r in hot.select("key").distinct().collect()} == {"hot", None}
-    assert plain.count() + hot.count() == skewed.count()
-    assert split_hot(skewed, ["key"], hot_rows=5000)[1] is None
-
-
-@pytest.mark.parametrize("hot_rows", [0, 30, 10**6])
-def test_frames_agree_with_plain_windows(skewed, hot_rows):
+@pytest.mark.parametrize("slices", [1, 4, 60])
+def test_frames_agree_with_plain_windows(spark, skewed, slices):
     order = ["at", "id"]
-    got = framed(
-        skewed, ["key"], order, number="n", running={"total": "v"}, lag={"before": "v"}, lead={"after": "v"}, hot_rows=hot_rows
-    )
+    with spark_conf(spark, {"spark.sql.shuffle.partitions": str(slices)}):
+        got = framed(skewed, ["key"], order, number="n", running={"total": "v"}, lag={"before": "v"}, lead={"after": "v"})
     window = Window.partitionBy("key").orderBy(*order)
     expected = skewed.select(
         "*",
@@ -47,18 +40,18 @@ def test_frames_agree_with_plain_windows(skewed, hot_rows):
     assert rows(got.select(expected.columns)) == rows(expected)
 
 
-def test_many_hot_keys_are_joined_without_broadcast(skewed, monkeypatch):
-    from millrace.operators import windows
-
-    expected = rows(framed(skewed, ["key"], ["at", "id"], running={"total": "v"}, hot_rows=0))
-    monkeypatch.setattr(windows, "BROADCAST_KEYS", 3)
-    assert rows(framed(skewed, ["key"], ["at", "id"], running={"total": "v"}, hot_rows=0)) == expected
+def test_running_sums_of_doubles(skewed):
+    window = Window.partitionBy("key").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    doubles = skewed.withColumn("v", F.col("v") / 7)
+    got = framed(doubles, ["key"], ["at", "id"], running={"total": "v"}).select("id", F.round("total", 9).alias("total"))
+    assert rows(got) == rows(doubles.select("id", F.round(F.sum("v").over(window), 9).alias("total")))
 
 
 @pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("hot_rows", [0, 30, 10**6])
-def test_ranks_agree_with_plain_windows(skewed, hot_rows, descending):
-    got = ranked(skewed, ["key"], "v", "id", descending, hot_rows=hot_rows)
+@pytest.mark.parametrize("slices", [1, 4, 60])
+def test_ranks_agree_with_plain_windows(spark, skewed, slices, descending):
+    with spark_conf(spark, {"spark.sql.shuffle.partitions": str(slices)}):
+        got = ranked(skewed, ["key"], "v", "id", descending)
     value = F.desc("v") if descending else F.asc("v")
     by_value = Window.partitionBy("key").orderBy(value)
     expected = skewed.select(
@@ -105,9 +98,45 @@ def test_band_join_lists_each_pair_once(spark, width):
     assert rows(got) == sorted(((p, b) for p, x in points for b, low, high in bands if low <= x <= high), key=repr)
 
 
-def test_broadcast_only_below_the_bound(spark):
-    def hinted(df):
-        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+LOW_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.shuffle.partitions": "12",
+}
 
-    assert hinted(checked_broadcast(spark.range(10), max_rows=10))
-    assert not hinted(checked_broadcast(spark.range(11), max_rows=10))
+
+def splits(df):
+    """Whether a join of the plan that ran was split; the rows are written, since only then the plan is final."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def uneven(spark):
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 997))
+    rows_of = spark.range(120_000).select("id", key.alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("w"))
+    return rows_of.repartition(12).cache()
+
+
+@pytest.mark.parametrize("join", [semi, anti, full_outer])
+def test_hot_keys_are_split(spark, uneven, join):
+    few = spark.createDataFrame([("hot", 1), ("k1", 2), ("new", 3)], "key string, x int")
+    with spark_conf(spark, LOW_SKEW):
+        assert splits(join(uneven, few, ["key"]))
+        assert join is not full_outer or splits(join(few, uneven, ["key"]))
+
+
+def test_hot_datasets_are_split(spark, uneven):
+    flows = spark.createDataFrame([("a", "hot"), ("b", "k1")], "flow string, target string")
+    flows = flows.withColumns({"mode": F.lit("once"), "decl_no": F.lit(1)})
+    reads = uneven.select(F.col("w").alias("flow"), F.col("key").alias("dataset"))
+    writes = uneven.select(F.col("w").alias("flow"), F.col("key").alias("target"), F.lit("once").alias("mode"))
+    views = spark.createDataFrame([("hot", "temporary_view", 1), ("k2", "table", 2)], "name string, kind string, decl_no int")
+    with spark_conf(spark, LOW_SKEW):
+        assert splits(lineage.external_inputs(flows, reads))
+        assert splits(checks.undefined_target(views, writes))
+        assert splits(checks.once_mode(views, writes))

@@ -20,7 +20,7 @@ def test_temporary_views_run_no_job(spark, orders):
     spark.sparkContext.setJobGroup("views", "")
     publish(Dataset("orders_clean", "temporary_view"), orders)
     assert list(tracker.getJobIdsForGroup("views")) == []
-    assert spark.table("orders_clean").count() == 4
+    assert spark.table("orders_clean").count() == 5
     spark.catalog.dropTempView("orders_clean")
 
 
@@ -166,16 +166,11 @@ def test_scratch_can_be_dropped(spark):
     assert not Path(path).exists() and not Path(file.removeprefix("file:")).exists()
 
 
-def test_a_cluster_has_to_name_its_shared_folder():
-    class Conf:
-        def get(self, key, default):
-            return default
-
+def test_scratch_lies_in_the_shared_folder():
     class Session:
-        conf = Conf()
+        conf = {"spark.sql.warehouse.dir": "hdfs://store/warehouse/"}
 
-        class sparkContext:
-            master = "yarn"
+    assert shared_dir(Session) == "hdfs://store/warehouse"
+    Session.conf = Session.conf | {"spark.checkpoint.dir": "hdfs://store/shared"}
+    assert shared_dir(Session) == "hdfs://store/shared"
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(Session())

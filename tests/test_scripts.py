@@ -9,18 +9,11 @@ from millrace.functions import script_text as st
 from millrace.plans import scripts as ps
 from millrace.sources.scripts import read_scripts
 
-QUOTED = """-- ignore statement separators in comments ; ; ;
-CREATE OR REPLACE TEMP VIEW `ods`.`orders_clean` AS
-SELECT src.id, src.region, 'from fake_table' AS note
-FROM `raw`.`orders_source` src
-JOIN dim.region_info dim ON src.region = dim.region;
-/* block comment ; should not split */
-INSERT INTO TABLE analytics.daily_orders
-SELECT region, COUNT(1) AS order_count
-FROM `ods`.`orders_clean`
-WHERE note <> 'semi;colon' AND region <> 'it''s fake'
-GROUP BY region;
-"""
+MIXED = '''/* harbour; tides */ Create Temp View `port` . `tide` As
+Select t.at, "level; in ""cm""" As label, 'join nowhere; isn''t' As remark
+From sea.`gauge 7` t Inner Join ref.moon On t.at = ref.moon.at -- ; high and low
+;
+insert into log.tides select label from port.tide where remark not in ('from x', 'a--b') -- end'''
 
 
 def one(spark, text, path="a.sql"):
@@ -32,18 +25,16 @@ def listed(spark, text):
 
 
 def test_quotes_and_comments_do_not_cut(spark):
-    first, second = ps.declared_flows(one(spark, QUOTED)).orderBy("statement_no").collect()
-    assert (first.target, first.kind, first.write) == ("ods.orders_clean", "temporary_view", "save")
-    assert first.inputs == ["raw.orders_source", "dim.region_info"]
-    assert (second.target, second.kind, second.write) == ("analytics.daily_orders", "table", "insert")
-    assert second.inputs == ["ods.orders_clean"]
-    assert second.body.startswith("SELECT region") and second.body.endswith("GROUP BY region")
-    assert "it''s fake" in second.body
+    view, insert = ps.declared_flows(one(spark, MIXED)).orderBy("statement_no").collect()
+    assert (view.kind, view.write, view.target) == ("temporary_view", "save", "port.tide")
+    assert view.inputs == ["sea.gauge 7", "ref.moon"]
+    assert view.body.startswith("Select t.at") and view.body.endswith("ref.moon.at") and "isn''t" in view.body
+    assert (insert.kind, insert.write, insert.target) == ("table", "insert", "log.tides")
+    assert insert.inputs == ["port.tide"] and insert.body.endswith("('from x', 'a--b')")
 
 
 def test_blank_statements_are_dropped(spark):
-    text = ";\nCREATE MATERIALIZED VIEW sales.daily AS\nSELECT * FROM sales.source;\n;\n -- tail\n"
-    assert listed(spark, text) == ["CREATE MATERIALIZED VIEW sales.daily AS\nSELECT * FROM sales.source"]
+    assert listed(spark, " ;; \n/* none */;insert into a select 1\n ; -- over") == ["insert into a select 1"]
     assert listed(spark, "") == [] and listed(spark, " \t\n;;") == []
 
 
@@ -114,23 +105,15 @@ def test_very_long_literals(spark):
 
 
 def test_settings_belong_to_the_next_flow(spark):
-    text = """
-    SET spark.sql.shuffle.partitions=8;
-    SET spark.sql.autoBroadcastJoinThreshold = -1;
-    set a.b = 'x''y' ;
-    set a.b = "quoted" ;
-    CREATE TEMP VIEW stage_orders AS SELECT * FROM raw.orders_source;
-    CREATE MATERIALIZED VIEW daily AS SELECT * FROM stage_orders;
-    SET empty = ; SET one = ' ;';
-    INSERT INTO t SELECT 1"""
+    text = """set spark.sql.ansi.enabled = true; Set x.y='it''s'; set x.y = "late" ;
+      create temp view first as select 1;
+      insert into second select * from first; SET none = ; set semi = ' ;'; create materialized view third as select 2"""
     found = {r.target: {c.key: c.value for c in r.conf} for r in ps.declared_flows(one(spark, text)).collect()}
-    assert found["stage_orders"] == {
-        "spark.sql.shuffle.partitions": "8",
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "a.b": "quoted",
+    assert found == {
+        "first": {"spark.sql.ansi.enabled": "true", "x.y": "late"},
+        "second": {},
+        "third": {"none": "", "semi": " ;"},
     }
-    assert found["daily"] == {}
-    assert found["t"] == {"empty": "", "one": " ;"}
 
 
 def test_dangling_settings(spark):
@@ -187,30 +170,42 @@ def test_inputs(spark):
     assert row.inputs == ["A.b", "c", "d$1", "f"]
 
 
-def test_names_defined_by_the_query_are_no_inputs(spark):
-    text = """CREATE TEMP VIEW v AS WITH a AS (SELECT * FROM src), `b`(x, y) AS (SELECT * FROM a JOIN other)
-      SELECT * FROM a JOIN b"""
-    assert [r[-1] for r in rows(ps.flow_inputs(one(spark, text)).select("input"))] == ["a", "b", "other", "src"]
-    assert [r[-1] for r in rows(ps.outside_flow_inputs(one(spark, text)).select("input"))] == ["other", "src"]
+@pytest.mark.parametrize(
+    ("query", "outside"),
+    [
+        ("WITH a AS (SELECT * FROM src), `b`(x, y) AS (SELECT * FROM A JOIN other) SELECT * FROM a JOIN B", ["other", "src"]),
+        ("WITH trees AS (SELECT * FROM trees WHERE old) SELECT * FROM trees", ["trees"]),
+        ("WITH RECURSIVE n AS (SELECT 1 UNION ALL SELECT * FROM n JOIN e) SELECT * FROM n", ["e"]),
+        ("WITH a AS (SELECT 1 FROM b), b AS (SELECT 2) SELECT * FROM b", ["b"]),
+        ("WITH a AS (SELECT f((1)) FROM (SELECT * FROM (SELECT * FROM s))) SELECT * FROM a JOIN db.a", ["db.a", "s"]),
+        ("WITH a AS (SELECT ')' FROM q) SELECT * FROM a", ["q"]),
+        ("SELECT * FROM w WINDOW v AS (ORDER BY k), w AS (ORDER BY z)", ["w"]),
+        ("SELECT * FROM (WITH c AS (SELECT 1) SELECT * FROM c) JOIN c", ["c"]),
+        ("WITH a AS (SELECT 1 FROM x SELECT * FROM a", ["a", "x"]),
+    ],
+)
+def test_names_defined_by_the_query_are_no_inputs(spark, query, outside):
+    found = ps.outside_flow_inputs(one(spark, f"CREATE TEMP VIEW v AS {query}"))
+    assert [r[-1] for r in rows(found.select("input"))] == outside
 
 
 def test_flow_numbers_run_across_files(spark):
     scripts = spark.createDataFrame(
         [
-            ("b.sql", "CREATE TEMP VIEW `ods`.`order$detail` AS SELECT 1; INSERT INTO ads.daily_orders SELECT 1"),
-            ("a.sql", "CREATE TEMP VIEW ods.order$detail AS SELECT 1 FROM first"),
+            ("y/2.sql", "insert into `deep sea`.`crab$1` select 1; create materialized view shells as select 2"),
+            ("x/1.sql", "Insert Into `deep sea`.crab$1 Select 3"),
         ],
         "path string, text string",
     )
     found = ps.numbered_flows(scripts).orderBy("flow_no")
     assert [r.flow for r in found.collect()] == [
-        "sql_flow_001_ods.order_detail",
-        "sql_flow_002_ods.order_detail",
-        "sql_flow_003_ads.daily_orders",
+        "sql_flow_001_deep_sea.crab_1",
+        "sql_flow_002_deep_sea.crab_1",
+        "sql_flow_003_shells",
     ]
     assert rows(ps.first_declarations(scripts)) == [
-        ("ads.daily_orders", "table", "insert", "b.sql", 2),
-        ("ods.order$detail", "temporary_view", "save", "a.sql", 1),
+        ("deep sea.crab$1", "table", "insert", "x/1.sql", 1),
+        ("shells", "materialized_view", "save", "y/2.sql", 2),
     ]
 
 
@@ -224,6 +219,8 @@ def test_folders_are_searched_in_order_without_repeats(spark, tmp_path):
     assert got == [(0, "/b/x/1.SQL"), (1, "/b/2.sql"), (2, "/a/3.sql"), (2, "/a/with space+plus%.sql")]
     pipeline = load_project(spark, "p", [str(tmp_path / "b"), str(tmp_path / "a")])
     assert [f.name for f in pipeline.flows] == [f"sql_flow_00{i}_t" for i in (1, 2, 3, 4)]
+    uris = [f"file:{tmp_path}/b", f"{tmp_path}/b/x", f"file://{tmp_path}/b/"]
+    assert read_scripts(spark, uris).count() == 2
     assert len(pipeline.datasets) == 1 and pipeline.datasets[0].properties["sql.source.file"].endswith("/b/2.sql")
 
 
