@@ -15,12 +15,12 @@ from millrace.storage import stored
 _STATEMENTS = f"""
 found AS ({corpus.FOUND}),
 pieces AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY place) AS statement_no FROM found),
-flows AS (
+flow_pieces AS (
   SELECT *, row_number() OVER (ORDER BY path, statement_no) AS flow_no
   FROM pieces WHERE kind NOT IN ('set', 'unsupported')),
 inputs AS (
-  SELECT path, statement_no, target, unnest(named) AS input, generate_subscripts(named, 1) AS input_no FROM flows),
-outside AS (SELECT path, statement_no, target, unnest(outside) AS input FROM flows),
+  SELECT path, statement_no, target, unnest(named) AS input, generate_subscripts(named, 1) AS input_no FROM flow_pieces),
+outside AS (SELECT path, statement_no, target, unnest(outside) AS input FROM flow_pieces),
 groups AS (
   SELECT *, count(CASE WHEN kind <> 'set' THEN 1 END)
     OVER (PARTITION BY path ORDER BY statement_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before
@@ -98,7 +98,7 @@ def lin_dangling_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_STATEMENTS}
 SELECT path, statement_no, target, flow_no,
   'sql_flow_' || printf('%03d', flow_no) || '_' || regexp_replace(target, '[^A-Za-z0-9_.-]', '_', 'g') AS flow
-FROM flows""")
+FROM flow_pieces""")
 def lin_number_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = stored(scripts.declared_flows(_scripts(spark, sf_dir)).select("path", "statement_no", "target"), "flows")
     return scripts.flow_numbers(flows).withColumn("statement_no", F.col("statement_no").cast("bigint"))
@@ -107,7 +107,7 @@ def lin_number_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_STATEMENTS}
 SELECT target, kind, "write", path, statement_no
-FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY flow_no) AS nth FROM flows) WHERE nth = 1""")
+FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY flow_no) AS nth FROM flow_pieces) WHERE nth = 1""")
 def lin_first_declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scripts.first_declarations(_scripts(spark, sf_dir))
     return found.withColumn("statement_no", F.col("statement_no").cast("bigint"))
@@ -117,7 +117,7 @@ _SCRIPT_TABLES = f"""
 {_STATEMENTS},
 numbered AS (
   SELECT *, 'sql_flow_' || printf('%03d', flow_no) || '_' || regexp_replace(target, '[^A-Za-z0-9_.-]', '_', 'g') AS flow
-  FROM flows)
+  FROM flow_pieces)
 """
 
 
@@ -137,18 +137,6 @@ def lin_script_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.stage_levels(flows, flow_inputs)
 
 
-@query(f"""
-WITH {_SCRIPT_TABLES}
-SELECT 'single_writer' AS "check", target AS object, CAST(count(*) AS VARCHAR) AS detail
-FROM numbered GROUP BY target HAVING count(*) > 1 AND min_by(kind, flow_no) <> 'table'
-UNION ALL
-SELECT DISTINCT 'view_name', target, kind FROM numbered WHERE kind = 'temporary_view' AND contains(target, '.')""")
-def chk_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From script texts to views with several writers and views that Spark would refuse."""
-    datasets, flows, _ = scripts.declaration_tables(_scripts(spark, sf_dir))
-    return checks.single_writer(datasets, flows).unionByName(checks.view_name(datasets))
-
-
 _SALES = f"""
 datasets AS ({as_sql(corpus.SALES_DATASETS)}),
 flows AS ({as_sql(corpus.SALES_FLOWS)}),
@@ -275,6 +263,19 @@ _ALL = " UNION ALL ".join(
 )
 
 
+@query(f"""
+WITH {_SCRIPT_TABLES},
+datasets AS (SELECT target AS name, kind, flow_no AS decl_no FROM numbered),
+flows AS (SELECT flow, target, 'batch' AS mode FROM numbered),
+kinds AS (SELECT name, min_by(kind, decl_no) AS kind FROM datasets GROUP BY name)
+{_ALL}""")
+def chk_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From script texts to all that the checks find in them, flows that can never start included."""
+    datasets, flows, flow_inputs = scripts.declaration_tables(_scripts(spark, sf_dir))
+    blocked = lineage.blocked_flows(flows, lineage.stage_levels(flows, flow_inputs))
+    return checks.all_checks(datasets, flows).unionByName(checks.blocked(blocked))
+
+
 def _stock(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return derive(spark, sf_dir, corpus.STOCK_DATASETS), derive(spark, sf_dir, corpus.STOCK_FLOWS)
 

@@ -7,8 +7,6 @@ when a pipeline is built.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +72,48 @@ def blocked(blocked_flows: DataFrame) -> DataFrame:
 
 
 def all_checks(datasets: DataFrame, flows: DataFrame) -> DataFrame:
-    """All checks that need no graph walk."""
-    found = [check(datasets, flows) for check in (undefined_target, no_producer, single_writer, once_mode, duplicates)]
-    return reduce(DataFrame.unionByName, [*found, mixed_kinds(datasets), view_name(datasets)])
+    """All checks that need no graph walk, from one row per name and one pass over the flows.
+
+    Both tables are computed once. Names and their writers are counted and meet
+    in one join; what concerns flows one by one needs their target's kind, and
+    that join may be split at a target with many writers.
+    """
+    flows = stored(flows.select("flow", "target", "mode"), "flows")
+    declared = datasets.groupBy("name").agg(
+        F.min_by("kind", "decl_no").alias("kind"),
+        F.sort_array(F.collect_set("kind")).alias("kinds"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    names = stored(declared, "names")
+    writers = flows.groupBy(F.col("target").alias("name")).agg(F.count(F.lit(1)).alias("writers"))
+    is_view = F.col("kind").isin(*VIEWS)
+
+    def violation(when: Column, check: str, what: str, detail: Column) -> Column:
+        fields = F.lit(check).alias("check"), F.col(what).alias("object"), detail.alias("detail")
+        return F.when(when, F.struct(*fields))
+
+    def listed(df: DataFrame, *violations: Column) -> DataFrame:
+        return df.select(F.explode(F.array(*violations)).alias("v")).filter("v IS NOT NULL").select("v.*")
+
+    by_name = listed(
+        names.join(writers, "name", "left"),
+        violation(F.col("writers").isNull(), "no_producer", "name", F.col("kind")),
+        violation(is_view & (F.col("writers") > 1), "single_writer", "name", F.col("writers").cast("string")),
+        violation(F.col("n") > 1, "duplicate_dataset", "name", F.col("n").cast("string")),
+        violation(F.size("kinds") > 1, "mixed_kinds", "name", F.array_join("kinds", ",")),
+        violation(
+            (F.col("kind") == "temporary_view") & F.col("name").contains("."), "view_name", "name", F.col("kind")
+        ),
+    )
+    kinds = names.select(F.col("name").alias("target"), "kind")
+    by_flow = listed(
+        flows.join(kinds, "target", "left"),
+        violation(F.col("kind").isNull(), "undefined_target", "flow", F.col("target")),
+        violation(is_view & (F.col("mode") == "once"), "once_mode", "flow", F.col("target")),
+    )
+    repeated = flows.groupBy("flow").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    by_both = _violations(repeated, "duplicate_flow", F.col("flow"), F.col("n").cast("string"))
+    return by_name.unionByName(by_flow).unionByName(by_both)
 
 
 def first_kinds(datasets: DataFrame) -> DataFrame:
