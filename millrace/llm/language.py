@@ -40,7 +40,9 @@ IMPOSSIBLE = -8.0
 #: Texts below this score have no known language; half of a text in one language is far above it.
 LEAST = 0.2
 UNKNOWN = "und"
-SLICE_BYTES = 16 << 20
+#: Text that is worked on at a time, and words whose n-grams are.
+SLICE_BYTES = 6 << 20
+SLICE_WORDS = 50_000
 
 # First and last code points of scripts, from the Unicode block list.
 SCRIPTS = (
@@ -77,6 +79,12 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, index[real], np.bincount(owner[real], minlength=len(lists))
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in parts of about ``SLICE_BYTES``."""
+    step = max(1, len(texts) * SLICE_BYTES // max(SLICE_BYTES, texts.nbytes))
+    return (texts.slice(i, step) for i in range(0, len(texts), step))
+
+
 def ngrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of all words, the word of each, and the first code point of each word."""
     texts = words.to_pylist()
@@ -108,12 +116,18 @@ class Model:
     @classmethod
     def from_counts(cls, languages: list[str], counts: np.ndarray, script_counts: np.ndarray) -> Model:
         """Counts per language and bucket, and words per language and script."""
+        if not languages:
+            return cls(languages, np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros((OTHER_SCRIPT + 1, 0), dtype=bool))
         logs = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)).T
         share = script_counts / np.maximum(1, script_counts.sum(axis=1, keepdims=True))
         return cls(languages, (WEIGHT * (logs - logs.mean(axis=1, keepdims=True))).astype(np.float32), (share >= SCRIPT_SHARE).T)
 
     def scores(self, words: pa.Array) -> np.ndarray:
         """A row of scores per word, their mean 0; languages that don't use the word's script are far behind."""
+        parts = [self._scores(words.slice(i, SLICE_WORDS)) for i in range(0, len(words), SLICE_WORDS)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)), dtype=np.float32)
+
+    def _scores(self, words: pa.Array) -> np.ndarray:
         hashes, owner, first = ngrams(words)
         count = len(self.languages)
         scores = np.stack([np.bincount(owner, weights=self.weights[hashes, k], minlength=len(words)) for k in range(count)], axis=1)
@@ -204,22 +218,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit the model to labelled documents that are not held out, at most ``sample`` per language."""
     usable = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.length("text"))
-    chosen = usable.select("lang", "text", "doc_id").withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= sample)
+    hashed = usable.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
+    # Which documents is decided by hashes alone; only the chosen ones' texts move.
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    least = hashed.select("lang", "h").withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= sample)
+    bounds = least.groupBy("lang").agg(F.max("h").alias("bound"))
+    chosen = hashed.join(F.broadcast(bounds), "lang").filter(F.col("h") <= F.col("bound")).dropDuplicates(["lang", "h"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[np.ndarray]] = {}
         for batch in batches:
             names = batch.column("lang")
             for lang in names.unique().to_pylist():
-                texts = batch.column("text").filter(pc.equal(names, lang))
-                words, index, _ = split(texts)
                 own = sums.setdefault(lang, [np.zeros(BUCKETS), np.zeros(OTHER_SCRIPT + 1)])
-                if len(index):
+                for texts in slices(batch.column("text").filter(pc.equal(names, lang))):
+                    words, index, _ = split(texts)
                     times = np.bincount(index, minlength=len(words)).astype(np.float64)
-                    hashes, owner, first = ngrams(words)
-                    own[0] += np.bincount(hashes, weights=times[owner], minlength=BUCKETS)
-                    own[1] += np.bincount(scripts(first), weights=times, minlength=OTHER_SCRIPT + 1)
+                    for i in range(0, len(words), SLICE_WORDS):
+                        hashes, owner, first = ngrams(words.slice(i, SLICE_WORDS))
+                        some = times[i : i + SLICE_WORDS]
+                        own[0] += np.bincount(hashes, weights=some[owner], minlength=BUCKETS)
+                        own[1] += np.bincount(scripts(first), weights=some, minlength=OTHER_SCRIPT + 1)
         for lang, (grams, by_script) in sums.items():
             both = np.concatenate([grams, by_script])
             at = np.flatnonzero(both)
@@ -240,11 +259,11 @@ def predict(model: Model, docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at)
-            step = max(1, len(texts) * SLICE_BYTES // max(SLICE_BYTES, texts.nbytes))
-            for first in range(0, len(texts), step):
-                names, scores = labelled(model, texts.slice(first, step))
-                columns = [c.slice(first, step) for c in batch.columns]
+            first = 0
+            for texts in slices(batch.column(at)):
+                names, scores = labelled(model, texts)
+                columns = [c.slice(first, len(texts)) for c in batch.columns]
+                first += len(texts)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores)], names=columns_out)
 
     at, columns_out = docs.columns.index(text), [*docs.columns, "lang_pred", "score"]
