@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from millrace.storage import new_path, stored
@@ -61,19 +61,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star: every step links neighbours to the
     smallest node they know, until nothing changes. Work and memory are per
-    edge; the neighbours of a node are only ever reduced to their minimum.
+    edge; the neighbours of a node are only ever reduced to their minimum. A
+    round is one job that writes its edges, so lineage ends there.
     """
-    current = stored(_down(edges), "edges")
-    seen = _state(current)
+    current, seen = _written(_down(edges))
     while True:
-        large = _star(current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b"))), large=True)
-        current = stored(_star(stored(large, "large"), large=False), "edges")
-        now = _state(current)
+        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        current, now = _written(_star(_star(both, large=True), large=False))
         if now == seen:
             break
         seen = now
     roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stored(roots.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+    return roots.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _down(edges: DataFrame) -> DataFrame:
@@ -92,8 +91,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return _down(linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The stored edges, and their number and sum of hashes, by which a change shows."""
+    state = Observation()
+    hashes = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    saved = stored(edges.observe(state, F.count(F.lit(1)).alias("n"), hashes.alias("h")), "edges")
+    return saved, (state.get["n"], state.get["h"])
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

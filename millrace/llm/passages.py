@@ -6,9 +6,10 @@ words in a row, in lower case; a Jaccard similarity of 0.8 or more is a link.
 Equal paragraphs are folded. A paragraph with fewer than nine such sets has no
 other link: one set more or less is a similarity of 8/9 at most for eight sets
 and below, and one differing word costs up to five. Longer ones get MinHash
-signatures, bands of which meet in a join; bands are tuned so that a pair at
-the threshold is missed with a chance of ``MISS`` at most. Candidates are
-checked exactly, and components of links are classes.
+signatures, bands of which meet in a join, wide ones first and narrow ones
+among those that meet; either are tuned so that a pair at the threshold is
+missed with a chance of ``MISS`` at most. Candidates are checked exactly, and
+components of links are classes.
 
 In a crowded band nothing is paired with everything: members meet a few
 leaders, those that are then in one class need not meet again, and the rest
@@ -39,19 +40,21 @@ from millrace.llm.common import components, pick, stored
 
 SHINGLE = 5
 SIMILAR = 0.8
-MISS = 0.003
+MISS = 0.0035
 #: Words from which a paragraph can be similar to another one without being equal: nine sets of five words.
 LONG = math.ceil(round((1 + SIMILAR) / (1 - SIMILAR), 9)) + SHINGLE - 1
 #: Words of the shortest passage that counts.
 LEAST = 25
-#: Leaders per band in the first round, and how many times more in each further one.
-LEADERS = 4
+#: At most so many bands for all paragraphs, and for those that share one of the first.
+FIRST, SECOND = 8, 50
+#: Times more leaders in a band in each further round; the first has one.
+GROWTH = 16
 SLICE_BYTES = 8 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bands(similar: float = SIMILAR, miss: float = MISS, most: int = 9) -> tuple[int, int]:
+def bands(most: int, similar: float = SIMILAR, miss: float = MISS) -> tuple[int, int]:
     """Number of bands and rows per band: as many rows as ``most`` bands allow while pairs at ``similar`` are found."""
     for rows in range(8, 0, -1):
         count = math.ceil(math.log(miss) / math.log(1 - similar**rows))
@@ -85,14 +88,10 @@ def described(texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
     first_of_text = np.searchsorted(owner, owner)
     starts = ends - sizes - (ends - sizes)[first_of_text]
     lower = pc.ascii_trim_whitespace(pc.utf8_lower(parts))
-    lists = pc.ascii_split_whitespace(lower).cast(pa.large_list(pa.large_string()))
+    words, bounds = _words(lower)
     # An empty paragraph is split into one empty word.
-    count = np.where(pc.equal(lower, "").to_numpy(zero_copy_only=False), 0, np.diff(np.asarray(lists.offsets)))
-    coded = pc.dictionary_encode(lists.values)
-    digest = xxhash.xxh64_intdigest
-    by_word = np.array([digest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
-    words = by_word[coded.indices.to_numpy(zero_copy_only=False)] if len(by_word) else np.empty(0, dtype=np.uint64)
-    begins = np.asarray(lists.offsets)[:-1]
+    count = np.where(pc.equal(lower, "").to_numpy(zero_copy_only=False), 0, np.diff(bounds))
+    begins = bounds[:-1]
     kept = np.flatnonzero(count >= SHINGLE)
     own = count[kept]
     longest = int(own.max(initial=0))
@@ -101,7 +100,7 @@ def described(texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
     heads = np.cumsum(own) - own
     high, low = (np.add.reduceat(_mix(chosen + _constants(longest, salt)[place]), heads) if len(heads) else chosen for salt in (1, 2))
     long_ones = np.flatnonzero(own >= LONG)
-    signatures = _bands(chosen, heads[long_ones], own[long_ones])
+    signatures = _bands(chosen, heads[long_ones], own[long_ones], *bands(FIRST))
     empty = np.ones(len(kept), dtype=bool)
     empty[long_ones] = False
     width = signatures.shape[1] if len(long_ones) else 1
@@ -115,9 +114,18 @@ def described(texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
     }
 
 
-def _bands(words: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _words(paragraphs_of: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and where each paragraph's begin."""
+    lists = pc.ascii_split_whitespace(paragraphs_of).cast(pa.large_list(pa.large_string()))
+    coded = pc.dictionary_encode(lists.values)
+    digest = xxhash.xxh64_intdigest
+    by_word = np.array([digest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
+    words = by_word[coded.indices.to_numpy(zero_copy_only=False)] if len(by_word) else np.empty(0, dtype=np.uint64)
+    return words, np.asarray(lists.offsets)
+
+
+def _bands(words: np.ndarray, heads: np.ndarray, counts: np.ndarray, number: int, rows: int) -> np.ndarray:
     """The band keys of each paragraph: hashes of the least values of a few functions over its sets of words."""
-    number, rows = bands()
     if not len(heads):
         return np.empty((0, number), dtype=np.uint64)
     n = counts - SHINGLE + 1
@@ -187,39 +195,58 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
-def links(parts: DataFrame) -> DataFrame | None:
-    """``(node, root)``: the classes of paragraphs that are similar to others without being equal; None if none are."""
-    banded = parts.filter(F.size("bands") > 0).select("low", F.explode("bands").alias("band"))
+def _crowded(banded: DataFrame) -> DataFrame:
+    """The rows of ``banded(band, low, …)`` whose band has several paragraphs."""
     crowded = banded.groupBy("band").agg(F.min("low").alias("a"), F.max("low").alias("b")).filter("a <> b").select("band")
-    members = stored(banded.join(stored(crowded, "crowded"), "band", "left_semi").distinct(), "members")
+    return banded.join(stored(crowded, "crowded"), "band", "left_semi")
+
+
+def _second_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, bounds = _words(batch.column("paragraph").cast(pa.large_string()))
+        keys = _bands(words, bounds[:-1], np.diff(bounds), *bands(SECOND))
+        offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1])
+        lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("low"), batch.column("n"), lists], names=["low", "n", "bands"])
+
+
+def links(parts: DataFrame) -> DataFrame | None:
+    """``(node, root)``: the classes of paragraphs that are similar to others without being equal; None if none are.
+
+    The first bands are few and wide, so they are cheap for all paragraphs. The
+    paragraphs that share one get many narrow bands, which pairs far below the
+    threshold hardly ever share.
+    """
+    long_ones = parts.filter(F.size("bands") > 0)
+    banded = long_ones.select("low", F.explode("bands").alias("band"))
+    copies = _crowded(banded).groupBy("band", "low").agg(F.count(F.lit(1)).alias("n"))
+    survivors = copies.groupBy("low").agg(F.max("n").alias("n"))
+    texts = stored(long_ones.select("low", "paragraph").join(stored(survivors, "survivors"), "low").dropDuplicates(["low"]), "texts")
+    second = texts.select("low", "n", "paragraph").mapInArrow(_second_bands, "low bigint, n bigint, bands array<bigint>")
+    members = stored(_crowded(stored(second, "bands").select("low", "n", F.explode("bands").alias("band"))), "members")
     if members.isEmpty():
         return None
-    wanted = stored(members.select("low").distinct(), "wanted")
-    long_ones = parts.filter(F.size("bands") > 0).select("low", "paragraph")
-    texts = stored(long_ones.join(wanted, "low", "left_semi").dropDuplicates(["low"]), "texts")
-    roots, leaders_per_band = None, 1
+    members, roots, per_band = members.withColumn("root", F.col("low")), None, 1
     while not members.isEmpty():
-        leaders_per_band *= LEADERS
-        slot = F.pmod(F.xxhash64("low"), F.lit(leaders_per_band))
-        leaders = stored(members.groupBy("band", slot.alias("slot")).agg(F.min("low").alias("b")).select("band", "b"), "leaders")
-        pairs = members.withColumnRenamed("low", "a").join(leaders, "band").filter("a <> b")
-        if roots is not None:
-            known = [roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab"]
-            pairs = pairs.join(known[0], "a", "left").join(known[1], "b", "left")
-            pairs = pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+        slot = F.pmod(F.xxhash64("low"), F.lit(per_band))
+        # The most copied paragraph first: the others are often its variants.
+        first = F.max(F.struct("n", "low", "root")).alias("first")
+        leaders = members.groupBy("band", slot.alias("slot")).agg(first)
+        leaders = leaders.select("band", F.col("first.low").alias("b"), F.col("first.root").alias("b_root"))
+        pairs = members.join(leaders, "band").filter(F.col("root") != F.col("b_root"))
         # Leaders of one band meet each other from both sides.
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.select(F.least("low", "b").alias("a"), F.greatest("low", "b").alias("b")).distinct()
         new = stored(_linked(pairs, texts), "links")
         if roots is None:
             roots = components(new)
         elif not new.isEmpty():
             roots = components(new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        rest = members.join(leaders.withColumnRenamed("b", "low"), ["band", "low"], "left_anti")
+        rest = members.drop("root").join(leaders.select("band", F.col("b").alias("low")), ["band", "low"], "left_anti")
         rooted = rest.join(roots.withColumnRenamed("node", "low"), "low", "left").withColumn("root", F.coalesce("root", "low"))
-        rooted = stored(rooted.select("band", "low", "root"), "rooted")
         # A band goes on while its members are of several classes.
         open_bands = rooted.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band")
-        members = stored(rooted.join(stored(open_bands, "open"), "band", "left_semi").select("low", "band"), "members")
+        members = stored(rooted.join(open_bands, "band", "left_semi").select("band", "low", "n", "root"), "members")
+        per_band *= GROWTH
     return roots
 
 
