@@ -25,7 +25,6 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from millrace.llm.common import as_uri, in_order, new_file, new_path, offsets, open_input, open_output, partitions, pick, stored
 from millrace.llm.words import encoder
