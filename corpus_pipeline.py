@@ -21,7 +21,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go from the texts; a document that consisted of such copies goes, too."""
-    cut = line_runs.without_copies(docs)
+    cut = line_runs.without_copies(docs, ends=True)
     left = cut.filter("n_removed = 0 OR n_removed < n_lines")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

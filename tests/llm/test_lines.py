@@ -51,6 +51,38 @@ def test_line_runs(spark, words):
     assert found == cleaned(docs, words)
 
 
+def whole_runs(docs: list[tuple], least: int) -> list[tuple]:
+    """Texts without any line of a run, of whatever length, that stands further ahead already."""
+    lines, places = [], []
+    for d, (_, text) in enumerate(docs):
+        own = [(i, line) for i, line in enumerate(text.split("\n")) if WORD.search(line)]
+        lines += [line for _, line in own]
+        places += [(d, i) for i, _ in own]
+    seen, gone = set(), set()
+    for a, (d, _) in enumerate(places):
+        for b in range(a + 1, len(lines) + 1):
+            if places[b - 1][0] != d:
+                break
+            run = "\n".join(lines[a:b])
+            if len(WORD.findall(run)) >= least:
+                gone |= set(places[a:b]) if run in seen else set()
+                seen.add(run)
+    return [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone)) for d, (i, t) in enumerate(docs)]
+
+
+@pytest.mark.parametrize("words", [1, 3, 10])
+def test_all_lines_of_repeated_runs_go(spark, words):
+    draw = random.Random(20 + words)
+    stock = [f"{'w ' * (i % 4)}{i}" for i in range(9)] + ["", "a long line of rather more than ten words in a row"]
+    ending = "ten words are in this first line of the run\nthree more words\nand two"
+    docs = [(i, "\n".join(draw.choices(stock, k=draw.randrange(14)))) for i in range(60)]
+    docs += [(70, ending), (71, f"own\n{ending}"), (72, f"{ending}\nother lines"), (73, ending)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = collected(line_runs.without_copies(df, words, ends=True).select("doc_id", "text").orderBy("doc_id"))
+    assert found == whole_runs(docs, words)
+    assert found[-1] == (73, "") and found[-3] == (71, "own")
+
+
 def test_line_runs_of_odd_documents(odd, none):
     out = line_runs.without_copies(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed"]
