@@ -94,26 +94,35 @@ def described(texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
     begins = bounds[:-1]
     kept = np.flatnonzero(count >= SHINGLE)
     own = count[kept]
-    longest = int(own.max(initial=0))
-    place = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-    chosen = words[np.repeat(begins[kept], own) + place]
-    heads = np.cumsum(own) - own
-    high, low = (np.add.reduceat(_mix(chosen + _constants(longest, salt)[place]), heads) if len(heads) else chosen for salt in (1, 2))
-    long_ones = np.flatnonzero(own >= LONG)
-    signatures = _bands(chosen, heads[long_ones], own[long_ones], *bands(FIRST))
-    empty = np.ones(len(kept), dtype=bool)
-    empty[long_ones] = False
-    width = signatures.shape[1] if len(long_ones) else 1
-    offsets = np.concatenate([[0], np.cumsum(np.where(empty, 0, width))]).astype(np.int32)
+    high, low, keys = _hashed(words, begins[kept], own, own >= LONG)
     seq = np.arange(len(kept)) - np.searchsorted(owner[kept], owner[kept])
     return {
         "text": owner[kept], "seq": seq, "start": starts[kept], "end": starts[kept] + sizes[kept], "words": own,
-        "high": _mix(high + own.astype(np.uint64)), "low": _mix(low), "long": own >= LONG,
-        "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(signatures.ravel().view(np.int64))),
-        "paragraph": lower.take(pa.array(kept)),
+        "high": high, "low": low, "long": own >= LONG, "bands": keys, "paragraph": lower.take(pa.array(kept)),
     }
 
 
+def whole(texts: pa.Array) -> tuple[np.ndarray, pa.ListArray, pa.Array]:
+    """Whole texts as ``links`` takes paragraphs: a hash, bands and words; a text of fewer than five words has no bands."""
+    lower = pc.ascii_trim_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words, bounds = _words(lower)
+    own = np.diff(bounds)
+    high, low, keys = _hashed(words, bounds[:-1], own, own >= SHINGLE)
+    return low, keys, lower
+
+
+def _hashed(words: np.ndarray, begins: np.ndarray, own: np.ndarray, banded: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """Two hashes of each piece of ``own`` words from ``begins`` on, and the bands of those that are ``banded``."""
+    longest = int(own.max(initial=0))
+    heads = np.cumsum(own) - own
+    place = np.arange(int(own.sum())) - np.repeat(heads, own)
+    chosen = words[np.repeat(begins, own) + place]
+    high, low = (np.add.reduceat(_mix(chosen + _constants(longest, salt)[place]), heads) if len(heads) else chosen for salt in (1, 2))
+    signatures = _bands(chosen, heads[banded], own[banded], *bands(FIRST))
+    offsets = np.concatenate([[0], np.cumsum(np.where(banded, signatures.shape[1], 0))]).astype(np.int32)
+    return _mix(high + own.astype(np.uint64)), _mix(low), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signatures.ravel().view(np.int64)))
+
+
 def _words(paragraphs_of: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, and where each paragraph's begin."""
     lists = pc.ascii_split_whitespace(paragraphs_of).cast(pa.large_list(pa.large_string()))

@@ -12,6 +12,11 @@ that meet at a word are at most two bits apart, and all that are do meet.
 Nothing is ever listed as pairs of a group, so a large group costs what its
 members cost.
 
+Two bits is about an equal text. ``one_of_each`` can also link texts whose sets
+of five words in a row have a Jaccard similarity of 0.8 or more; these differ in
+ten bits and more, where a range search meets nearly everything, so they are
+found by the MinHash bands of ``passages`` and checked exactly.
+
 Texts without words, null ones included, have fingerprint zero and link like
 any other. Repeated rows and equal ids are kept, each with its component. A
 component's id is its smallest ``doc_id`` that is not null, or null. An empty
@@ -30,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import passages
 from millrace.llm.common import components, pick, plain, stored
 
 SHINGLE = 3
@@ -111,9 +117,39 @@ def links(fps: DataFrame) -> DataFrame:
     return words.join(stored(least.select("word", "b"), "least"), "word").select(F.col("fp").alias("a"), "b").filter("a <> b")
 
 
-def groups(fps: DataFrame) -> DataFrame:
-    """``fps`` with the column ``root``, one value per component."""
-    roots = components(links(fps)).select(F.col("node").alias("fp"), "root")
+def _texts(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The columns ``keep`` and ``fp``, and what ``passages.links`` takes of whole texts. Stored."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, len(batch) * passages.SLICE_BYTES // max(passages.SLICE_BYTES, batch.column("__text").nbytes))
+            for begin in range(0, len(batch), step):
+                some = batch.slice(begin, step)
+                texts = some.column("__text")
+                fp = np.array([fingerprint(t) for t in texts.cast(pa.large_binary()).to_pylist()], dtype=np.uint64).view(np.int64)
+                low, bands, lower = passages.whole(texts)
+                columns = [*some.columns[:-1], pa.array(fp), pa.array(low.view(np.int64)), bands, lower.cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "fp", "low", "bands", "paragraph"])
+
+    chosen = docs.select(*keep, F.col(text).alias("__text"))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return stored(chosen.mapInArrow(hashed, f"{kinds}, fp bigint, low bigint, bands array<bigint>, paragraph string"), "documents")
+
+
+def similar(texts: DataFrame) -> DataFrame | None:
+    """``(a, b)`` such that the components of these fingerprints are those of all similar ``texts``; None without any."""
+    roots = passages.links(texts.select("low", "bands", "paragraph"))
+    if roots is None:
+        return None
+    alike = stored(texts.select(F.col("low").alias("node"), "fp").join(roots, "node").select("root", "fp").distinct(), "alike")
+    least = stored(alike.groupBy("root").agg(F.min("fp").alias("b")), "least")
+    return alike.join(least, "root").select(F.col("fp").alias("a"), "b").filter("a <> b")
+
+
+def groups(fps: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """``fps`` with the column ``root``, one value per component of the links and the pairs ``more(a, b)``."""
+    pairs = links(fps) if more is None else links(fps).unionByName(more)
+    roots = components(pairs).select(F.col("node").alias("fp"), "root")
     return fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
@@ -126,9 +162,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rooted.join(named, "root").select("doc_id", shown, "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, by_words: bool = False) -> DataFrame:
     """The rows of ``docs`` without those whose component has another row that is kept.
 
+    With ``by_words`` texts with similar sets of five words are linked, too.
+
     The row with the smallest ``doc_id`` stays, a null id last; of rows equal
     in id the one whose text has the smallest hash, and of rows equal in both
     any one.
@@ -136,7 +174,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     doc_id, text = (f"c{docs.columns.index(n)}" for n in ("doc_id", "text"))
     keyed = plain(docs).withColumns({"last": F.col(doc_id).isNull(), "hash": F.xxhash64(text)})
     key = ["last", doc_id, "hash"]
-    rooted = groups(stored(fingerprints(keyed, key, text), "documents"))
+    if by_words:
+        texts = _texts(keyed, key, text)
+        rooted = groups(texts.select(*key, "fp"), similar(texts))
+    else:
+        rooted = groups(stored(fingerprints(keyed, key, text), "documents"))
     kept = stored(rooted.groupBy("root").agg(F.min(F.struct(*key)).alias("k")).select("k.*"), "kept")
     same = [keyed[c].eqNullSafe(kept[c]) for c in key]
     return keyed.join(kept, same, "left_semi").dropDuplicates(key).drop("last", "hash").toDF(*docs.columns)

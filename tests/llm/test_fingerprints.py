@@ -9,6 +9,7 @@ from collections import Counter
 
 import xxhash
 
+import corpus_pipeline
 from millrace.llm import simhash_grid, simhash_tables
 from millrace.llm.common import components
 
@@ -87,6 +88,28 @@ def test_one_of_each_group_stays(odd, none):
     assert collected(simhash_grid.one_of_each(none)) == [] == collected(simhash_grid.near_duplicates(none))
 
 
+def test_pipeline_leaves_one_of_texts_with_most_sets_of_words_in_common(spark):
+    draw = random.Random(12)
+    texts, groups = [], []
+    for g in range(30):
+        words = [f"w{draw.randrange(10**5)}" for _ in range(draw.choice((60, 150, 400)))]
+        for _ in range(4):
+            own = list(words)
+            own[draw.randrange(5, len(own) - 5)] = f"new{draw.randrange(10**6)}"
+            texts.append(" ".join(own))
+            groups.append(g)
+    texts += ["a few words", "a few words more", None, ""]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    fps = [shingled(t) for t in texts]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (t or "" for t in texts)]
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2 or len(sets[i] & sets[j]) >= 0.8 * max(1, len(sets[i] | sets[j]))
+    root = classes(list(range(len(docs))), near)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.distinct_documents(spark, df, "").collect()}
+    assert kept == set(root.values())
+    assert len(kept) < len(collected(simhash_grid.one_of_each(df)))
+
+
 def test_long_chains_are_one_component(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, 600), (600, 500), (7, 7), (600, 700)]
     found = dict(collected(components(spark.createDataFrame(edges, "a long, b long"))))
