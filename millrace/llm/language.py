@@ -10,7 +10,8 @@ Learned from are at most ``SAMPLE`` documents per language, those with the
 smallest hash of their id, each id once; the model has a row of ``BUCKETS`` numbers per
 language. Everything else covers all texts and whole texts. Null texts and
 texts without a letter are ``und`` with score 0, and so is everything if
-nothing is labelled. Ties go to the language first by name. Repeated rows are
+nothing is labelled. Texts in scripts that no learned language uses have score 0.
+Ties go to the language first by name. Repeated rows are
 labelled alike, null ids teach nothing and are not held out. An empty table
 gives an empty result.
 """
@@ -127,6 +128,11 @@ class Model:
         parts = [self._scores(words.slice(i, SLICE_WORDS)) for i in range(0, len(words), SLICE_WORDS)]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)), dtype=np.float32)
 
+    def known(self, words: pa.Array) -> np.ndarray:
+        """Whether any language uses the word's script."""
+        first = np.array([ord(w[0]) if w else 0 for w in words.to_pylist()], dtype=np.int64)
+        return self.uses[scripts(first)].any(axis=1)
+
     def _scores(self, words: pa.Array) -> np.ndarray:
         hashes, owner, first = ngrams(words)
         count = len(self.languages)
@@ -178,7 +184,8 @@ def labelled(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each text.
 
     The score is the share of letters in spans of that language, times the
-    probability of the language by the scores of all words.
+    probability of the language by the scores of all words. Letters of scripts that
+    no learned language uses are in no span.
     """
     words, index, sizes = split(texts)
     count = len(model.languages)
@@ -189,7 +196,8 @@ def labelled(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     scores = by_word[index]
     path = best_paths(scores, sizes)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    held = np.bincount(owner * count + path, weights=letters, minlength=len(sizes) * count).reshape(-1, count)
+    spoken = np.where(model.known(words)[index], letters, 0)
+    held = np.bincount(owner * count + path, weights=spoken, minlength=len(sizes) * count).reshape(-1, count)
     total = np.stack([np.bincount(owner, weights=scores[:, k], minlength=len(sizes)) for k in range(count)], axis=1)
     # Equal shares go to the language with the better score.
     best = np.where(held == held.max(axis=1, keepdims=True), total, -np.inf).argmax(axis=1)
@@ -197,7 +205,7 @@ def labelled(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     odds = np.exp(total - total.max(axis=1, keepdims=True))
     # Spans of another language may outweigh a text's own by score; the path decides, so its odds count within its span.
     sure = np.maximum(odds[rows, best] / odds.sum(axis=1), np.where(held[rows, best] > 0, _span_odds(scores, path, owner, best, len(sizes)), 0))
-    score = held[rows, best] / np.maximum(1, held.sum(axis=1)) * sure
+    score = held[rows, best] / np.maximum(1, np.bincount(owner, weights=letters, minlength=len(sizes))) * sure
     names = [model.languages[b] if n else UNKNOWN for b, n in zip(best, sizes, strict=True)]
     return names, np.where(sizes > 0, np.clip(score, 0, 1), 0)
 

@@ -72,6 +72,15 @@ def test_spans_of_mixed_texts(docs):
     assert names == ["en", "fr"] and all(0.6 < s < 0.85 for s in scores)
 
 
+def test_texts_in_scripts_that_no_language_uses(spark, docs):
+    model = language.learn(docs)
+    texts = ["这是 一个 中文 文本", "ένα κείμενο στα ελληνικά", "the with from 这是一个中文文本这是一个中文文本这是一个中文文本这是一个中文文本这是一个中文文本这是一个中文文本这是一个中文文本这是一个中文文本"]
+    names, scores = language.labelled(model, pa.array(texts))
+    assert names[2] == "en" and scores[:2].tolist() == [0, 0] and 0 < scores[2] < language.LEAST
+    more = spark.createDataFrame([(1000 + i, t, None, "s", 0) for i, t in enumerate(texts)], docs.schema)
+    assert {r[0] for r in collected(language.accepted(docs.unionByName(more)))} == set(range(400))
+
+
 def test_odd_documents(odd, none):
     rows = collected(language.identified(odd))
     by_id = {}
