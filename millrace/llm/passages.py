@@ -3,9 +3,9 @@
 A text is cut into paragraphs at line ends and sentence ends, so that a passage
 is found wherever it was put in. Paragraphs are compared by their sets of five
 words in a row, in lower case; a Jaccard similarity of 0.8 or more is a link.
-Equal paragraphs are folded. A paragraph with fewer than nine such sets has no
-other link: one set more or less is a similarity of 8/9 at most for eight sets
-and below, and one differing word costs up to five. Longer ones get MinHash
+Equal paragraphs are folded. A paragraph with fewer than four such sets has no
+other link, unless a word comes again within three words: n sets within n + 1 have
+a similarity of n / (n + 1), which is 0.8 from four on. Longer ones get MinHash
 signatures, bands of which meet in a join, wide ones first and narrow ones
 among those that meet; either are tuned so that a pair at the threshold is
 missed with a chance of ``MISS`` at most. Candidates are checked exactly, and
@@ -41,8 +41,8 @@ from millrace.llm.common import components, pick, stored
 SHINGLE = 5
 SIMILAR = 0.8
 MISS = 0.0035
-#: Words from which a paragraph can be similar to another one without being equal: nine sets of five words.
-LONG = math.ceil(round((1 + SIMILAR) / (1 - SIMILAR), 9)) + SHINGLE - 1
+#: Words from which a paragraph can be similar to another one without being equal: n sets of five words within n + 1.
+LONG = math.ceil(round(SIMILAR / (1 - SIMILAR), 9)) + SHINGLE - 1
 #: Words of the shortest passage that counts.
 LEAST = 25
 #: At most so many bands for all paragraphs, and for those that share one of the first.
@@ -94,11 +94,15 @@ def described(texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
     begins = bounds[:-1]
     kept = np.flatnonzero(count >= SHINGLE)
     own = count[kept]
-    high, low, keys = _hashed(words, begins[kept], own, own >= LONG)
+    banded = own >= LONG
+    # Sets can be equal without the words being so only if they recur.
+    for step in range(1, LONG - SHINGLE + 1):
+        banded |= words[begins[kept]] == words[begins[kept] + step]
+    high, low, keys = _hashed(words, begins[kept], own, banded)
     seq = np.arange(len(kept)) - np.searchsorted(owner[kept], owner[kept])
     return {
         "text": owner[kept], "seq": seq, "start": starts[kept], "end": starts[kept] + sizes[kept], "words": own,
-        "high": high, "low": low, "long": own >= LONG, "bands": keys, "paragraph": lower.take(pa.array(kept)),
+        "high": high, "low": low, "long": banded, "bands": keys, "paragraph": lower.take(pa.array(kept)),
     }
 
 

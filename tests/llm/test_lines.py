@@ -147,6 +147,29 @@ def near_texts() -> dict:
     return texts
 
 
+def found_classes(parts) -> list:
+    roots = {r["node"]: r["root"] for r in passages.links(parts).collect()}
+    found = defaultdict(set)
+    for r in parts.collect():
+        found[roots.get(r["low"], r["low"])].add((r["doc_id"], r["start"]))
+    return sorted(sorted(v) for v in found.values() if len(v) > 1)
+
+
+def test_short_sentences_with_a_word_more_are_similar(spark):
+    draw = random.Random(6)
+    texts = {}
+    for i in range(60):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(5 + i % 9)]
+        texts[2 * i] = " ".join(words) + "\n"
+        texts[2 * i + 1] = " ".join([*words, "more"] if i % 2 else ["more", *words]) + "\n"
+    texts |= {200: "a a a a a a\n", 201: "a a a a a\n", 202: "x y x y x y\n", 203: "x y x y x y x\n"}
+    wanted = defaultdict(set)
+    for place, k in repeated_paragraphs(texts).items():
+        wanted[k].add(place)
+    parts = passages.units(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert len(wanted) > 30 and found_classes(parts) == sorted(sorted(v) for v in wanted.values())
+
+
 def test_passages_are_all_that_repeat(spark):
     texts = near_texts()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
