@@ -3,7 +3,10 @@
 A text is cut into paragraphs at line ends and sentence ends, so that a passage
 is found wherever it was put in. Paragraphs are compared by their sets of five
 words in a row, in lower case; a Jaccard similarity of 0.8 or more is a link.
-Equal paragraphs are folded. A paragraph with fewer than four such sets has no
+Equal paragraphs are folded. Shorter ones that follow each other and have five
+words together are compared as the shortest windows of five words or more from
+each of them on, by equality only; a stretch of fewer words neither is compared
+nor parts a passage. A paragraph with fewer than four such sets has no
 other link, unless a word comes again within three words: n sets within n + 1 have
 a similarity of n / (n + 1), which is 0.8 from four on. Longer ones get MinHash
 signatures, bands of which meet in a join, wide ones first and narrow ones
@@ -81,7 +84,10 @@ def paragraphs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def described(texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
-    """For all paragraphs of at least five words: text number, place, characters, words, two hashes, bands and words."""
+    """For all paragraphs of at least five words and windows of shorter ones: text number, place, characters, words, two hashes, bands and words.
+
+    ``at`` numbers the first word in the text.
+    """
     parts, owner = paragraphs(texts)
     sizes = pc.utf8_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
@@ -91,18 +97,29 @@ def described(texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
     words, bounds = _words(lower)
     # An empty paragraph is split into one empty word.
     count = np.where(pc.equal(lower, "").to_numpy(zero_copy_only=False), 0, np.diff(bounds))
-    begins = bounds[:-1]
-    kept = np.flatnonzero(count >= SHINGLE)
-    own = count[kept]
-    banded = own >= LONG
+    words = words[np.repeat(count > 0, np.diff(bounds))]
+    real = np.flatnonzero(count > 0)
+    sizes_of, text = count[real], owner[real]
+    upto = np.concatenate([[0], np.cumsum(sizes_of)])
+    last = np.searchsorted(upto, upto[:-1] + SHINGLE) - 1
+    short = sizes_of < SHINGLE
+    # Short ones in a row are one stretch, which a window doesn't leave; each other paragraph is its own.
+    joined = short[1:] & short[:-1] & (text[1:] == text[:-1])
+    stretch = np.cumsum(np.concatenate([[True], ~joined])[: len(real)])
+    kept = np.flatnonzero((last < len(real)) & (stretch[np.minimum(last, len(real) - 1)] == stretch))
+    last, begins = last[kept], upto[kept]
+    own = upto[last + 1] - begins
+    at = begins - upto[np.searchsorted(text, text)][kept]
+    texts_of, first = text[kept], real[kept]
+    banded = (own >= LONG) & ~short[kept]
     # Sets can be equal without the words being so only if they recur.
     for step in range(1, LONG - SHINGLE + 1):
-        banded |= words[begins[kept]] == words[begins[kept] + step]
-    high, low, keys = _hashed(words, begins[kept], own, banded)
-    seq = np.arange(len(kept)) - np.searchsorted(owner[kept], owner[kept])
+        banded |= (words[begins] == words[begins + step]) & ~short[kept]
+    high, low, keys = _hashed(words, begins, own, banded)
+    seq = np.arange(len(kept)) - np.searchsorted(texts_of, texts_of)
     return {
-        "text": owner[kept], "seq": seq, "start": starts[kept], "end": starts[kept] + sizes[kept], "words": own,
-        "high": high, "low": low, "long": banded, "bands": keys, "paragraph": lower.take(pa.array(kept)),
+        "text": texts_of, "seq": seq, "start": starts[first], "end": (starts + sizes)[real[last]], "at": at, "words": own,
+        "high": high, "low": low, "long": banded, "bands": keys, "paragraph": lower.take(pa.array(first)),
     }
 
 
@@ -160,7 +177,7 @@ def _bands(words: np.ndarray, heads: np.ndarray, counts: np.ndarray, number: int
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """One row per paragraph of at least five words; long ones with their bands and text. Stored."""
+    """One row per paragraph of at least five words or window of shorter ones; long ones with their bands and text. Stored."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,16 +191,16 @@ def units(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column("row").take(owner), some.column("doc_id").take(owner),
-                        *(pa.array(found[c].astype(np.int32)) for c in ("seq", "start", "end", "words")),
+                        *(pa.array(found[c].astype(np.int32)) for c in ("seq", "start", "end", "at", "words")),
                         *(pa.array(found[c].view(np.int64)) for c in ("high", "low")),
                         found["bands"], pc.if_else(whole, found["paragraph"], pa.scalar(None, pa.large_string())).cast(pa.string()),
                     ],
-                    names=["row", "doc_id", "seq", "start", "end", "words", "high", "low", "bands", "paragraph"],
+                    names=["row", "doc_id", "seq", "start", "end", "at", "words", "high", "low", "bands", "paragraph"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"row bigint, doc_id {kind}, seq int, start int, end int, words int, high bigint, low bigint, "
+        f"row bigint, doc_id {kind}, seq int, start int, end int, at int, words int, high bigint, low bigint, "
         "bands array<bigint>, paragraph string"
     )
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -272,7 +289,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     that class first.
     """
     parts = units(docs)
-    narrow = parts.select("row", "doc_id", "seq", "start", "end", "words", "high", "low")
+    narrow = parts.select("row", "doc_id", "seq", "start", "end", "at", "words", "high", "low")
     roots = links(parts)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "seq")
     # Equal paragraphs are equal in both hashes; linked ones have a common root.
@@ -291,7 +308,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     runs = runs.withColumn("run", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     longest = F.max(F.struct("words", F.col("class_id"), F.col("first.doc_id").alias("doc_id")))
     passages = runs.groupBy("row", "doc_id", "run", "removed").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), longest.alias("longest")
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("words")) - F.min("at")).cast("bigint").alias("words"), longest.alias("longest")
     )
     return passages.filter(F.col("words") >= least).select(
         "doc_id", "start", "end", "words", "removed", F.col("longest.class_id").alias("class_id"), F.col("longest.doc_id").alias("first_doc_id")

@@ -207,6 +207,23 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
     assert {r[0] for r in rows} == planted and Counter(r[0] % 3 == 0 for r in rows if not r[4])[True] >= 10
 
 
+def test_passages_of_short_sentences(spark):
+    draw = random.Random(9)
+    short = lambda n: "".join(f"w{draw.randrange(10**6)}" + ("!! " if k % 4 else "\n") for k in range(n))
+    copied, poem = short(150), short(26)
+    stock = [f"s{k}!! " for k in range(30)]
+    texts = {1: copied, 2: copied, 3: short(40) + poem + short(40), 4: "Own words of a line here.\n" + short(43) + poem + short(12)}
+    texts |= {i: "".join(draw.choices(stock, k=100)) for i in range(10, 30)}
+    texts |= {40: "one two three four five. No. six seven eight nine ten. Yes! " + " ".join(f"z{k}" for k in range(14)) + "."}
+    texts[41] = texts[40]
+    rows = collected(passages.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    later = {r[0]: r for r in rows if r[4]}
+    assert set(later) == {2, 4, 41} and {r[0] for r in rows} == {1, 2, 3, 4, 40, 41}
+    assert later[2][1:4] == (0, len(copied), 150) and later[41][3] == 24 + 2
+    at = texts[4].index(poem)
+    assert texts[4][later[4][1] : later[4][2]] == poem and later[4][1:4] == (at, at + len(poem), 26)
+
+
 def test_passages_of_odd_documents(odd, none):
     rows = collected(passages.repeats(odd))
     assert {r[0] for r in rows if r[4]} >= {3, 60}
