@@ -6,6 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.settings import spark_conf
+
+#: With it Spark removes the shuffle files of a query when the query ends.
+_SHORT_LIVED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 _PATHS: list[str] = []
 _DATABASES: list[str] = []
 
@@ -27,11 +32,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back: the lineage ends at the files.
 
     Unlike a checkpoint of rows, the files keep column pruning, filter pushdown
-    and a size that the optimizer can see.
+    and a size that the optimizer can see. What was shuffled on the way is not
+    needed any more and leaves the disks at once.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    with spark_conf(spark, _SHORT_LIVED):
+        df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(*results: DataFrame) -> None:
+    """Delete the files of results of ``stored`` that nothing will read any more."""
+    for df in results:
+        _PATHS.remove(df.stored_at)
+        _delete(df.sparkSession, df.stored_at)
 
 
 def scratch_database(spark: SparkSession) -> tuple[str, str]:
@@ -51,7 +67,10 @@ def drop_scratch(spark: SparkSession) -> None:
     """
     while _DATABASES:
         spark.sql(f"DROP DATABASE IF EXISTS {_DATABASES.pop()} CASCADE")
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     while _PATHS:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(spark, _PATHS.pop())
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
