@@ -8,7 +8,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from millrace.storage import new_path, stored
+from millrace.storage import discard, new_path, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,7 +67,10 @@ def components(edges: DataFrame) -> DataFrame:
     current, seen = _written(_down(edges))
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        current, now = _written(_star(_star(both, large=True), large=False))
+        half, _ = _written(_star(both, large=True))
+        last = current
+        current, now = _written(_star(half, large=False))
+        discard(last, half)
         if now == seen:
             break
         seen = now
@@ -83,7 +86,8 @@ def _down(edges: DataFrame) -> DataFrame:
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link the neighbours of each ``a`` to the least of them and itself: the larger ones only, or the smaller ones."""
-    least = edges.groupBy("a").agg(F.min("b").alias("__least")).select("a", F.least("a", "__least").alias("m"))
+    # Stored: a join right on an aggregate of its key could not be split, and most edges may end at one node.
+    least = stored(edges.groupBy("a").agg(F.min("b").alias("__least")).select("a", F.least("a", "__least").alias("m")), "least")
     linked = edges.join(least, "a")
     if large:
         return _down(linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -111,6 +115,6 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "WORD", "as_uri", "components", "in_order", "new_file", "new_path", "offsets", "open_input", "open_output",
+    "WORD", "as_uri", "components", "discard", "in_order", "new_file", "new_path", "offsets", "open_input", "open_output",
     "partitions", "pick", "plain", "stored",
 ]

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import pick, plain
 
 SAMPLE = 2_000
+#: Hashes are counted by so many upper bits to find where a language's sample ends.
+STRETCH_BITS = 12
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 #: N-grams of a word overlap, so each counts as part of an independent one.
@@ -42,7 +44,7 @@ IMPOSSIBLE = -8.0
 LEAST = 0.2
 UNKNOWN = "und"
 #: Text that is worked on at a time, and words whose n-grams are.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 SLICE_WORDS = 50_000
 
 # First and last code points of scripts, from the Unicode block list.
@@ -223,15 +225,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def bounds(hashed: DataFrame, sample: int) -> DataFrame:
+    """``(lang, bound)``: the hash up to which ``sample`` rows of each language lie, its greatest one if it has fewer.
+
+    Rows are counted by the upper bits of their hashes first, so only those of
+    the stretch in which the sample ends, and of those before, are ordered,
+    however many rows a language has.
+    """
+    stretch = F.shiftright("h", 64 - STRETCH_BITS)
+    counts = hashed.groupBy("lang", stretch.alias("stretch")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lowest = counts.withColumn("before", before).filter(F.col("before") < sample).groupBy("lang").agg(F.max("stretch").alias("last"))
+    some = hashed.withColumn("stretch", stretch).join(lowest, "lang").filter("stretch <= last")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return some.withColumn("place", place).filter(F.col("place") <= sample).groupBy("lang").agg(F.max("h").alias("bound"))
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit the model to labelled documents that are not held out, at most ``sample`` per language."""
     usable = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
     hashed = usable.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
     # Which documents is decided by hashes alone; only the chosen ones' texts move.
-    by_hash = Window.partitionBy("lang").orderBy("h")
-    least = hashed.select("lang", "h").withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= sample)
-    bounds = least.groupBy("lang").agg(F.max("h").alias("bound"))
-    chosen = hashed.join(F.broadcast(bounds), "lang").filter(F.col("h") <= F.col("bound")).dropDuplicates(["lang", "h"])
+    chosen = hashed.join(bounds(hashed.select("lang", "h"), sample), "lang").filter(F.col("h") <= F.col("bound")).dropDuplicates(["lang", "h"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[np.ndarray]] = {}
@@ -289,6 +304,17 @@ def identified(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of at least ``least``, with all their columns."""
     model = learn(pick(docs, "doc_id", "text", "lang"))
-    shown = predict(model, plain(docs), f"c{docs.columns.index('text')}")
-    kept = shown.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.drop("lang_pred", "score").toDF(*docs.columns)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = 0
+            for texts in slices(batch.column(at)):
+                names, scores = labelled(model, texts)
+                kept = [name != UNKNOWN and score >= least for name, score in zip(names, scores.tolist(), strict=True)]
+                some = batch.slice(first, len(texts))
+                first += len(texts)
+                yield some if all(kept) else some.filter(pa.array(kept, pa.bool_()))
+
+    rows, at = plain(docs), docs.columns.index("text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(chosen, kinds).toDF(*docs.columns)

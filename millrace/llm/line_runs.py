@@ -8,14 +8,13 @@ suffixes before it, so a group is an interval of the suffix array. Suffixes
 that equal no other, or end with their document, take no further part, so a
 round costs what is repeated and not what there is.
 
-A run counts if it has at least ``words`` words. From each line on the shortest
-run with so many words is looked at. All suffixes that share such a run form an
-interval of common prefixes; all but the first of them in the sequence are later
-copies, and the lines of later copies are deleted. These runs leave out the last
-lines of a repeated run when they have fewer words together. With ``ends`` the
-shortest run that ends at each line is looked at, too: the one that ends with a
-repeated run begins where the last one from a line on begins that is within it,
-so both kinds together cover every line of every repeated run.
+A run counts if it has at least ``words`` words. Every line of a maximal repeated
+run, however long, that stands further ahead already is deleted. To that end the
+shortest run with so many words from each line on is looked at, and the shortest
+one that ends at each line: they are runs of at most ``words`` lines, and those
+within a maximal run cover all of its lines, its last ones by a run that ends
+there. All suffixes that share such a run form an interval of common prefixes;
+all but the first of them in the sequence are later copies.
 
 Lines without a word are neither compared nor deleted. Null text stays null. A
 document without any line left has the empty text. Of repeated rows and equal
@@ -136,10 +135,10 @@ def later_copies(numbered: DataFrame, words: int) -> DataFrame:
     return found
 
 
-def without_copies(docs: DataFrame, words: int = WORDS, ends: bool = False) -> DataFrame:
+def without_copies(docs: DataFrame, words: int = WORDS, ends: bool = True) -> DataFrame:
     """``docs`` with the later copies of repeated runs deleted from ``text``, and ``n_lines`` and ``n_removed``.
 
-    With ``ends`` these are all lines of such runs, without it the ones of the query's SQL.
+    Without ``ends`` the last lines of a repeated run stay if they have fewer words together.
     """
     columns = docs.columns
     named = [f"c{i}" for i in range(len(columns))]

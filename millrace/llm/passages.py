@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, pick, stored
+from millrace.llm.common import components, discard, pick, stored
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -52,7 +52,7 @@ LEAST = 25
 FIRST, SECOND = 8, 50
 #: Times more leaders in a band in each further round; the first has one.
 GROWTH = 16
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,7 +83,7 @@ def paragraphs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return cut.values, np.repeat(np.arange(len(cut)), np.diff(np.asarray(cut.offsets)))
 
 
-def described(texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
+def described(texts: pa.Array, banding: bool = True) -> dict[str, np.ndarray | pa.Array]:
     """For all paragraphs of at least five words and windows of shorter ones: text number, place, characters, words, two hashes, bands and words.
 
     ``at`` numbers the first word in the text.
@@ -115,7 +115,7 @@ def described(texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
     # Sets can be equal without the words being so only if they recur.
     for step in range(1, LONG - SHINGLE + 1):
         banded |= (words[begins] == words[begins + step]) & ~short[kept]
-    high, low, keys = _hashed(words, begins, own, banded)
+    high, low, keys = _hashed(words, begins, own, banded & banding)
     seq = np.arange(len(kept)) - np.searchsorted(texts_of, texts_of)
     return {
         "text": texts_of, "seq": seq, "start": starts[first], "end": (starts + sizes)[real[last]], "at": at, "words": own,
@@ -177,7 +177,7 @@ def _bands(words: np.ndarray, heads: np.ndarray, counts: np.ndarray, number: int
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """One row per paragraph of at least five words or window of shorter ones; long ones with their bands and text. Stored."""
+    """One row per paragraph of at least five words or window of shorter ones; long ones with their bands. Stored."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,26 +187,40 @@ def units(docs: DataFrame) -> DataFrame:
                 some = batch.slice(begin, step)
                 found = described(some.column("text"))
                 owner = pa.array(found["text"])
-                whole = pa.array(found["long"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column("row").take(owner), some.column("doc_id").take(owner),
                         *(pa.array(found[c].astype(np.int32)) for c in ("seq", "start", "end", "at", "words")),
                         *(pa.array(found[c].view(np.int64)) for c in ("high", "low")),
-                        found["bands"], pc.if_else(whole, found["paragraph"], pa.scalar(None, pa.large_string())).cast(pa.string()),
+                        found["bands"],
                     ],
-                    names=["row", "doc_id", "seq", "start", "end", "at", "words", "high", "low", "bands", "paragraph"],
+                    names=["row", "doc_id", "seq", "start", "end", "at", "words", "high", "low", "bands"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"row bigint, doc_id {kind}, seq int, start int, end int, at int, words int, high bigint, low bigint, "
-        "bands array<bigint>, paragraph string"
+        f"row bigint, doc_id {kind}, seq int, start int, end int, at int, words int, high bigint, low bigint, bands array<bigint>"
     )
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return stored(rows.mapInArrow(cut, schema), "paragraphs")
 
 
+def long_texts(docs: DataFrame) -> DataFrame:
+    """``(low, paragraph)`` of the paragraphs that have bands, cut once more so that no table of all texts is kept."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            step = max(1, len(texts) * SLICE_BYTES // max(SLICE_BYTES, texts.nbytes))
+            for begin in range(0, len(texts), step):
+                found = described(texts.slice(begin, step), banding=False)
+                whole = pa.array(found["long"])
+                columns = [pa.array(found["low"].view(np.int64)).filter(whole), found["paragraph"].filter(whole).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["low", "paragraph"])
+
+    return pick(docs, "text").mapInArrow(cut, "low bigint, paragraph string")
+
+
 def similarity(a: str, b: str) -> float:
     """Jaccard similarity of the sets of five words in a row."""
     x, y = ({tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} for w in (a.split(), b.split()))
@@ -240,9 +254,11 @@ def _second_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("low"), batch.column("n"), lists], names=["low", "n", "bands"])
 
 
-def links(parts: DataFrame) -> DataFrame | None:
+def links(parts: DataFrame, all_texts: DataFrame) -> DataFrame | None:
     """``(node, root)``: the classes of paragraphs that are similar to others without being equal; None if none are.
 
+    ``parts`` has the columns ``low`` and ``bands``, ``all_texts`` has ``low`` and ``paragraph``.
+
     The first bands are few and wide, so they are cheap for all paragraphs. The
     paragraphs that share one get many narrow bands, which pairs far below the
     threshold hardly ever share.
@@ -251,12 +267,16 @@ def links(parts: DataFrame) -> DataFrame | None:
     banded = long_ones.select("low", F.explode("bands").alias("band"))
     copies = _crowded(banded).groupBy("band", "low").agg(F.count(F.lit(1)).alias("n"))
     survivors = copies.groupBy("low").agg(F.max("n").alias("n"))
-    texts = stored(long_ones.select("low", "paragraph").join(stored(survivors, "survivors"), "low").dropDuplicates(["low"]), "texts")
+    survivors = stored(survivors, "survivors")
+    texts = stored(all_texts.join(survivors, "low").dropDuplicates(["low"]), "texts")
+    discard(survivors)
     second = texts.select("low", "n", "paragraph").mapInArrow(_second_bands, "low bigint, n bigint, bands array<bigint>")
-    members = stored(_crowded(stored(second, "bands").select("low", "n", F.explode("bands").alias("band"))), "members")
-    if members.isEmpty():
+    narrow = stored(second, "bands")
+    round_of = stored(_crowded(narrow.select("low", "n", F.explode("bands").alias("band"))).withColumn("root", F.col("low")), "members")
+    discard(narrow)
+    if round_of.isEmpty():
         return None
-    members, roots, per_band = members.withColumn("root", F.col("low")), None, 1
+    members, roots, per_band = round_of, None, 1
     while not members.isEmpty():
         slot = F.pmod(F.xxhash64("low"), F.lit(per_band))
         # The most copied paragraph first: the others are often its variants.
@@ -276,7 +296,10 @@ def links(parts: DataFrame) -> DataFrame | None:
         # A band goes on while its members are of several classes.
         open_bands = rooted.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band")
         members = stored(rooted.join(open_bands, "band", "left_semi").select("band", "low", "n", "root"), "members")
+        discard(round_of)
+        round_of = members
         per_band *= GROWTH
+    discard(texts, round_of)
     return roots
 
 
@@ -290,7 +313,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     parts = units(docs)
     narrow = parts.select("row", "doc_id", "seq", "start", "end", "at", "words", "high", "low")
-    roots = links(parts)
+    roots = links(parts, long_texts(docs))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "seq")
     # Equal paragraphs are equal in both hashes; linked ones have a common root.
     by_hash = narrow.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("r"))

@@ -59,21 +59,16 @@ WITH whole AS (
 ), counted AS (
   SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM whole
 ), lines AS (
-  SELECT *, row_number() OVER (ORDER BY doc_id, place) AS nr,
-    sum(words) OVER (PARTITION BY doc_id ORDER BY place) AS upto
-  FROM counted WHERE words > 0
-), lengths AS (
-  SELECT a.nr, a.doc_id, min(b.nr) AS last
-  FROM lines AS a JOIN lines AS b ON a.doc_id = b.doc_id AND b.nr BETWEEN a.nr AND a.nr + 9
-  WHERE b.upto - a.upto + a.words >= 10 GROUP BY ALL
+  SELECT *, row_number() OVER (ORDER BY doc_id, place) AS nr FROM counted WHERE words > 0
+), same AS (
+  SELECT a.doc_id AS first_doc, b.doc_id, b.nr, b.place, b.words, b.nr - a.nr AS lag,
+    b.nr - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, b.nr - a.nr ORDER BY b.nr) AS run
+  FROM lines AS a JOIN lines AS b ON a.line = b.line AND a.nr < b.nr
 ), runs AS (
-  SELECT a.nr, a.doc_id, a.last, string_agg(b.line, chr(10) ORDER BY b.nr) AS run
-  FROM lengths AS a JOIN lines AS b ON a.doc_id = b.doc_id AND b.nr BETWEEN a.nr AND a.last GROUP BY ALL
-), later AS (
-  SELECT *, min(nr) OVER (PARTITION BY run) AS earliest FROM runs
+  -- as long as both stretches are equal and in one document each
+  SELECT *, sum(words) OVER (PARTITION BY first_doc, doc_id, lag, run) AS run_words FROM same
 ), deleted AS (
-  SELECT DISTINCT b.doc_id, b.place
-  FROM later AS a JOIN lines AS b ON a.doc_id = b.doc_id AND b.nr BETWEEN a.nr AND a.last WHERE a.nr > a.earliest
+  SELECT DISTINCT doc_id, place FROM runs WHERE run_words >= 10
 ), kept AS (
   SELECT c.doc_id, count(*) FILTER (words > 0) AS n_lines, count(d.place) AS n_removed,
     coalesce(string_agg(line, chr(10) ORDER BY c.place) FILTER (d.place IS NULL), '') AS text

@@ -138,7 +138,7 @@ def _texts(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 def similar(texts: DataFrame) -> DataFrame | None:
     """``(a, b)`` such that the components of these fingerprints are those of all similar ``texts``; None without any."""
-    roots = passages.links(texts.select("low", "bands", "paragraph"))
+    roots = passages.links(texts.select("low", "bands"), texts.filter(F.size("bands") > 0).select("low", "paragraph"))
     if roots is None:
         return None
     alike = stored(texts.select(F.col("low").alias("node"), "fp").join(roots, "node").select("root", "fp").distinct(), "alike")

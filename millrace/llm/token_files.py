@@ -35,7 +35,7 @@ SHARD_TOKENS = 1 << 23
 #: Bits per entry of a plane's directory of ones.
 BLOCK = 512
 #: Characters encoded at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 MANIFEST = "part int, shard int, path string, docs bigint, tokens bigint, before bigint"
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-#: Pieces remembered by one Python worker; beyond it the memory starts anew, which costs time and changes no id.
+#: Pieces remembered by one Python worker (some 110 MB); beyond it the memory starts anew, which costs time and changes no id.
 REMEMBERED = 600_000
 
 # Plain texts hold letters, digits, single full stops and commas, and one blank or line end between words. Marked ones
@@ -48,6 +49,18 @@ def _byte_chars() -> dict[int, str]:
 
 
 _BYTE_CHARS = _byte_chars()
+
+
+def _changing_letters() -> str:
+    """Letters and digits of which composition or lower case makes several characters or a mark, as a class of a pattern."""
+    found = []
+    for c in map(chr, itertools.chain(range(0x80, 0xD800), range(0xE000, 0x30000))):
+        if unicodedata.category(c)[0] in "LN":
+            composed = unicodedata.normalize("NFC", c)
+            lower = "".join(x.lower() for x in composed)
+            if len(lower) != 1 or unicodedata.category(lower)[0] not in "LN":
+                found.append(f"\\x{{{ord(c):x}}}")
+    return "".join(found)
 _ASCII_LETTERS = re.compile("[A-Za-z]+")
 
 
@@ -57,21 +70,27 @@ class Encoder:
         self.model = self.tokenizer.model
         #: Of the two kinds of vocabulary: white space dropped and lower case, or white space kept in front of words.
         self.drops_space = self.tokenizer.normalizer is not None
-        self.known: dict[str, list[int]] = {}
+        # A sign next to what such a letter becomes is cut in another way, so texts that hold one are not plain.
+        self.not_plain = rf"{_NOT_PLAIN_WORDS}|[{_changing_letters()}]" if self.drops_space else _NOT_PLAIN_BYTES
+        self.forget()
+
+    def forget(self) -> None:
+        #: A number for each known piece; its ids are ``lengths[number]`` ones from ``starts[number]`` on.
+        self.known: dict[str, int] = {}
+        self.ids, self.starts, self.lengths = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty) one after the other, and the number of ids of each text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         match = pc.match_substring_regex
-        marked = match(texts, _NOT_PLAIN_WORDS if self.drops_space else _NOT_PLAIN_BYTES)
+        marked = match(texts, self.not_plain)
         odd = pc.and_(marked, match(texts, _NOT_MARKED_WORDS if self.drops_space else _NOT_MARKED_BYTES))
         shown = pc.if_else(marked, self._spaced_signs(pc.if_else(pc.and_not(marked, odd), texts, "")), self._spaced(pc.if_else(marked, "", texts)))
         lists = pc.ascii_split_whitespace(shown).cast(pa.large_list(pa.large_string()))
         coded = pc.dictionary_encode(lists.values)
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        ids = self._ids(coded.dictionary.to_pylist())
-        flat, counts = _expand(coded.indices.to_numpy(zero_copy_only=False), ids)
+        flat, counts = self._expand(self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)])
         bounds = np.concatenate([[0], np.cumsum(counts)])
         n = bounds[np.asarray(lists.offsets)]
         sizes = np.diff(n)
@@ -103,28 +122,42 @@ class Encoder:
         texts = pc.replace_substring_regex(texts, r"(\x02?[^\p{L}\p{N}\s\x02]+)", r" \1 ")
         return pc.replace_substring(texts, "\n", f" {_LINE} ")
 
-    def _ids(self, pieces: Sequence[str]) -> list[list[int]]:
-        known, find = self.known, self.known.get
-        if len(known) > REMEMBERED:
-            known.clear()
-        found = [find(p) for p in pieces]
+    def _numbers(self, pieces: Sequence[str]) -> np.ndarray:
+        """The numbers of the pieces; new ones are encoded."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        known, found = self.known, list(map(self.known.get, pieces))
+        new: dict[str, Sequence[int]] = {}
         whole = []
         tokenize = self.model.tokenize
-        for i, piece in enumerate(pieces):
-            if found[i] is None:
+        for piece, number in zip(pieces, found, strict=True):
+            if number is None and piece not in new:
                 simple = self._simple(piece)
                 if simple is None:
-                    whole.append(i)
+                    whole.append(piece)
+                    new[piece] = ()
                 else:
-                    found[i] = known[piece] = [t.id for t in tokenize(simple)]
+                    new[piece] = [t.id for t in tokenize(simple)]
         for start in range(0, len(whole), 10_000):
             some = whole[start : start + 10_000]
-            texts = [pieces[i] for i in some]
-            if not self.drops_space:
-                texts = [p.replace(_SPACE, " ").replace(_LINE, "\n") for p in texts]
-            for i, e in zip(some, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                found[i] = known[pieces[i]] = e.ids
-        return found
+            texts = some if self.drops_space else [p.replace(_SPACE, " ").replace(_LINE, "\n") for p in some]
+            for piece, e in zip(some, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+                new[piece] = e.ids
+        if new:
+            lengths = np.fromiter(map(len, new.values()), dtype=np.int64, count=len(new))
+            ids = np.fromiter(itertools.chain.from_iterable(new.values()), dtype=np.uint32, count=int(lengths.sum()))
+            known.update(zip(new, itertools.count(len(known))))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
+            found = map(known.__getitem__, pieces)
+        return np.fromiter(found, dtype=np.int64, count=len(pieces))
+
+    def _expand(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pieces one after the other, and how many each has."""
+        counts = self.lengths[numbers]
+        before = np.cumsum(counts) - counts
+        place = np.repeat(self.starts[numbers] - before, counts) + np.arange(int(counts.sum()))
+        return self.ids[place].astype(np.int64), counts
 
     def _simple(self, piece: str) -> str | None:
         """The piece as the model takes it, if it is one word of plain letters; else None."""
@@ -144,18 +177,7 @@ class Encoder:
         if _UNCERTAIN.search(text) or (self.drops_space and max(text) >= _LATIN_END):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int64)
         pieces = _CUTS_WORDS.findall(text.lower()) if self.drops_space else _CUTS_BYTES.findall(text)
-        ids = self._ids(pieces)
-        return np.array(list(itertools.chain.from_iterable(ids)), dtype=np.int64)
-
-
-def _expand(index: np.ndarray, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array(list(map(len, ids)), dtype=np.int64)
-    values = np.array(list(itertools.chain.from_iterable(ids)), dtype=np.int64)
-    starts = np.cumsum(lengths) - lengths
-    counts = lengths[index]
-    before = np.cumsum(counts) - counts
-    place = np.repeat(starts[index] - before, counts) + np.arange(int(counts.sum()))
-    return values[place], counts
+        return self._expand(self._numbers(pieces))[0]
 
 
 @functools.lru_cache(maxsize=4)

@@ -33,6 +33,9 @@ def odd_rows() -> list[tuple]:
         (None, prose(ENGLISH, 40, 900), "en", "s0"), (None, None, None, None), (None, None, None, None),
     ]
     rows += [rows[3], rows[3], (3, prose(ENGLISH, 50, 901), "en", "s0"), (60, rows[4][1], "en", "s1"), (61, rows[56 - 20][1], None, "s1")]
+    # Near copies none of whose lines are equal.
+    line = prose(ENGLISH, 300, 950).split()
+    rows += [(70, " ".join(line), "en", "s2"), (71, " ".join(["Oneword", *line[1:150], "otherword", *line[151:]]), "en", "s2")]
     return [(*r, len(r[1]) if r[1] else 0, "clash", 1, 2, "p", 3) for r in rows]
 
 

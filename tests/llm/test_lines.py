@@ -16,24 +16,26 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def cleaned(docs: list[tuple], least: int) -> list[tuple]:
-    """Texts in order without later copies, found by looking at the words of every run."""
-    lines, places = [], []
+    """Texts in order without the lines of maximal repeated runs that stand further ahead, found by walking along equal lines."""
+    lines, places, at = [], [], defaultdict(list)
     for d, (_, text) in enumerate(docs):
         for i, line in enumerate(text.split("\n") if text is not None else []):
             if WORD.search(line):
+                at[line].append(len(lines))
                 lines.append(line)
                 places.append((d, i))
-    seen, gone = set(), set()
-    for a, (d, _) in enumerate(places):
-        b, n = a, 0
-        while b < len(lines) and places[b][0] == d and n < least:
-            n += len(WORD.findall(lines[b]))
-            b += 1
-        if n >= least:
-            run = "\n".join(lines[a:b])
-            if run in seen:
-                gone |= set(places[a:b])
-            seen.add(run)
+    gone = set()
+    inside = lambda a, b: 0 <= a and b < len(lines) and lines[a] == lines[b]
+    for same in at.values():
+        for k, b in enumerate(same):
+            for a in same[:k]:
+                if inside(a - 1, b - 1) and places[a - 1][0] == places[a][0] and places[b - 1][0] == places[b][0]:
+                    continue
+                n = 0
+                while inside(a + n, b + n) and places[a + n][0] == places[a][0] and places[b + n][0] == places[b][0]:
+                    n += 1
+                if sum(len(WORD.findall(line)) for line in lines[b : b + n]) >= least:
+                    gone |= set(places[b : b + n])
     out = []
     for d, (doc_id, text) in enumerate(docs):
         kept = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if (d, i) not in gone)
@@ -78,7 +80,7 @@ def test_all_lines_of_repeated_runs_go(spark, words):
     docs = [(i, "\n".join(draw.choices(stock, k=draw.randrange(14)))) for i in range(60)]
     docs += [(70, ending), (71, f"own\n{ending}"), (72, f"{ending}\nother lines"), (73, ending)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    found = collected(line_runs.without_copies(df, words, ends=True).select("doc_id", "text").orderBy("doc_id"))
+    found = collected(line_runs.without_copies(df, words).select("doc_id", "text").orderBy("doc_id"))
     assert found == whole_runs(docs, words)
     assert found[-1] == (73, "") and found[-3] == (71, "own")
 
@@ -147,8 +149,9 @@ def near_texts() -> dict:
     return texts
 
 
-def found_classes(parts) -> list:
-    roots = {r["node"]: r["root"] for r in passages.links(parts).collect()}
+def found_classes(df) -> list:
+    parts = passages.units(df)
+    roots = {r["node"]: r["root"] for r in passages.links(parts, passages.long_texts(df)).collect()}
     found = defaultdict(set)
     for r in parts.collect():
         found[roots.get(r["low"], r["low"])].add((r["doc_id"], r["start"]))
@@ -166,8 +169,8 @@ def test_short_sentences_with_a_word_more_are_similar(spark):
     wanted = defaultdict(set)
     for place, k in repeated_paragraphs(texts).items():
         wanted[k].add(place)
-    parts = passages.units(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
-    assert len(wanted) > 30 and found_classes(parts) == sorted(sorted(v) for v in wanted.values())
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert len(wanted) > 30 and found_classes(df) == sorted(sorted(v) for v in wanted.values())
 
 
 def test_passages_are_all_that_repeat(spark):
@@ -175,7 +178,7 @@ def test_passages_are_all_that_repeat(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     expected = repeated_paragraphs(texts)
     parts = passages.units(df)
-    roots = {r["node"]: r["root"] for r in passages.links(parts).collect()}
+    roots = {r["node"]: r["root"] for r in passages.links(parts, passages.long_texts(df)).collect()}
     found = defaultdict(set)
     for r in parts.collect():
         found[roots.get(r["low"], r["low"])].add((r["doc_id"], r["start"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -44,6 +45,23 @@ def test_ids_are_the_library_s(path):
     same()
 
 
+CHANGING = [
+    c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x30000)])
+    if c.isalpha() and (len(unicodedata.normalize("NFC", c).lower()) > 1 or not unicodedata.normalize("NFC", c).lower().isalpha())
+]
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_letters_that_become_a_letter_and_a_mark(path):
+    assert {"\u0130", "\u0958", "\ufb2a"} <= set(CHANGING)
+    texts = ["\u0130. \u0130n\u00f6n\u00fc geldi", "Ankara, S\u0130, son", "\u0958, a", "\ufb2a."]
+    texts += [shape.format(c) for c in CHANGING for shape in ("{0}. a", "a,{0}", "x{0}.,y {0}{0}, 1{0}1")]
+    whole, encoder = Tokenizer.from_file(path), Encoder(path)
+    ids, sizes = encoder.encode(pa.array(texts))
+    expected = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[e - n : e].tolist() for e, n in zip(np.cumsum(sizes), sizes, strict=True)] == expected
+
+
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_forgetting_changes_no_id(path, monkeypatch):
     monkeypatch.setattr("millrace.llm.words.REMEMBERED", 3)
