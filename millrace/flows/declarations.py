@@ -216,10 +216,22 @@ def lin_stage_levels_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.stage_levels(*_chain(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_CHAIN} SELECT flow FROM blocked")
+@query(f"""
+WITH RECURSIVE {_CHAIN},
+mutual AS (SELECT x.a AS flow, min(x.b) AS cycle_id FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a)
+SELECT DISTINCT blocked.flow, cycle_id FROM blocked LEFT JOIN mutual USING (flow)""")
 def lin_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flows, flow_inputs = _chain(spark, sf_dir)
-    return lineage.blocked_flows(flows, lineage.stage_levels(flows, flow_inputs))
+    """Flows that can never start, with the name of their cycle; null for those behind one."""
+    return lineage.cycles(*_chain(spark, sf_dir))
+
+
+@query(f"""
+WITH {_SALES}
+SELECT target AS dataset, 'writer' AS side, flow FROM flows WHERE target IN (SELECT dataset FROM flow_inputs)
+UNION ALL
+SELECT DISTINCT dataset, 'reader', flow FROM flow_inputs WHERE dataset IN (SELECT target FROM flows)""")
+def lin_edge_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.hubs(*_sales(spark, sf_dir))
 
 
 @query(f"""

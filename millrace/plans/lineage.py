@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.operators.joins import anti
-from millrace.operators.windows import framed
-from millrace.storage import new_path, stored
+from millrace.operators.joins import anti, keys_of
+from millrace.operators.windows import framed, numbered
+from millrace.storage import stored
 
 
 def producers(flows: DataFrame) -> DataFrame:
@@ -74,37 +74,208 @@ def external_inputs(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
 def stage_levels(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     """``(flow, stage)``: the length of the longest path from a flow without upstream flows.
 
-    Works outward in rounds, one per stage. A flow waits for as many arrivals
-    as its inputs have writers. In each round the flows placed last are counted
-    per target, the counts reach the readers of those targets, and a flow that
-    has received all it waits for is placed. A round writes the flows it placed
-    and the ones that are half done; nothing refers back to earlier rounds.
-    Flows on or behind a cycle are never placed and are missing from the result.
+    Worked out between datasets: a flow is an edge from each produced input to
+    its target, so a table with many writers and many readers costs their sum.
+    A flow comes one stage after the latest of its inputs. Flows on or behind a
+    cycle are missing from the result.
     """
-    spark = flows.sparkSession
-    waits, state = _waits(flows.select("flow", "target"), flow_inputs)
-    schema = state.schema
-    base = new_path(spark, "levels")
-    placed, half_done = F.col("got") == F.col("need"), F.col("got") < F.col("need")
-    number = 0
+    reads = _reads(flows, flow_inputs)
+    placed = dataset_levels(flows.select(F.col("target").alias("dataset")).distinct(), _dataset_edges(reads))
+    known = placed.select("dataset", "level")
+    seen = reads.join(known, "dataset", "left")
+    latest = stored(
+        seen.groupBy("flow").agg(F.max("level").alias("level"), F.bool_or(F.col("level").isNull()).alias("waits")), "latest"
+    )
+    after = flows.select("flow").join(latest, "flow", "left").filter("waits IS NULL OR NOT waits")
+    return after.select("flow", F.coalesce(F.col("level") + 1, F.lit(0)).cast("int").alias("stage"))
+
+
+def _reads(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
+    """``(flow, target, dataset)``: the inputs of flows that some flow writes. Stored."""
+    produced = keys_of(flows.select(F.col("target").alias("dataset")), ["dataset"])
+    inner = flow_inputs.select("flow", "dataset").distinct().join(produced, "dataset", "left_semi")
+    return stored(flows.select("flow", "target").join(inner, "flow"), "reads")
+
+
+def _dataset_edges(reads: DataFrame) -> DataFrame:
+    return reads.select(F.col("dataset").alias("up"), F.col("target").alias("down")).distinct()
+
+
+def dataset_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(dataset, level)``: the longest path to each of ``nodes(dataset)`` along ``edges(up, down)``, without those on or behind cycles.
+
+    Each round contracts the graph. A dataset without edges into it is placed.
+    One with a single edge into it waits for that one alone; chains and trees of
+    such datasets are shortened by pointer doubling to the placed or branching
+    dataset they hang from, at a known distance, and leave the graph. Edges
+    from either kind are handed to what they hang from, equal ones become the
+    longer one, and edges from placed datasets become numbers. What is left are
+    the datasets with several edges into them, so used edges are read once and
+    a chain of n costs about log n jobs. At the end the datasets that left are
+    put back, latest round first.
+    """
+    spark = edges.sparkSession
+    left = stored(edges.select("up", "down", F.lit(1).alias("w")), "edges")
+    open_ = stored(nodes.select("dataset", F.lit(0).alias("base")), "open")
+    placed: list[DataFrame] = []
+    hanging: list[DataFrame] = []
     while True:
-        new = Observation()
-        folder = f"{base}/stage={number}"
-        state.observe(new, F.count_if(placed).alias("placed")).write.parquet(folder)
-        if new.get["placed"] == 0:
+        into = left.groupBy(F.col("down").alias("dataset")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("up").alias("root"), F.min("w").alias("w")
+        )
+        state = Observation()
+        counts = [F.count_if(c).alias(n) for n, c in (("roots", F.col("n") == 0), ("single", F.col("n") == 1), ("many", F.col("n") > 1))]
+        degrees = open_.join(into, "dataset", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        degrees = stored(degrees.observe(state, *counts), "degrees")
+        if not state.get["roots"] and not state.get["single"]:
             break
-        last = spark.read.schema(schema).parquet(folder)
-        finished = last.filter(placed).groupBy(F.col("target").alias("dataset")).agg(F.count(F.lit(1)).alias("got"))
-        state = (
-            waits.join(finished, "dataset")
-            .select(*schema.names)
-            .unionByName(last.filter(half_done))
-            .groupBy("flow", "target", "need")
-            .agg(F.sum("got").alias("got"))
+        roots = degrees.filter("n = 0").select("dataset", F.col("base").alias("level"))
+        hung = _shortened(degrees.filter("n = 1").select("dataset", "root", "w", "base")) if state.get["single"] else None
+        placed.append(roots)
+        if hung is not None:
+            hanging.append(hung)
+        if not state.get["many"]:
+            break
+        # What an edge starts from: a placed dataset, one that hangs from another, or one that stays.
+        starts = roots.select(F.col("dataset").alias("up"), F.lit(None).cast("string").alias("root"), F.lit(0).alias("more"), F.col("level").alias("base"))
+        if hung is not None:
+            starts = starts.unionByName(hung.select(F.col("dataset").alias("up"), "root", F.col("w").alias("more"), "base"))
+        # Stored: a join right on an aggregate or union of its key could not be split at a dataset with many readers.
+        starts = stored(starts.withColumn("left", F.lit(True)), "starts")
+        staying = degrees.filter("n > 1").select(F.col("dataset").alias("down"), "base")
+        moved = left.join(staying.select("down"), "down", "left_semi").join(starts, "up", "left")
+        moved = moved.select(
+            "down",
+            F.when(F.col("left").isNull(), F.col("up")).otherwise(F.col("root")).alias("up"),
+            (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"),
+            (F.col("base") + F.col("w")).alias("known"),
+        )
+        moved = stored(moved.groupBy("down", "up").agg(F.max("w").alias("w"), F.max("known").alias("known")), "moved")
+        known = moved.groupBy("down").agg(F.max("known").alias("known"))
+        open_ = stored(
+            staying.join(known, "down", "left").select(F.col("down").alias("dataset"), F.greatest("base", F.coalesce("known", F.lit(0))).alias("base")),
+            "open",
         )
-        number += 1
-    found = spark.read.schema(f"{_ddl(schema)}, stage int").parquet(base)
-    return found.filter(placed).select("flow", "stage")
+        left = moved.filter("up IS NOT NULL").select("up", "down", "w")
+    found = placed[0] if placed else spark.createDataFrame([], "dataset string, level int")
+    for more in placed[1:]:
+        found = found.unionByName(more)
+    for hung in reversed(hanging):
+        # What hangs from a placed dataset of any round, or from one put back before, is placed; the rest is blocked.
+        found = stored(found, "placed")
+        level = F.greatest(F.col("base"), F.col("level") + F.col("w"))
+        found = found.unionByName(hung.join(found.withColumnRenamed("dataset", "root"), "root").select("dataset", level.alias("level")))
+    return stored(found, "levels")
+
+
+def _shortened(single: DataFrame) -> DataFrame:
+    """``single(dataset, root, w, base)`` with ``root`` moved up to the first dataset that is not itself in ``single``.
+
+    A dataset's level is the greater of ``base`` and the root's level plus
+    ``w``, and two such steps make one. Every job doubles the steps twice. On a
+    cycle the steps never end; it is left when nothing but cycles is left.
+    """
+    last = None
+    current = stored(single, "single")
+    while True:
+        current = stored(_doubled(_doubled(current)), "single")
+        going = current.join(current.select(F.col("dataset").alias("root")), "root", "left_semi").count()
+        if going in (0, last):
+            return current
+        last = going
+
+
+def _doubled(single: DataFrame) -> DataFrame:
+    above = single.select(F.col("dataset").alias("root"), F.col("root").alias("__root"), F.col("w").alias("__w"), F.col("base").alias("__base"))
+    joined = single.join(above, "root", "left")
+    return joined.select(
+        "dataset",
+        F.coalesce("__root", "root").alias("root"),
+        (F.col("w") + F.coalesce("__w", F.lit(0))).alias("w"),
+        F.greatest("base", F.coalesce(F.col("__base") + F.col("w"), F.lit(0))).alias("base"),
+    )
+
+
+def cycles(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
+    """``(flow, cycle_id)`` of the flows that can never start: the first name on their cycle, or null for those behind one.
+
+    Datasets from which each other can be reached are found by colouring: the
+    least number that leads to each dataset is its colour, and those of a colour
+    that lead back to that number are one cycle with it. What is left goes on
+    without the datasets that are no longer on or behind a cycle. Flows on
+    one cycle are those that read and write datasets of one such group.
+    """
+    reads = _reads(flows, flow_inputs)
+    names = flows.select(F.col("target").alias("dataset")).distinct()
+    blocked = stored(blocked_flows(flows, stage_levels(flows, flow_inputs)).join(flows.select("flow", "target"), "flow"), "blocked")
+    # In the order of hashes, so that a walk along a cycle meets smaller numbers soon.
+    numbers = numbered(names, [F.xxhash64("dataset"), "dataset"], "id")
+    up, down = (numbers.select(F.col("dataset").alias(n), F.col("id").alias(i)) for n, i in (("up", "a"), ("down", "b")))
+    rest = _unplaced(names, _dataset_edges(reads))
+    groups: DataFrame | None = None
+    while not rest.isEmpty():
+        edges = stored(rest.join(up, "up").join(down, "down").select("a", "b"), "edges")
+        colour = least_leading(edges)
+        inside = edges.join(colour.select(F.col("node").alias("a"), F.col("least").alias("x")), "a")
+        inside = inside.join(colour.select(F.col("node").alias("b"), F.col("least").alias("y")), "b").filter("x = y")
+        back = least_leading(stored(inside.select(F.col("b").alias("a"), F.col("a").alias("b")), "edges"))
+        same = colour.join(back.withColumnRenamed("least", "leads_to"), "node").filter("least = leads_to")
+        found = stored(same.join(numbers.withColumnRenamed("id", "node"), "node").select("dataset", F.col("least").alias("group")), "groups")
+        groups = found if groups is None else groups.unionByName(found)
+        gone = found.select("dataset")
+        rest = rest.join(gone.withColumnRenamed("dataset", "up"), "up", "left_anti").join(gone.withColumnRenamed("dataset", "down"), "down", "left_anti")
+        rest = stored(rest, "edges")
+        ends = rest.select(F.col("up").alias("dataset")).union(rest.select("down")).distinct()
+        rest = _unplaced(ends, rest)
+    if groups is None:
+        return blocked.select("flow", F.lit(None).cast("string").alias("cycle_id"))
+    read, written = groups.withColumnRenamed("group", "read"), groups.select(F.col("dataset").alias("target"), F.col("group").alias("written"))
+    on_cycle = reads.join(read, "dataset").join(written, "target").filter("read = written").select("flow", F.col("read").alias("group")).distinct()
+    on_cycle = stored(on_cycle, "on-cycle")
+    named = stored(on_cycle.groupBy("group").agg(F.min("flow").alias("cycle_id")), "named")
+    return blocked.select("flow").join(on_cycle.join(named, "group").select("flow", "cycle_id"), "flow", "left")
+
+
+def _unplaced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges between datasets on or behind cycles. Stored."""
+    placed = dataset_levels(nodes, edges).select("dataset")
+    from_blocked = edges.join(placed.withColumnRenamed("dataset", "up"), "up", "left_anti")
+    return stored(from_blocked.join(placed.withColumnRenamed("dataset", "down"), "down", "left_anti"), "blocked-edges")
+
+
+def least_leading(edges: DataFrame) -> DataFrame:
+    """``(node, least)``: the least number from which each node of ``edges(a, b)`` can be reached, itself included. Stored.
+
+    A round takes the least of the nodes before and then the least of that
+    node's own, so the stretch looked back on grows by a factor.
+    """
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    current, seen = stored(nodes.withColumn("least", F.col("node")), "least"), None
+    while True:
+        before = edges.join(current.select(F.col("node").alias("a"), F.col("least").alias("l")), "a").groupBy("b").agg(F.min("l").alias("l"))
+        one = current.join(before.withColumnRenamed("b", "node"), "node", "left").select("node", F.coalesce(F.least("least", "l"), "least").alias("least"))
+        one = stored(one, "least")
+        further = one.select(F.col("node").alias("least"), F.col("least").alias("further"))
+        state = Observation()
+        two = one.join(further, "least").select("node", F.col("further").alias("least"))
+        current = stored(two.observe(state, F.sum(F.col("least").cast("decimal(38,0)")).alias("s")), "least")
+        if state.get["s"] == seen:
+            return current
+        seen = state.get["s"]
+
+
+def hubs(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
+    """``(dataset, side, flow)``: the edges through datasets, each dataset with its writers and its readers.
+
+    Every writer of a dataset is upstream of every reader, so these rows hold
+    what ``edges`` lists, with the sum of both numbers in place of their product.
+    """
+    reads = _reads(flows, flow_inputs)
+    read = keys_of(reads, ["dataset"])
+    writers = flows.select(F.col("target").alias("dataset"), "flow").join(read, "dataset", "left_semi")
+    return writers.select("dataset", F.lit("writer").alias("side"), "flow").unionByName(
+        reads.select("dataset", F.lit("reader").alias("side"), "flow")
+    )
 
 
 def blocked_flows(flows: DataFrame, levels: DataFrame) -> DataFrame:
@@ -113,30 +284,9 @@ def blocked_flows(flows: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def plan_listing(name: str, flows: DataFrame, levels: DataFrame) -> DataFrame:
-    """``(pipeline, stage, flow, target)`` in the order of execution."""
+    """``(pipeline, stage, flow, target)`` in the order of execution, which is one global sort of the listing."""
     return (
         flows.join(levels, "flow")
         .orderBy("stage", "decl_no", "flow")
         .select(F.lit(name).alias("pipeline"), "stage", "flow", "target")
     )
-
-
-def _waits(flows: DataFrame, flow_inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(dataset, flow, target, need)`` for inputs with writers, and the flows that wait for nothing.
-
-    ``need`` is the number of writers of all inputs of the flow. It travels
-    with the rows, so the rounds never look anything up.
-    """
-    counted = flows.groupBy(F.col("target").alias("dataset")).agg(F.count(F.lit(1)).alias("writers"))
-    # Distinct before the join and the counts stored, so that a dataset with many readers can be split.
-    produced = stored(flow_inputs.select("flow", "dataset").distinct().join(stored(counted, "writers"), "dataset"), "produced")
-    needs = produced.groupBy("flow").agg(F.sum("writers").alias("need"))
-    waiting = flows.join(needs, "flow")
-    waits = stored(produced.select("flow", "dataset").join(waiting, "flow"), "waits")
-    nothing = F.lit(0).cast("bigint")
-    roots = flows.join(needs, "flow", "left_anti").select("flow", "target", nothing.alias("need"), nothing.alias("got"))
-    return waits, roots
-
-
-def _ddl(schema) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)

@@ -60,9 +60,72 @@ def test_cycles_block_what_is_behind_them(spark):
     assert {r[0] for r in rows(checks.blocked(blocked))} == {"cycle"}
 
 
+def test_a_long_chain_takes_few_jobs(spark, monkeypatch):
+    n, writes = 1000, []
+    stored = lineage.stored
+    monkeypatch.setattr(lineage, "stored", lambda df, label: (writes.append(label), stored(df, label))[1])
+    flows = spark.range(n).select(
+        F.concat(F.lit("f"), "id").alias("flow"), F.concat(F.lit("d"), "id").alias("target"), F.lit("batch").alias("mode"), F.col("id").alias("decl_no")
+    )
+    inputs = flows.filter("decl_no > 0").select("flow", F.concat(F.lit("d"), F.col("decl_no") - 1).alias("dataset"))
+    assert dict(rows(lineage.stage_levels(flows, inputs))) == {f"f{i}": i for i in range(n)}
+    assert len(writes) < 30
+
+
+def cycles_by_hand(flows, inputs):
+    level, up = levels_by_hand(flows, inputs)
+    reach = {f: set(us) for f, us in up.items()}
+    changed = True
+    while changed:
+        changed = False
+        for f in reach:
+            more = set().union(reach[f], *(reach[u] for u in reach[f]))
+            changed, reach[f] = changed or more != reach[f], more
+    return {f: min((u for u in reach[f] if f in reach[u]), default=None) for f in up if f not in level}
+
+
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_cycles_are_named(spark, seed):
+    rng = random.Random(seed)
+    flows = [(f"f{i}", f"d{rng.randint(0, 30)}", "batch") for i in range(60)]
+    inputs = [(f, f"d{rng.randint(0, 40)}") for f, _, _ in flows for _ in range(rng.choice((0, 1, 1, 2)))]
+    inputs += [(f, t) for f, t, _ in flows[:2]]
+    if seed == 4:
+        # A ring of 300, a tail behind it, and a ring behind that.
+        flows += [(f"r{i}", f"ring{i}", "batch") for i in range(300)] + [(f"t{i}", f"tail{i}", "batch") for i in range(20)]
+        inputs += [(f"r{i}", f"ring{(i - 1) % 300}") for i in range(300)] + [(f"t{i}", f"tail{i - 1}" if i else "ring7") for i in range(20)]
+        flows += [("x1", "x1", "batch"), ("x2", "x2", "batch")]
+        inputs += [("x1", "x2"), ("x2", "x1"), ("x1", "tail19")]
+    expected = cycles_by_hand(flows, inputs)
+    assert dict(rows(lineage.cycles(*tables(spark, flows, inputs)))) == expected
+    assert any(expected.values()) and None in expected.values()
+
+
+def test_a_cycle_through_a_hub_with_many_readers(spark):
+    n = 100_000
+    readers = spark.range(n).select(F.concat(F.lit("r"), "id").alias("flow"), F.concat(F.lit("d"), "id").alias("target"))
+    flows = readers.unionAll(spark.createDataFrame([("back", "hub")], "flow string, target string"))
+    flows = flows.withColumns({"mode": F.lit("batch"), "decl_no": F.lit(1).cast("bigint")})
+    inputs = readers.select("flow", F.lit("hub").alias("dataset")).unionAll(spark.createDataFrame([("back", "d5")], "flow string, dataset string"))
+    found = lineage.cycles(flows, inputs)
+    assert rows(found.filter("cycle_id IS NOT NULL")) == [("back", "back"), ("r5", "back")]
+    assert found.count() == n + 1
+
+
+def test_hubs_are_the_edges_without_their_product(spark):
+    n = 100_000
+    writers = spark.range(n).select(F.concat(F.lit("w"), "id").alias("flow"), F.lit("hub").alias("target"))
+    readers = spark.range(n).select(F.concat(F.lit("r"), "id").alias("flow"), F.concat(F.lit("d"), "id").alias("target"))
+    flows = writers.unionAll(readers).withColumns({"mode": F.lit("batch"), "decl_no": F.lit(1).cast("bigint")})
+    inputs = readers.select("flow", F.lit("hub").alias("dataset"))
+    assert rows(lineage.hubs(flows, inputs).groupBy("dataset", "side").count()) == [("hub", "reader", n), ("hub", "writer", n)]
+    assert rows(lineage.stage_levels(flows, inputs).groupBy("stage").count()) == [(0, n), (1, n)]
+
+
 def test_nothing_declared(spark):
     graph = tables(spark, [], [])
     assert rows(lineage.stage_levels(*graph)) == []
+    assert rows(lineage.cycles(*graph)) == []
 
 
 def levels_by_hand(flows, inputs):
