@@ -80,12 +80,12 @@ def stage_levels(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     cycle are missing from the result.
     """
     reads = _reads(flows, flow_inputs)
-    placed = dataset_levels(flows.select(F.col("target").alias("dataset")).distinct(), _dataset_edges(reads))
-    known = placed.select("dataset", "level")
-    seen = reads.join(known, "dataset", "left")
-    latest = stored(
-        seen.groupBy("flow").agg(F.max("level").alias("level"), F.bool_or(F.col("level").isNull()).alias("waits")), "latest"
-    )
+    return _staged(flows, reads, dataset_levels(flows.select(F.col("target").alias("dataset")).distinct(), _dataset_edges(reads)))
+
+
+def _staged(flows: DataFrame, reads: DataFrame, levels: DataFrame) -> DataFrame:
+    seen = reads.join(levels, "dataset", "left")
+    latest = seen.groupBy("flow").agg(F.max("level").alias("level"), F.bool_or(F.col("level").isNull()).alias("waits"))
     after = flows.select("flow").join(latest, "flow", "left").filter("waits IS NULL OR NOT waits")
     return after.select("flow", F.coalesce(F.col("level") + 1, F.lit(0)).cast("int").alias("stage"))
 
@@ -116,7 +116,7 @@ def dataset_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     left = stored(edges.select("up", "down", F.lit(1).alias("w")), "edges")
-    open_ = stored(nodes.select("dataset", F.lit(0).alias("base")), "open")
+    open_ = nodes.select("dataset", F.lit(0).alias("base"))
     placed: list[DataFrame] = []
     hanging: list[DataFrame] = []
     while True:
@@ -130,18 +130,25 @@ def dataset_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if not state.get["roots"] and not state.get["single"]:
             break
         roots = degrees.filter("n = 0").select("dataset", F.col("base").alias("level"))
-        hung = _shortened(degrees.filter("n = 1").select("dataset", "root", "w", "base")) if state.get["single"] else None
+        hung = None
+        if state.get["single"]:
+            shortened = _shortened(degrees.filter("n = 1").select("dataset", "root", "w", "base"))
+            still = Observation()
+            both = shortened.join(roots.withColumnRenamed("dataset", "root"), "root", "left")
+            both = stored(both.observe(still, F.count_if(F.col("level").isNull()).alias("n")), "hanging")
+            at_once = F.greatest(F.col("base"), F.col("level") + F.col("w")).alias("level")
+            roots = roots.unionByName(both.filter("level IS NOT NULL").select("dataset", at_once))
+            if still.get["n"]:
+                hung = both.filter("level IS NULL").drop("level")
+                hanging.append(hung)
         placed.append(roots)
-        if hung is not None:
-            hanging.append(hung)
         if not state.get["many"]:
             break
         # What an edge starts from: a placed dataset, one that hangs from another, or one that stays.
         starts = roots.select(F.col("dataset").alias("up"), F.lit(None).cast("string").alias("root"), F.lit(0).alias("more"), F.col("level").alias("base"))
         if hung is not None:
             starts = starts.unionByName(hung.select(F.col("dataset").alias("up"), "root", F.col("w").alias("more"), "base"))
-        # Stored: a join right on an aggregate or union of its key could not be split at a dataset with many readers.
-        starts = stored(starts.withColumn("left", F.lit(True)), "starts")
+        starts = starts.withColumn("left", F.lit(True))
         staying = degrees.filter("n > 1").select(F.col("dataset").alias("down"), "base")
         moved = left.join(staying.select("down"), "down", "left_semi").join(starts, "up", "left")
         moved = moved.select(
@@ -152,9 +159,8 @@ def dataset_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         moved = stored(moved.groupBy("down", "up").agg(F.max("w").alias("w"), F.max("known").alias("known")), "moved")
         known = moved.groupBy("down").agg(F.max("known").alias("known"))
-        open_ = stored(
-            staying.join(known, "down", "left").select(F.col("down").alias("dataset"), F.greatest("base", F.coalesce("known", F.lit(0))).alias("base")),
-            "open",
+        open_ = staying.join(known, "down", "left").select(
+            F.col("down").alias("dataset"), F.greatest("base", F.coalesce("known", F.lit(0))).alias("base")
         )
         left = moved.filter("up IS NOT NULL").select("up", "down", "w")
     found = placed[0] if placed else spark.createDataFrame([], "dataset string, level int")
@@ -207,11 +213,12 @@ def cycles(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     """
     reads = _reads(flows, flow_inputs)
     names = flows.select(F.col("target").alias("dataset")).distinct()
-    blocked = stored(blocked_flows(flows, stage_levels(flows, flow_inputs)).join(flows.select("flow", "target"), "flow"), "blocked")
+    levels = dataset_levels(names, _dataset_edges(reads))
+    blocked = blocked_flows(flows, stored(_staged(flows, reads, levels), "stages"))
     # In the order of hashes, so that a walk along a cycle meets smaller numbers soon.
     numbers = numbered(names, [F.xxhash64("dataset"), "dataset"], "id")
     up, down = (numbers.select(F.col("dataset").alias(n), F.col("id").alias(i)) for n, i in (("up", "a"), ("down", "b")))
-    rest = _unplaced(names, _dataset_edges(reads))
+    rest = _unplaced(_dataset_edges(reads), levels)
     groups: DataFrame | None = None
     while not rest.isEmpty():
         edges = stored(rest.join(up, "up").join(down, "down").select("a", "b"), "edges")
@@ -226,7 +233,7 @@ def cycles(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
         rest = rest.join(gone.withColumnRenamed("dataset", "up"), "up", "left_anti").join(gone.withColumnRenamed("dataset", "down"), "down", "left_anti")
         rest = stored(rest, "edges")
         ends = rest.select(F.col("up").alias("dataset")).union(rest.select("down")).distinct()
-        rest = _unplaced(ends, rest)
+        rest = _unplaced(rest, dataset_levels(ends, rest))
     if groups is None:
         return blocked.select("flow", F.lit(None).cast("string").alias("cycle_id"))
     read, written = groups.withColumnRenamed("group", "read"), groups.select(F.col("dataset").alias("target"), F.col("group").alias("written"))
@@ -236,9 +243,9 @@ def cycles(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     return blocked.select("flow").join(on_cycle.join(named, "group").select("flow", "cycle_id"), "flow", "left")
 
 
-def _unplaced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _unplaced(edges: DataFrame, levels: DataFrame) -> DataFrame:
     """The edges between datasets on or behind cycles. Stored."""
-    placed = dataset_levels(nodes, edges).select("dataset")
+    placed = levels.select("dataset")
     from_blocked = edges.join(placed.withColumnRenamed("dataset", "up"), "up", "left_anti")
     return stored(from_blocked.join(placed.withColumnRenamed("dataset", "down"), "down", "left_anti"), "blocked-edges")
 
@@ -246,19 +253,18 @@ def _unplaced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def least_leading(edges: DataFrame) -> DataFrame:
     """``(node, least)``: the least number from which each node of ``edges(a, b)`` can be reached, itself included. Stored.
 
-    A round takes the least of the nodes before and then the least of that
-    node's own, so the stretch looked back on grows by a factor.
+    A round takes the least that the nodes before know, and what the least one
+    known so far knows itself, so the stretch looked back on grows by a factor.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     current, seen = stored(nodes.withColumn("least", F.col("node")), "least"), None
     while True:
-        before = edges.join(current.select(F.col("node").alias("a"), F.col("least").alias("l")), "a").groupBy("b").agg(F.min("l").alias("l"))
-        one = current.join(before.withColumnRenamed("b", "node"), "node", "left").select("node", F.coalesce(F.least("least", "l"), "least").alias("least"))
-        one = stored(one, "least")
-        further = one.select(F.col("node").alias("least"), F.col("least").alias("further"))
+        before = edges.join(current.select(F.col("node").alias("a"), F.col("least").alias("l")), "a").select(F.col("b").alias("node"), "l")
+        further = current.select(F.col("node").alias("least"), F.col("least").alias("l"))
+        further = current.join(further, "least").select("node", "l")
         state = Observation()
-        two = one.join(further, "least").select("node", F.col("further").alias("least"))
-        current = stored(two.observe(state, F.sum(F.col("least").cast("decimal(38,0)")).alias("s")), "least")
+        least = before.unionByName(further).groupBy("node").agg(F.min("l").alias("least"))
+        current = stored(least.observe(state, F.sum(F.col("least").cast("decimal(38,0)")).alias("s")), "least")
         if state.get["s"] == seen:
             return current
         seen = state.get["s"]

@@ -128,6 +128,15 @@ def test_nothing_declared(spark):
     assert rows(lineage.cycles(*graph)) == []
 
 
+def test_what_hangs_from_a_placed_dataset_is_placed_with_it(spark):
+    graph = tables(
+        spark,
+        [("a", "a", "batch"), ("b", "b", "batch"), ("c", "c", "batch"), ("d", "d", "batch"), ("e", "e", "batch")],
+        [("b", "a"), ("c", "b"), ("d", "c"), ("d", "b"), ("e", "d")],
+    )
+    assert rows(lineage.stage_levels(*graph)) == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4)]
+
+
 def levels_by_hand(flows, inputs):
     writers = {}
     for f, t, _ in flows:
