@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import uuid
+
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from millrace.model import INSERT, TEMPORARY_VIEW, Dataset, PipelineError
 
@@ -15,7 +18,7 @@ def publish(dataset: Dataset, df: DataFrame, save_mode: str = "overwrite") -> No
     * temporary view: registered, no job runs;
     * insert target: appended by column position to a table that must exist;
     * anything else: saved with ``save_mode``. ``overwrite`` replaces data and
-      schema, ``append`` matches columns by name.
+      schema once all rows are written, ``append`` matches columns by name.
     """
     if save_mode not in SAVE_MODES:
         raise PipelineError(f"save mode must be one of {', '.join(SAVE_MODES)}, not {save_mode!r}")
@@ -23,11 +26,45 @@ def publish(dataset: Dataset, df: DataFrame, save_mode: str = "overwrite") -> No
         df.createOrReplaceTempView(dataset.name)
     elif dataset.write == INSERT:
         _gathered(dataset.name, df).write.mode("append").insertInto(dataset.name)
+    elif save_mode == "overwrite" and df.sparkSession.catalog.tableExists(dataset.name):
+        _replace(dataset, df)
     else:
-        writer = df.write.mode(save_mode)
-        if dataset.format:
-            writer = writer.format(dataset.format)
-        writer.saveAsTable(dataset.name)
+        _writer(dataset, df, save_mode).saveAsTable(dataset.name)
+
+
+def _writer(dataset: Dataset, df: DataFrame, save_mode: str) -> DataFrameWriter:
+    writer = df.write.mode(save_mode)
+    return writer.format(dataset.format) if dataset.format else writer
+
+
+def _replace(dataset: Dataset, df: DataFrame) -> None:
+    """Write the rows beside the table and put them in its place when all are there.
+
+    An overwrite of a table drops it before the job. Here a job that fails
+    leaves the table with its earlier rows, and readers see either the earlier
+    rows or the new ones; between the two renames, which move no rows, the name
+    is missing for a moment. What a failure between them leaves is put back.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    *where, name = split_name(dataset.name)
+    beside = {kind: ".".join(f"`{p}`" for p in [*where, f"{name}__{kind}_{mark}"]) for kind in ("new", "old")}
+    own = ".".join(f"`{p}`" for p in [*where, name])
+    try:
+        _writer(dataset, df, "errorifexists").saveAsTable(beside["new"])
+        spark.sql(f"ALTER TABLE {own} RENAME TO {beside['old']}")
+        try:
+            spark.sql(f"ALTER TABLE {beside['new']} RENAME TO {own}")
+        except Exception:
+            spark.sql(f"ALTER TABLE {beside['old']} RENAME TO {own}")
+            raise
+    finally:
+        for left in beside.values():
+            spark.sql(f"DROP TABLE IF EXISTS {left}")
+
+
+def split_name(name: str) -> list[str]:
+    """The parts of a name, back-quoted or not."""
+    return [quoted.replace("``", "`") if quoted else bare for quoted, bare in re.findall(r"`((?:[^`]|``)+)`|([^.`]+)", name)]
 
 
 def bootstrap(spark: SparkSession, dataset: Dataset) -> bool:

@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.operators import joins
 from millrace.operators.joins import anti, band_join, full_outer, semi
 from millrace.operators.windows import framed, numbered, ranked
 from millrace.plans import checks, lineage
@@ -98,6 +99,22 @@ def test_band_join_lists_each_pair_once(spark, width):
     assert rows(got) == sorted(((p, b) for p, x in points for b, low, high in bands if low <= x <= high), key=repr)
 
 
+def test_bands_of_any_length_in_one_join(spark):
+    rng = random.Random(9)
+    bands = [(i, low, low + length) for i, length in enumerate([1, 2, 3, 7, 64, 1000, 10**6 + 3, 10**9, 10**9 - 1, 0] * 3) for low in [rng.randint(-(10**9), 10**9)]]
+    bands += [(100, -5, -6), (101, None, 3), (102, 3, None)]
+    points = [(i, rng.randint(-(10**9), 2 * 10**9)) for i in range(300)]
+    points += [(1000 + k, x) for k, (_, low, high) in enumerate(bands[:30]) for x in (low, high, high + 1)] + [(5000, None)]
+    df = spark.createDataFrame(bands, "b int, low bigint, high bigint")
+    got = band_join(spark.createDataFrame(points, "p int, x bigint"), F.col("x"), df, "low", "high", 1.0).select("p", "b")
+    inside = [(p, b) for p, x in points for b, low, high in bands if None not in (x, low, high) and low <= x <= high]
+    assert rows(got) == sorted(inside, key=repr)
+    cells = df.filter("low <= high").select((F.col("high") - F.col("low") + 1).alias("n"), F.size(joins._dyadic(F.col("low"), F.col("high"))).alias("listed"))
+    assert all(r.listed <= max(1, 2 * r.n.bit_length()) for r in cells.collect())
+    none = df.filter("b > 1000")
+    assert rows(band_join(spark.createDataFrame(points, "p int, x bigint"), F.col("x"), none, "low", "high", 1.0)) == []
+
+
 LOW_SKEW = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",

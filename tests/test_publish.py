@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace import Dataset, PipelineError
+from millrace.model import TABLE
 from millrace.settings import default_namespace, spark_conf
 from millrace.sinks.publish import bootstrap, publish
 from millrace.storage import drop_scratch, scratch_database, shared_dir, stored
@@ -174,3 +175,23 @@ def test_scratch_lies_in_the_shared_folder():
     Session.conf = Session.conf | {"spark.checkpoint.dir": "hdfs://store/shared"}
     assert shared_dir(Session) == "hdfs://store/shared"
 
+
+
+def test_a_failed_overwrite_keeps_the_rows_of_the_run_before(spark, database):
+    dataset = Dataset(f"{database}.kept", TABLE)
+    publish(dataset, spark.range(5).toDF("n"))
+    halfway = spark.range(0, 1000, 1, 8).select(F.when(F.col("id") == 900, F.raise_error(F.lit("stop"))).otherwise("x").alias("other"))
+    with pytest.raises(Exception, match="stop"):
+        publish(dataset, halfway)
+    assert rows(spark.table(dataset.name)) == [(n,) for n in range(5)]
+    assert [t.name for t in spark.catalog.listTables(database)] == ["kept"]
+    publish(dataset, spark.range(2).select(F.lit("new").alias("other"), "id"))
+    assert rows(spark.table(dataset.name)) == [("new", 0), ("new", 1)]
+    assert [t.name for t in spark.catalog.listTables(database)] == ["kept"]
+
+
+def test_an_overwrite_may_read_the_table_it_replaces(spark, database):
+    dataset = Dataset(f"{database}.`odd_name`", TABLE, format="parquet")
+    publish(dataset, spark.range(3).toDF("n"))
+    publish(dataset, spark.table(dataset.name).selectExpr("n + 1 AS n"))
+    assert rows(spark.table(dataset.name)) == [(1,), (2,), (3,)]
