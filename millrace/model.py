@@ -50,6 +50,10 @@ class Dataset:
 
     ``write="insert"`` marks a table that exists already and is appended to by
     column position; every other persisted dataset is saved by name.
+
+    With ``run_column`` every row says which attempt of a flow wrote it, and
+    the table is partitioned by that, so that ``run`` can take back what an
+    interrupted ``once`` flow has left behind.
     """
 
     name: str
@@ -59,6 +63,7 @@ class Dataset:
     schema: StructType | None = None
     comment: str | None = None
     properties: Mapping[str, str] = field(default_factory=dict)
+    run_column: str | None = None
 
     def __post_init__(self) -> None:
         _require(self.name, "dataset name")

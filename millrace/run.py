@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from graphlib import CycleError, TopologicalSorter
 from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.model import (
@@ -27,8 +28,8 @@ from millrace.model import (
 )
 from millrace.functions.script_text import FLOW_NAME_FORMAT, FLOW_NAME_REPLACED, SET, UNSUPPORTED
 from millrace.plans.scripts import project_rows
-from millrace.settings import default_namespace, spark_conf
-from millrace.sinks.publish import bootstrap, publish
+from millrace.settings import default_namespace, own_session, spark_conf
+from millrace.sinks.publish import bootstrap, counted, publish, split_name, take_back
 from millrace.sources.scripts import read_scripts
 from millrace.streaming.guard import require_batch
 
@@ -56,6 +57,10 @@ class FlowResult(NamedTuple):
     rows: int | None
 
 
+class _OtherSession(PipelineError):
+    """A query that did not use the session it was given, so that the flow's settings would not reach its job."""
+
+
 class _HeldBack(PipelineError):
     """A flow that was not run because another writer of its table failed."""
 
@@ -91,9 +96,11 @@ def run(
     up instead of erasing each other. With ``once_log``, a table name, ``once``
     flows recorded there by an earlier run are skipped.
 
-    Flows of one wave may run side by side. Those into a target that has a flow
-    with settings of its own still run one at a time, because settings belong
-    to the whole session, and so do flows that write the same table.
+    Flows of one wave may run side by side, but for those that write the same
+    table. Flows with settings of their own then run in sessions of their own,
+    which start with the settings, views and functions of the caller's. Those
+    into views, which run no job, and those whose query answers with data of
+    another session than ``context.spark`` run alone after the others.
 
     If a flow fails, the rest of its wave still finishes except for further
     writers of the same table, which might add to rows of an earlier run; later
@@ -101,6 +108,11 @@ def run(
 
     A ``once`` flow that is recorded runs again with the others if this run
     overwrites its table, since its rows would be lost otherwise.
+
+    If the driver ends between a ``once`` flow's write and its record, the flow
+    runs again. Where its dataset has a ``run_column``, the attempt was noted
+    beforehand in the table ``once_log`` + ``_begun``, and its rows are taken back
+    first; elsewhere they are there twice. One run of a pipeline at a time.
     """
     _require_valid(pipeline)
     waves = list(stages(pipeline))
@@ -109,7 +121,9 @@ def run(
     started: dict[str, str | None] = {}
     failed: set[str] = set()
     with spark_conf(spark, pipeline.conf), default_namespace(spark, pipeline.catalog, pipeline.database):
-        skipped = _skipped(pipeline, _recorded(spark, pipeline, once_log), save_mode)
+        recorded = _recorded(spark, pipeline, once_log)
+        _take_back(spark, pipeline, recorded, once_log)
+        skipped = _skipped(pipeline, recorded, save_mode)
         for number, wave in enumerate(waves):
             flows = [f for f in wave if f.name not in skipped]
             modes = {}
@@ -121,8 +135,13 @@ def run(
                 else:
                     modes[flow.name] = "append" if started[key] else None
 
-            def one(flow: Flow, number: int = number, modes: dict = modes) -> FlowResult:
-                return _run_flow(context, flow, number, modes[flow.name])
+            marks = {f.name: uuid.uuid4().hex for f in flows if pipeline.dataset(f.target).run_column}
+            _begin(spark, pipeline, flows, marks, once_log)
+
+            def one(
+                flow: Flow, own: bool = False, number: int = number, modes: dict = modes, marks: dict = marks
+            ) -> FlowResult:
+                return _run_flow(context, flow, number, modes[flow.name], marks.get(flow.name), own)
 
             outcomes = _run_wave(spark, pipeline, flows, one, max_concurrent_flows, failed)
             if once_log:
@@ -150,8 +169,7 @@ def plan(spark: SparkSession, pipeline: Pipeline) -> DataFrame:
 def report(spark: SparkSession, results: Iterable[FlowResult]) -> DataFrame:
     """The results as rows ``(seq, stage, flow, target, rows)``.
 
-    ``rows`` is counted by Spark while writing; if an executor is lost and part
-    of a write is repeated, its rows may be counted again.
+    ``rows`` comes from the committed files (see ``sinks.publish.counted``).
     """
     rows = [(seq, *result) for seq, result in enumerate(results, start=1)]
     return spark.createDataFrame(rows, "seq int, stage int, flow string, target string, rows bigint")
@@ -229,21 +247,23 @@ def _run_wave(
     spark: SparkSession,
     pipeline: Pipeline,
     flows: list[Flow],
-    one: Callable[[Flow], FlowResult],
+    one: Callable[..., FlowResult],
     max_concurrent_flows: int,
     failed: set[str],
 ) -> dict[str, FlowResult | Exception]:
     """What became of each flow. ``failed`` collects the tables of failed writers, which take no more rows."""
     outcomes: dict[str, FlowResult | Exception] = {}
 
-    def attempt(group: list[Flow]) -> None:
+    def attempt(group: list[Flow], together: bool = False) -> None:
         for flow in group:
             key = pipeline.key(flow.target)
             if key in failed:
                 outcomes[flow.name] = _HeldBack(f"another writer of {flow.target!r} failed")
                 continue
             try:
-                outcomes[flow.name] = one(flow)
+                outcomes[flow.name] = one(flow, together and bool(flow.conf))
+            except _OtherSession:
+                return
             except Exception as error:
                 outcomes[flow.name] = error
                 failed.add(key)
@@ -251,25 +271,34 @@ def _run_wave(
     by_target: dict[str, list[Flow]] = {}
     for flow in flows:
         by_target.setdefault(pipeline.key(flow.target), []).append(flow)
-    together = [group for group in by_target.values() if not any(f.conf for f in group)]
-    if max_concurrent_flows > 1 and len(together) > 1:
+    persisted = {k for k in by_target if pipeline.dataset(k).persisted}
+    groups = [group for key, group in by_target.items() if key in persisted or not any(f.conf for f in group)]
+    if max_concurrent_flows > 1 and len(groups) > 1:
+        side_by_side = inheritable_thread_target(spark)(lambda group: attempt(group, together=True))
         with ThreadPoolExecutor(max_concurrent_flows) as pool:
-            list(pool.map(inheritable_thread_target(spark)(attempt), together))
+            list(pool.map(side_by_side, groups))
     attempt([f for f in flows if f.name not in outcomes])
     return outcomes
 
 
-def _run_flow(context: FlowContext, flow: Flow, stage: int, mode: str | None) -> FlowResult:
+def _run_flow(
+    context: FlowContext, flow: Flow, stage: int, mode: str | None, mark: str | None = None, own: bool = False
+) -> FlowResult:
+    """Run one flow; with ``own`` in a session of its own, whose settings nobody else sees."""
+    if own:
+        context, outer = replace(context, spark=own_session(context.spark)), context.spark
     spark, dataset = context.spark, context.pipeline.dataset(flow.target)
     with spark_conf(spark, flow.conf):
         df = require_batch(flow.query(context), flow.name)
+        if own and df.sparkSession is not spark:
+            raise _OtherSession(flow.name)
         rows = None
         if not dataset.persisted:
             publish(dataset, df)
         elif mode is not None:
-            counted = Observation()
-            publish(dataset, df.observe(counted, F.count(F.lit(1)).alias("rows")), mode)
-            rows = counted.get["rows"]
+            rows = counted(dataset, df.withColumn(dataset.run_column, F.lit(mark)) if mark else df, mode)
+    if own:
+        outer.catalog.refreshTable(dataset.name)
     return FlowResult(stage, flow.name, dataset.name, rows)
 
 
@@ -300,3 +329,27 @@ def _record(spark: SparkSession, pipeline: Pipeline, flows: list[Flow], once_log
     if marks:
         rows = spark.createDataFrame(marks, "pipeline string, flow string")
         publish(Dataset(once_log, TABLE), rows, "append")
+
+
+def _begun_log(once_log: str) -> str:
+    *where, name = split_name(once_log)
+    return ".".join(f"`{p}`" for p in [*where, f"{name}_begun"])
+
+
+def _begin(spark: SparkSession, pipeline: Pipeline, flows: list[Flow], marks: Mapping[str, str], once_log: str | None) -> None:
+    """Note the attempts of a wave's ``once`` flows before anything is written."""
+    begun = [(pipeline.name, f.name, marks[f.name]) for f in flows if f.mode == ONCE and f.name in marks]
+    if once_log and begun:
+        rows = spark.createDataFrame(begun, "pipeline string, flow string, mark string")
+        publish(Dataset(_begun_log(once_log), TABLE), rows, "append")
+
+
+def _take_back(spark: SparkSession, pipeline: Pipeline, recorded: set[str], once_log: str | None) -> None:
+    """Remove the rows of ``once`` flows that were begun and never recorded."""
+    marked = [f for f in pipeline.flows if f.mode == ONCE and pipeline.dataset(f.target).run_column]
+    open_flows = {f.name: pipeline.dataset(f.target) for f in marked if f.name not in recorded}
+    if not once_log or not open_flows or not spark.catalog.tableExists(_begun_log(once_log)):
+        return
+    begun = spark.table(_begun_log(once_log)).filter(F.col("pipeline") == pipeline.name)
+    for row in begun.filter(F.col("flow").isin(*open_flows)).select("flow", "mark").distinct().collect():
+        take_back(spark, open_flows[row["flow"]], [row["mark"]])

@@ -30,6 +30,18 @@ def spark_conf(spark: SparkSession, overrides: Mapping[str, str]) -> Iterator[No
                 spark.conf.set(key, earlier)
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings, views, functions and default database of ``spark``, which then go their own way.
+
+    Tables and databases are shared; what one session caches of a table's files
+    has to be refreshed when the other writes it.
+    """
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.catalog.setCurrentCatalog(spark.catalog.currentCatalog())
+    own.catalog.setCurrentDatabase(spark.catalog.currentDatabase())
+    return own
+
+
 @contextmanager
 def default_namespace(spark: SparkSession, catalog: str | None = None, database: str | None = None) -> Iterator[None]:
     """Resolve unqualified names in ``catalog`` and ``database`` while the block runs."""

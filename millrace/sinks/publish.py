@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.model import INSERT, TEMPORARY_VIEW, Dataset, PipelineError
 
@@ -32,8 +34,44 @@ def publish(dataset: Dataset, df: DataFrame, save_mode: str = "overwrite") -> No
         _writer(dataset, df, save_mode).saveAsTable(dataset.name)
 
 
+def counted(dataset: Dataset, df: DataFrame, save_mode: str) -> int:
+    """Publish ``df`` and return how many rows its committed files hold.
+
+    Parquet and ORC tell their numbers of rows without being read; only files
+    that were not there before are asked. In other formats, which would have
+    to be read once more, the rows are counted on their way into the files, and
+    a task that is repeated may count its rows again.
+    """
+    spark = df.sparkSession
+    before = _files(spark, dataset) if save_mode == "append" or dataset.write == INSERT else set()
+    seen = Observation()
+    publish(dataset, df.observe(seen, F.count(F.lit(1)).alias("rows")), save_mode)
+    table = spark.table(dataset.name)
+    files = _files(spark, dataset)
+    if not files or not all(f.endswith((".parquet", ".orc")) for f in files):
+        return seen.get["rows"]
+    if before:
+        # Every job gives its files names that no other job uses; by name the rest is left out before anything is opened.
+        table = table.filter(F.col("_metadata.file_name").isin(*{f.rsplit("/", 1)[1] for f in files - before}))
+    return table.count()
+
+
+def take_back(spark: SparkSession, dataset: Dataset, marks: Iterable[str]) -> None:
+    """Remove the rows of attempts that were not finished; each is a partition, so no other rows are touched."""
+    if not spark.catalog.tableExists(dataset.name):
+        return
+    for mark in marks:
+        spark.sql(f"ALTER TABLE {dataset.name} DROP IF EXISTS PARTITION (`{dataset.run_column}` = '{mark}')")
+
+
+def _files(spark: SparkSession, dataset: Dataset) -> set[str]:
+    return set(spark.table(dataset.name).inputFiles()) if spark.catalog.tableExists(dataset.name) else set()
+
+
 def _writer(dataset: Dataset, df: DataFrame, save_mode: str) -> DataFrameWriter:
     writer = df.write.mode(save_mode)
+    if dataset.run_column:
+        writer = writer.partitionBy(dataset.run_column)
     return writer.format(dataset.format) if dataset.format else writer
 
 
@@ -57,6 +95,9 @@ def _replace(dataset: Dataset, df: DataFrame) -> None:
         except Exception:
             spark.sql(f"ALTER TABLE {beside['old']} RENAME TO {own}")
             raise
+        if dataset.run_column:
+            # Some catalogs rename a table without its partitions' places.
+            spark.sql(f"MSCK REPAIR TABLE {own} SYNC PARTITIONS")
     finally:
         for left in beside.values():
             spark.sql(f"DROP TABLE IF EXISTS {left}")

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
 import threading
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -282,3 +286,118 @@ def test_plans_are_listed_without_running(spark):
     assert ran == []
     with pytest.raises(PipelineError, match="not valid"):
         plan(spark, Pipeline("p", [Dataset("a", "table")]))
+
+
+def test_six_flows_with_settings_of_their_own_at_once(spark, database):
+    key, seen, together = "spark.sql.shuffle.partitions", {}, threading.Barrier(6, timeout=60)
+    before = spark.conf.get(key)
+    spark.udf.register("plus_one", lambda x: x + 1, "bigint")
+    spark.range(3).createOrReplaceTempView("shared_ids")
+    spark.range(1).write.saveAsTable(f"{database}.t0")
+    assert spark.table(f"{database}.t0").count() == 1
+
+    def build(number):
+        def query(context):
+            together.wait()
+            seen[number] = context.spark.conf.get(key)
+            if number == 5:
+                raise ValueError("boom")
+            return context.sql("SELECT plus_one(id) AS id FROM shared_ids").repartition("id")
+
+        return query
+
+    flows = [Flow(f"f{i}", f"t{i}", build(i), conf={key: str(i + 11)}) for i in range(6)]
+    pipeline = Pipeline("p", [Dataset(f"t{i}", "table") for i in range(6)], flows, database=database)
+    with pytest.raises(PipelineError, match="flow 'f5' failed: boom"):
+        run(spark, pipeline, max_concurrent_flows=6)
+    assert seen == {i: str(i + 11) for i in range(6)}
+    assert spark.conf.get(key) == before and spark.catalog.currentDatabase() == "default"
+    assert [rows(spark.table(f"{database}.t{i}")) for i in range(5)] == [[(1,), (2,), (3,)]] * 5
+    spark.catalog.dropTempView("shared_ids")
+
+
+def test_a_query_of_another_session_runs_alone_with_its_settings(spark, database):
+    key, seen = "spark.sql.shuffle.partitions", []
+
+    def outside(context):
+        seen.append(spark.conf.get(key))
+        return spark.range(2)
+
+    flows = [Flow("outside", "a", outside, conf={key: "9"}), Flow("b", "b", lambda c: c.spark.range(1))]
+    pipeline = Pipeline("p", [Dataset("a", "table"), Dataset("b", "table")], flows, database=database, conf={key: "3"})
+    assert [r.rows for r in run(spark, pipeline, max_concurrent_flows=2)] == [2, 1]
+    assert seen == ["3", "9"]
+
+
+@pytest.mark.parametrize("mode", ["append", "overwrite"])
+def test_a_stop_between_rows_and_record_repeats_nothing(spark, database, monkeypatch, mode):
+    flows = [
+        Flow("old", "t", lambda c: c.spark.range(0, 2), mode="once"),
+        Flow("new", "t", lambda c: c.spark.range(2, 3)),
+    ]
+    pipeline = Pipeline("p", [Dataset("t", "table", run_column="attempt")], flows, database=database)
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patched:
+        patched.setattr(sys.modules["millrace.run"], "_record", stop)
+        for _ in range(2):
+            with pytest.raises(KeyboardInterrupt):
+                run(spark, pipeline, mode, once_log=f"{database}.log")
+    news = 2 if mode == "append" else 1
+    assert rows(spark.table(f"{database}.t").select("id")) == sorted([(0,), (1,)] + [(2,)] * news)
+    for times in (1, 2):
+        run(spark, pipeline, mode, once_log=f"{database}.log")
+        news = 2 + times if mode == "append" else 1
+        assert rows(spark.table(f"{database}.t").select("id")) == sorted([(0,), (1,)] + [(2,)] * news)
+
+
+def test_rows_are_those_of_the_files(spark, database):
+    spark.sql(f"CREATE TABLE {database}.sink (id BIGINT, part STRING) USING parquet PARTITIONED BY (part)")
+    spark.sql(f"INSERT INTO {database}.sink VALUES (7, 'a b'), (8, 'c=d/é')")
+    flows = [
+        Flow("sink", "sink", lambda c: c.spark.range(5).selectExpr("id", "CASE WHEN id < 2 THEN 'a b' ELSE 'c=d/é' END")),
+        Flow("none", "none", lambda c: c.spark.range(0)),
+        Flow("orc", "orc", lambda c: c.spark.range(4)),
+        Flow("json", "json", lambda c: c.spark.range(6)),
+    ]
+    datasets = [
+        Dataset("sink", "table", write="insert"),
+        Dataset("none", "table"),
+        Dataset("orc", "table", format="orc"),
+        Dataset("json", "table", format="json"),
+    ]
+    for mode in ("overwrite", "append"):
+        results = run(spark, Pipeline("p", datasets, flows, database=database), mode)
+        assert {r.flow: r.rows for r in results} == {"sink": 5, "none": 0, "orc": 4, "json": 6}
+    assert spark.table(f"{database}.sink").count() == 12
+
+
+RETRIED = """
+import sys
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from millrace import Dataset, Flow, Pipeline, run
+
+spark = SparkSession.builder.master("local[2,3]").config("spark.sql.warehouse.dir", sys.argv[1]).config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+
+def once_bad(batches):
+    for batch in batches:
+        yield batch
+    if TaskContext.get().attemptNumber() == 0 and TaskContext.get().partitionId() == 1:
+        raise ValueError("lost")
+
+query = lambda c: c.spark.range(0, 1000, 1, 4).mapInArrow(once_bad, "id bigint")
+result = run(spark, Pipeline("p", [Dataset("t", "table")], [Flow("f", "t", query)]))
+print("ROWS", result[0].rows, spark.table("t").count())
+"""
+
+
+def test_rows_after_a_task_that_is_retried(tmp_path):
+    env = {**os.environ, "PYTHONPATH": str(Path(__file__).parents[1])}
+    done = subprocess.run(
+        [sys.executable, "-c", RETRIED, str(tmp_path)], capture_output=True, text=True, timeout=300, env=env, cwd=tmp_path
+    )
+    assert "ROWS 1000 1000" in done.stdout, done.stderr[-2000:]
