@@ -1,10 +1,13 @@
 """Numbering, running totals, neighbours and ranks that no single key can overload.
 
 A plain window puts all rows of a key into one task. Here all rows are cut into
-slices that follow the window's keys and order (one range shuffle), and each
-slice is processed on its own. A slice holds many whole keys; only its first
-and its last one may go on in a neighbour, so at most two keys per slice are
-shifted by what lies in the slices before. A key of any size takes this path.
+slices that follow the window's keys and order (one range shuffle) and written
+in buckets, a slice in one bucket, so that the windows read them without another
+exchange. A slice holds many whole keys; only its first and its last one may go
+on in a neighbour, so at most two keys per slice are shifted by what lies in the
+slices before. These borders, two rows per slice, are all that is shuffled and
+broadcast after the range shuffle. A key of any size takes this path. There are as
+many buckets as slices; a bucket gets several slices by chance, as hashes fall.
 
 The order has to be total (it ends in a unique column); ranks, which are about
 equal values, take the value and the tie breaker separately. Running sums of
@@ -19,7 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.storage import stored
+from millrace.storage import bucketed, stored
 
 _SLICE = "__slice"
 _LOCAL = "__local"
@@ -65,10 +68,10 @@ def framed(
     ``df`` is computed once, apart from the sampling of the sort.
     """
     running, lag, lead = running or {}, lag or {}, lead or {}
-    slices = stored(df.repartitionByRange(*keys, *order).withColumn(_SLICE, F.spark_partition_id()), "slices")
+    slices = _sliced(df, keys, order)
     local = _window(slices, [_SLICE, *keys], order, _LOCAL, running, lag, lead)
     offsets = _offsets(local, _border_keys(slices, keys), keys, running, lag, lead)
-    same = [F.col(_SLICE) == F.col("__at")] + [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    same = _same_border(keys)
     joined = local.join(F.broadcast(offsets), same, "left")
     first, last = F.col(_LOCAL) == 1, F.col(_LOCAL) == F.col("__size")
     columns = {
@@ -88,25 +91,63 @@ def framed(
 def ranked(df: DataFrame, keys: Sequence[str], value: str, tie: str, descending: bool = False) -> DataFrame:
     """Add ``row_number``, ``rank`` and ``dense_rank`` per key by ``value``; ``tie`` orders equal values.
 
-    The ranks come from the counts per distinct value, so a value shared by
-    many rows is counted before anything is moved.
+    All three come from the same slices. Equal values may fill several slices;
+    the rank of the first rows of a slice is then that of the slice in which
+    their value began, and their value counts once.
     """
     direction = F.desc(value) if descending else F.asc(value)
-    rows = framed(df, keys, [direction, F.asc(tie)], number="row_number")
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    upto = framed(counts, keys, [direction], number="dense_rank", running={"__upto": "__n"})
-    # Stored, so that the join has a shuffle on either side, which adaptive execution can split.
-    ranks = stored(
-        upto.select(
-            *[F.col(k).alias(f"__rank_{k}") for k in keys],
-            F.col(value).alias("__rank_value"),
-            (F.col("__upto") - F.col("__n") + 1).alias("rank"),
-            "dense_rank",
-        ),
-        "ranks",
+    slices = _sliced(df, keys, [direction, F.asc(tie)])
+    by_value = Window.partitionBy(_SLICE, *keys).orderBy(direction)
+    local = slices.withColumns(
+        {
+            _LOCAL: F.row_number().over(by_value.orderBy(direction, F.asc(tie))).cast("bigint"),
+            "__rank": F.rank().over(by_value).cast("bigint"),
+            "__dense": F.dense_rank().over(by_value).cast("bigint"),
+        }
     )
-    same = [F.col(k).eqNullSafe(F.col(f"__rank_{k}")) for k in keys] + [F.col(value).eqNullSafe(F.col("__rank_value"))]
-    return rows.join(ranks, same).drop(*[f"__rank_{k}" for k in keys], "__rank_value")
+    borders, named = _border_keys(slices, keys), [f"__key_{k}" for k in keys]
+    same = _same_border(keys)
+    heads = local.join(F.broadcast(borders), same).groupBy("__at", *named).agg(
+        F.max(_LOCAL).alias("__size"),
+        F.max("__dense").alias("__values"),
+        F.max("__rank").alias("__last_rank"),
+        F.min_by(value, _LOCAL).alias("__first"),
+        F.max_by(value, _LOCAL).alias("__last"),
+    )
+    along = Window.partitionBy(*named).orderBy("__at")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = (F.row_number().over(along) > 1) & F.col("__first").eqNullSafe(F.lag("__last").over(along))
+    heads = heads.withColumns({"__rows_before": F.coalesce(F.sum("__size").over(before), F.lit(0)), "__goes_on": goes_on})
+    # Where the last value of a slice began: in it, unless it is also its first and goes on from the slice before.
+    begins = F.when(~F.col("__goes_on") | (F.col("__values") > 1), F.col("__rows_before") + F.col("__last_rank"))
+    offsets = heads.select(
+        "__at",
+        *named,
+        "__rows_before",
+        "__goes_on",
+        F.last(begins, ignorenulls=True).over(before).alias("__began"),
+        (
+            F.coalesce(F.sum("__values").over(before), F.lit(0))
+            - F.sum(F.col("__goes_on").cast("bigint")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+        ).alias("__values_before"),
+    )
+    joined = local.join(F.broadcast(offsets), same, "left")
+    moved = F.coalesce("__rows_before", F.lit(0))
+    columns = {
+        "row_number": moved + F.col(_LOCAL),
+        "rank": F.when(F.col("__goes_on") & (F.col("__dense") == 1), F.col("__began")).otherwise(moved + F.col("__rank")),
+        "dense_rank": F.coalesce("__values_before", F.lit(0)) + F.col("__dense"),
+    }
+    return joined.withColumns(columns).select(*df.columns, *columns)
+
+
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """All rows in slices along keys and order, a slice in one bucket. Stored."""
+    return bucketed(df.repartitionByRange(*keys, *order).withColumn(_SLICE, F.spark_partition_id()), _SLICE, "slices")
+
+
+def _same_border(keys: Sequence[str]) -> list[Column]:
+    return [F.col(_SLICE) == F.col("__at")] + [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
 
 
 def _window(df, keys, order, number, running, lag, lead) -> DataFrame:
@@ -129,7 +170,7 @@ def _border_keys(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _offsets(local, borders, keys, running, lag, lead) -> DataFrame:
     """What lies before and after each slice of the keys at its borders; two rows per slice at most."""
-    same = [F.col(_SLICE) == F.col("__at")] + [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    same = _same_border(keys)
     named = [f"__key_{k}" for k in keys]
     heads = local.join(F.broadcast(borders), same).groupBy("__at", *named).agg(
         F.max(_LOCAL).alias("__size"),

@@ -43,6 +43,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return found
 
 
+def bucketed(df: DataFrame, column: str, label: str) -> DataFrame:
+    """Like ``stored``, with one bucket per value of ``spark.sql.shuffle.partitions``: work per ``column`` needs no exchange.
+
+    The files belong to a table in a scratch database, since only tables remember their buckets.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"{_tables(spark)}.t_{uuid.uuid4().hex}", new_path(spark, label)
+    with spark_conf(spark, _SHORT_LIVED):
+        df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def _tables(spark: SparkSession) -> str:
+    """The scratch database for bucketed results of this process."""
+    for name in _DATABASES:
+        if name.startswith("millrace_buckets_") and spark.catalog.databaseExists(name):
+            return name
+    return scratch_database(spark, "millrace_buckets_")[0]
+
+
 def discard(*results: DataFrame) -> None:
     """Delete the files of results of ``stored`` that nothing will read any more."""
     for df in results:
@@ -50,10 +71,10 @@ def discard(*results: DataFrame) -> None:
         _delete(df.sparkSession, df.stored_at)
 
 
-def scratch_database(spark: SparkSession) -> tuple[str, str]:
+def scratch_database(spark: SparkSession, prefix: str = "millrace_") -> tuple[str, str]:
     """Create a database of its own in the shared folder; return its name and location."""
     path = new_path(spark, "db")
-    name = "millrace_" + path.rsplit("-", 1)[1]
+    name = prefix + path.rsplit("-", 1)[1]
     spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
     _DATABASES.append(name)
     return name, path

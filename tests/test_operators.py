@@ -64,6 +64,33 @@ def test_ranks_agree_with_plain_windows(spark, skewed, slices, descending):
     assert rows(got.select(expected.columns)) == rows(expected)
 
 
+def test_a_value_that_fills_many_slices(spark):
+    """Ties across borders: one value over most slices, a null value, a null key, keys of one row."""
+    data = [("a", 5, i) for i in range(400)] + [("a", 6, 1000 + i) for i in range(50)] + [("a", None, 2000 + i) for i in range(90)]
+    data += [(None, 1, 3000 + i) for i in range(70)] + [(f"s{i}", i, 4000 + i) for i in range(30)]
+    df = spark.createDataFrame(data, "key string, v int, id int").repartition(5)
+    for descending, value in ((False, F.asc("v")), (True, F.desc("v"))):
+        with spark_conf(spark, {"spark.sql.shuffle.partitions": "40"}):
+            got = ranked(df, ["key"], "v", "id", descending)
+        by_value = Window.partitionBy("key").orderBy(value)
+        expected = df.select(
+            "*",
+            F.row_number().over(by_value.orderBy(value, "id")).cast("bigint").alias("row_number"),
+            F.rank().over(by_value).cast("bigint").alias("rank"),
+            F.dense_rank().over(by_value).cast("bigint").alias("dense_rank"),
+        )
+        assert rows(got) == rows(expected)
+
+
+def test_windows_read_their_slices_without_another_exchange(spark, skewed):
+    for df in (ranked(skewed, ["key"], "v", "id"), framed(skewed, ["key"], ["at", "id"], number="n", running={"total": "v"})):
+        plan = df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan[0] or "bucketed" in plan[0].lower()
+        # Only the borders are exchanged: by their names, never the rows of a slice.
+        moved = [line for line in plan[1].splitlines() if "Exchange hashpartitioning" in line]
+        assert moved and all("__key_" in line for line in moved)
+
+
 def test_numbers_follow_the_global_order(skewed):
     got = numbered(skewed.select("at", "id"), ["at", "id"], "n").orderBy("n").collect()
     assert [r.n for r in got] == list(range(1, 3001))
