@@ -93,6 +93,31 @@ ORDER_PIECES = (
         target="'sink.sums ' || o_orderstatus",
         inputs=("'out.sum$' || o_custkey", "'OUT.sum$' || o_custkey"),
     ),
+    # Two flows that read each other and one behind them: none can ever start.
+    Piece(
+        "materialized_view",
+        "'SELECT id FROM ring.b_' || o_orderkey",
+        head="'CREATE MATERIALIZED VIEW ring.a_' || o_orderkey || ' AS '",
+        target="'ring.a_' || o_orderkey",
+        inputs=("'ring.b_' || o_orderkey",),
+        when="o_orderstatus = 'P'",
+    ),
+    Piece(
+        "materialized_view",
+        "'SELECT id FROM ring.a_' || o_orderkey",
+        head="'CREATE MATERIALIZED VIEW ring.b_' || o_orderkey || ' AS '",
+        target="'ring.b_' || o_orderkey",
+        inputs=("'ring.a_' || o_orderkey",),
+        when="o_orderstatus = 'P'",
+    ),
+    Piece(
+        "table",
+        "'SELECT id FROM ring.b_' || o_orderkey",
+        head="'INSERT INTO ring.all '",
+        target="'ring.all'",
+        inputs=("'ring.b_' || o_orderkey",),
+        when="o_orderstatus = 'P'",
+    ),
     Piece(
         "set",
         "'SET late.key=' || o_custkey",

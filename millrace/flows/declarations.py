@@ -121,15 +121,18 @@ numbered AS (
 """
 
 
-@query(f"""
-WITH RECURSIVE {_SCRIPT_TABLES},
+_SCRIPT_STEPS = """
 edges AS (
   SELECT DISTINCT w.flow AS upstream, r.flow AS downstream
   FROM numbered w JOIN outside i ON w.target = i.input
   JOIN numbered r ON r.path = i.path AND r.statement_no = i.statement_no),
 steps AS (
   SELECT flow, CAST(0 AS INTEGER) AS stage FROM numbered WHERE flow NOT IN (SELECT downstream FROM edges)
-  UNION SELECT e.downstream, s.stage + 1 FROM steps s JOIN edges e ON e.upstream = s.flow)
+  UNION SELECT e.downstream, s.stage + 1 FROM steps s JOIN edges e ON e.upstream = s.flow)"""
+
+
+@query(f"""
+WITH RECURSIVE {_SCRIPT_TABLES}, {_SCRIPT_STEPS}
 SELECT flow, max(stage) AS stage FROM steps GROUP BY flow""")
 def lin_script_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From script texts to the stage of every flow."""
@@ -276,11 +279,13 @@ _ALL = " UNION ALL ".join(
 
 
 @query(f"""
-WITH {_SCRIPT_TABLES},
+WITH RECURSIVE {_SCRIPT_TABLES}, {_SCRIPT_STEPS},
 datasets AS (SELECT target AS name, kind, flow_no AS decl_no FROM numbered),
 flows AS (SELECT flow, target, 'batch' AS mode FROM numbered),
 kinds AS (SELECT name, min_by(kind, decl_no) AS kind FROM datasets GROUP BY name)
-{_ALL}""")
+{_ALL}
+UNION ALL
+SELECT 'cycle', flow, 'never ready' FROM flows WHERE flow NOT IN (SELECT flow FROM steps)""")
 def chk_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From script texts to all that the checks find in them, flows that can never start included."""
     datasets, flows, flow_inputs = scripts.declaration_tables(_scripts(spark, sf_dir))

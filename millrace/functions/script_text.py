@@ -157,13 +157,17 @@ def setting(statement: Column) -> Column:
 
 
 def last_settings(settings: str) -> Column:
-    """One entry per key of an array column; the last value of a key wins."""
+    """One entry per key of an array column, in the order of the keys; the last value of a key wins.
 
-    def is_last(entry: Column, position: Column) -> Column:
-        later = F.slice(settings, position + 2, F.size(settings))
-        return ~F.exists(later, lambda other: other["key"] == entry["key"])
-
-    return F.filter(settings, is_last)
+    Sorted by key and place, an entry is the last of its key if the next one has another.
+    """
+    placed = F.array_sort(
+        F.transform(settings, lambda s, i: F.struct(s["key"].alias("key"), i.alias("i"), s["value"].alias("value")))
+    )
+    after = F.transform(F.slice(placed, F.lit(2), F.size(placed)), lambda s: s["key"])
+    pairs = F.arrays_zip(placed.alias("own"), after.alias("next"))
+    last = F.filter(pairs, lambda p: ~p["own"]["key"].eqNullSafe(p["next"]))
+    return F.transform(last, lambda p: F.struct(p["own"]["key"].alias("key"), p["own"]["value"].alias("value")))
 
 
 def flow_name(number: Column, target_name: Column) -> Column:
