@@ -70,7 +70,7 @@ def framed(
     running, lag, lead = running or {}, lag or {}, lead or {}
     slices = _sliced(df, keys, order)
     local = _window(slices, [_SLICE, *keys], order, _LOCAL, running, lag, lead)
-    offsets = _offsets(local, _border_keys(slices, keys), keys, running, lag, lead)
+    offsets = _offsets(local, keys, running, lag, lead)
     same = _same_border(keys)
     joined = local.join(F.broadcast(offsets), same, "left")
     first, last = F.col(_LOCAL) == 1, F.col(_LOCAL) == F.col("__size")
@@ -105,15 +105,9 @@ def ranked(df: DataFrame, keys: Sequence[str], value: str, tie: str, descending:
             "__dense": F.dense_rank().over(by_value).cast("bigint"),
         }
     )
-    borders, named = _border_keys(slices, keys), [f"__key_{k}" for k in keys]
-    same = _same_border(keys)
-    heads = local.join(F.broadcast(borders), same).groupBy("__at", *named).agg(
-        F.max(_LOCAL).alias("__size"),
-        F.max("__dense").alias("__values"),
-        F.max("__rank").alias("__last_rank"),
-        F.min_by(value, _LOCAL).alias("__first"),
-        F.max_by(value, _LOCAL).alias("__last"),
-    )
+    named, same = [f"__key_{k}" for k in keys], _same_border(keys)
+    end = {"__size": F.col(_LOCAL), "__values": F.col("__dense"), "__last_rank": F.col("__rank"), "__last": F.col(value)}
+    heads = _borders(local, keys, {"__first": F.col(value)}, end)
     along = Window.partitionBy(*named).orderBy("__at")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     goes_on = (F.row_number().over(along) > 1) & F.col("__first").eqNullSafe(F.lag("__last").over(along))
@@ -161,23 +155,31 @@ def _window(df, keys, order, number, running, lag, lead) -> DataFrame:
     return df.withColumns(columns) if columns else df
 
 
-def _border_keys(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The first and the last key of each slice: at most two rows per slice."""
-    ends = slices.groupBy(_SLICE).agg(F.min(F.struct(*keys)).alias("low"), F.max(F.struct(*keys)).alias("high"))
-    listed = ends.select(F.col(_SLICE).alias("__at"), F.explode(F.array_distinct(F.array("low", "high"))).alias("k"))
-    return listed.select("__at", *[F.col(f"k.{k}").alias(f"__key_{k}") for k in keys])
+def _borders(local: DataFrame, keys: Sequence[str], start: Mapping[str, Column], end: Mapping[str, Column]) -> DataFrame:
+    """What the first (``start``) and the last row (``end``) of the first and of the last key of each slice hold.
 
+    At most two rows per slice, from one pass over the slices where they lie.
+    """
+    at_start = F.struct(*[column.alias(name) for name, column in start.items()])
+    at_end = F.struct(*[F.col(k).alias(f"__key_{k}") for k in keys], *[column.alias(name) for name, column in end.items()])
+    up, down = F.struct(*keys, F.col(_LOCAL)), F.struct(*keys, -F.col(_LOCAL))
+    low, high = (F.min_by, up, down), (F.max_by, down, up)
+    ends = local.groupBy(F.col(_SLICE).alias("__at")).agg(
+        *[
+            F.struct(*([pick(at_start, first).alias("start")] if start else []), pick(at_end, last).alias("end")).alias(name)
+            for name, (pick, first, last) in (("low", low), ("high", high))
+        ]
+    )
+    listed = ends.select("__at", F.explode(F.array_distinct(F.array("low", "high"))).alias("b"))
+    return listed.select("__at", *(["b.start.*"] if start else []), "b.end.*")
 
-def _offsets(local, borders, keys, running, lag, lead) -> DataFrame:
+
+def _offsets(local, keys, running, lag, lead) -> DataFrame:
     """What lies before and after each slice of the keys at its borders; two rows per slice at most."""
-    same = _same_border(keys)
     named = [f"__key_{k}" for k in keys]
-    heads = local.join(F.broadcast(borders), same).groupBy("__at", *named).agg(
-        F.max(_LOCAL).alias("__size"),
-        *[F.max_by(new, _LOCAL).alias(f"__sum_{new}") for new in running],
-        *[F.max_by(source, _LOCAL).alias(f"__last_{new}") for new, source in lag.items()],
-        *[F.min_by(source, _LOCAL).alias(f"__first_{new}") for new, source in lead.items()],
-    )
+    end = {"__size": F.col(_LOCAL)}
+    end |= {f"__sum_{new}": F.col(new) for new in running} | {f"__last_{new}": F.col(source) for new, source in lag.items()}
+    heads = _borders(local, keys, {f"__first_{new}": F.col(source) for new, source in lead.items()}, end)
     along = Window.partitionBy(*named).orderBy("__at")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     return heads.select(
