@@ -8,8 +8,8 @@ stops when the next bound is below its k-th score. To start with a high k-th
 score, every shard first looks into one leaf per query; the best of these
 scores bounds the search in all shards.
 
-Components become floor(1024 * x). Vectors that are null, or hold null or
-non-finite components, take no part; vectors of different lengths do not meet.
+Components become floor(1024 * x). Rows with a null id and vectors that are
+null, or hold null or non-finite components, take no part; vectors of different lengths do not meet.
 Rows with equal ids are different candidates, and a query leaves out only its
 own row. Scores have to fit into a long. Ties go to the smaller id. Queries
 and candidates come in blocks, so no task holds all of either. An empty table
@@ -32,6 +32,8 @@ from millrace.llm.common import pick, stored
 SHARD = 4_096
 LEAF = 64
 QUERY_BLOCK = 256
+#: Blocks of queries that one copy of a tree serves.
+TREE_BLOCKS = 16
 SCALE = 1_024
 #: Below it, sums of products are exact in double precision.
 EXACT = 1 << 53
@@ -195,20 +197,35 @@ def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
 
 
 def _meet(trees_of: DataFrame, blocks: DataFrame, visit, schema: str) -> DataFrame:
-    """Every block of queries with every tree of its length, as rows of one block and one tree."""
+    """Every block of queries with every tree of its length.
+
+    Blocks travel to the trees. A tree is sent once per group of up to
+    ``TREE_BLOCKS`` blocks and stands first in its group, so a task holds one
+    tree and one block at a time.
+    """
+    groups = max(1, -(-blocks.count() // TREE_BLOCKS))
+    numbered = blocks.withColumn("group", F.pmod(F.xxhash64("queries"), F.lit(groups)))
     shards = trees_of.select("shard", F.col("dims").alias("__dims"))
-    listed = blocks.join(shards, F.col("dims") == F.col("__dims")).drop("dims", "__dims")
-    pairs = trees_of.select("shard", "tree").join(listed, "shard").repartition("shard", F.xxhash64("queries"))
+    listed = numbered.join(shards, F.col("dims") == F.col("__dims")).select(
+        "shard", "group", F.lit(1).alias("kind"), F.col("queries").alias("data")
+    )
+    each = F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))
+    copies = trees_of.select("shard", F.explode(each).alias("group"), F.lit(0).alias("kind"), F.col("tree").alias("data"))
+    together = copies.unionByName(listed).repartition("shard", "group").sortWithinPartitions("shard", "group", "kind")
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
         for batch in batches:
             for i in range(batch.num_rows):
-                tree, queries = Tree.load(batch.column(0)[i].as_py()), _unpack(batch.column(1)[i].as_py())
-                found = visit(tree, queries)
+                data = batch.column(1)[i].as_py()
+                if batch.column(0)[i].as_py() == 0:
+                    tree = Tree.load(data)
+                    continue
+                found = visit(tree, _unpack(data))
                 if found:
                     yield pa.RecordBatch.from_pylist(found)
 
-    return pairs.select("tree", "queries").mapInArrow(visited, schema)
+    return together.select("kind", "data").mapInArrow(visited, schema)
 
 
 def _probe(k: int):
