@@ -100,7 +100,7 @@ SELECT path, statement_no, target, flow_no,
   'sql_flow_' || printf('%03d', flow_no) || '_' || regexp_replace(target, '[^A-Za-z0-9_.-]', '_', 'g') AS flow
 FROM flow_pieces""")
 def lin_number_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flows = stored(scripts.declared_flows(_scripts(spark, sf_dir)).select("path", "statement_no", "target"), "flows")
+    flows = stored(scripts.filling_statements(_scripts(spark, sf_dir)).select("path", "statement_no", "target"), "flows")
     return scripts.flow_numbers(flows).withColumn("statement_no", F.col("statement_no").cast("bigint"))
 
 

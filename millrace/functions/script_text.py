@@ -6,13 +6,15 @@ collection of scripts is processed where its rows lie, without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The accepted declaration syntax and the form of flow names.
 NAME_PART = r"(?:`[^`]+`|[A-Za-z_][A-Za-z0-9_$]*)"
 NAME = NAME_PART + r"(?:\s*\.\s*" + NAME_PART + r")*"
-VIEW_HEAD = r"CREATE\s+(?:OR\s+REPLACE\s+)?(MATERIALIZED\s+VIEW|TEMP(?:ORARY)?\s+VIEW)\s+(" + NAME + r")\s+AS\s+"
+VIEW_HEAD = r"CREATE\s+(?:OR\s+REPLACE\s+)?(?:(M)ATERIALIZED|(T)EMP(?:ORARY)?)\s+VIEW\s+(" + NAME + r")\s+AS\s+"
 INSERT_HEAD = r"INSERT\s+INTO\s+(?:TABLE\s+)?(" + NAME + r")\s+"
 INSERT_QUERY = r"(?=SELECT\b)"
 SET_CONF = r"(?is)^SET\s+([A-Za-z0-9._-]+)\s*=\s*(.*?)\s*$"
@@ -22,6 +24,7 @@ FLOW_NAME_REPLACED = r"[^A-Za-z0-9_.-]"
 # End of fixed values.
 
 HEAD = f"(?is)^(?:{VIEW_HEAD}|{INSERT_HEAD}{INSERT_QUERY})"
+WHOLE_HEAD = f"(?is)^(?:{VIEW_HEAD}|{INSERT_HEAD})$"
 # The lookahead rejects most positions before the costlier word boundary is tested.
 INPUT = f"(?is)(?=[FJ]){READ_WORDS}({NAME})"
 
@@ -67,10 +70,12 @@ def statements(text: Column) -> Column:
 def normalised_name(name: Column) -> Column:
     """A name without blanks around its parts and without back-quotes around a part.
 
-    Parts are what lies between dots, also inside back-quotes.
+    Parts are what lies between dots, also inside back-quotes. Most names have
+    neither and stay as they are after one look.
     """
     joined = F.regexp_replace(stripped(name), r"[\x00-\x20]*\.[\x00-\x20]*", ".")
-    return F.regexp_replace(joined, r"(?<![^.])`([^.`]*)`(?![^.])", "$1")
+    bare = F.regexp_replace(joined, r"(?<![^.])`([^.`]*)`(?![^.])", "$1")
+    return F.when(name.rlike(r"[`\x00-\x20]"), bare).otherwise(name)
 
 
 def resolved_name(name: Column, database: str | None = None) -> Column:
@@ -86,26 +91,32 @@ def head(statement: Column) -> Column:
     return F.regexp_extract(statement, HEAD, 0)
 
 
-def kind(statement: Column, head_of: Column) -> Column:
+def shape(head_of: Column) -> Column:
+    """``M:name``, ``T:name`` or ``:name``: the letter of a view's kind, none for a table, and the dataset as written.
+
+    Empty for an empty head. All that a head tells is read from it in one go.
+    """
+    return F.regexp_replace(head_of, WHOLE_HEAD, "$1$2:$3$4")
+
+
+def kind(statement: Column, shape_of: Column) -> Column:
     """``set``, the kind of dataset the statement fills, or ``unsupported``."""
-    view = F.upper(F.regexp_extract(head_of, f"(?is)^{VIEW_HEAD}$", 1))
+    letter = F.upper(F.substr(shape_of, F.lit(1), F.lit(1)))
     return (
-        F.when(head_of == "", F.when(statement.rlike(SET_CONF), SET).otherwise(UNSUPPORTED))
-        .when(view.startswith("MATERIALIZED"), "materialized_view")
-        .when(view.startswith("TEMP"), "temporary_view")
+        F.when(letter == "", F.when(statement.rlike(SET_CONF), SET).otherwise(UNSUPPORTED))
+        .when(letter == "M", "materialized_view")
+        .when(letter == "T", "temporary_view")
         .otherwise("table")
     )
 
 
-def write_mode(kind_of: Column) -> Column:
-    return F.when(kind_of == "table", "insert").when(kind_of.endswith("view"), "save")
+def write_mode(shape_of: Column) -> Column:
+    return F.when(shape_of.startswith(":"), "insert").when(shape_of != "", "save")
 
 
-def target(head_of: Column) -> Column:
+def target(shape_of: Column) -> Column:
     """The dataset a declaration fills, null for everything else."""
-    view = F.regexp_extract(head_of, f"(?is)^{VIEW_HEAD}$", 2)
-    table = F.regexp_extract(head_of, f"(?is)^{INSERT_HEAD}$", 1)
-    return F.when(head_of != "", normalised_name(F.concat(view, table)))
+    return F.when(shape_of != "", normalised_name(F.substr(shape_of, F.position(F.lit(":"), shape_of) + 1)))
 
 
 def body(statement: Column, head_of: Column) -> Column:
@@ -113,16 +124,29 @@ def body(statement: Column, head_of: Column) -> Column:
     return F.when(head_of != "", stripped(F.substr(statement, F.length(head_of) + 1)))
 
 
+def without_literals(query: Column) -> Column:
+    """String literals become a blank."""
+    return F.when(query.contains("'"), F.regexp_replace(query, "'[^']*'?", " ")).otherwise(query)
+
+
 def input_names(query: Column) -> Column:
     """Every name after ``FROM`` or ``JOIN`` outside string literals, once, in first-seen order.
 
     The names of common table expressions are among them; names joined by a
     comma are not.
     """
-    masked = F.regexp_replace(query, "'[^']*'?", " ")
+    return _read_names(without_literals(query))
+
+
+def _read_names(masked: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(masked, F.lit(INPUT), F.lit(1)), normalised_name))
 
 
+def _given(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def outside_inputs(inputs: Column, query: Column) -> Column:
     """The inputs that the query does not define itself.
 
@@ -131,20 +155,35 @@ def outside_inputs(inputs: Column, query: Column) -> Column:
     does not tell, the input stays: an input too many is at worst refused as a
     cycle, and one too few would read old data.
     """
-    masked = F.regexp_replace(query, "'[^']*'?", " ")
-    listed = F.regexp_extract(masked, WITH_LIST, 0)
-    recursive = F.regexp_extract(masked, WITH_LIST, 1) != ""
-    texts = F.regexp_extract_all(listed, F.lit(f"(?is){DEFINITION}"), F.lit(0))
-    names = F.transform(texts, lambda t: F.lower(normalised_name(F.regexp_extract(t, f"(?is)^{DEFINITION}", 1))))
-
-    def read_in(text: Column, position: Column) -> Column:
-        hidden = F.slice(names, F.lit(1), position + recursive.cast("int"))
-        return F.filter(input_names(text), lambda name: ~F.array_contains(hidden, F.lower(name)))
-
-    within = F.flatten(F.transform(texts, read_in))
-    rest = F.filter(input_names(F.substr(masked, F.length(listed) + 1)), lambda name: ~F.array_contains(names, F.lower(name)))
-    real = F.concat(within, rest)
-    return F.when(listed == "", inputs).otherwise(F.array_intersect(inputs, real))
+
+    def defined(text: Column) -> Column:
+        return F.lower(normalised_name(F.regexp_extract(text, f"(?is)^{DEFINITION}", 1)))
+
+    def real(masked: Column, listed: Column, texts: Column, names: Column) -> Column:
+        recursive = F.regexp_extract(listed, WITH_LIST, 1) != ""
+
+        def read_in(text: Column, position: Column) -> Column:
+            hidden = F.slice(names, F.lit(1), position + recursive.cast("int"))
+            return _given(hidden, lambda h: F.filter(_read_names(text), lambda name: ~F.array_contains(h, F.lower(name))))
+
+        within = F.flatten(F.transform(texts, read_in))
+        after = _read_names(F.substr(masked, F.length(listed) + 1))
+        return F.concat(within, F.filter(after, lambda name: ~F.array_contains(names, F.lower(name))))
+
+    def outside(masked: Column) -> Column:
+        return _given(
+            F.regexp_extract(masked, WITH_LIST, 0),
+            lambda listed: _given(
+                F.regexp_extract_all(listed, F.lit(f"(?is){DEFINITION}"), F.lit(0)),
+                lambda texts: _given(
+                    F.transform(texts, defined),
+                    lambda names: F.array_intersect(inputs, real(masked, listed, texts, names)),
+                ),
+            ),
+        )
+
+    masked = without_literals(query)
+    return F.when(F.regexp_extract(masked, WITH_LIST, 0) == "", inputs).otherwise(_given(masked, outside))
 
 
 def setting(statement: Column) -> Column:

@@ -45,10 +45,17 @@ def declared_flows(scripts: DataFrame) -> DataFrame:
     return _declared(_groups(scripts).filter(F.col("head") != "")).drop("sets", "head", "statement")
 
 
+def filling_statements(scripts: DataFrame) -> DataFrame:
+    """``declared_flows`` without ``conf``, for which nothing but the filling statements has to be looked at."""
+    parts = F.filter(_parts(), lambda s: s["head"] != "")
+    found = scripts.select(*_place(scripts), F.explode(parts).alias("s")).select(*_place(scripts), "s.*")
+    return _described(found).withColumn("inputs", st.input_names(F.col("body"))).drop("head", "statement")
+
+
 def unsupported_statements(scripts: DataFrame) -> DataFrame:
     """``(path, statement_no, statement)`` of everything that declares nothing."""
-    found = statements(scripts).withColumn("head", st.head(F.col("statement")))
-    return found.filter(st.kind(F.col("statement"), F.col("head")) == st.UNSUPPORTED).drop("head")
+    found = statements(scripts).withColumn("kind", st.kind(F.col("statement"), st.shape(st.head(F.col("statement")))))
+    return found.filter(F.col("kind") == st.UNSUPPORTED).drop("kind")
 
 
 def flow_inputs(scripts: DataFrame) -> DataFrame:
@@ -104,7 +111,7 @@ def declaration_tables(scripts: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     Names stay as written.
     """
     outside = st.outside_inputs(F.col("inputs"), F.col("body")).alias("inputs")
-    narrow = declared_flows(scripts).select(*_place(scripts), "statement_no", "target", "kind", outside)
+    narrow = filling_statements(scripts).select(*_place(scripts), "statement_no", "target", "kind", outside)
     found = flow_numbers(stored(narrow, "declarations"))
     datasets = found.select(F.col("target").alias("name"), "kind", F.col("flow_no").alias("decl_no"))
     flows = found.select("flow", "target", F.lit("batch").alias("mode"), F.col("flow_no").alias("decl_no"))
@@ -120,13 +127,13 @@ def project_rows(scripts: DataFrame) -> DataFrame:
 def first_declarations(scripts: DataFrame) -> DataFrame:
     """``(target, kind, write, path, statement_no)``: the first statement that names each dataset."""
     first = F.min_by(F.struct("kind", "write", "path", "statement_no"), F.struct(*_order(scripts)))
-    return declared_flows(scripts).groupBy("target").agg(first.alias("first")).select("target", "first.*")
+    return filling_statements(scripts).groupBy("target").agg(first.alias("first")).select("target", "first.*")
 
 
 def _exploded_inputs(scripts: DataFrame, names: Column) -> DataFrame:
     # The outer form, since Spark tests the array of the plain one in a filter and so computes it twice.
     return (
-        declared_flows(scripts)
+        filling_statements(scripts)
         .select(*_place(scripts), "statement_no", "target", F.posexplode_outer(names).alias("position", "input"))
         .filter(F.col("input").isNotNull())
         .select(*_place(scripts), "statement_no", "target", (F.col("position") + 1).alias("input_no"), "input")
@@ -141,14 +148,15 @@ def _order(scripts: DataFrame) -> list[str]:
     return [*_place(scripts)[::-1], "statement_no"]
 
 
-def _groups(scripts: DataFrame) -> DataFrame:
-    cut = scripts.select(
-        *_place(scripts),
-        F.transform(
-            st.statements(F.col("text")),
-            lambda s, i: F.struct((i + 1).alias("statement_no"), st.head(s).alias("head"), s.alias("statement")),
-        ).alias("parts"),
+def _parts() -> Column:
+    return F.transform(
+        st.statements(F.col("text")),
+        lambda s, i: F.struct((i + 1).alias("statement_no"), st.head(s).alias("head"), s.alias("statement")),
     )
+
+
+def _groups(scripts: DataFrame) -> DataFrame:
+    cut = scripts.select(*_place(scripts), _parts().alias("parts"))
     marked = cut.withColumn(
         "others",
         F.filter("parts", lambda s: (s["head"] != "") | ~s["statement"].rlike(st.SET_CONF)),
@@ -169,11 +177,15 @@ def _declared(groups: DataFrame) -> DataFrame:
 
 def _described(found: DataFrame) -> DataFrame:
     """Add kind, target, body and way of writing to rows with ``statement`` and ``head``."""
-    statement, head = F.col("statement"), F.col("head")
-    with_kind = found.withColumn("kind", st.kind(statement, head))
-    return with_kind.withColumns(
-        {"target": st.target(head), "body": st.body(statement, head), "write": st.write_mode(F.col("kind"))}
-    )
+    statement, head, shape = F.col("statement"), F.col("head"), F.col("shape")
+    return found.withColumn("shape", st.shape(head)).withColumns(
+        {
+            "kind": st.kind(statement, shape),
+            "target": st.target(shape),
+            "body": st.body(statement, head),
+            "write": st.write_mode(shape),
+        }
+    ).drop("shape")
 
 
 def _with_settings() -> Column:

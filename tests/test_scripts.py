@@ -156,6 +156,9 @@ def test_unsupported_statements(spark, text):
         ("INSERT INTO TABLE TABLE SELECT 1", "table", "TABLE", "SELECT 1"),
         ("CREATE TEMP VIEW AS AS AS SELECT 1", "temporary_view", "AS", "AS SELECT 1"),
         ("INSERT INTO t$1.`a.b` SELECT(1)", "table", "t$1.`a.b`", "SELECT(1)"),
+        ("insert into `M:x` . y\nselect 1", "table", "M:x.y", "select 1"),
+        ("create temp view `a:b` as select 1", "temporary_view", "a:b", "select 1"),
+        ("create\tmaterialized view t as\n\nselect 1", "materialized_view", "t", "select 1"),
     ],
 )
 def test_declaration_heads(spark, text, kind, target, body):
@@ -182,6 +185,7 @@ def test_inputs(spark):
         ("SELECT * FROM w WINDOW v AS (ORDER BY k), w AS (ORDER BY z)", ["w"]),
         ("SELECT * FROM (WITH c AS (SELECT 1) SELECT * FROM c) JOIN c", ["c"]),
         ("WITH a AS (SELECT 1 FROM x SELECT * FROM a", ["a", "x"]),
+        ("WITH a AS (SELECT 1), `c` AS (SELECT * FROM a JOIN c JOIN C), d AS (SELECT * FROM c) SELECT * FROM d JOIN s", ["C", "c", "s"]),
     ],
 )
 def test_names_defined_by_the_query_are_no_inputs(spark, query, outside):
