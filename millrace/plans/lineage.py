@@ -4,17 +4,45 @@ Inputs are ``flows(flow, target, mode, decl_no)`` with unique flow names and
 ``flow_inputs(flow, dataset)``. A table may have many writers and many readers,
 so the work here goes through the datasets between flows; flow-to-flow pairs
 are listed only by ``edges``, whose result they are.
+
+The jobs run under ``SIZES`` and their results are stored, so that a task's
+memory and what the driver receives do not grow with the number of flows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.operators.joins import anti, keys_of
+from millrace.operators.joins import keys_of
 from millrace.operators.windows import framed, numbered
+from millrace.settings import spark_conf
 from millrace.storage import stored
 
+#: Rows of two names shrink to a few bytes in files and shuffles and to some hundreds in a task's sorts and hash tables,
+#: so tasks get less than Spark's usual bytes. Many small joins in a row are broadcast only while they are tiny.
+SIZES = {
+    "spark.sql.files.maxPartitionBytes": "8m",
+    "spark.sql.files.openCostInBytes": "1m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16m",
+    "spark.sql.autoBroadcastJoinThreshold": "256k",
+}
+
+
+def _sized(job: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Run ``job`` and store its result under ``SIZES``."""
+
+    @wraps(job)
+    def run(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
+        with spark_conf(flows.sparkSession, SIZES):
+            return stored(job(flows, flow_inputs), job.__name__.replace("_", "-"))
+
+    return run
+
 
 def producers(flows: DataFrame) -> DataFrame:
     """``(dataset, producer_no, flow)``: the writers of each dataset in declaration order.
@@ -32,12 +60,25 @@ def edges(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     """``(upstream, downstream)``: flow pairs where the second reads what the first writes.
 
     A flow has one target, so a pair can only meet in one dataset and the join
-    yields it once. The join stays an ordinary equality join that adaptive
-    execution can split at hot datasets.
+    yields it once. Inputs that nothing writes, which may be most, are left out
+    before. The join stays an ordinary equality join that adaptive execution
+    can split at hot datasets.
     """
     writers = flows.select(F.col("target").alias("dataset"), F.col("flow").alias("upstream"))
+    return _readers(flows, flow_inputs).join(writers, "dataset").select("upstream", "downstream")
+
+
+@_sized
+def _readers(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
+    """``(dataset, downstream)``: who reads the datasets that some flow writes."""
     readers = flow_inputs.select("dataset", F.col("flow").alias("downstream")).distinct()
-    return readers.join(writers, "dataset").select("upstream", "downstream")
+    produced = _hashed_keys(flows.select(F.col("target").alias("dataset")))
+    return readers.join(produced, "dataset", "left_semi").select("dataset", "downstream")
+
+
+def _hashed_keys(datasets: DataFrame) -> DataFrame:
+    """The distinct names, as a hash table per task of the join: the other side passes by unsorted, however many rows a name has there."""
+    return keys_of(datasets, ["dataset"]).hint("shuffle_hash")
 
 
 def degrees(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
@@ -65,12 +106,15 @@ def degrees(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     )
 
 
+@_sized
 def external_inputs(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     """``(flow, dataset)`` for inputs that no flow writes; they order nothing."""
     targets = flows.select(F.col("target").alias("dataset"))
-    return anti(flow_inputs.select("flow", "dataset").distinct(), targets, ["dataset"]).select("flow", "dataset")
+    inputs = flow_inputs.select("flow", "dataset").distinct()
+    return inputs.join(_hashed_keys(targets), "dataset", "left_anti").select("flow", "dataset")
 
 
+@_sized
 def stage_levels(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     """``(flow, stage)``: the length of the longest path from a flow without upstream flows.
 
@@ -92,7 +136,7 @@ def _staged(flows: DataFrame, reads: DataFrame, levels: DataFrame) -> DataFrame:
 
 def _reads(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     """``(flow, target, dataset)``: the inputs of flows that some flow writes. Stored."""
-    produced = keys_of(flows.select(F.col("target").alias("dataset")), ["dataset"])
+    produced = _hashed_keys(flows.select(F.col("target").alias("dataset")))
     inner = flow_inputs.select("flow", "dataset").distinct().join(produced, "dataset", "left_semi")
     return stored(flows.select("flow", "target").join(inner, "flow"), "reads")
 
@@ -202,6 +246,7 @@ def _doubled(single: DataFrame) -> DataFrame:
     )
 
 
+@_sized
 def cycles(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     """``(flow, cycle_id)`` of the flows that can never start: the first name on their cycle, or null for those behind one.
 
@@ -270,6 +315,7 @@ def least_leading(edges: DataFrame) -> DataFrame:
         seen = state.get["s"]
 
 
+@_sized
 def hubs(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     """``(dataset, side, flow)``: the edges through datasets, each dataset with its writers and its readers.
 
@@ -277,7 +323,7 @@ def hubs(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
     what ``edges`` lists, with the sum of both numbers in place of their product.
     """
     reads = _reads(flows, flow_inputs)
-    read = keys_of(reads, ["dataset"])
+    read = _hashed_keys(reads)
     writers = flows.select(F.col("target").alias("dataset"), "flow").join(read, "dataset", "left_semi")
     return writers.select("dataset", F.lit("writer").alias("side"), "flow").unionByName(
         reads.select("dataset", F.lit("reader").alias("side"), "flow")

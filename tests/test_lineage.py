@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from millrace import storage
 from millrace.plans import checks, lineage
 
 
@@ -223,3 +224,25 @@ def test_every_check(spark):
         ("undefined_target", "lost", "nowhere"),
         ("view_name", "db.temp", "temporary_view"),
     ]
+
+
+@pytest.mark.parametrize("job", [lineage.cycles, lineage.external_inputs, lineage.hubs, lineage.stage_levels, lineage.edges])
+def test_jobs_run_with_tasks_of_few_bytes_and_broadcast_only_tiny_tables(spark, chain, monkeypatch, job):
+    seen, before = [], {k: spark.conf.get(k, None) for k in lineage.SIZES}
+
+    def noted(df, label):
+        seen.append({k: spark.conf.get(k, None) for k in lineage.SIZES})
+        return storage.stored(df, label)
+
+    monkeypatch.setattr(lineage, "stored", noted)
+    job(*chain)
+    assert seen and all(settings == lineage.SIZES for settings in seen)
+    assert {k: spark.conf.get(k, None) for k in lineage.SIZES} == before
+
+
+def test_inputs_that_nothing_writes_do_not_meet_the_writers(spark):
+    flows = [(f"f{i}", f"t{i % 7}", "batch") for i in range(70)]
+    inputs = [(f"f{i}", "raw") for i in range(70)] + [("f8", "t2"), ("f8", "t2"), ("f9", None)]
+    found = tables(spark, flows, inputs)
+    assert rows(lineage._readers(*found)) == [("t2", "f8")]
+    assert rows(lineage.edges(*found)) == sorted((f"f{i}", "f8") for i in range(2, 70, 7))
