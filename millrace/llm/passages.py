@@ -14,7 +14,8 @@ among those that meet; either are tuned so that a pair at the threshold is
 missed with a chance of ``MISS`` at most. Candidates are checked exactly, and
 components of links are classes.
 
-In a crowded band nothing is paired with everything: members meet a few
+In a crowded band nothing is paired with everything: members of the first few
+bands, then those that are still in several classes in any band, meet a few
 leaders, those that are then in one class need not meet again, and the rest
 goes on with more leaders, so all links between classes are found.
 
@@ -50,6 +51,8 @@ LONG = math.ceil(round(SIMILAR / (1 - SIMILAR), 9)) + SHINGLE - 1
 LEAST = 25
 #: At most so many bands for all paragraphs, and for those that share one of the first.
 FIRST, SECOND = 8, 50
+#: So many of the second bands are met first.
+TRIAL = 4
 #: Times more leaders in a band in each further round; the first has one.
 GROWTH = 16
 SLICE_BYTES = 2 << 20
@@ -272,30 +275,18 @@ def links(parts: DataFrame, all_texts: DataFrame) -> DataFrame | None:
     discard(survivors)
     second = texts.select("low", "n", "paragraph").mapInArrow(_second_bands, "low bigint, n bigint, bands array<bigint>")
     narrow = stored(second, "bands")
-    round_of = stored(_crowded(narrow.select("low", "n", F.explode("bands").alias("band"))).withColumn("root", F.col("low")), "members")
-    discard(narrow)
-    if round_of.isEmpty():
-        return None
-    members, roots, per_band = round_of, None, 1
+    of_bands = F.explode("bands").alias("band")
+    # Near copies share almost all of their bands. A few bands bring most of them together, and so spare the others.
+    trial = stored(_crowded(narrow.select("low", "n", F.explode(F.slice("bands", 1, TRIAL)).alias("band"))).withColumn("root", F.col("low")), "members")
+    roots = None if trial.isEmpty() else _joined(_met(trial, _leaders(trial, 1)), texts, None)
+    round_of = stored(_open(_rooted(narrow.select("low", "n", of_bands), roots)), "members")
+    discard(narrow, trial)
+    members, per_band = round_of, 1
     while not members.isEmpty():
-        slot = F.pmod(F.xxhash64("low"), F.lit(per_band))
-        # The most copied paragraph first: the others are often its variants.
-        first = F.max(F.struct("n", "low", "root")).alias("first")
-        leaders = members.groupBy("band", slot.alias("slot")).agg(first)
-        leaders = leaders.select("band", F.col("first.low").alias("b"), F.col("first.root").alias("b_root"))
-        pairs = members.join(leaders, "band").filter(F.col("root") != F.col("b_root"))
-        # Leaders of one band meet each other from both sides.
-        pairs = pairs.select(F.least("low", "b").alias("a"), F.greatest("low", "b").alias("b")).distinct()
-        new = stored(_linked(pairs, texts), "links")
-        if roots is None:
-            roots = components(new)
-        elif not new.isEmpty():
-            roots = components(new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        leaders = _leaders(members, per_band)
+        roots = _joined(_met(members, leaders), texts, roots)
         rest = members.drop("root").join(leaders.select("band", F.col("b").alias("low")), ["band", "low"], "left_anti")
-        rooted = rest.join(roots.withColumnRenamed("node", "low"), "low", "left").withColumn("root", F.coalesce("root", "low"))
-        # A band goes on while its members are of several classes.
-        open_bands = rooted.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band")
-        members = stored(rooted.join(open_bands, "band", "left_semi").select("band", "low", "n", "root"), "members")
+        members = stored(_open(_rooted(rest, roots)), "members")
         discard(round_of)
         round_of = members
         per_band *= GROWTH
@@ -303,6 +294,41 @@ def links(parts: DataFrame, all_texts: DataFrame) -> DataFrame | None:
     return roots
 
 
+def _leaders(members: DataFrame, per_band: int) -> DataFrame:
+    """``(band, b, b_root)``: up to ``per_band`` leaders of each band, the most copied paragraph of each slot: the others are often its variants."""
+    slot = F.pmod(F.xxhash64("low"), F.lit(per_band))
+    leaders = members.groupBy("band", slot.alias("slot")).agg(F.max(F.struct("n", "low", "root")).alias("first"))
+    return leaders.select("band", F.col("first.low").alias("b"), F.col("first.root").alias("b_root"))
+
+
+def _met(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """``(a, b)``: the members of a band with its leaders of other classes, once each; leaders of one band meet from both sides."""
+    pairs = members.join(leaders, "band").filter(F.col("root") != F.col("b_root"))
+    return pairs.select(F.least("low", "b").alias("a"), F.greatest("low", "b").alias("b")).distinct()
+
+
+def _joined(pairs: DataFrame, texts: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The classes ``roots(node, root)`` after those of ``pairs`` that are similar are linked."""
+    new = stored(_linked(pairs, texts), "links")
+    if roots is None:
+        return components(new)
+    if new.isEmpty():
+        return roots
+    return components(new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return members.withColumn("root", F.col("low"))
+    return members.join(roots.withColumnRenamed("node", "low"), "low", "left").withColumn("root", F.coalesce("root", "low"))
+
+
+def _open(rooted: DataFrame) -> DataFrame:
+    """The members of the bands that have several classes, which go on."""
+    crowded = rooted.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band")
+    return rooted.join(stored(crowded, "crowded"), "band", "left_semi").select("band", "low", "n", "root")
+
+
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``(doc_id, start, end, words, removed, class_id, first_doc_id)`` of every repeated passage.
 
