@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import language, line_runs, mixing, packing, simhash_grid
-from millrace.storage import stored
+from millrace.storage import discard, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,6 +56,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *first, (_, last) = STAGES
+    before = []
     for name, stage in first:
         docs = stored(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        discard(*before)
+        before = [docs]
     return last(spark, docs, sf_dir)

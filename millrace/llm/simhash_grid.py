@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import passages
-from millrace.llm.common import components, pick, plain, stored
+from millrace.llm.common import components, discard, pick, plain, stored
 
 SHINGLE = 3
 SEED = 42
@@ -178,7 +178,10 @@ def one_of_each(docs: DataFrame, by_words: bool = False) -> DataFrame:
         texts = _texts(keyed, key, text)
         rooted = groups(texts.select(*key, "fp"), similar(texts))
     else:
-        rooted = groups(stored(fingerprints(keyed, key, text), "documents"))
+        texts = stored(fingerprints(keyed, key, text), "documents")
+        rooted = groups(texts)
     kept = stored(rooted.groupBy("root").agg(F.min(F.struct(*key)).alias("k")).select("k.*"), "kept")
+    # All texts a second time, which would lie on the disks beside the shuffles below and the stages after this one.
+    discard(texts)
     same = [keyed[c].eqNullSafe(kept[c]) for c in key]
     return keyed.join(kept, same, "left_semi").dropDuplicates(key).drop("last", "hash").toDF(*docs.columns)

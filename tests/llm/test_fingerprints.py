@@ -10,6 +10,7 @@ from collections import Counter
 import xxhash
 
 import corpus_pipeline
+from millrace import storage
 from millrace.llm import simhash_grid, simhash_tables
 from millrace.llm.common import components
 
@@ -110,6 +111,14 @@ def test_pipeline_leaves_one_of_texts_with_most_sets_of_words_in_common(spark):
     assert len(kept) < len(collected(simhash_grid.one_of_each(df)))
 
 
+def test_texts_of_the_near_dedup_go_before_its_result_is_written(spark):
+    docs = spark.createDataFrame([(i, f"some words that are all the same but for {i // 2}") for i in range(20)], "doc_id long, text string")
+    before = len(storage._PATHS)
+    kept = simhash_grid.one_of_each(docs, by_words=True)
+    assert not [p for p in storage._PATHS[before:] if "/documents-" in p]
+    assert 0 < kept.count() <= 10
+
+
 def test_long_chains_are_one_component(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, 600), (600, 500), (7, 7), (600, 700)]
     found = dict(collected(components(spark.createDataFrame(edges, "a long, b long"))))
