@@ -56,6 +56,10 @@ TRIAL = 4
 #: Times more leaders in a band in each further round; the first has one.
 GROWTH = 16
 SLICE_BYTES = 2 << 20
+#: The number of a paragraph's sets, null if not known, and the bits they flip.
+SKETCH = ("sets", "s0", "s1")
+#: What parts words in Python and not in Arrow's splitting by ASCII blanks.
+OTHER_BLANKS = "[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -161,14 +165,7 @@ def _bands(words: np.ndarray, heads: np.ndarray, counts: np.ndarray, number: int
     """The band keys of each paragraph: hashes of the least values of a few functions over its sets of words."""
     if not len(heads):
         return np.empty((0, number), dtype=np.uint64)
-    n = counts - SHINGLE + 1
-    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(heads, n) + place
-    sets = np.zeros(len(at), dtype=np.uint64)
-    for j, c in enumerate(_constants(SHINGLE, 3)):
-        sets += words[at + j] * c
-    sets = _mix(sets)
-    first = np.cumsum(n) - n
+    sets, first = _sets(words, heads, counts)
     factors, keys = _constants(number * rows, 4), np.empty((len(heads), number), dtype=np.uint64)
     for band in range(number):
         key = np.full(len(heads), band + 1, dtype=np.uint64) * _ODD
@@ -179,6 +176,36 @@ def _bands(words: np.ndarray, heads: np.ndarray, counts: np.ndarray, number: int
     return keys
 
 
+def _sets(words: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all five words in a row, and where each paragraph's begin."""
+    n = counts - SHINGLE + 1
+    first = np.cumsum(n) - n
+    at = np.repeat(heads, n) + np.arange(int(n.sum())) - np.repeat(first, n)
+    sets = np.zeros(len(at), dtype=np.uint64)
+    for j, c in enumerate(_constants(SHINGLE, 3)):
+        sets += words[at + j] * c
+    return _mix(sets), first
+
+
+def _sketches(words: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of different sets of each paragraph, and 128 bits of which each set flips one.
+
+    Two sketches differ in as many bits as there are sets in one paragraph only, or in fewer.
+    """
+    if not len(heads):
+        return np.empty(0, dtype=np.int32), np.empty((0, 2), dtype=np.uint64)
+    sets, first = _sets(words, heads, counts)
+    owner = np.repeat(np.arange(len(heads)), counts - SHINGLE + 1)
+    order = np.lexsort((sets, owner))
+    own = sets[order]
+    # Sorted by paragraph first, so each one's sets stay where they were as a whole.
+    again = np.concatenate([[False], (own[1:] == own[:-1]) & (owner[1:] == owner[:-1])])
+    bit = np.where(again, np.uint64(0), np.uint64(1) << (own & np.uint64(63)))
+    upper = (own >> np.uint64(6)) & np.uint64(1) == 1
+    halves = [np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), first) for side in (~upper, upper)]
+    return np.add.reduceat(~again, first, dtype=np.int32), np.stack(halves, axis=1)
+
+
 def units(docs: DataFrame) -> DataFrame:
     """One row per paragraph of at least five words or window of shorter ones; long ones with their bands. Stored."""
 
@@ -250,11 +277,16 @@ def _crowded(banded: DataFrame) -> DataFrame:
 
 def _second_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words, bounds = _words(batch.column("paragraph").cast(pa.large_string()))
+        paragraph = batch.column("paragraph").cast(pa.large_string())
+        words, bounds = _words(paragraph)
         keys = _bands(words, bounds[:-1], np.diff(bounds), *bands(SECOND))
         offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1])
         lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("low"), batch.column("n"), lists], names=["low", "n", "bands"])
+        sets, sketch = _sketches(words, bounds[:-1], np.diff(bounds))
+        # Where ``similarity`` sees other words, nothing is known of the sets.
+        sets = pa.array(sets, mask=pc.match_substring_regex(paragraph, OTHER_BLANKS).to_numpy(zero_copy_only=False))
+        columns = [batch.column("low"), batch.column("n"), sets, *(pa.array(sketch[:, i].view(np.int64)) for i in (0, 1)), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["low", "n", *SKETCH, "bands"])
 
 
 def links(parts: DataFrame, all_texts: DataFrame) -> DataFrame | None:
@@ -273,13 +305,15 @@ def links(parts: DataFrame, all_texts: DataFrame) -> DataFrame | None:
     survivors = stored(survivors, "survivors")
     texts = stored(all_texts.join(survivors, "low").dropDuplicates(["low"]), "texts")
     discard(survivors)
-    second = texts.select("low", "n", "paragraph").mapInArrow(_second_bands, "low bigint, n bigint, bands array<bigint>")
+    second = texts.select("low", "n", "paragraph").mapInArrow(
+        _second_bands, "low bigint, n bigint, sets int, s0 bigint, s1 bigint, bands array<bigint>"
+    )
     narrow = stored(second, "bands")
     of_bands = F.explode("bands").alias("band")
     # Near copies share almost all of their bands. A few bands bring most of them together, and so spare the others.
-    trial = stored(_crowded(narrow.select("low", "n", F.explode(F.slice("bands", 1, TRIAL)).alias("band"))).withColumn("root", F.col("low")), "members")
+    trial = stored(_crowded(narrow.select("low", "n", *SKETCH, F.explode(F.slice("bands", 1, TRIAL)).alias("band"))).withColumn("root", F.col("low")), "members")
     roots = None if trial.isEmpty() else _joined(_met(trial, _leaders(trial, 1)), texts, None)
-    round_of = stored(_open(_rooted(narrow.select("low", "n", of_bands), roots)), "members")
+    round_of = stored(_open(_rooted(narrow.select("low", "n", *SKETCH, of_bands), roots)), "members")
     discard(narrow, trial)
     members, per_band = round_of, 1
     while not members.isEmpty():
@@ -295,15 +329,21 @@ def links(parts: DataFrame, all_texts: DataFrame) -> DataFrame | None:
 
 
 def _leaders(members: DataFrame, per_band: int) -> DataFrame:
-    """``(band, b, b_root)``: up to ``per_band`` leaders of each band, the most copied paragraph of each slot: the others are often its variants."""
+    """``(band, b, b_root, …)``: up to ``per_band`` leaders of each band, the most copied paragraph of each slot: the others are often its variants."""
     slot = F.pmod(F.xxhash64("low"), F.lit(per_band))
-    leaders = members.groupBy("band", slot.alias("slot")).agg(F.max(F.struct("n", "low", "root")).alias("first"))
-    return leaders.select("band", F.col("first.low").alias("b"), F.col("first.root").alias("b_root"))
+    leaders = members.groupBy("band", slot.alias("slot")).agg(F.max(F.struct("n", "low", "root", *SKETCH)).alias("first"))
+    return leaders.select("band", F.col("first.low").alias("b"), *[F.col(f"first.{c}").alias(f"b_{c}") for c in ("root", *SKETCH)])
 
 
 def _met(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """``(a, b)``: the members of a band with its leaders of other classes, once each; leaders of one band meet from both sides."""
-    pairs = members.join(leaders, "band").filter(F.col("root") != F.col("b_root"))
+    """``(a, b)``: the members of a band with its leaders of other classes, once each; leaders of one band meet from both sides.
+
+    Of sets that are similar few enough are in one of them only, and the sketches show at least some of these. Variants of
+    one paragraph that share bands and are not similar mostly part here, in the join, and never become rows.
+    """
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH[1:]), F.lit(0))
+    near = apart * (1 + SIMILAR) <= (F.col("sets") + F.col("b_sets")) * (1 - SIMILAR) + 1e-6
+    pairs = members.join(leaders, "band").filter((F.col("root") != F.col("b_root")) & F.coalesce(near, F.lit(True)))
     return pairs.select(F.least("low", "b").alias("a"), F.greatest("low", "b").alias("b")).distinct()
 
 
@@ -326,7 +366,7 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _open(rooted: DataFrame) -> DataFrame:
     """The members of the bands that have several classes, which go on."""
     crowded = rooted.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band")
-    return rooted.join(stored(crowded, "crowded"), "band", "left_semi").select("band", "low", "n", "root")
+    return rooted.join(stored(crowded, "crowded"), "band", "left_semi").select("band", "low", "n", "root", *SKETCH)
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:

@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import line_runs, passages
@@ -227,6 +229,43 @@ def test_near_copies_meet_in_a_few_bands_only(spark, monkeypatch):
     assert sum(met) <= 60 * passages.TRIAL + 60 < 60 * passages.bands(passages.SECOND)[0] / 4
 
 
+def test_variants_that_are_not_similar_do_not_become_pairs(spark, monkeypatch):
+    draw, made = random.Random(11), []
+    words = [f"w{i}" for i in range(40)]
+    texts = {i: " ".join(words[:k] + [f"own{i}"] + words[k + 1 :]) for i in range(150) for k in [draw.randrange(40)]}
+    # These two differ from the others alike, and from each other in the last word; Python parts words at the blank of the last two.
+    texts |= {200: " ".join([*words[:20], "a", "b", *words[22:]]), 201: " ".join([*words[:20], "a", "b", *words[22:39], "last"])}
+    texts |= {300: " ".join([*words[:9], "c\u2003d", *words[10:30]]), 301: " ".join([*words[:9], "c", "d", *words[10:30]])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    counted = passages._met
+
+    def noted(members, leaders):
+        pairs = counted(members, leaders)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(passages, "_met", noted)
+    classes = found_classes(df)
+    wanted = defaultdict(set)
+    for place, k in repeated_paragraphs(texts).items():
+        wanted[k].add(place)
+    assert classes == sorted(sorted(v) for v in wanted.values()) and any((200, 0) in c and (201, 0) in c for c in classes)
+    assert sum(made) <= 3 * len(texts)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    draw = random.Random(12)
+    lists = [[f"w{draw.randrange(6)}" for _ in range(5 + i)] for i in range(60)]
+    words, bounds = passages._words(pa.array([" ".join(w) for w in lists], pa.large_string()))
+    sets, sketch = passages._sketches(words, bounds[:-1], np.diff(bounds))
+    own = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in lists]
+    assert list(sets) == [len(s) for s in own]
+    for i in range(60):
+        for j in range(i):
+            bits = sum(int(a ^ b).bit_count() for a, b in zip(sketch[i], sketch[j], strict=True))
+            assert bits <= len(own[i] ^ own[j]) and bits % 2 == len(own[i] ^ own[j]) % 2
+
+
 def test_passages_of_short_sentences(spark):
     draw = random.Random(9)
     short = lambda n: "".join(f"w{draw.randrange(10**6)}" + ("!! " if k % 4 else "\n") for k in range(n))
