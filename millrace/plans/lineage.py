@@ -1,7 +1,8 @@
 """Lineage over tables of declarations.
 
 Inputs are ``flows(flow, target, mode, decl_no)`` with unique flow names and
-``flow_inputs(flow, dataset)``. A table may have many writers and many readers,
+``flow_inputs(flow, dataset)``, which may also hold the flow's ``target`` if
+the flows are all declared and no row comes twice. A table may have many writers and many readers,
 so the work here goes through the datasets between flows; flow-to-flow pairs
 are listed only by ``edges``, whose result they are.
 
@@ -128,15 +129,21 @@ def stage_levels(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
 
 
 def _staged(flows: DataFrame, reads: DataFrame, levels: DataFrame) -> DataFrame:
-    seen = reads.join(levels, "dataset", "left")
-    latest = seen.groupBy("flow").agg(F.max("level").alias("level"), F.bool_or(F.col("level").isNull()).alias("waits"))
-    after = flows.select("flow").join(latest, "flow", "left").filter("waits IS NULL OR NOT waits")
-    return after.select("flow", F.coalesce(F.col("level") + 1, F.lit(0)).cast("int").alias("stage"))
+    # Each flow on its own comes at stage 0, so one grouping by flow does without a join back to the flows.
+    alone = flows.select("flow", F.lit(0).alias("stage"), F.lit(False).alias("waits"))
+    seen = reads.join(levels, "dataset", "left").select("flow", (F.col("level") + 1).alias("stage"), F.col("level").isNull().alias("waits"))
+    latest = alone.unionByName(seen).groupBy("flow").agg(F.max("stage").alias("stage"), F.bool_or("waits").alias("waits"))
+    return latest.filter("NOT waits").select("flow", F.col("stage").cast("int").alias("stage"))
 
 
 def _reads(flows: DataFrame, flow_inputs: DataFrame) -> DataFrame:
-    """``(flow, target, dataset)``: the inputs of flows that some flow writes. Stored."""
+    """``(flow, target, dataset)``: the inputs of flows that some flow writes. Stored.
+
+    Inputs that come with their flow's ``target``, and each once, need neither be made distinct nor meet the flows.
+    """
     produced = _hashed_keys(flows.select(F.col("target").alias("dataset")))
+    if "target" in flow_inputs.columns:
+        return stored(flow_inputs.join(produced, "dataset", "left_semi").select("flow", "target", "dataset"), "reads")
     inner = flow_inputs.select("flow", "dataset").distinct().join(produced, "dataset", "left_semi")
     return stored(flows.select("flow", "target").join(inner, "flow"), "reads")
 

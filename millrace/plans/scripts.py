@@ -108,14 +108,14 @@ def declaration_tables(scripts: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     """The tables ``(datasets, flows, flow_inputs)`` that ``lineage`` and ``checks`` work on.
 
     ``datasets`` has a row for every declaration of a name, not only the first.
-    Names stay as written.
+    Names stay as written. An input comes with the target of its flow, once.
     """
     outside = st.outside_inputs(F.col("inputs"), F.col("body")).alias("inputs")
     narrow = filling_statements(scripts).select(*_place(scripts), "statement_no", "target", "kind", outside)
     found = flow_numbers(stored(narrow, "declarations"))
     datasets = found.select(F.col("target").alias("name"), "kind", F.col("flow_no").alias("decl_no"))
     flows = found.select("flow", "target", F.lit("batch").alias("mode"), F.col("flow_no").alias("decl_no"))
-    return datasets, flows, found.select("flow", F.explode("inputs").alias("dataset"))
+    return datasets, flows, found.select("flow", "target", F.explode("inputs").alias("dataset"))
 
 
 def project_rows(scripts: DataFrame) -> DataFrame:

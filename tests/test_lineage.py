@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace import storage
 from millrace.plans import checks, lineage
+from millrace.plans.scripts import declaration_tables
 
 
 def tables(spark, flows, inputs):
@@ -246,3 +247,24 @@ def test_inputs_that_nothing_writes_do_not_meet_the_writers(spark):
     found = tables(spark, flows, inputs)
     assert rows(lineage._readers(*found)) == [("t2", "f8")]
     assert rows(lineage.edges(*found)) == sorted((f"f{i}", "f8") for i in range(2, 70, 7))
+
+
+def test_inputs_that_come_with_their_target_do_not_meet_the_flows(spark, monkeypatch):
+    scripts = spark.createDataFrame(
+        [
+            ("a.sql", "INSERT INTO x SELECT 1; INSERT INTO y SELECT 1 FROM x JOIN x JOIN far; INSERT INTO p SELECT 1 FROM q"),
+            ("b.sql", "INSERT INTO q SELECT 1 FROM p; INSERT INTO z SELECT 1 FROM y JOIN x; INSERT INTO w SELECT 1 FROM q JOIN x"),
+        ],
+        "path string, text string",
+    )
+    flows, inputs = (storage.stored(t, "given") for t in declaration_tables(scripts)[1:])
+    plain = rows(lineage.stage_levels(flows, inputs.select("flow", "dataset")))
+    plans, store = {}, lineage.stored
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return store(df, label)
+
+    monkeypatch.setattr(lineage, "stored", noted)
+    assert rows(lineage.stage_levels(flows, inputs)) == plain == [("sql_flow_001_x", 0), ("sql_flow_002_y", 1), ("sql_flow_005_z", 2)]
+    assert plans["reads"].count("Join ") == 1 and plans["stage-levels"].count("Join ") == 1
