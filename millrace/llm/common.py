@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -60,22 +63,34 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` with the smallest node of each connected component, for every node of ``edges(a, b)``.
 
     Alternates large-star and small-star: every step links neighbours to the
-    smallest node they know, until nothing changes. Work and memory are per
-    edge; the neighbours of a node are only ever reduced to their minimum. A
-    round is one job that writes its edges, so lineage ends there.
+    smallest node they know, until each node either has one neighbour, a smaller
+    one, or none that is smaller; then every component is a star around its
+    smallest node. Before each round the links of every Arrow batch become links
+    to the smallest node of their component in that batch, which needs no
+    exchange and spares most rounds. Work and memory are per edge; the
+    neighbours of a node are only ever reduced to their least and greatest. A
+    step is one job that writes its edges, so lineage ends there.
     """
-    current, seen = _written(_down(edges))
+    current = stored(_gathered(edges), "edges")
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        half, _ = _written(_star(both, large=True))
-        last = current
-        current, now = _written(_star(half, large=False))
-        discard(last, half)
-        if now == seen:
-            break
-        seen = now
-    roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        state = Observation()
+        ends = both.groupBy("a").agg(F.min("b").alias("__least"), F.max("b").alias("__most"))
+        ends = ends.observe(state, F.count_if((F.col("__least") < F.col("a")) & (F.col("__least") < F.col("__most"))).alias("open"))
+        least = stored(ends.select("a", F.least("a", "__least").alias("m")), "least")
+        if not state.get["open"]:
+            discard(current)
+            return least.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        # As many as before; which of them are equal shows after the second step.
+        half = stored(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "edges")
+        discard(current, least)
+        # Stored: a join right on an aggregate of its key could not be split, and most edges may end at one node.
+        least = stored(half.groupBy("a").agg(F.min("b").alias("m")), "least")
+        linked = half.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = stored(_down(linked.unionByName(least.select("a", F.col("m").alias("b")))), "edges")
+        discard(half, least)
+        current = stored(_gathered(small), "edges")
+        discard(small)
 
 
 def _down(edges: DataFrame) -> DataFrame:
@@ -84,23 +99,31 @@ def _down(edges: DataFrame) -> DataFrame:
     return edges.select(a.alias("a"), b.alias("b")).filter("a <> b").distinct()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link the neighbours of each ``a`` to the least of them and itself: the larger ones only, or the smaller ones."""
-    # Stored: a join right on an aggregate of its key could not be split, and most edges may end at one node.
-    least = stored(edges.groupBy("a").agg(F.min("b").alias("__least")).select("a", F.least("a", "__least").alias("m")), "least")
-    linked = edges.join(least, "a")
-    if large:
-        return _down(linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-    own = least.select("a", F.col("m").alias("b"))
-    return _down(linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own))
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least one that links lead to."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _gathered(edges: DataFrame) -> DataFrame:
+    """Edges of the same components, as (larger, smaller): from each node of a batch to the least one of its component in the batch."""
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, place = np.unique(np.concatenate([batch.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+            label = forest(len(nodes), *np.split(place, 2))
+            at = np.flatnonzero(label < np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[label[at]])], names=["a", "b"])
 
-def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The stored edges, and their number and sum of hashes, by which a change shows."""
-    state = Observation()
-    hashes = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    saved = stored(edges.observe(state, F.count(F.lit(1)).alias("n"), hashes.alias("h")), "edges")
-    return saved, (state.get["n"], state.get["h"])
+    return edges.select("a", "b").filter("a <> b").mapInArrow(gather, "a bigint, b bigint")
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -115,6 +138,6 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "WORD", "as_uri", "components", "discard", "in_order", "new_file", "new_path", "offsets", "open_input", "open_output",
+    "WORD", "as_uri", "components", "discard", "forest", "in_order", "new_file", "new_path", "offsets", "open_input", "open_output",
     "partitions", "pick", "plain", "stored",
 ]

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, in_order, offsets, pick, stored
+from millrace.llm.common import components, forest, in_order, offsets, pick, stored
 
 SIMILAR = 0.9
 #: Vectors that the principal axes are learned from.
@@ -229,20 +229,6 @@ def linked(a: Block, b: Block, similar: float) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of ``n`` places the least one that links lead to."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def compare(a: Block, b: Block, similar: float) -> pa.RecordBatch | None:
     """``(node, n, first)``: how many vectors of the other block each linked one has, and one of its component here."""
     i, j = linked(a, b, similar)

@@ -258,15 +258,15 @@ def similarity(a: str, b: str) -> float:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs(a, b)`` that are similar."""
+    """``(a, b)``: the classes of those of ``pairs(a, b, a_root, b_root)`` that are similar."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [similarity(x, y) >= SIMILAR for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["a_root", "b_root"]).filter(pa.array(ok, pa.bool_())).rename_columns(["a", "b"])
 
     x, y = (texts.select(F.col("low").alias(n), F.col("paragraph").alias(t)) for n, t in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    return pairs.join(x, "a").join(y, "b").select("a_root", "b_root", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
 def _crowded(banded: DataFrame) -> DataFrame:
@@ -336,7 +336,9 @@ def _leaders(members: DataFrame, per_band: int) -> DataFrame:
 
 
 def _met(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """``(a, b)``: the members of a band with its leaders of other classes, once each; leaders of one band meet from both sides.
+    """``(a, b, a_root, b_root)``: the members of a band with its leaders of other classes, once each, and the two classes.
+
+    Leaders of one band meet from both sides, so the smaller paragraph and the smaller class come first.
 
     Of sets that are similar few enough are in one of them only, and the sketches show at least some of these. Variants of
     one paragraph that share bands and are not similar mostly part here, in the join, and never become rows.
@@ -344,17 +346,23 @@ def _met(members: DataFrame, leaders: DataFrame) -> DataFrame:
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH[1:]), F.lit(0))
     near = apart * (1 + SIMILAR) <= (F.col("sets") + F.col("b_sets")) * (1 - SIMILAR) + 1e-6
     pairs = members.join(leaders, "band").filter((F.col("root") != F.col("b_root")) & F.coalesce(near, F.lit(True)))
-    return pairs.select(F.least("low", "b").alias("a"), F.greatest("low", "b").alias("b")).distinct()
+    ends = (("a", "b", "low", "b"), ("a_root", "b_root", "root", "b_root"))
+    return pairs.select(*[f(x, y).alias(n) for m, n, x, y in ends for f, n in ((F.least, m), (F.greatest, n))]).distinct()
 
 
-def _joined(pairs: DataFrame, texts: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The classes ``roots(node, root)`` after those of ``pairs`` that are similar are linked."""
+def _joined(pairs: DataFrame, texts: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+    """The classes ``roots(node, root)`` after those of ``pairs`` that are similar are linked. Only classes that change are looked at."""
     new = stored(_linked(pairs, texts), "links")
-    if roots is None:
-        return components(new)
     if new.isEmpty():
         return roots
-    return components(new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    found = components(new)
+    discard(new)
+    if roots is None:
+        return found
+    moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    # A class of one paragraph has no row so far.
+    alone = found.join(roots, "node", "left_anti")
+    return stored(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(alone), "roots")
 
 
 def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:

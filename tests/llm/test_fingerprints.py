@@ -11,7 +11,7 @@ import xxhash
 
 import corpus_pipeline
 from millrace import storage
-from millrace.llm import simhash_grid, simhash_tables
+from millrace.llm import common, simhash_grid, simhash_tables
 from millrace.llm.common import components
 
 from .conftest import collected, odd_rows
@@ -126,6 +126,31 @@ def test_long_chains_are_one_component(spark):
     assert collected(components(spark.createDataFrame([], "a long, b long"))) == []
 
 
+def test_components_of_near_copies_take_few_jobs(spark, monkeypatch):
+    made, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, label: made.append(label) or stored(df, label))
+    near = [(i, i % 3) for i in range(3, 900)] + [(i, 0) for i in range(1, 900, 7)]
+    found = dict(collected(components(spark.createDataFrame(near + [(1, 0), (2, 0)], "a long, b long").repartition(4))))
+    assert found == dict.fromkeys(range(900), 0) and len(made) <= 2
+
+
+def test_components_of_links_in_many_batches(spark):
+    draw = random.Random(17)
+    nodes = draw.sample(range(-(10**15), 10**15), 300)
+    edges = [tuple(draw.sample(nodes, 2)) for _ in range(200)] + list(zip(nodes[:60], nodes[1:60], strict=False))
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(size)
+    spark.conf.set(size, "2")
+    try:
+        assert dict(collected(components(spark.createDataFrame(edges, "a long, b long")))) == root
+    finally:
+        spark.conf.set(size, usual)
+
+
 def voted(text: str) -> int:
     votes, total = [0] * 64, 0
     for word in re.split("[ \t\n\x0b\x0c\r]", text):

@@ -253,6 +253,27 @@ def test_variants_that_are_not_similar_do_not_become_pairs(spark, monkeypatch):
     assert sum(made) <= 3 * len(texts)
 
 
+def test_later_links_join_classes_and_not_their_paragraphs(spark, monkeypatch):
+    draw, similar, handed = random.Random(13), [], []
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(words[:k] + [f"own{i}"] + words[k + 1 :]) for i in range(120) for k in [draw.randrange(60)]}
+    linked, components = passages._linked, passages.components
+
+    def noted(pairs, all_texts):
+        found = linked(pairs, all_texts)
+        similar.append(found.count())
+        return found
+
+    monkeypatch.setattr(passages, "_linked", noted)
+    monkeypatch.setattr(passages, "components", lambda edges: handed.append(edges.count()) or components(edges))
+    classes = found_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    wanted = defaultdict(set)
+    for place, k in repeated_paragraphs(texts).items():
+        wanted[k].add(place)
+    assert classes == sorted(sorted(v) for v in wanted.values())
+    assert len(handed) > 1 and handed == [n for n in similar if n]
+
+
 def test_sketches_differ_in_no_more_bits_than_sets():
     draw = random.Random(12)
     lists = [[f"w{draw.randrange(6)}" for _ in range(5 + i)] for i in range(60)]
