@@ -236,7 +236,7 @@ def units(docs: DataFrame) -> DataFrame:
 
 
 def long_texts(docs: DataFrame) -> DataFrame:
-    """``(low, paragraph)`` of the paragraphs that have bands, cut once more so that no table of all texts is kept."""
+    """``(low, paragraph)`` of the paragraphs that have bands, once per slice, cut once more so that no table of all texts is kept."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,8 +244,10 @@ def long_texts(docs: DataFrame) -> DataFrame:
             step = max(1, len(texts) * SLICE_BYTES // max(SLICE_BYTES, texts.nbytes))
             for begin in range(0, len(texts), step):
                 found = described(texts.slice(begin, step), banding=False)
-                whole = pa.array(found["long"])
-                columns = [pa.array(found["low"].view(np.int64)).filter(whole), found["paragraph"].filter(whole).cast(pa.string())]
+                whole = np.flatnonzero(found["long"])
+                # Each once, since the copies of all texts would meet in one task.
+                whole = whole[np.unique(found["low"][whole], return_index=True)[1]]
+                columns = [pa.array(found["low"].view(np.int64)[whole]), found["paragraph"].take(pa.array(whole)).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["low", "paragraph"])
 
     return pick(docs, "text").mapInArrow(cut, "low bigint, paragraph string")

@@ -253,6 +253,14 @@ def test_variants_that_are_not_similar_do_not_become_pairs(spark, monkeypatch):
     assert sum(made) <= 3 * len(texts)
 
 
+def test_copies_in_a_slice_are_one_long_text(spark):
+    line, other = ("\n".join(" ".join(f"{c}{i}" for i in range(12)) for c in cs) for cs in ("ab", "bc"))
+    df = spark.createDataFrame([(i, line if i % 3 else other) for i in range(90)], "doc_id long, text string").coalesce(1)
+    found = collected(passages.long_texts(df))
+    parts = collected(passages.units(df).select("low").distinct())
+    assert len(found) == 3 == len({t for _, t in found}) and {low for low, _ in found} == {low for (low,) in parts}
+
+
 def test_later_links_join_classes_and_not_their_paragraphs(spark, monkeypatch):
     draw, similar, handed = random.Random(13), [], []
     words = [f"w{i}" for i in range(60)]
