@@ -289,8 +289,9 @@ SELECT 'cycle', flow, 'never ready' FROM flows WHERE flow NOT IN (SELECT flow FR
 def chk_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From script texts to all that the checks find in them, flows that can never start included."""
     datasets, flows, flow_inputs = scripts.declaration_tables(_scripts(spark, sf_dir))
-    blocked = lineage.blocked_flows(flows, lineage.stage_levels(flows, flow_inputs))
-    return checks.all_checks(datasets, flows).unionByName(checks.blocked(blocked))
+    numbers = scripts.by_number(flows)
+    blocked = lineage.blocked_flows(numbers, lineage.stage_levels(numbers, scripts.by_number(flow_inputs)), "target")
+    return checks.all_checks(datasets, flows).unionByName(checks.blocked(scripts.by_name(blocked)))
 
 
 def _stock(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

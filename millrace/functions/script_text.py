@@ -7,12 +7,14 @@ collection of scripts is processed where its rows lie, without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_letters, digits
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accepted declaration syntax and the form of flow names.
-NAME_PART = r"(?:`[^`]+`|[A-Za-z_][A-Za-z0-9_$]*)"
+# The accepted declaration syntax and the form of flow names. Java looks up letters that are listed in one
+# table and tries ranges one by one.
+NAME_PART = rf"(?:`[^`]+`|[{ascii_letters}_][{ascii_letters}{digits}_$]*)"
 NAME = NAME_PART + r"(?:\s*\.\s*" + NAME_PART + r")*"
 VIEW_HEAD = r"CREATE\s+(?:OR\s+REPLACE\s+)?(?:(M)ATERIALIZED|(T)EMP(?:ORARY)?)\s+VIEW\s+(" + NAME + r")\s+AS\s+"
 INSERT_HEAD = r"INSERT\s+INTO\s+(?:TABLE\s+)?(" + NAME + r")\s+"
@@ -20,7 +22,7 @@ INSERT_QUERY = r"(?=SELECT\b)"
 SET_CONF = r"(?is)^SET\s+([A-Za-z0-9._-]+)\s*=\s*(.*?)\s*$"
 READ_WORDS = r"\b(?:FROM|JOIN)\s+"
 FLOW_NAME_FORMAT = "sql_flow_%03d_%s"
-FLOW_NAME_REPLACED = r"[^A-Za-z0-9_.-]"
+FLOW_NAME_REPLACED = rf"[^{ascii_letters}{digits}_.-]"
 # End of fixed values.
 
 HEAD = f"(?is)^(?:{VIEW_HEAD}|{INSERT_HEAD}{INSERT_QUERY})"
@@ -37,11 +39,12 @@ QUOTED = r"""'[^']*'?|"[^"]*"?|`[^`]*`?"""
 # as trying every position.
 PLAIN = r"""[^-/'"`]+"""
 COMMENT = r"--[^\n]*|/\*(?s:.*?)(?:\*/|\z)"
-STATEMENT = r"""(?:[^;'"`]+|""" + QUOTED + r")++"
+# A statement begins at its first character that is no blank, so blank ones are not found at all.
+STATEMENT = r"""(?![\x00-\x20;])(?:[^;'"`]+|""" + QUOTED + r")++"
 # A WITH list in front of a query, with parentheses up to four deep; deeper or open ones are not taken for a list.
 _INSIDE = r"[^()]*+"
 for _ in range(4):
-    _INSIDE = r"(?:[^()]++|\(" + _INSIDE + r"\))*+"
+    _INSIDE = r"(?:[^()]+|\(" + _INSIDE + r"\))*+"
 DEFINITION = r"(" + NAME_PART + r")\s*+(?:\([^()]*\)\s*+)?AS\s*+\(\s*+((?:SELECT|WITH|VALUES|FROM|TABLE|\()" + _INSIDE + r")\)"
 WITH_LIST = r"(?is)^WITH\s++(RECURSIVE\s++)?" + DEFINITION + r"(?:\s*+,\s*+" + DEFINITION + r")*+"
 
@@ -64,7 +67,7 @@ def without_comments(text: Column) -> Column:
 def statements(text: Column) -> Column:
     """The statements of a script: cut at ``;`` outside quotes, blank ones dropped."""
     pieces = F.regexp_extract_all(without_comments(text), F.lit(STATEMENT), F.lit(0))
-    return F.filter(F.transform(pieces, stripped), lambda s: s != "")
+    return F.transform(pieces, lambda s: F.rtrim(s, F.lit(BLANKS)))
 
 
 def normalised_name(name: Column) -> Column:
@@ -157,11 +160,9 @@ def outside_inputs(inputs: Column, query: Column) -> Column:
     """
 
     def defined(text: Column) -> Column:
-        return F.lower(normalised_name(F.regexp_extract(text, f"(?is)^{DEFINITION}", 1)))
-
-    def real(masked: Column, listed: Column, texts: Column, names: Column) -> Column:
-        recursive = F.regexp_extract(listed, WITH_LIST, 1) != ""
+        return _given(F.regexp_extract(text, f"(?is)^{DEFINITION}", 1), lambda name: F.lower(normalised_name(name)))
 
+    def real(masked: Column, listed: Column, texts: Column, names: Column, recursive: Column) -> Column:
         def read_in(text: Column, position: Column) -> Column:
             hidden = F.slice(names, F.lit(1), position + recursive.cast("int"))
             return _given(hidden, lambda h: F.filter(_read_names(text), lambda name: ~F.array_contains(h, F.lower(name))))
@@ -170,20 +171,24 @@ def outside_inputs(inputs: Column, query: Column) -> Column:
         after = _read_names(F.substr(masked, F.length(listed) + 1))
         return F.concat(within, F.filter(after, lambda name: ~F.array_contains(names, F.lower(name))))
 
-    def outside(masked: Column) -> Column:
+    def outside(masked: Column, listed: Column) -> Column:
+        # A first definition may have the name RECURSIVE, which only the whole pattern tells.
+        recursive = F.when(listed.rlike(r"(?i)^WITH\s++RECURSIVE"), F.regexp_extract(listed, WITH_LIST, 1) != "").otherwise(False)
         return _given(
-            F.regexp_extract(masked, WITH_LIST, 0),
-            lambda listed: _given(
-                F.regexp_extract_all(listed, F.lit(f"(?is){DEFINITION}"), F.lit(0)),
-                lambda texts: _given(
-                    F.transform(texts, defined),
-                    lambda names: F.array_intersect(inputs, real(masked, listed, texts, names)),
-                ),
+            F.regexp_extract_all(listed, F.lit(f"(?is){DEFINITION}"), F.lit(0)),
+            lambda texts: _given(
+                F.transform(texts, defined),
+                lambda names: _given(recursive, lambda r: F.array_intersect(inputs, real(masked, listed, texts, names, r))),
             ),
         )
 
-    masked = without_literals(query)
-    return F.when(F.regexp_extract(masked, WITH_LIST, 0) == "", inputs).otherwise(_given(masked, outside))
+    def parted(masked: Column) -> Column:
+        listed = F.regexp_extract(masked, WITH_LIST, 0)
+        return _given(listed, lambda found: F.when(found == "", inputs).otherwise(outside(masked, found)))
+
+    # Most queries have no list, which their first letters tell.
+    begins = F.lower(F.substr(query, F.lit(1), F.lit(4))) == "with"
+    return F.when(begins, _given(without_literals(query), parted)).otherwise(inputs)
 
 
 def setting(statement: Column) -> Column:
@@ -210,4 +215,8 @@ def last_settings(settings: str) -> Column:
 
 
 def flow_name(number: Column, target_name: Column) -> Column:
-    return F.format_string(FLOW_NAME_FORMAT, number, F.regexp_replace(target_name, FLOW_NAME_REPLACED, "_"))
+    """``FLOW_NAME_FORMAT``, without a formatter for numbers that need no zeros in front, which are most of many."""
+    before, after = FLOW_NAME_FORMAT.split("%03d")
+    padded = F.when(number >= 100, number.cast("string")).otherwise(F.format_string("%03d", number))
+    safe = F.coalesce(F.regexp_replace(target_name, FLOW_NAME_REPLACED, "_"), F.lit("null"))
+    return F.concat(F.lit(before), padded, F.lit(after.removesuffix("%s")), safe)

@@ -28,23 +28,24 @@ _SLICE = "__slice"
 _LOCAL = "__local"
 
 
-def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str, drop: Sequence[str] = ()) -> DataFrame:
     """Number all rows from 1 in one global order, without gathering them in one task.
 
     One range shuffle; Spark's increasing id holds the partition number in its
     upper bits and the row's place in the lower 33. The offsets are one row
-    per partition.
+    per partition, worked out once. Columns in ``drop`` are not kept.
     """
     ids = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(_LOCAL, F.monotonically_increasing_id())
     placed = stored(
-        ids.withColumn(_SLICE, F.shiftright(_LOCAL, 33)).withColumn(_LOCAL, F.col(_LOCAL).bitwiseAND((1 << 33) - 1)),
+        ids.withColumn(_SLICE, F.shiftright(_LOCAL, 33)).withColumn(_LOCAL, F.col(_LOCAL).bitwiseAND((1 << 33) - 1)).drop(*drop),
         "numbered",
     )
     before = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    offsets = stored(
         placed.groupBy(_SLICE)
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(_SLICE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+        .select(_SLICE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset")),
+        "offsets",
     )
     return (
         placed.join(F.broadcast(offsets), _SLICE)

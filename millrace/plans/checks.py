@@ -7,10 +7,12 @@ when a pipeline is built.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.operators.joins import anti
+from millrace.operators.windows import numbered
+from millrace.settings import SIZES, spark_conf
 from millrace.storage import stored
 
 VIEWS = ("materialized_view", "temporary_view")
@@ -72,48 +74,60 @@ def blocked(blocked_flows: DataFrame) -> DataFrame:
 
 
 def all_checks(datasets: DataFrame, flows: DataFrame) -> DataFrame:
-    """All checks that need no graph walk, from one row per name and one pass over the flows.
+    """All checks that need no graph walk, from one row per name and the flows that a check has to name.
 
-    Both tables are computed once. Names and their writers are counted and meet
-    in one join; what concerns flows one by one needs their target's kind, and
-    that join may be split at a target with many writers.
+    Kinds go by numbers, so that names and their writers are counted in hash
+    tables of plain numbers; both meet in one join. Its rows tell whether any
+    name is declared with several kinds or missing; only then declarations or
+    flows are looked at again. Flow names are counted by their hashes first.
     """
-    flows = stored(flows.select("flow", "target", "mode"), "flows")
-    declared = datasets.groupBy("name").agg(
-        F.min_by("kind", "decl_no").alias("kind"),
-        F.sort_array(F.collect_set("kind")).alias("kinds"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    names = stored(declared, "names")
-    writers = flows.groupBy(F.col("target").alias("name")).agg(F.count(F.lit(1)).alias("writers"))
+    spark = flows.sparkSession
+    with spark_conf(spark, SIZES):
+        kinds = stored(numbered(datasets.select("kind").distinct().filter("kind IS NOT NULL"), ["kind"], "kind_no"), "kinds")
+        declared = datasets.join(kinds, "kind", "left").groupBy("name").agg(
+            F.min_by("kind_no", "decl_no").alias("kind_no"),
+            F.min("kind_no").alias("least"),
+            F.max("kind_no").alias("most"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        writers = flows.groupBy(F.col("target").alias("name")).agg(F.count(F.lit(1)).alias("writers"))
+        state = Observation()
+        both = declared.join(writers, "name", "full").join(kinds, "kind_no", "left")
+        undefined, mixed = F.col("kind").isNull() & F.col("writers").isNotNull(), F.col("least") < F.col("most")
+        counts = F.count_if(undefined).alias("undefined"), F.count_if(mixed).alias("mixed")
+        names = stored(both.select("name", "kind", "least", "most", "n", "writers").observe(state, *counts), "names")
+        alike = flows.groupBy(F.xxhash64("flow").alias("hash")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+        alike = stored(alike.select("hash"), "alike")
     is_view = F.col("kind").isin(*VIEWS)
 
     def violation(when: Column, check: str, what: str, detail: Column) -> Column:
         fields = F.lit(check).alias("check"), F.col(what).alias("object"), detail.alias("detail")
         return F.when(when, F.struct(*fields))
 
-    def listed(df: DataFrame, *violations: Column) -> DataFrame:
-        return df.select(F.explode(F.array(*violations)).alias("v")).filter("v IS NOT NULL").select("v.*")
-
-    by_name = listed(
-        names.join(writers, "name", "left"),
+    by_name = F.array(
         violation(F.col("writers").isNull(), "no_producer", "name", F.col("kind")),
         violation(is_view & (F.col("writers") > 1), "single_writer", "name", F.col("writers").cast("string")),
         violation(F.col("n") > 1, "duplicate_dataset", "name", F.col("n").cast("string")),
-        violation(F.size("kinds") > 1, "mixed_kinds", "name", F.array_join("kinds", ",")),
         violation(
             (F.col("kind") == "temporary_view") & F.col("name").contains("."), "view_name", "name", F.col("kind")
         ),
     )
-    kinds = names.select(F.col("name").alias("target"), "kind")
-    by_flow = listed(
-        flows.join(kinds, "target", "left"),
-        violation(F.col("kind").isNull(), "undefined_target", "flow", F.col("target")),
-        violation(is_view & (F.col("mode") == "once"), "once_mode", "flow", F.col("target")),
-    )
-    repeated = flows.groupBy("flow").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    by_both = _violations(repeated, "duplicate_flow", F.col("flow"), F.col("n").cast("string"))
-    return by_name.unionByName(by_flow).unionByName(by_both)
+    found = names.select(F.explode(by_name).alias("v")).filter("v IS NOT NULL").select("v.*")
+    views = names.filter(is_view).select(F.col("name").alias("target"))
+    once = flows.filter(F.col("mode") == "once").join(views, "target")
+    found = found.unionByName(_violations(once, "once_mode", F.col("flow"), F.col("target")))
+    if state.get["mixed"]:
+        several = datasets.join(names.filter(mixed).select(F.col("name").alias("of")), F.col("name").eqNullSafe(F.col("of")), "left_semi")
+        found = found.unionByName(mixed_kinds(several))
+    if state.get["undefined"]:
+        missing = names.filter(undefined).select(F.col("name").alias("of"))
+        missing = flows.join(missing, F.col("target").eqNullSafe(F.col("of")), "left_semi")
+        found = found.unionByName(_violations(missing, "undefined_target", F.col("flow"), F.col("target")))
+    if not alike.isEmpty():
+        repeated = flows.select("flow").withColumn("hash", F.xxhash64("flow")).join(alike, "hash", "left_semi")
+        repeated = repeated.groupBy("flow").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+        found = found.unionByName(_violations(repeated, "duplicate_flow", F.col("flow"), F.col("n").cast("string")))
+    return found
 
 
 def first_kinds(datasets: DataFrame) -> DataFrame:

@@ -8,11 +8,14 @@ numbering flows across files needs the order of the whole collection.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import script_text as st
 from millrace.operators.windows import numbered
+from millrace.settings import SIZES, spark_conf
 from millrace.storage import stored
 
 
@@ -88,13 +91,13 @@ def dangling_settings(scripts: DataFrame) -> DataFrame:
     )
 
 
-def flow_numbers(flows: DataFrame) -> DataFrame:
-    """Add ``flow_no``, counting across all files in path order, and the name ``flow``.
+def flow_numbers(flows: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
+    """Add ``flow_no``, counting across all files in path order, and the name ``flow``; columns in ``drop`` go.
 
     ``flows`` is read twice (once for the bounds of the sort) and sorted as it
     is, so it should be stored and narrow.
     """
-    return numbered(flows, _order(flows), "flow_no").withColumn("flow", st.flow_name(F.col("flow_no"), F.col("target")))
+    return numbered(flows, _order(flows), "flow_no", drop).withColumn("flow", st.flow_name(F.col("flow_no"), F.col("target")))
 
 
 def numbered_flows(scripts: DataFrame) -> DataFrame:
@@ -108,14 +111,26 @@ def declaration_tables(scripts: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     """The tables ``(datasets, flows, flow_inputs)`` that ``lineage`` and ``checks`` work on.
 
     ``datasets`` has a row for every declaration of a name, not only the first.
-    Names stay as written. An input comes with the target of its flow, once.
+    Names stay as written. An input comes with the target and the number of its flow, once.
     """
     outside = st.outside_inputs(F.col("inputs"), F.col("body")).alias("inputs")
     narrow = filling_statements(scripts).select(*_place(scripts), "statement_no", "target", "kind", outside)
-    found = flow_numbers(stored(narrow, "declarations"))
+    with spark_conf(scripts.sparkSession, SIZES):
+        place = [*_place(scripts), "statement_no"]
+        found = flow_numbers(stored(narrow, "declarations"), drop=place)
     datasets = found.select(F.col("target").alias("name"), "kind", F.col("flow_no").alias("decl_no"))
     flows = found.select("flow", "target", F.lit("batch").alias("mode"), F.col("flow_no").alias("decl_no"))
-    return datasets, flows, found.select("flow", "target", F.explode("inputs").alias("dataset"))
+    return datasets, flows, found.select("flow", "target", F.explode("inputs").alias("dataset"), F.col("flow_no").alias("decl_no"))
+
+
+def by_number(declared: DataFrame) -> DataFrame:
+    """Flows or inputs of ``declaration_tables`` with ``decl_no`` as ``flow``: a number is sorted and hashed much faster than a name."""
+    return declared.withColumn("flow", F.col("decl_no"))
+
+
+def by_name(numbers: DataFrame) -> DataFrame:
+    """What was found of flows ``by_number``, ``flow`` as name again; it needs their ``target``."""
+    return numbers.withColumn("flow", st.flow_name(F.col("flow"), F.col("target")))
 
 
 def project_rows(scripts: DataFrame) -> DataFrame:

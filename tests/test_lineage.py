@@ -268,3 +268,56 @@ def test_inputs_that_come_with_their_target_do_not_meet_the_flows(spark, monkeyp
     monkeypatch.setattr(lineage, "stored", noted)
     assert rows(lineage.stage_levels(flows, inputs)) == plain == [("sql_flow_001_x", 0), ("sql_flow_002_y", 1), ("sql_flow_005_z", 2)]
     assert plans["reads"].count("Join ") == 1 and plans["stage-levels"].count("Join ") == 1
+
+
+def test_all_checks_find_what_each_check_finds(spark):
+    datasets = spark.createDataFrame(
+        [("a", "table", 3), ("a", "temporary_view", 1), ("v.w", "temporary_view", 4), ("idle", "table", 5), ("x", None, 6), (None, "table", 7), ("m", "materialized_view", 8)]
+        + [("k", k, i) for i, k in enumerate(["table", None, "materialized_view", "table"])],
+        "name string, kind string, decl_no int",
+    )
+    flows = spark.createDataFrame(
+        [("f1", "a", "once"), ("f2", "a", "batch"), ("f2", "nobody", "batch"), ("f3", None, "once"), ("f4", "x", "batch"), (None, "m", "batch"), (None, "m", "once"), ("f5", "v.w", "batch")],
+        "flow string, target string, mode string",
+    ).withColumn("decl_no", F.lit(1))
+    single = [checks.undefined_target, checks.no_producer, checks.single_writer, checks.once_mode, checks.duplicates]
+    found = [r for check in single for r in rows(check(datasets, flows))] + rows(checks.mixed_kinds(datasets)) + rows(checks.view_name(datasets))
+    # Among all checks, a dataset whose kind is null counts as one that nobody declared.
+    found.append(("undefined_target", "f4", "x"))
+    assert rows(checks.all_checks(datasets, flows)) == sorted(found, key=repr)
+
+
+def test_checks_of_scripts_work_on_numbers(spark, monkeypatch, tmp_path):
+    from millrace.flows import corpus, declarations
+    from millrace.plans import scripts as ps
+
+    orders = [(i, i % 3, "POF"[i % 3], "5-LOW") for i in range(12)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    documents = [(i, f"text {i} ", "de" if i % 2 else "en") for i in range(40)]
+    spark.createDataFrame(documents, "doc_id bigint, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = corpus.derive(spark, str(tmp_path), "SELECT text FROM {documents}").groupBy(F.spark_partition_id()).count()
+    assert len(rows(sizes)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    types, plans, store = {}, {}, storage.stored
+
+    def noted(df, label):
+        types.setdefault(label, dict(df.dtypes))
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return store(df, label)
+
+    for module in (lineage, checks, ps):
+        monkeypatch.setattr(module, "stored", noted)
+    found = declarations.chk_scripts(spark, str(tmp_path))
+    assert {t for label in ("edges", "degrees", "moved", "levels") for n, t in types[label].items() if n in ("up", "down", "dataset", "root")} == {"bigint"}
+    assert types["stage-levels"] == {"flow": "bigint", "stage": "int"} and "flows" not in types
+    assert "ObjectHashAggregate" not in plans["names"] and "SortAggregate" not in plans["names"]
+    cycles = [r for r in rows(found) if r[0] == "cycle"]
+    assert len(cycles) == 12 and {r[2] for r in cycles} == {"never ready"} and all(r[1].startswith("sql_flow_0") for r in cycles)
+
+
+def test_names_of_flows_keep_their_form(spark):
+    from millrace.functions import script_text as st
+
+    given = [(n, t) for n in (None, 1, 99, 100, 12345) for t in (None, "a b.c$d", "plain-1")]
+    df = spark.createDataFrame(given, "n bigint, t string").select("n", "t", st.flow_name(F.col("n"), F.col("t")).alias("name"))
+    formed = F.format_string("sql_flow_%03d_%s", "n", F.regexp_replace("t", "[^A-Za-z0-9_.-]", "_"))
+    assert df.filter(~F.col("name").eqNullSafe(formed)).count() == 0
